@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoweave.llm import exact_dedup, mixing, packing, simhash, toxicity
+from annoweave.llm import ann, exact_dedup, language_id, licenses, lm_scoring, mixing, packing, simhash, toxicity
 from annoweave.llm.base import read_table
 
 #: What the fingerprint contract asks for: four-word shingles, links at four bits or fewer.
@@ -19,6 +19,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_to_every_nth(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +47,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,12 +58,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op5_mixing, op6_exact_dedup, op7_simhash, op8_toxicity, op10_packing)
+        for f in (
+            op2_ann, op3_licenses, op4_lm_score, op5_mixing, op6_exact_dedup,
+            op7_simhash, op8_toxicity, op9_language_id, op10_packing,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ann": ann.ORACLE_SQL,
+        "op3_licenses": licenses.ORACLE_SQL,
         "op5_mixing": mixing.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     }
