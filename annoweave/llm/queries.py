@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoweave.llm import ann, exact_dedup, language_id, licenses, lm_scoring, mixing, packing, simhash, toxicity
+from annoweave.llm import ann, exact_dedup, language_id, licenses, lm_scoring, mixing, packing, pii, simhash, toxicity
 from annoweave.llm.base import read_table
 
 #: What the fingerprint contract asks for: four-word shingles, links at four bits or fewer.
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_to_every_nth(read_table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op2_ann, op3_licenses, op4_lm_score, op5_mixing, op6_exact_dedup,
+            op1_pii, op2_ann, op3_licenses, op4_lm_score, op5_mixing, op6_exact_dedup,
             op7_simhash, op8_toxicity, op9_language_id, op10_packing,
         )
     }
