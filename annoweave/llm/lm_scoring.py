@@ -289,6 +289,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
     tune = answered(dealt.filter(F.col("role") == TUNE_ROLE), answers.filter(F.octet_length("fit") > 0).select("block", "n", "part", "fit"), _tune_cells(order, fit_total, types), "bucket long, cell long, tokens double, " + ", ".join(f"p{i} double" for i in range(order + 1)))
     cells = tune.groupBy("bucket", "cell").agg(F.sum("tokens"), *[F.sum(f"p{i}") for i in range(order + 1)]).collect()  # bounded by the cells
     weights = learn_weights([(r[0], r[2], [x / r[2] for x in r[3:]]) for r in cells], order)
+    if not total:
+        weights = np.eye(order + 1)[np.zeros(BUCKETS, int)]
 
     scored = answered(dealt, answers.select("block", "n", "part", "learned"), _scorer(order, total, types, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(

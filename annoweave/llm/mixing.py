@@ -70,17 +70,18 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     """
     names = [c for c in docs.columns if c != "replica"]
     rates = repetition_rates(docs, weights, alpha, budget)
+    rates = rates.select("mix_source", *[F.col(c).alias(f"__aw_{c}") for c in ("draws", "cdf")]).withColumnRenamed("mix_source", "__aw_source")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c < hashed_uniform(F.lit(str(seed)), key, j.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda acc, j: acc + draw(j))
-    one = F.size(F.filter("cdf", lambda c: c < F.col("__aw_u")))
+    draw = lambda j: F.size(F.filter("__aw_cdf", lambda c: c < hashed_uniform(F.lit(str(seed)), key, j.cast("string"))))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("__aw_draws")), F.lit(0), lambda acc, j: acc + draw(j))
+    one = F.size(F.filter("__aw_cdf", lambda c: c < F.col("__aw_u")))
     drawn = (
         docs.select(*names)
-        .join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
+        .join(rates, F.col("source").eqNullSafe(F.col("__aw_source")))
         .withColumn("__aw_u", hashed_uniform(F.lit(str(seed)), key, F.lit("1")))
-        .withColumn("__aw_n", F.when(F.col("draws") == 1, one).otherwise(count))
+        .withColumn("__aw_n", F.when(F.col("__aw_draws") == 1, one).otherwise(count))
         .filter("__aw_n > 0")
     )
     copies = drawn.select(*names, F.explode(F.sequence(F.lit(1), F.col("__aw_n"))).alias("replica"))
