@@ -114,7 +114,7 @@ class Objective:
 
     def _figures(self, sums: np.ndarray) -> dict[str, np.ndarray]:
         n, both, one, aged, months = sums[:, :5].T
-        hist, c = sums[:, 5 : 5 + self.bins], sums[:, 5 + self.bins :].reshape(-1, self.k, self.k)
+        hist, c = sums[:, 5 : 5 + self.bins], sums[:, 5 + self.bins :].reshape(len(sums), self.k, self.k)
         pairs, agree = c.sum((1, 2)), np.trace(c, axis1=1, axis2=2)
         chance = (c.sum(2) * c.sum(1)).sum(1)
         with np.errstate(divide="ignore", invalid="ignore"):
