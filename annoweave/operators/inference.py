@@ -119,3 +119,13 @@ def require_all_ok(results: DataFrame) -> None:
     bad = failed_batches(results).orderBy("batch_number").first()
     if bad is not None:
         raise RuntimeError(f"batch {bad['batch_number']} failed after {bad['attempts']} attempts: {bad['error']}")
+
+
+def run_summary(results: DataFrame, **about: object) -> DataFrame:
+    """One row: batches, records, attempts and failures of a run, and what else is told."""
+    return results.agg(
+        F.count(F.lit(1)).alias("n_batches"),
+        F.coalesce(F.sum(F.size("record_ids")), F.lit(0)).cast("long").alias("n_records"),
+        F.coalesce(F.sum("attempts"), F.lit(0)).cast("long").alias("n_attempts"),
+        F.count_if(F.col("status") != "ok").alias("n_failed"),
+    ).select("*", *[F.lit(v).alias(k) for k, v in about.items()])

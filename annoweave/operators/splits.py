@@ -248,3 +248,19 @@ def agreement_points(records: DataFrame, left: str = "bloom_1", right: str = "bl
     """(split, transcript, n_overlap, agreement) of the transcripts with overlap."""
     points = agreement_stats(pair_counts(records, left, right, ["split", unit]), ["split", unit])
     return points.select("split", unit, "n_overlap", "exact_agreement").filter("n_overlap > 0")
+
+
+def transcript_manifest(records: DataFrame, unit: str = "transcript_id", **columns: str) -> DataFrame:
+    """One row a coded transcript, in order: its figures, label counters and split."""
+    coded = records.filter(F.col("split") != NEITHER_SPLIT)
+    out = transcript_table(coded, unit, **columns).join(coded.select(unit, "split").distinct(), unit)
+    both = coded.filter(F.col("bloom_1").isNotNull() & F.col("bloom_2").isNotNull())
+    pair = F.concat_ws(" | ", "bloom_1", "bloom_2")
+    for name, key in (("bloom_1_counts", F.col("bloom_1")), ("bloom_2_counts", F.col("bloom_2")), ("bloom_pair_counts", pair)):
+        out = out.join(sorted_counts(both.select(unit, key.alias("__key")), "__key", [unit], name), unit, "left")
+    return out.orderBy(unit)
+
+
+def references_by_split(references: DataFrame, records: DataFrame) -> DataFrame:
+    """Human references of the records that have a split, with that split."""
+    return references.join(records.select("record_id", "split"), "record_id")

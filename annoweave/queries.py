@@ -16,11 +16,12 @@ from annoweave.functions.text import age_in_months, clean, json_text, mimicry_ca
 from annoweave.operators import agreement as ag
 from annoweave.operators import splits as sp
 from annoweave.operators.ages import age_histogram, child_ages, weighted_mean
-from annoweave.operators.inference import code_batches, predictions_of, prompt_records, stub_client
+from annoweave.operators.inference import code_batches, predictions_of, prompt_records, run_summary, stub_client
 from annoweave.operators.linking import alignment_mismatch, duplicates, line_lookup, missing_from, with_reference
 from annoweave.operators.ordering import batch_number, context_missing, context_windows, dense_number, head, record_id, top_counts
 from annoweave.operators.validation import extracted_json, policy_violations, validated
-from annoweave.schemas import FLAGS, NEITHER_SPLIT, SPLIT_TARGETS
+from annoweave.schemas import FLAGS, NEITHER_SPLIT, PREDICTION_KEYS, SPLIT_TARGETS
+from annoweave.sources.tables import transcript_halves
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,6 +370,30 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn < 3 THEN 1 ELSE 2 END AS half FROM conversations")
+def union_of_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return transcript_halves(c.filter("turn < 3"), c.filter("turn >= 3")).select("conv_id", "turn", "half")
+
+
+@query(f"WITH {UNITS_SQL} SELECT lang, bloom_1 AS label FROM u WHERE bloom_1 IS NOT NULL UNION SELECT lang, bloom_2 FROM u WHERE bloom_2 IS NOT NULL")
+def label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = units(spark, sf_dir)
+    return u.select("lang", F.explode(F.array("bloom_1", "bloom_2")).alias("label")).filter("label IS NOT NULL").distinct()
+
+
+@query("""WITH k AS (SELECT doc_id, list_concat(['record_id', 'flags'], CASE WHEN doc_id % 2 = 0 THEN ['comments', 'why'] ELSE ['bloom_label', 'comments'] END) AS keys FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'why' ELSE '' END AS extra, CASE WHEN doc_id % 2 = 0 THEN 'bloom_label' ELSE '' END AS missing, doc_id % 2 = 1 AS exact FROM k""")
+def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lits = lambda *x: F.array(*[F.lit(v) for v in x])
+    keys = F.concat(lits("record_id", "flags"), F.when(F.col("doc_id") % 2 == 0, lits("comments", "why")).otherwise(lits("bloom_label", "comments")))
+    wanted = lits(*PREDICTION_KEYS)
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", joined(F.array_except(keys, wanted)).alias("extra"), joined(F.array_except(wanted, keys)).alias("missing"), (F.array_sort(keys) == F.array_sort(wanted)).alias("exact")
+    )
+
+
 # -- scalars -----------------------------------------------------------------
 
 _MESSY = "CASE doc_id % 8 WHEN 0 THEN '  YES ' WHEN 1 THEN 'y' WHEN 2 THEN chr(9) || '1' || chr(10) WHEN 3 THEN '1.0' WHEN 4 THEN ' ' WHEN 5 THEN 'No' WHEN 6 THEN 'maybe ' END"
@@ -504,6 +529,22 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.split_leaks(split_units(spark, sf_dir).withColumn("split", F.when(F.col("doc_id") % 97 == 0, "dev_train").otherwise(F.col("split"))))
 
 
+@query(f"""WITH {UNITS_SQL}, c AS (SELECT * FROM u WHERE split <> 'uncoded_by_neither'),
+n AS (SELECT transcript_id, string_agg(k || '=' || n, ', ' ORDER BY k) AS pairs FROM (
+  SELECT transcript_id, bloom_1 || ' | ' || bloom_2 AS k, count(*) AS n FROM c WHERE bloom_1 IS NOT NULL AND bloom_2 IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+SELECT transcript_id, any_value(split) AS split, count(*) AS n_rows, any_value(pairs) AS pairs FROM c LEFT JOIN n USING (transcript_id) GROUP BY transcript_id""")
+def transcript_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sp.transcript_manifest(split_units(spark, sf_dir))
+    pairs = F.array_join(F.transform(F.map_entries("bloom_pair_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ", ")
+    return m.select("transcript_id", "split", "n_rows", pairs.alias("pairs"))
+
+
+@query(f"WITH {UNITS_SQL} SELECT record_id, bloom_1, split FROM u WHERE bloom_1 IS NOT NULL")
+def references_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = split_units(spark, sf_dir)
+    return sp.references_by_split(u.filter("bloom_1 IS NOT NULL").select("record_id", "bloom_1"), u)
+
+
 @query(f"WITH {UNITS_SQL} SELECT split, bloom_2 AS label, count(*) AS n FROM u WHERE bloom_2 IS NOT NULL GROUP BY ALL")
 def split_class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.class_coverage(split_units(spark, sf_dir), "bloom_2")
@@ -587,6 +628,11 @@ def stub_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions_of(code_batches(prompt_units(spark, sf_dir), stub_client, "Code the tokens.", batch_size=50)).withColumn("flags", json_text(F.col("flags")))
 
 
+@query("SELECT (count(*) + 49) // 50 AS n_batches, count(*) AS n_records, (count(*) + 49) // 50 AS n_attempts, 0::BIGINT AS n_failed, 'stub' AS model FROM conversations")
+def stub_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_summary(code_batches(prompt_units(spark, sf_dir), stub_client, "Code the tokens.", batch_size=50), model="stub")
+
+
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_property_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))

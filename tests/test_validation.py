@@ -130,3 +130,26 @@ def test_code_batches(spark):
 def test_prompts_hide_labels(spark):
     shown = inf.prompt_records(spark.createDataFrame([("a", "s", "L")], "record_id string, split string, bloom_1 string"))
     assert tuple(shown.columns) == PROMPT_FIELDS and "L" not in shown.first()
+
+
+# Labels and raised flags of the policy's sixteen worked examples and three of the prompt's.
+GOLDEN = [
+    ("Nonexistence", ""), ("Rejection", "foreign_language_negation"), ("Rejection", ""), ("Rejection", ""), ("Denial", ""), ("Uncoded", "tag_question"),
+    ("Nonpossession", ""), ("Nonpossession", ""), ("Uncoded", ""), ("Excluded", "singing not_a_negation"), ("Excluded", "mimicry"), ("Excluded", "not_a_negation"),
+    ("Rejection", ""), ("Rejection", "repetition"), ("Denial", ""), ("Nonexistence", ""),
+    ("Excluded", "mimicry"), ("Excluded", "not_a_negation"), ("Rejection", "repetition"),
+]
+
+
+def test_worked_examples_follow_the_policy(spark):
+    rows = [(f"eng_{i:06d}", label, raised.split()) for i, (label, raised) in enumerate(GOLDEN, 1)]
+    df = spark.createDataFrame(rows, "record_id string, bloom_label string, raised array<string>")
+    df = df.withColumn("flags", F.struct(*[F.when(F.array_contains("raised", x), "Yes").otherwise("No").alias(x) for x in FLAGS]))
+    assert v.policy_violations(df).count() == 0
+    payload = {"schema_version": "bloom_v1", "predictions": [{"record_id": i, "bloom_label": lab, "flags": {f: "Yes" if f in r else "No" for f in FLAGS}, "comments": ""} for i, lab, r in rows]}
+    assert v.judge(json.dumps(payload), [r[0] for r in rows])[0] is None
+    assert v.schema_faults(payload) == []
+
+
+def test_schema_faults():
+    assert v.schema_faults([]) and v.schema_faults({"predictions": [{"record_id": "eng_1"}], "more": 1}) == ["unexpected key 'more'", "record_id 'eng_1' has another form"]
