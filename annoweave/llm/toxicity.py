@@ -33,6 +33,8 @@ MAX_BYTES = 48 << 20
 WINDOWS = (2, 6, 20)
 FOLDS = 3
 THRESHOLD = 0.7
+#: A word must follow so many different words to keep a ratio.
+MIN_WORD = 2
 #: A word pair must follow so many different words to keep a probability of its own.
 MIN_PAIR = 2
 #: Words are numbered with 21 bits; words first met after so many others count as one word.
@@ -55,28 +57,36 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
-def fit_ratios(texts: list[list[bytes]], toxic: list[bool]) -> dict:
-    """Log10 likelihood ratios (toxic to ordinary) of words and word pairs.
+def number_words(texts: list[str], index: dict[bytes, int]) -> list[np.ndarray]:
+    """Each text's words as numbers; new words are added to index up to RARE."""
+    out = []
+    for t in texts:
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int64)
+        out.append(np.minimum(ids, RARE).astype(np.int32))
+    for w in [w for w, i in index.items() if i >= RARE]:
+        del index[w]
+    return out
+
+
+def fit_ratios(texts: list[np.ndarray], toxic: list[bool], v: int) -> dict:
+    """Log10 likelihood ratios (toxic to ordinary) of words (numbers below v) and word pairs.
 
     Below the top order Kneser-Ney counts contexts, not occurrences: a word counts once
     for each word that it follows, a pair once for each word that precedes it. Copies
     of one text therefore have one vote.
     """
-    index: dict[bytes, int] = {}
-    uni: list = [[], []]
-    pair: list = [[], []]
-    for ws, tox in zip(texts, toxic, strict=True):
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int64, len(ws))
-        ids = np.minimum(ids, RARE)
-        before = np.concatenate(([RARE + 1], ids[:-1]))  # RARE + 1: the text's start
-        uni[tox].append(np.unique((before << 21) | ids))
-        pair[tox].append(np.unique((before[:-1] << 42) | (ids[:-1] << 21) | ids[1:]))
-    for w in [w for w, i in index.items() if i >= RARE]:
-        del index[w]
-    v = max(1, len(index)) + (len(index) >= RARE)
     empty = np.empty(0, np.int64)
-    uni = [np.unique(np.concatenate([empty, *u])) & 0x1FFFFF for u in uni]
-    pair = [np.unique(np.concatenate([empty, *p])) & 0x3FFFFFFFFFF for p in pair]
+    uni, pair = [empty, empty], [empty, empty]
+    for k in (False, True):
+        words, triples = [empty], [empty]
+        for ids, tox in zip(texts, toxic, strict=True):
+            if tox == k:
+                ids = ids.astype(np.int64)
+                before = np.concatenate(([RARE + 1], ids[:-1]))  # RARE + 1: the text's start
+                words.append(np.unique((before << 21) | ids))
+                triples.append(np.unique((before[:-1] << 42) | (ids[:-1] << 21) | ids[1:]))
+        uni[k] = np.unique(np.concatenate(words)) & 0x1FFFFF
+        pair[k] = np.unique(np.concatenate(triples)) & 0x3FFFFFFFFFF
     c1 = [np.bincount(u, minlength=v).astype(float) for u in uni]
     pooled = c1[0] + c1[1]
     # lowest order, shared: a word counts once for each class that it continues, and one for the word never seen
@@ -93,41 +103,40 @@ def fit_ratios(texts: list[list[bytes]], toxic: list[bool]) -> dict:
     c2 = [np.bincount(at[:first], minlength=len(keys)).astype(float), np.bincount(at[first:], minlength=len(keys)).astype(float)]
     both = c2[0] + c2[1]
     d2, head, tail = _discount(both), keys >> 21, keys & 0x1FFFFF
-    left, rest2 = [], []
-    for c in c2:
+    own = []
+    for c, w in zip(c2, word, strict=True):
         n = np.bincount(head, weights=c, minlength=v)
         kinds = np.bincount(head, weights=(c > 0).astype(float), minlength=v)
-        left.append(n)
-        rest2.append(np.where(n > 0, np.maximum(d2 * kinds / np.maximum(n, 1), 0.05), 1.0))
-    own = [np.maximum(c - d2, 0) / np.maximum(n[head], 1) + r[head] * w[tail] for c, n, r, w in zip(c2, left, rest2, word, strict=True)]
+        rest = np.where(n > 0, np.maximum(d2 * kinds / np.maximum(n, 1), 0.05), 1.0)
+        own.append(np.maximum(c - d2, 0) / np.maximum(n[head], 1) + rest[head] * w[tail])
     keep = both >= MIN_PAIR
-    return {
-        "index": index,
-        "word": np.log10(word[1] / word[0]).astype(np.float32),
-        "keys": keys[keep],
-        "pair": np.log10(own[1] / own[0])[keep].astype(np.float32),
-    }
+    # a word met once tells nothing of its class
+    ratio = np.where(pooled >= MIN_WORD, np.log10(word[1] / word[0]), np.nan).astype(np.float32)
+    return {"word": ratio, "keys": keys[keep], "pair": np.log10(own[1] / own[0])[keep].astype(np.float32)}
+
 
+def features(ids: np.ndarray, model: dict) -> list[float]:
+    """Ratio per word over the whole text, its best different words and its best stretches.
 
-def features(ws: list[bytes], model: dict) -> list[float]:
-    """Ratio per word over the whole text, its best different words and its best stretches."""
-    n = len(ws)
+    Words are numbers, negative if unknown. An unknown word's ratio is the same
+    everywhere and counts as 0.
+    """
+    n = len(ids)
     if not n:
         return [0.0] * (1 + len(BEST) + len(WINDOWS))
-    get = model["index"].get
-    ids = np.fromiter((get(w, -1) for w in ws), np.int64, n)
-    known = ids >= 0
-    # an unknown word's ratio is the same everywhere: nothing is learned from it
-    r = np.where(known, model["word"][ids], 0.0)
+    ids = ids.astype(np.int64)
+    r = np.where(ids >= 0, model["word"][ids], np.nan)
+    known = ~np.isnan(r)
+    r = np.where(known, r, 0.0)
     best = np.sort(model["word"][np.unique(ids[known])])[: -1 - max(BEST) : -1]
     best = np.concatenate((best, np.zeros(max(BEST) - len(best))))
-    if n > 1:
+    keys = model["keys"]
+    if n > 1 and len(keys):
         # a context never seen in one class doesn't count against it: only known pairs change the ratio
         key = (ids[:-1] << 21) | ids[1:]
-        at = np.minimum(np.searchsorted(model["keys"], key), max(0, len(model["keys"]) - 1))
-        if len(model["keys"]):
-            hit = (model["keys"][at] == key) & known[:-1] & known[1:]
-            r[1:] = np.where(hit, model["pair"][at], r[1:])
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = (keys[at] == key) & (ids[:-1] >= 0) & (ids[1:] >= 0)
+        r[1:] = np.where(hit, model["pair"][at], r[1:])
     cum = np.concatenate(([0.0], np.cumsum(r, dtype=np.float64)))
     return [float(cum[-1] / n), *(float(best[:k].mean()) for k in BEST), *(float((cum[min(w, n) :] - cum[: n + 1 - min(w, n)]).max() / w) for w in WINDOWS)]
 
@@ -151,26 +160,34 @@ def fit_model(texts: list[str], toxic: list[bool], hashes: list[int]) -> dict:
     """Ratios from all rows; the curve from ratios in which a row's own part was left out."""
     if len(set(toxic)) < 2:
         return {"const": float(toxic[0]) if toxic else 0.0}
-    ws, part = [words_of(t) for t in texts], [h % PARTS for h in hashes]
+    index: dict[bytes, int] = {}
+    ws, part = number_words(texts, index), [h % PARTS for h in hashes]
+    v = len(index) + 1  # the last number is that of all rarer words
     x, y = [], []
     for k in range(PARTS):
         rest = [i for i, p in enumerate(part) if p != k]
         if len({toxic[i] for i in rest}) == 2:
-            own = fit_ratios([ws[i] for i in rest], [toxic[i] for i in rest])
+            own = fit_ratios([ws[i] for i in rest], [toxic[i] for i in rest], v)
             held = [i for i, p in enumerate(part) if p == k]
             x += [features(ws[i], own) for i in held]
             y += [toxic[i] for i in held]
-    full = fit_ratios(ws, toxic)
+    full = fit_ratios(ws, toxic, v)
     if len(set(y)) < 2:
         x, y = [features(w, full) for w in ws], toxic
-    return full | {"curve": fit_logistic(np.array(x), np.array(y, float))}
+    curve = fit_logistic(np.array(x), np.array(y, float))
+    # scoring needs the numbers of words that have a ratio or are part of a pair
+    used = ~np.isnan(full["word"])
+    used[full["keys"] >> 21] = used[full["keys"] & 0x1FFFFF] = True
+    return full | {"curve": curve, "index": {w: i for w, i in index.items() if used[i]}}
 
 
 def scores(texts: list[str], model: dict) -> np.ndarray:
     if "const" in model or not texts:
         return np.full(len(texts), model.get("const", 0.0))
     mean, scale, w = model["curve"]
-    x = (np.array([features(words_of(t), model) for t in texts]) - mean) / scale
+    get = model["index"].get
+    ids = (np.fromiter((get(x, -1) for x in words_of(t)), np.int64) for t in texts)
+    x = (np.array([features(i, model) for i in ids]) - mean) / scale
     return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
 
 

@@ -56,10 +56,12 @@ def test_nulls_empty_and_one_class(spark):
 
 
 def test_likelihood_ratios_by_hand():
-    m = X.fit_ratios([[b"a", b"bad"], [b"b", b"bad"], [b"a", b"c"]], [True, True, False])
-    bad, a = m["word"][m["index"][b"bad"]], m["word"][m["index"][b"a"]]
-    assert bad > 0 and bad > a
-    assert X.features([], m) == [0.0] * 6
+    index = {}
+    ids = X.number_words(["a bad x bad", "b bad, y bad.", "a c a c"], index)
+    m = X.fit_ratios(ids, [True, True, False], len(index) + 1)
+    bad, a, b = (m["word"][index[w]] for w in (b"bad", b"a", b"b"))
+    assert bad > 0 and bad > a and np.isnan(b)
+    assert X.features(np.empty(0, np.int64), m) == [0.0] * 6
 
 
 def test_logistic_finds_a_boundary():
