@@ -12,7 +12,7 @@ from annoweave.operators.inference import Client, code_batches, failed_batches,
 from annoweave.operators.linking import alignment_mismatch, line_lookup, with_reference
 from annoweave.operators.ordering import context_missing, context_windows, dense_number, head, last_by, record_id
 from annoweave.operators.splits import apply_splits, label_counts, search_splits, transcript_table
-from annoweave.schemas import CONTEXT_LINES
+from annoweave.schemas import CONTEXT_LINES, SCHEMA_VERSION
 from annoweave.sources.sinks import guard_lockbox, guard_numbers, guard_outputs, write_json_lines
 from annoweave.sources.tables import coder_records, row_key, speaker_lines
 
@@ -72,8 +72,11 @@ def split_dataset(records: DataFrame, references: DataFrame, transcripts: DataFr
     return apply_splits(aged, found.select("transcript_id", "split"))
 
 
-def run_model(records: DataFrame, split: str, client: Client, prompt: str, out: str, raw_out: str, limit: int | None = None, batch_size: int = 5, max_retries: int = 2, allow_lockbox: bool = False, overwrite: bool = False) -> DataFrame:
-    """Code a split and write predictions and replies; if any batch fails, only its failure is written."""
+def run_model(records: DataFrame, split: str, client: Client, prompt: str, out: str, raw_out: str, limit: int | None = None, batch_size: int = 5, max_retries: int = 2, allow_lockbox: bool = False, overwrite: bool = False, **about: str) -> DataFrame:
+    """Code a split and write predictions and replies; if any batch fails, only failures are written.
+
+    What else is told (model, versions, the prompt's path) goes into replies and failures.
+    """
     guard_lockbox(split, allow_lockbox)
     guard_numbers(limit, batch_size, max_retries)
     guard_outputs(records.sparkSession, [out, raw_out], overwrite)
@@ -82,14 +85,15 @@ def run_model(records: DataFrame, split: str, client: Client, prompt: str, out:
     if chosen.isEmpty():
         raise ValueError(f"no records in {split}")
     numbered = chosen.withColumn("number", F.regexp_extract("record_id", "([0-9]+)$", 1).cast("long"))
-    results = code_batches(numbered, client, prompt, batch_size, max_retries)
+    told = {"schema_version": SCHEMA_VERSION} | about
+    results = code_batches(numbered, client, prompt, batch_size, max_retries).withColumns({k: F.lit(v) for k, v in told.items()})
     failed = failed_batches(results)
     if not failed.isEmpty():
         write_json_lines(failed, f"{out}.failed", ["batch_number"], overwrite=True)
     require_all_ok(results)
     found = predictions_of(results)
     write_json_lines(found, out, ["batch_number", "pos"], one_file=True, overwrite=overwrite)
-    write_json_lines(results.select("batch_number", "record_ids", "response"), raw_out, ["batch_number"], one_file=True, overwrite=overwrite)
+    write_json_lines(results.select("batch_number", "record_ids", *told, F.col("response").alias("raw_response")), raw_out, ["batch_number"], one_file=True, overwrite=overwrite)
     return found
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import types as T
 
 # Label set, flags and record layout of the annotation contract.
 SCHEMA_VERSION = "bloom_v1"
+PROMPT_VERSION = "p001"
+CODE_SHEET = "Code"
+TRANSCRIPT_SHEETS = ("Transcript - First half", "Transcript - Second half")
+EXCLUSION = "RED: INCLUDED AS TT5 FOR SYNTACTIC CODING"
 LABELS = ("Nonexistence", "Rejection", "Denial", "Nonpossession", "Uncoded", "Excluded")
 FLAGS = ("foreign_language_negation", "singing", "mimicry", "tag_question", "repetition", "not_a_negation")
 FLAG_VALUES = ("Yes", "No")

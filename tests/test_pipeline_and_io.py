@@ -122,3 +122,40 @@ def test_charts():
     assert svg.startswith("<svg") and "a&lt;b" in svg and svg.count("<rect") >= 6
     assert charts.agreement_scatter([("s", "t", 4, 0.5)]).count("<circle") == 1
     assert abs(charts.jitter("t", 100)) <= 34
+
+
+def write_book(path, sheets):
+    """A workbook of text cells: {sheet: rows}."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f"<workbook {main} {rel}><sheets>{names}</sheets></workbook>")
+        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{n}">' + "".join(f'<c r="{chr(65 + j)}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(r) if v is not None) + "</row>" for n, r in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from annoweave.__main__ import main
+    from annoweave.schemas import CODE_SHEET, TRANSCRIPT_SHEETS
+
+    key = ["Transcript", "Negation", "Half", "Line", "Speaker", "Utterance"]
+    rows = [[f"t{i % 12}", "no", "1", str(i), "*CHI:", f"u{i}"] for i in range(2, 122)]
+    lines = [["Transcript", "Speaker", "Utterance", "Line"], *[[f"t{i}", "@ID:", f"eng|c|CHI|{1 + i % 4};0{i % 9}.|f|||Target_Child|", None] for i in range(12)], *[[r[0], r[4], r[5], r[3]] for r in rows]]
+    write_book(tmp_path / "m.xlsx", {CODE_SHEET: [[*key, "exclusion"], *[[*r, None] for r in rows]], TRANSCRIPT_SHEETS[0]: lines, TRANSCRIPT_SHEETS[1]: lines[:1]})
+    for c, labels in (("a", ["Denial", "Rejection", None]), ("b", ["Denial", None, None, "Denial"])):
+        write_book(tmp_path / f"{c}.xlsx", {CODE_SHEET: [[*key, "Bloom"], *[[*r, labels[i % len(labels)]] for i, r in enumerate(rows)]]})
+    (tmp_path / "prompt.md").write_text("Code these.")
+    at = lambda *x: str(tmp_path.joinpath(*x))
+    told = lambda: json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert main(["build", "--master", at("m.xlsx"), "--coder-1", at("a.xlsx"), "--coder-2", at("b.xlsx"), "--owner-1", "Ann", "--owner-2", "Bo", "--out", at("data")]) == 0
+    assert told()["n_records"] == 120
+    assert main(["split", "--data", at("data"), "--master", at("m.xlsx"), "--out", at("splits"), "--iterations", "40"]) == 0
+    assert sum(told()["splits"].values()) == 120 and Path(at("splits", "dashboard.svg")).exists()
+    ran = ["run", "--split", "dev_train", "--model", "stub", "--limit", "7", "--prompt", at("prompt.md"), "--split-dir", at("splits"), "--results-dir", at("results")]
+    assert main(ran) == 0
+    assert told()["n_predictions"] == 7
+    assert main(ran) == main(["run", "--split", "test_lockbox", *ran[3:]]) == main([*ran, "--batch-size", "0"]) == 2
