@@ -15,14 +15,18 @@ per-partition counts, so no length is gathered into one task.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
+import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 from annoweave.llm.base import cut, text_of
 
 CAPACITY = 4096
-GROUPS = 48
+#: (groups, longest small length as a share of the capacity): the plan with the fewest bins counts.
+GROUPINGS = ((200, 1 / 8), (200, 1 / 4), (1000, 1 / 2))
 END_ID = 1
-#: White-space-separated words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+#: A worker remembers the ids of so many words of each of two generations.
+CACHE_WORDS = 300_000
+#: Short pieces that aren't words, such as marks, that a worker remembers.
+CACHE_PARTS = 50_000
 
 _PIECE = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -44,32 +51,106 @@ _PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, p
 _tokenizers: dict[int, WordIds] = {}
 
 
+# The pre-tokenizer pattern whose pieces never cross white space.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters are the same in every Unicode normal form and have simple lower case.
+_PLAIN_WORD = regex.compile(r"[!-~\xa1-\u012f\u0131-\u017f]+")
+_PIECES = regex.compile(WORD_PIECES)
+#: The same for words of printable ASCII, in lower case.
+_PLAIN_BYTES = re.compile(rb"[!-~]+")
+_BYTE_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte-level BPE's characters for bytes: printable ones themselves, the others from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordCache(dict):
+    """Ids of words by their bytes; one that is missing is taken from the older generation or made."""
+
+    def __init__(self, make: Callable[[bytes], bytes], older: dict[bytes, bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.older.get(w)
+        if ids is None:
+            ids = self.make(w)
+        self[w] = ids
+        return ids
+
+
 class WordIds:
     """Token ids of whole texts by way of their words.
 
-    The tokenizer drops white space and its pieces never cross it, so a text's ids
-    are its words' ids in order. Words are remembered as little-endian 32-bit ids.
+    Where the tokenizer drops white space and its pieces never cross it, a text's ids
+    are its words' ids in order, remembered as little-endian 32-bit integers; common
+    kinds of words go straight to its model. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.seen = Tokenizer.from_str(definition), {}
+        self.tok = Tokenizer.from_str(definition)
+        self.special = [t["content"].encode() for t in json.loads(definition).get("added_tokens") or []]
+        self.by_word = self._drops_space(json.loads(definition))
+        self.chars = byte_characters()
+        self.bytes_of = [struct.pack("<I", i) for i in range(self.tok.get_vocab_size())]
+        self.tokenize = self.tok.model.tokenize
+        self.parts: dict[bytes, bytes] = {}
+        self.seen = WordCache(self.word, {})
+
+    @staticmethod
+    def _drops_space(d: dict) -> bool:
+        steps = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        forms = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers") or []]
+        split = steps[0]
+        return (
+            forms == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+            and split.get("pattern") == {"Regex": WORD_PIECES}
+            and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+            and not any(steps[1].get(k) for k in ("add_prefix_space", "use_regex"))
+        )
+
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def word(self, w: bytes) -> bytes:
+        if w.isalpha():  # ASCII letters only
+            return self._packed([k.id for k in self.tokenize(w.lower().decode())])
+        if any(x in w for x in self.special):
+            return self._packed(self.tok.encode(w.decode(), add_special_tokens=False).ids)
+        if _PLAIN_BYTES.fullmatch(w):
+            return b"".join(map(self._piece, _BYTE_PIECES.findall(w.lower())))
+        t = w.decode("utf-8", "replace")
+        if _PLAIN_WORD.fullmatch(t):
+            return b"".join([self._piece(p.encode()) for p in _PIECES.findall(t.lower())])
+        return self._packed(self.tok.encode(t, add_special_tokens=False).ids)
+
+    def _piece(self, p: bytes) -> bytes:
+        """Ids of one pre-token in lower case; those of words met by themselves are known already."""
+        ids = self.seen.get(p) if p.isalpha() else self.parts.get(p)
+        if ids is None:
+            ids = self._packed([k.id for k in self.tokenize(p.decode("latin-1").translate(self.chars))])
+            if len(p) <= 4 and len(self.parts) < CACHE_PARTS:
+                self.parts[p] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids, each as little-endian unsigned 32-bit integers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.seen})
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen = {}
-            new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        find = self.seen.__getitem__
-        return [b"".join(map(find, ws)) for ws in split]
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for t in texts:
+            out.append(b"".join(map(self.seen.__getitem__, t.encode("utf-8", "surrogatepass").split())))
+            if len(self.seen) > CACHE_WORDS:  # words used again come over from the older generation
+                self.seen = WordCache(self.word, dict(self.seen))
+        return out
 
 
 def word_ids(definition: str) -> WordIds:
@@ -153,12 +234,11 @@ def _runs(lengths: list[tuple[int, int]], at: int, n: int) -> list[tuple[int, in
     return out
 
 
-def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def plan_bins(hist: dict[int, int], capacity: int, groups: int, small: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Kinds of bin, [((length, copies), ...), times], that hold each length of hist as often as it occurs.
 
-    Lengths above `small` (default: an eighth of the capacity) are grouped.
+    Lengths above `small` are grouped.
     """
-    small = capacity // 8 if small is None else small
     large = sorted((x, n) for x, n in hist.items() if x > small and n)
     kinds: Counter[tuple[tuple[int, int], ...]] = Counter()
     if large:
@@ -217,6 +297,11 @@ def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return [(kind, n) for of in room.values() for kind, n in of.items()]
 
 
+def best_plan(hist: dict[int, int], capacity: int = CAPACITY, groupings: tuple[tuple[int, float], ...] = GROUPINGS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    plans = [plan_bins(hist, capacity, groups, int(capacity * share)) for groups, share in groupings]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
 def _kind(lengths) -> tuple[tuple[int, int], ...]:
     return tuple(sorted(Counter(lengths).items(), reverse=True))
 
@@ -235,12 +320,12 @@ def place_table(bins: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarr
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a stored table of pieces(length, part, nth, ...)."""
     spark = pieces.sparkSession
     by_part = pieces.groupBy("length", "part").count()
     hist = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("count")).collect()}  # at most `capacity` rows
-    table = spark.sparkContext.broadcast(place_table(plan_bins(hist, capacity, groups)))
+    table = spark.sparkContext.broadcast(place_table(best_plan(hist, capacity)))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = by_part.select(F.col("length").alias("l"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("before"))
     ranked = pieces.join(starts, (F.col("length") == F.col("l")) & (F.col("part") == F.col("p"))).withColumn("rank", F.col("before") + F.col("nth"))
@@ -260,7 +345,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUP
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most `capacity` tokens.
 
     A document is its token ids and then END_ID; only longer ones are cut, into
@@ -269,4 +354,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, groups:
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    return pack_pieces(cut(tokenized_pieces(docs, tokenizer_path, capacity, id_col, text_col)), capacity, groups)
+    return pack_pieces(cut(tokenized_pieces(docs, tokenizer_path, capacity, id_col, text_col)), capacity)

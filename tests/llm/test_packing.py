@@ -14,10 +14,10 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=300), st.integers(1, 12))
-def test_plan_holds_every_length_once(lengths, groups):
+@given(st.lists(st.integers(1, 64), max_size=300), st.integers(1, 12), st.integers(0, 64))
+def test_plan_holds_every_length_once(lengths, groups, small):
     hist = Counter(lengths)
-    plan = X.plan_bins(hist, 64, groups)
+    plan = X.plan_bins(hist, 64, groups, small)
     used = Counter()
     for kind, times in plan:
         assert times > 0 and sum(x * c for x, c in kind) <= 64
@@ -30,8 +30,8 @@ def test_plan_is_close_to_the_least():
     rng = np.random.default_rng(0)
     hist = Counter(np.minimum(4096, rng.lognormal(6, 1.2, 20_000).astype(int) + 1).tolist())
     least = -(-sum(k * v for k, v in hist.items()) // 4096)
-    plan = X.plan_bins(hist)
-    assert sum(n for _, n in plan) <= 1.01 * least
+    plan = X.best_plan(hist)
+    assert sum(n for _, n in plan) <= 1.002 * least
     assert len(plan) < 20_000
 
 
@@ -41,6 +41,27 @@ def test_words_make_the_ids_of_the_text():
         assert np.frombuffer(quick.encode([t])[0], "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
+def test_odd_words_and_other_tokenizers():
+    exact, quick = Tokenizer.from_file(PATH), X.WordIds(open(PATH, encoding="utf-8").read())
+    assert quick.by_word
+    rng = np.random.default_rng(3)
+    kinds = [(0x21, 0x7F), (0x80, 0x180), (0x27, 0x28), (0x300, 0x3FF), (0x2000, 0x2100)]
+    for _ in range(3000):
+        t = "".join(chr(rng.integers(*kinds[rng.integers(len(kinds))])) for _ in range(rng.integers(1, 9)))
+        assert np.frombuffer(quick.encode([t])[0], "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, ascii(t)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    exact, whole = Tokenizer.from_file(other), X.WordIds(open(other, encoding="utf-8").read())
+    assert not whole.by_word
+    assert np.frombuffer(whole.encode(["Some  text\n here"])[0], "<u4").tolist() == exact.encode("Some  text\n here", add_special_tokens=False).ids
+
+
+def test_word_generations_change_nothing(monkeypatch):
+    monkeypatch.setattr(X, "CACHE_WORDS", 3)
+    exact, quick = Tokenizer.from_file(PATH), X.WordIds(open(PATH, encoding="utf-8").read())
+    for t in ["a b c d e", "c d f g", "a g h", "a b c d e f g h"] * 2:
+        assert np.frombuffer(quick.encode([t])[0], "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids
+
+
 def test_pack_round_trip(spark):
     exact = Tokenizer.from_file(PATH)
     texts = ["some words here " * n for n in (0, 1, 5, 40, 700, 3000)] * 3 + [None, "", "x"]
