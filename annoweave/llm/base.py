@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import gc
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annoweave.session import cut as cut
+from annoweave.session import ensure_checkpoint_dir as ensure_checkpoint_dir
+
 #: Characters the contracts call white space: space and TAB..CR.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -23,7 +26,7 @@ def text_of(name: str = "text") -> Column:
 
 
 def id_bucket(n: int, id_col: str = "doc_id") -> Column:
-    """crc32(id as text) mod n; a null id falls into bucket 0 (never learned from)."""
+    """crc32(id as text) mod n; a null id falls into bucket 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(n)), F.lit(0))
 
 
@@ -32,18 +35,18 @@ def row_hash(text_col: str = "text") -> Column:
     return F.xxhash64(text_of(text_col))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; make one only where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "annoweave-checkpoints"))
-
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    It does so when the driver's JVM collects garbage, which may otherwise be long after
+    a result has been cut from them. Python hands over what it has dropped within a
+    second; one collection frees the plans, the next one their shuffles.
+    """
+    gc.collect()
+    time.sleep(1.2)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

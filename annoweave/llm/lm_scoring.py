@@ -27,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import cut, id_bucket, mix64, text_of
+from annoweave.llm.base import cut, id_bucket, mix64, release_shuffles, text_of
 
 ORDER = 2
 FOLDS = 10
 #: The learned rows in this remainder are the tune part.
 TUNE = 9
 #: Bytes of text in a block and in a key range, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Bits of an n-gram's key for n > 1; words have 64.
 PAIR_BITS = 56
 BUCKETS = 24
@@ -281,6 +281,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
 
     asked = dealt.groupBy("block").applyInArrow(_asker(order, parts), _REQUEST_DDL)
     answers = cut(asked.groupBy("n", "part").applyInArrow(_answer, _ANSWER_DDL))
+    del asked
+    release_shuffles(docs.sparkSession)
     types, fit_total, total = (float(x or 0) for x in answers.agg(F.sum("types"), F.sum("fit_tokens"), F.sum("tokens")).first())
 
     def answered(of: DataFrame, rows: DataFrame, run, ddl: str) -> DataFrame:
