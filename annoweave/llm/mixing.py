@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import text_of
+from annoweave.llm.base import cut, text_of
 
 SEED = 2024
 #: Without explicit weights a source gets a share in proportion to size ** ALPHA.
@@ -49,7 +49,8 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, a
     without characters keeps rate 1. With explicit weights (any positive scale), a
     source that isn't named gets weight 0.
     """
-    sizes = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.length(text_of())).cast("double").alias("size"))
+    # a row a source, stored: everything below reads these and not the texts again
+    sizes = cut(docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.length(text_of())).cast("double").alias("size")))
     if weights is None:
         want = F.pow("size", F.lit(alpha))
     else:
