@@ -102,8 +102,10 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     """(vec_id, v) of the rows that take part: an id, a vector, finite components, not all zero."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # float vectors stay float until a tile turns them into doubles: half the shuffle
+    kept = v if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     return vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(
-        F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")
+        F.col(id_col).cast("long").alias("vec_id"), kept.alias("v")
     )
 
 
