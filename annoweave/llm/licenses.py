@@ -7,6 +7,10 @@ only; the known digests are a few rows, broadcast from this module.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +134,38 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <https://unlicense.org>"""),
 ]
 
+# Postal addresses by which the GNU licences of different years name their publisher.
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301\s+USA")
+_ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+#: Where a licence's terms end and advice on applying it begins; the line itself stays or goes.
+_END = re.compile(r"\n[ \t]*END OF TERMS AND CONDITIONS[ \t]*(?=\n)|\n(?=Exhibit A - Source Code Form|ADDENDUM: How to use)")
+#: Where a text begins if its title is left out.
+_STARTS = {"Apache-2.0": r"TERMS AND CONDITIONS FOR USE|1\. Definitions", "CC0-1.0": r"CC0 1\.0 Universal|Statement of Purpose", "MPL-1.1": r"1\. Definitions", "MPL-2.0": r"1\. Definitions", "Artistic-1.0-Perl": "Preamble|The intent of this"}
+_GNU_STARTS = r"(?<=\n)[ \t]*Everyone is permitted|(?<=\n)[ \t]*(?:0\. )?P(?:reamble|REAMBLE)\n|(?<=\n)  This version of the GNU Lesser"
+
+
+def full_text_variants(license_id: str, text: str) -> list[str]:
+    """A whole licence as it is found: with and without title, advice at its end, in http or https, by each address."""
+    out = [text]
+    if _ADDRESS.search(text):
+        # lines by which the header alone, or header and advice, carry each address, or none
+        out += [_ADDRESS.sub(a, text) for a in _ADDRESSES] + [_ADDRESS.sub("<https://fsf.org/>", text, count=1), _ADDRESS.sub("", text, count=1)]
+    out += [t.replace("https://", "http://") for t in out] + [t.replace("http://", "https://") for t in out]
+    for t in list(dict.fromkeys(out)):
+        if end := _END.search(t):
+            out += [t[: end.end()], t[: end.start()]]
+    for t in list(dict.fromkeys(out)):
+        out += [t[m.start() :] for m in re.finditer(_STARTS.get(license_id, _GNU_STARTS), t[:4000])]
+    return list(dict.fromkeys(out))
+
+
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the whole licences in license_texts, in all their variants."""
+    files = sorted((f for f in resources.files("annoweave.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(i, v) for f in files for i in [f.name.removesuffix(".txt")] for v in full_text_variants(i, f.read_text("utf-8"))]
+
+
 #: Lines that name a holder, not terms: copyright with a sign, year or name slot, or all rights reserved.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;]*(copyright[ \t:]+(\(c\)|©|[0-9]|by |<|\[)|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 #: Every mark, and white space, becomes one space.
@@ -149,7 +185,7 @@ def canonical(text: Column) -> Column:
 
 def known_digests(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(known_digest, license_id): one row for each known canonical form."""
-    rows = docs.sparkSession.createDataFrame(KNOWN_TEXTS if known is None else known, "license_id string, t string")
+    rows = docs.sparkSession.createDataFrame([*KNOWN_TEXTS, *full_texts()] if known is None else known, "license_id string, t string")
     form = canonical(F.col("t"))
     return rows.select(F.sha2(form, 256).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 

@@ -41,3 +41,24 @@ def test_empty_table_and_no_python(spark):
     out = X.scan_licenses(docs)
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_licences_titled_and_untitled(spark):
+    whole = {}
+    for i, t in X.full_texts():
+        whole.setdefault(i, t)  # the first variant is the text itself
+    apache, gpl2 = whole["Apache-2.0"], whole["GPL-2.0"]
+    texts = [
+        *whole.values(),
+        apache[apache.index("1. Definitions.") :],
+        apache[: apache.index("END OF TERMS")].replace("http:", "https:"),
+        apache.replace("[yyyy] [name of copyright owner]", "2020 Jane Doe"),
+        gpl2.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"),
+        gpl2[gpl2.index("Preamble") :],
+        whole["GPL-3.0"].replace("https:", "http:"),
+        apache + " One more term.",
+    ]
+    found = scan(spark, texts)
+    want = [*whole, "Apache-2.0", "Apache-2.0", "Apache-2.0", "GPL-2.0", "GPL-2.0", "GPL-3.0", None]
+    assert [found[i] for i in range(len(texts))] == want
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Artistic-1.0-Perl"} <= set(whole)
