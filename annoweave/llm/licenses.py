@@ -166,8 +166,19 @@ def full_texts() -> list[tuple[str, str]]:
     return [(i, v) for f in files for i in [f.name.removesuffix(".txt")] for v in full_text_variants(i, f.read_text("utf-8"))]
 
 
-#: Lines that name a holder, not terms: copyright with a sign, year or name slot, or all rights reserved.
+#: The oracle's lines that name a holder, not terms: copyright with a sign, year or name slot, or all rights reserved.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;]*(copyright[ \t:]+(\(c\)|©|[0-9]|by |<|\[)|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: What follows "copyright" or "(c)" where a line starts with terms, not with a holder.
+_TERMS = (
+    "and|are|disclaimers?|doctrines|holders?|if|infringements?|interests?|is|laws?|licen[sc]e[ds]?|notices?|of|on|or|owners?|ownership|permissions?"
+    "|protection|resulting|rights|statements?|treaty|treaties|the(?:[ ](?:software|library|program)[ ]*,|(?=[ ]*\n))"
+)
+_ITEM_TERMS = "representations|the[ ]licenses|under|you"
+#: Lines dropped from a text: those of a holder, told by a sign, a year, a name slot or a name.
+HOLDER_LINE = (
+    rf"(^|\n)[ \t*#/;]*(copyright[ \t:]+(\(c\)|©|[0-9]|by |[<\[{{]|(?!(?:{_TERMS})(?![\p{{L}}\p{{N}}]))\p{{L}})"
+    rf"|\(c\)[ \t]+(?!(?:{_ITEM_TERMS})(?![\p{{L}}\p{{N}}]))|©|all rights reserved)[^\n]*"
+)
 #: Every mark, and white space, becomes one space.
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
@@ -176,7 +187,7 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text: words in lower case with one space between."""
     lines = F.regexp_replace(F.lower(text), "\r\n?", "\n")
     # each copyright line leaves its line break, so that the next line's start is still seen
-    words = F.regexp_replace(F.regexp_replace(lines, COPYRIGHT_LINE, "\n"), SEPARATORS, " ")
+    words = F.regexp_replace(F.regexp_replace(lines, HOLDER_LINE, "\n"), SEPARATORS, " ")
     spaced = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     for british, american in EQUIVALENT_WORDS.items():
         spaced = F.replace(spaced, F.lit(f" {british} "), F.lit(f" {american} "))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from annoweave.llm import licenses as X
 
 DDL = "doc_id long, text string, license_id string"
@@ -62,3 +64,28 @@ def test_whole_licences_titled_and_untitled(spark):
     want = [*whole, "Apache-2.0", "Apache-2.0", "Apache-2.0", "GPL-2.0", "GPL-2.0", "GPL-3.0", None]
     assert [found[i] for i in range(len(texts))] == want
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Artistic-1.0-Perl"} <= set(whole)
+
+
+def test_lines_that_start_with_the_holder(spark):
+    short = dict(X.KNOWN_TEXTS[::-1])
+    lines = [
+        "Copyright Joyent, Inc. and other Node contributors.", "Copyright The X Authors", "Copyright Jane Doe 2020", "COPYRIGHT: Müller GmbH, 2019", "# Copyright Örn",
+        "Copyright {yyyy} {name of copyright owner}", "Copyright Ondrej X\nCopyright (c) 2001 Y\nAll rights reserved.",
+    ]
+    found = scan(spark, [f"{x}\n\n{short[k]}" for x in lines for k in ("MIT", "ISC", "BSD-3-Clause")])
+    assert [found[i] for i in range(len(found))] == ["MIT", "ISC", "BSD-3-Clause"] * len(lines)
+
+
+def test_terms_at_a_line_start_stay_however_a_text_is_wrapped(spark):
+    # a break before each "copyright" and list mark, none before a holder
+    texts = []
+    for i, t in [*X.KNOWN_TEXTS, *{i: t for i, t in X.full_texts()[::-1]}.items()]:
+        plain = "\n".join(x for x in t.split("\n") if not re.match(r"(?i)\W*copyright\s+(\(c\)|\[)", x))
+        texts += [(i, plain), (i, re.sub(r"(?i)(?<!copyright)\s+(copyright\s(?!\s*\(c\))|\(c\)\s)", r"\n\1", plain))]
+    docs = spark.createDataFrame([(n, t, i) for n, (i, t) in enumerate(texts)], DDL)
+    forms = {r.doc_id: r.c for r in docs.select("doc_id", X.canonical(docs.text).alias("c")).collect()}
+    assert [texts[n][0] for n in range(0, len(texts), 2) if forms[n] != forms[n + 1]] == []
+    mpl = next(t for i, t in X.full_texts() if i == "MPL-2.0")
+    assert scan(spark, [" ".join(mpl.split())]) == {0: "MPL-2.0"}
+    changed = mpl.replace("under Patent Claims infringed by Covered Software", "under no Patent Claims at all")
+    assert changed != mpl and scan(spark, [changed]) == {0: None}
