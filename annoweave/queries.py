@@ -553,7 +553,7 @@ def split_class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded_units(spark, sf_dir)
-    return sp.search_splits(sp.transcript_table(coded), sp.label_counts(coded), iterations=2000)
+    return sp.search_splits(sp.transcript_table(coded), sp.label_counts(coded))
 
 
 # -- model runs --------------------------------------------------------------

@@ -8,6 +8,7 @@ import pytest
 from annoweave.operators import agreement as ag
 from annoweave.operators import ages, linking, ordering
 from annoweave.operators import splits as sp
+from annoweave.schemas import SPLIT_ITERATIONS
 from pyspark.sql import functions as F
 
 
@@ -192,3 +193,15 @@ def test_penalties():
     both = 2 * (sp.W_BOTH + sp.W_ONE) * 0.25
     assert goal.score(np.array([0, 1])) == pytest.approx(both + sp.NO_OVERLAP + sp.NO_AGES)
     assert goal.score(np.array([0, 0])) == float("inf")
+
+
+def test_registered_search_runs_all_trials(monkeypatch):
+    from annoweave import queries
+
+    asked = {}
+    monkeypatch.setattr(queries, "coded_units", lambda *a: None)
+    monkeypatch.setattr(sp, "transcript_table", lambda *a: None)
+    monkeypatch.setattr(sp, "label_counts", lambda *a: None)
+    monkeypatch.setattr(sp, "search_splits", lambda *a, iterations=SPLIT_ITERATIONS, **k: asked.update(n=iterations))
+    queries.split_search(None, "")
+    assert asked == {"n": 20_000}
