@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,6 @@ from annoweave.schemas import NEITHER_SPLIT, SPLIT_ITERATIONS, SPLIT_SEED, SPLIT
 # Weights of the objective's terms and its penalties.
 W_SHARE, W_BOTH, W_ONE, W_AGREE, W_KAPPA, W_AGE, W_HIST = 35.0, 18.0, 18.0, 16.0, 10.0, 0.035, 8.0
 NO_OVERLAP, NO_AGES = 5.0, 10.0
-#: More transcripts than this are searched in bundles of whole transcripts.
-MAX_UNITS = 50_000
 
 
 def transcript_table(records: DataFrame, unit: str = "transcript_id", first: str = "coded_by_1", second: str = "coded_by_2", left: str = "bloom_1", right: str = "bloom_2", age: str = "child_age_months") -> DataFrame:
@@ -88,29 +88,45 @@ def split_objective(table: DataFrame, pairs: DataFrame, assignment: DataFrame, t
 
 
 class Objective:
-    """The objective for many assignments of one transcript table: all sums are matrix products."""
+    """The objective for many assignments of one transcript table.
 
-    def __init__(self, table: pd.DataFrame, pairs: pd.DataFrame, targets: dict[str, float], unit: str = "transcript_id") -> None:
+    A transcript keeps a few numbers and those label pairs that it has, so a trial reads
+    every transcript however many there are.
+    """
+
+    def __init__(self, table: pd.DataFrame | pa.Table, pairs: pd.DataFrame | pa.Table, targets: dict[str, float], unit: str = "transcript_id") -> None:
+        table, pairs = (x if isinstance(x, pa.Table) else pa.Table.from_pandas(x, preserve_index=False) for x in (table, pairs))
+        plain = lambda t, c: t[c].to_numpy().astype(float)
         self.targets = np.array(list(targets.values()))
-        ages = table["age_months"].to_numpy(float)
+        ages = plain(table, "age_months")
         known = ~np.isnan(ages)
         if not known.any():
             raise ValueError("no transcript has an age")
-        n = table["n_rows"].to_numpy(float)
+        n = plain(table, "n_rows")
         edges = np.array(bin_edges(ages[known].min(), ages[known].max()))
-        at = np.clip(np.searchsorted(edges, ages[known], "right") - 1, 0, len(edges) - 2)
-        hist = np.zeros((len(table), len(edges) - 1))
-        hist[np.nonzero(known)[0], at] = n[known]
-        labels = sorted(set(pairs["l"]) | set(pairs["r"]))
-        k, col = len(labels), {x: i for i, x in enumerate(labels)}
-        row = {u: i for i, u in enumerate(table[unit])}
-        counts = np.zeros((len(table), k * k))
-        for u, left, right, c in zip(pairs[unit], pairs["l"], pairs["r"], pairs["n"], strict=True):
-            counts[row[u], col[left] * k + col[right]] += c
+        self.bins = len(edges) - 1
+        # rows without an age fall into a bin of their own
+        self.bin = np.where(known, np.clip(np.searchsorted(edges, ages, "right") - 1, 0, self.bins - 1), self.bins).astype(np.int8)
+        left, right = (pairs[c].to_pandas() for c in ("l", "r"))
+        labels = pd.Index(sorted(set(left.unique()) | set(right.unique())))
+        self.k = len(labels)
+        self.cell = (labels.get_indexer(left) * self.k + labels.get_indexer(right)).astype(np.int32)
+        units = table[unit].combine_chunks()
+        at = pc.index_in(pairs[unit].cast(units.type), value_set=units)
+        if at.null_count:
+            raise KeyError("label pairs of a transcript that is not in the table")
+        self.owner, self.pairs = at.to_numpy().astype(np.int32), plain(pairs, "n")
         zero = np.where(known, n, 0)
-        self.k, self.bins = k, len(edges) - 1
-        self.data = np.column_stack([n, table["both_coders"], table["one_coder"], zero, zero * np.where(known, ages, 0), hist, counts])
-        self.whole = self._figures(self.data.sum(0)[None])
+        self.sums = [n, plain(table, "both_coders"), plain(table, "one_coder"), zero, zero * np.where(known, ages, 0)]
+        self.whole = self._figures(self._sums(np.zeros(len(n), np.int64), 1))
+
+    def _sums(self, split: np.ndarray, splits: int) -> np.ndarray:
+        """One row a split: sums, weighted age histogram, label pairs."""
+        bins, cells = self.bins + 1, self.k * self.k
+        plain = [np.bincount(split, x, splits)[:, None] for x in self.sums]
+        hist = np.bincount(split * bins + self.bin, self.sums[0], splits * bins).reshape(splits, bins)[:, :-1]
+        counts = np.bincount(split[self.owner] * cells + self.cell, self.pairs, splits * cells).reshape(splits, cells)
+        return np.hstack([*plain, hist, counts])
 
     def _figures(self, sums: np.ndarray) -> dict[str, np.ndarray]:
         n, both, one, aged, months = sums[:, :5].T
@@ -124,9 +140,7 @@ class Objective:
 
     def score(self, split: np.ndarray) -> float:
         """split holds the number of each row's target."""
-        s = np.zeros((len(self.targets), self.data.shape[1]))
-        np.add.at(s, split, self.data)
-        f, g = self._figures(s), {k: v[0] for k, v in self.whole.items()}
+        f, g = self._figures(self._sums(np.asarray(split, np.int64), len(self.targets))), {k: v[0] for k, v in self.whole.items()}
         if (f["n"] == 0).any():
             return float("inf")
         out = W_SHARE * (f["n"] / g["n"] - self.targets) ** 2 + W_BOTH * (f["both"] - g["both"]) ** 2 + W_ONE * (f["one"] - g["one"]) ** 2
@@ -155,32 +169,22 @@ def greedy_assignment(rows: list[int], goals: list[float], rng: random.Random) -
     return out
 
 
-def search_splits(table: DataFrame, pairs: DataFrame, targets: dict[str, float] | None = None, iterations: int = SPLIT_ITERATIONS, seed: int = SPLIT_SEED, sequential: bool = False, unit: str = "transcript_id", max_units: int = MAX_UNITS) -> DataFrame:
+def search_splits(table: DataFrame, pairs: DataFrame, targets: dict[str, float] | None = None, iterations: int = SPLIT_ITERATIONS, seed: int = SPLIT_SEED, sequential: bool = False, unit: str = "transcript_id", max_units: int | None = None) -> DataFrame:
     """(unit, split, score, iteration) of the best of many random greedy assignments.
 
     Trials run in parallel, each seeded by its number; `sequential` draws all trials
     from one generator in one task, with transcripts in the table's order of unit. The
-    first of equal scores wins. Above max_units, whole transcripts are bundled by hash
-    and the bundles are assigned, so what each trial reads stays bounded.
+    first of equal scores wins. Every transcript is assigned by itself at any size;
+    max_units, above which they used to be bundled, has no effect.
     """
     targets = targets or SPLIT_TARGETS
-    spark, bundle = table.sparkSession, None
-    if (n := table.count()) > max_units:
-        bundle = F.concat(F.lit("bundle-"), F.pmod(F.xxhash64(unit), F.lit(max_units)).cast("string"))
-        names = table.select(unit, bundle.alias("__unit"))
-        sums = table.withColumn("__unit", bundle).groupBy("__unit").agg(
-            *[F.sum(c).alias(c) for c in ("n_rows", "both_coders", "one_coder", "n_overlap_bloom", "n_bloom_agree")],
-            weighted_mean(F.col("age_months"), F.col("n_rows")).alias("age_months"),
-        )
-        pairs = pairs.join(names, unit).groupBy(F.col("__unit").alias(unit), "l", "r").agg(F.sum("n").alias("n"))
-        small = sums.withColumnRenamed("__unit", unit)
-    else:
-        small, names = table, None
-    if n == 0:
+    spark = table.sparkSession
+    # one row a transcript, as columns: some tens of bytes each
+    frame = table.select(unit, "n_rows", "age_months", "both_coders", "one_coder").orderBy(unit).toArrow()
+    if not frame.num_rows:
         raise ValueError("no transcripts to split")
-    frame = small.orderBy(unit).toPandas()  # at most max_units rows
-    goal = Objective(frame, pairs.toPandas(), targets, unit)
-    rows = [int(x) for x in frame["n_rows"]]
+    goal = Objective(frame, pairs.select(unit, "l", "r", "n").toArrow(), targets, unit)
+    rows = frame["n_rows"].to_pylist()
     goals = [sum(rows) * t for t in targets.values()]
     shared = spark.sparkContext.broadcast((goal, rows, goals))
 
@@ -203,10 +207,8 @@ def search_splits(table: DataFrame, pairs: DataFrame, targets: dict[str, float]
     if best is None or best["score"] == float("inf"):
         raise ValueError("no assignment fills every split")
     list_of = list(targets)
-    frame = pd.DataFrame({unit: frame[unit], "split": [list_of[i] for i in best["split"]]})
-    out = spark.createDataFrame(frame)
-    if names is not None:
-        out = names.join(out.withColumnRenamed(unit, "__unit"), "__unit").drop("__unit")
+    names = pa.array(list_of).take(pa.array(best["split"], pa.int32()))
+    out = spark.createDataFrame(pa.table({unit: frame[unit], "split": names}))
     return out.withColumn("score", F.lit(best["score"])).withColumn("iteration", F.lit(best["iteration"]))
 
 
