@@ -10,8 +10,9 @@ counts. A logistic curve over these gives the score; it is fitted on ratios from
 left the row's own part of the sample out.
 
 The models are fitted on a bounded sample of labelled rows (MAX_DOCS a class and
-MAX_BYTES in all, chosen by hash), so what is broadcast is bounded too. Scoring
-reads every whole text.
+MAX_BYTES in all, chosen by hash), so what is broadcast is bounded too. In the curve's
+fit the sample's rows weigh by their class's share among all labelled rows, so the
+bounds don't change what a score means. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -141,23 +142,31 @@ def features(ids: np.ndarray, model: dict) -> list[float]:
     return [float(cum[-1] / n), *(float(best[:k].mean()) for k in BEST), *(float((cum[min(w, n) :] - cum[: n + 1 - min(w, n)]).max() / w) for w in WINDOWS)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with bias first) by Newton steps on a ridge-penalised likelihood."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, share: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights with bias first) by Newton steps on a ridge-penalised likelihood.
+
+    With share, rows weigh as if that part of them were positive.
+    """
+    rate = y.mean()
+    vote = np.ones(len(y)) if share is None or not 0 < rate < 1 else np.where(y > 0, share / rate, (1 - share) / (1 - rate))
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     w, pen = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
     pen[0, 0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + pen, z.T @ (y - p) - pen @ w)
+        step = np.linalg.solve(z.T @ (z * (vote * p * (1 - p))[:, None]) + pen, z.T @ (vote * (y - p)) - pen @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return mean, scale, w
 
 
-def fit_model(texts: list[str], toxic: list[bool], hashes: list[int]) -> dict:
-    """Ratios from all rows; the curve from ratios in which a row's own part was left out."""
+def fit_model(texts: list[str], toxic: list[bool], hashes: list[int], share: float | None = None) -> dict:
+    """Ratios from all rows; the curve from ratios in which a row's own part was left out.
+
+    share is the part of toxic rows among all that the sample stands for.
+    """
     if len(set(toxic)) < 2:
         return {"const": float(toxic[0]) if toxic else 0.0}
     index: dict[bytes, int] = {}
@@ -174,7 +183,7 @@ def fit_model(texts: list[str], toxic: list[bool], hashes: list[int]) -> dict:
     full = fit_ratios(ws, toxic, v)
     if len(set(y)) < 2:
         x, y = [features(w, full) for w in ws], toxic
-    curve = fit_logistic(np.array(x), np.array(y, float))
+    curve = fit_logistic(np.array(x), np.array(y, float), share=share)
     # scoring needs the numbers of words that have a ratio or are part of a pair
     used = ~np.isnan(full["word"])
     used[full["keys"] >> 21] = used[full["keys"] & 0x1FFFFF] = True
@@ -192,8 +201,9 @@ def scores(texts: list[str], model: dict) -> np.ndarray:
 
 
 def learned_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(text, toxic, h) of the labelled rows to learn from: at most max_docs a class and max_bytes of text.
+    """(text, toxic, h, share) of the labelled rows to learn from: at most max_docs a class and max_bytes of text.
 
+    share is the part of toxic rows before the bounds, so that these don't move the scores.
     A document with several labels is toxic if one of them says so; null labels don't count.
     """
     spark = docs.sparkSession
@@ -201,6 +211,8 @@ def learned_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_doc
     sizes = docs.filter(F.col("doc_id").isNotNull() & (id_bucket(folds) != 1)).groupBy("doc_id").agg(F.max(F.octet_length(text_of())).alias("size"))
     there = marks.join(sizes, "doc_id").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(8)))
     chosen = [r for t in (True, False) for r in there.filter(F.col("toxic") == t).orderBy("h", "doc_id").limit(max_docs).collect()]
+    counts = {r["toxic"]: r["count"] for r in there.groupBy("toxic").count().collect()}
+    share = counts.get(True, 0) / max(1, sum(counts.values()))
     ids, size = [], 0
     for r in sorted(chosen, key=lambda r: r["h"]):
         size += r["size"]
@@ -208,15 +220,15 @@ def learned_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_doc
             break
         ids.append((r["doc_id"], r["toxic"], r["h"]))
     few = F.broadcast(spark.createDataFrame(ids, "id long, toxic boolean, h long"))
-    return docs.join(few, F.col("doc_id") == F.col("id")).dropDuplicates(["id"]).select(text_of().alias("t"), "toxic", "h")
+    return docs.join(few, F.col("doc_id") == F.col("id")).dropDuplicates(["id"]).select(text_of().alias("t"), "toxic", "h", F.lit(share).alias("share"))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> dict:
     """Fit on the bounded sample, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)), key=lambda r: (r[2], r[0]))
-        model = fit_model([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+        rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)), key=lambda r: (r[2], r[0]))
+        model = fit_model([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], rows[0][3] if rows else None)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     found = learned_rows(docs, labels, folds, max_docs, max_bytes).coalesce(1).mapInArrow(run, "model binary").collect()

@@ -68,3 +68,22 @@ def test_logistic_finds_a_boundary():
     x = np.linspace(-1, 1, 200)[:, None]
     mean, scale, w = X.fit_logistic(x, (x[:, 0] > 0).astype(float))
     assert w[1] > 0 and abs(w[0]) < 0.5
+
+
+def test_a_bound_sample_keeps_the_base_rate(spark):
+    # words tell nothing here, so a score is the share of toxic rows
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(1500)], "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1500)], "doc_id long, toxic int").cache()
+    texts = [r.text for r in docs.collect()]
+    whole, bound = (float(np.mean(X.scores(texts, X.train(docs, labels, max_docs=n)))) for n in (4000, 60))
+    assert abs(whole - 0.1) < 0.05 and abs(bound - whole) < 0.08
+
+
+def test_votes_move_the_boundary():
+    x = np.array([[0.0], [1.0]] * 50)
+    y = np.array([0.0, 1.0, 1.0, 0.0] * 25)
+    mean, scale, w = X.fit_logistic(x, y, share=0.1)
+    p = 1 / (1 + np.exp(-((x - mean) / scale @ w[1:] + w[0])))
+    assert abs(p.mean() - 0.1) < 1e-6
+    assert np.allclose(X.fit_logistic(x, y, share=0.5)[2], X.fit_logistic(x, y)[2])
