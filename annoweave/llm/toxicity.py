@@ -34,7 +34,7 @@ MAX_BYTES = 48 << 20
 WINDOWS = (2, 6, 20)
 FOLDS = 3
 THRESHOLD = 0.7
-#: A word must follow so many different words to keep a ratio.
+#: A word must follow so many different words, or stand in so many different texts, to keep a ratio.
 MIN_WORD = 2
 #: A word pair must follow so many different words to keep a probability of its own.
 MIN_PAIR = 2
@@ -111,8 +111,11 @@ def fit_ratios(texts: list[np.ndarray], toxic: list[bool], v: int) -> dict:
         rest = np.where(n > 0, np.maximum(d2 * kinds / np.maximum(n, 1), 0.05), 1.0)
         own.append(np.maximum(c - d2, 0) / np.maximum(n[head], 1) + rest[head] * w[tail])
     keep = both >= MIN_PAIR
-    # a word met once tells nothing of its class
-    ratio = np.where(pooled >= MIN_WORD, np.log10(word[1] / word[0]), np.nan).astype(np.float32)
+    # a word met in one text only tells nothing of its class; one that always follows the same word does
+    held = np.zeros(v, np.int64)
+    for ids in {t.tobytes(): t for t in texts}.values():
+        held[np.unique(ids)] += 1
+    ratio = np.where((pooled >= MIN_WORD) | (held >= MIN_WORD), np.log10(word[1] / word[0]), np.nan).astype(np.float32)
     return {"word": ratio, "keys": keys[keep], "pair": np.log10(own[1] / own[0])[keep].astype(np.float32)}
 
 
@@ -215,10 +218,10 @@ def learned_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_doc
     share = counts.get(True, 0) / max(1, sum(counts.values()))
     ids, size = [], 0
     for r in sorted(chosen, key=lambda r: r["h"]):
-        size += r["size"]
-        if size > max_bytes:
-            break
-        ids.append((r["doc_id"], r["toxic"], r["h"]))
+        # a row that doesn't fit is left out, those after it are not
+        if size + r["size"] <= max_bytes:
+            size += r["size"]
+            ids.append((r["doc_id"], r["toxic"], r["h"]))
     few = F.broadcast(spark.createDataFrame(ids, "id long, toxic boolean, h long"))
     return docs.join(few, F.col("doc_id") == F.col("id")).dropDuplicates(["id"]).select(text_of().alias("t"), "toxic", "h", F.lit(share).alias("share"))
 

@@ -87,3 +87,24 @@ def test_votes_move_the_boundary():
     p = 1 / (1 + np.exp(-((x - mean) / scale @ w[1:] + w[0])))
     assert abs(p.mean() - 0.1) < 1e-6
     assert np.allclose(X.fit_logistic(x, y, share=0.5)[2], X.fit_logistic(x, y)[2])
+
+
+def test_a_word_that_always_follows_one_word_keeps_its_ratio():
+    index = {}
+    ids = X.number_words(["you grumph a", "so you grumph b", "then you grumph c", "you a so b", "then you c"], index)
+    m = X.fit_ratios(ids, [True, True, True, False, False], len(index) + 1)
+    assert m["word"][index[b"grumph"]] > 0.1
+    alone = X.fit_ratios(X.number_words(["you grumph a"] * 3 + ["you a", "so you a"], other := {}), [True] * 3 + [False] * 2, len(other) + 1)
+    assert np.isnan(alone["word"][other[b"grumph"]])  # copies are one text
+
+
+def test_one_oversized_row_does_not_end_the_sample(spark):
+    rows = [(i, f"w{i} x") for i in range(40)]
+    h = {r.doc_id: r.h for r in spark.range(40).selectExpr("id AS doc_id", "xxhash64(id, 8) AS h").collect()}
+    first = min((i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1), key=h.get)
+    rows[first] = (first, "y" * 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = X.learned_rows(docs, labels, max_bytes=1000).collect()
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(r.t for r in got) == sorted(rows[i][1] for i in learned if i != first)
