@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from annoweave import schemas
 from annoweave.operators.ages import age_histogram
-from annoweave.operators.inference import chat_client, stub_client
+from annoweave.operators.inference import ChatClient, stub_client
 from annoweave.operators.splits import agreement_points, references_by_split, split_summary, transcript_manifest
 from annoweave.plans import charts, pipeline
 from annoweave.sources import sinks
@@ -91,7 +91,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         if not sinks.path_exists(spark, p):
             raise sinks.Refused(f"{p} doesn't exist")
     records = read_json_lines(spark, path, StructType([*schemas.TOKEN.fields, StructField("split", StringType())]), strict=False)
-    client = stub_client if a.model == "stub" else chat_client(a.url, a.model, a.temperature, a.timeout)
+    client = stub_client if a.model == "stub" else ChatClient(a.url, a.model, a.temperature, a.timeout)
     name = lambda kind: f"{a.results_dir}/" + sinks.output_name(a.split, a.model, schemas.SCHEMA_VERSION, schemas.PROMPT_VERSION, kind, a.limit)
     found = pipeline.run_model(
         records, a.split, client, read_whole_text(spark, a.prompt), name("predictions"), name("raw_responses"), a.limit, a.batch_size, a.max_retries, a.allow_lockbox, a.overwrite,

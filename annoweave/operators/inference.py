@@ -1,32 +1,34 @@
-"""Batched model coding with validation, retries and all-or-nothing results."""
+"""Batched model coding with validation, retries and all-or-nothing results.
+
+A run goes in rounds. A round asks the model once for each open batch, stores the
+replies and judges them as a table; batches whose reply breaks the contract go into the
+next round together with the fault. Only the asking is Python.
+"""
 
 from __future__ import annotations
 
 import json
-import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annoweave.functions.text import json_text
 from annoweave.operators.ordering import batch_number, dense_number
-from annoweave.operators.validation import Invalid, check_response, parse_response
-from annoweave.schemas import FLAGS, LABELS, PREDICTION_KEYS, PROMPT_FIELDS, SCHEMA_VERSION
+from annoweave.operators.validation import NOT_JSON, with_verdict
+from annoweave.schemas import FLAGS, LABELS, PROMPT_FIELDS, SCHEMA_VERSION
 from annoweave.session import cut
 
 #: (system prompt, user message) -> the model's reply text
 Client = Callable[[str, str], str]
 
-# What the model is asked.
-ASK = "Code the following batch. Return only the JSON output object."
-ASK_AGAIN = (
-    "Your previous response failed local validation. Return the full corrected JSON object for the same batch. "
-    "Validation error: "
-)
+TASK = "Here are the records of one batch. Answer with one JSON object in the agreed form and nothing else."
+AGAIN = "The last answer for this batch broke the agreed form. Answer once more for all of its records. What was wrong:"
 
 RESULT_DDL = "batch_number long, record_ids array<string>, status string, attempts int, error string, response string, predictions string"
+_NAMES = [c.split()[0] for c in RESULT_DDL.split(", ")]
 
 
 def prompt_records(records: DataFrame) -> DataFrame:
@@ -35,28 +37,40 @@ def prompt_records(records: DataFrame) -> DataFrame:
     return records.select(*[F.col(f) if f in there else F.lit(None).cast("string").alias(f) for f in PROMPT_FIELDS])
 
 
-def user_message(records: list[dict], feedback: str | None = None) -> str:
-    parts = [ASK, json.dumps(records, ensure_ascii=False, indent=2)]
-    return "\n\n".join(parts if feedback is None else [*parts, ASK_AGAIN + feedback])
+def user_message(records: list[dict], fault: str | None = None) -> str:
+    shown = f"{TASK}\n\n{json.dumps(records, ensure_ascii=False, indent=2)}"
+    return shown if fault is None else f"{shown}\n\n{AGAIN} {fault}"
 
 
-def chat_client(url: str, model: str, temperature: float = 0.0, timeout: int = 300) -> Client:
-    """A client of a chat endpoint that takes and returns JSON messages. All its failures are RuntimeErrors."""
+class ChatClient:
+    """A client of a chat endpoint with JSON messages; whatever goes wrong on the way is a RuntimeError."""
 
-    def ask(system: str, user: str) -> str:
-        body = {"model": model, "stream": False, "format": "json", "options": {"temperature": temperature},
-                "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
-        request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}, method="POST")
-        try:
-            with urllib.request.urlopen(request, timeout=timeout) as reply:
-                content = (json.loads(reply.read()).get("message") or {}).get("content")
-        except (urllib.error.URLError, TimeoutError, OSError, ValueError) as e:
-            raise RuntimeError(f"no reply from {url}: {e}") from e
-        if not content:
-            raise RuntimeError("the reply has no content")
-        return content
+    def __init__(self, url: str, model: str, temperature: float = 0.0, timeout: int = 300) -> None:
+        self.url, self.timeout = url, timeout
+        # The endpoint's settings.
+        self.settings = {"model": model, "stream": False, "format": "json", "options": {"temperature": temperature}}
+
+    def body(self, system: str, user: str) -> bytes:
+        turns = [{"role": who, "content": what} for who, what in (("system", system), ("user", user))]
+        return json.dumps(self.settings | {"messages": turns}).encode()
 
-    return ask
+    @staticmethod
+    def content(raw: bytes) -> str:
+        """The model's text in the endpoint's answer."""
+        answer = json.loads(raw)
+        said = answer.get("message") if isinstance(answer, dict) else None
+        text = said.get("content") if isinstance(said, dict) else None
+        if not isinstance(text, str) or not text:
+            raise RuntimeError("the endpoint's answer holds no text of the model")
+        return text
+
+    def __call__(self, system: str, user: str) -> str:
+        post = urllib.request.Request(self.url, self.body(system, user), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(post, timeout=self.timeout) as http:
+                return self.content(http.read())
+        except (OSError, ValueError) as e:  # unreachable, cut off, or not JSON
+            raise RuntimeError(f"{self.url} gave no answer: {e}") from e
 
 
 def stub_client(system: str, user: str) -> str:
@@ -66,41 +80,68 @@ def stub_client(system: str, user: str) -> str:
     return json.dumps({"schema_version": SCHEMA_VERSION, "predictions": rows})
 
 
-def attempt(records: list[dict], client: Client, prompt: str, max_retries: int) -> tuple[str, int, str | None, str | None, list[dict] | None]:
-    """(status, attempts, error, response, predictions): faults are told to the model and asked again."""
-    feedback = response = None
-    for n in range(1, max_retries + 2):
-        try:
-            response = client(prompt, user_message(records, feedback))
-            payload = parse_response(response)
-        except (RuntimeError, Invalid) as e:  # no reply or no JSON: asking again isn't agreed
-            return "unreachable" if isinstance(e, RuntimeError) else "not_json", n, str(e), response, None
+def prompt_batches(records: DataFrame, batch_size: int, order: str = "number") -> DataFrame:
+    """(batch_number, record_ids, records): each batch's ids and its prompt records as JSON texts, in order."""
+    batches = dense_number(records, order, "__n").withColumn("batch_number", batch_number(F.col("__n"), batch_size))
+    shown = prompt_records(batches)
+    record = json_text(F.struct(*[F.col(c) if c in batches.columns else F.lit(None).cast("string").alias(c) for c in shown.columns]))
+    rows = F.array_sort(F.collect_list(F.struct("__n", F.col("record_id").alias("id"), record.alias("record"))))  # batch_size rows
+    return batches.groupBy("batch_number").agg(rows.alias("rows")).select("batch_number", F.col("rows.id").alias("record_ids"), F.col("rows.record").alias("records"))
+
+
+def ask(open_batches: DataFrame, client: Client, prompt: str) -> DataFrame:
+    """Add the model's response to each batch, or the error with which it could not be reached; stored at once.
+
+    `fault` is what was wrong with the batch's last response, or null.
+    """
+
+    def one(records: list[str], fault: str | None) -> tuple[str | None, str | None]:
+        rows = [{f: r.get(f) for f in PROMPT_FIELDS} for r in map(json.loads, records)]
         try:
-            return "ok", n, None, response, check_response(payload, [r["record_id"] for r in records])
-        except Invalid as e:
-            feedback = str(e)
-    return "invalid", max_retries + 1, feedback, response, None
+            return client(prompt, user_message(rows, fault)), None
+        except RuntimeError as e:
+            return None, str(e)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = [one(list(r), x) for r, x in zip(f["records"], f["fault"], strict=True)]
+            yield f.assign(response=[s[0] for s in said], error=[s[1] for s in said])
+
+    return cut(open_batches.mapInPandas(run, "batch_number long, record_ids array<string>, records array<string>, fault string, response string, error string"))
 
 
 def code_batches(records: DataFrame, client: Client, prompt: str = "", batch_size: int = 5, max_retries: int = 2, order: str = "number") -> DataFrame:
     """One row a batch with the model's reply and its fate.
 
-    `order` is an integer column. Results are stored before they are returned, so a
-    lost executor later doesn't ask the model again; run without speculation.
+    status is ok, unreachable, not_json or invalid. Only a reply that breaks the contract
+    is asked for again, max_retries times, with its fault. `order` is an integer column.
+    Replies are stored before they are judged, so a lost executor later doesn't ask the
+    model again; run without speculation.
     """
     if batch_size < 1 or max_retries < 0:
         raise ValueError("batch_size must be positive and max_retries not negative")
-    numbered = dense_number(records, order, "__n")
-    batches = numbered.withColumn("batch_number", batch_number(F.col("__n"), batch_size))
-    shown = batches.select("batch_number", "__n", F.to_json(F.struct(*[F.col(c) for c in prompt_records(batches).columns if c in batches.columns]), {"ignoreNullFields": "false"}).alias("record"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{f: r.get(f) for f in PROMPT_FIELDS} for r in map(json.loads, pdf.sort_values("__n")["record"])]
-        status, n, error, response, found = attempt(rows, client, prompt, max_retries)
-        kept = None if found is None else json.dumps([{k: p[k] for k in PREDICTION_KEYS} for p in found], ensure_ascii=False)
-        return pd.DataFrame([[int(pdf["batch_number"].iloc[0]), [r["record_id"] for r in rows], status, n, error, response, kept]], columns=[c.split()[0] for c in RESULT_DDL.split(", ")])
-
-    return cut(shown.groupBy("batch_number").applyInPandas(run, RESULT_DDL))
+    waiting = prompt_batches(records, batch_size, order).withColumn("fault", F.lit(None).cast("string"))
+    done: list[DataFrame] = []
+    for n in range(1, max_retries + 2):
+        judged = with_verdict(ask(waiting, client, prompt), "response", "record_ids")
+        status = F.when(F.col("error").isNotNull(), "unreachable").when(F.col("v.code").isNull(), "ok").when(F.col("v.code") == NOT_JSON, "not_json").otherwise("invalid")
+        found = json_text(F.transform("v.predictions", lambda p: p.dropFields("pos")))
+        judged = cut(
+            judged.withColumn("status", status).select(
+                "batch_number", "record_ids", "status", F.lit(n).alias("attempts"), F.coalesce("error", "v.message").alias("error"), "response",
+                F.when(F.col("status") == "ok", found).alias("predictions"), "records",
+            )
+        )
+        again = F.col("status") == "invalid"
+        if n > max_retries or judged.filter(again).isEmpty():
+            done.append(judged)
+            break
+        done.append(judged.filter(~again))
+        waiting = judged.filter(again).select("batch_number", "record_ids", "records", F.col("error").alias("fault"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(*_NAMES)
 
 
 def predictions_of(results: DataFrame) -> DataFrame:

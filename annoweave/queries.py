@@ -19,7 +19,7 @@ from annoweave.operators.ages import age_histogram, child_ages, weighted_mean
 from annoweave.operators.inference import code_batches, predictions_of, prompt_records, run_summary, stub_client
 from annoweave.operators.linking import alignment_mismatch, duplicates, line_lookup, missing_from, with_reference
 from annoweave.operators.ordering import batch_number, context_missing, context_windows, dense_number, head, record_id, top_counts
-from annoweave.operators.validation import extracted_json, policy_violations, validated
+from annoweave.operators.validation import extracted_json, policy_violations, with_verdict
 from annoweave.schemas import FLAGS, NEITHER_SPLIT, PREDICTION_KEYS, SPLIT_TARGETS
 from annoweave.sources.tables import transcript_halves
 
@@ -600,8 +600,8 @@ def synthetic_response(i: Column) -> Column:
 
 @query("SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 17 = 16 THEN 'json' ELSE 'V-' || (doc_id % 17) END AS code, CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS n_predictions FROM documents")
 def validate_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    v = d.withColumn("v", validated(synthetic_response(F.col("doc_id")), F.array(record_id(F.col("doc_id")))))
+    d = table(spark, sf_dir, "documents").select("doc_id", synthetic_response(F.col("doc_id")).alias("reply"), F.array(record_id(F.col("doc_id"))).alias("ids"))
+    v = with_verdict(d, "reply", "ids")
     return v.select("doc_id", "v.code", F.coalesce(F.size("v.predictions"), F.lit(0)).alias("n_predictions"))
 
 
@@ -625,12 +625,12 @@ def policy_violation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stub_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions_of(code_batches(prompt_units(spark, sf_dir), stub_client, "Code the tokens.", batch_size=50)).withColumn("flags", json_text(F.col("flags")))
+    return predictions_of(code_batches(prompt_units(spark, sf_dir), stub_client, "Code the tokens.")).withColumn("flags", json_text(F.col("flags")))
 
 
-@query("SELECT (count(*) + 49) // 50 AS n_batches, count(*) AS n_records, (count(*) + 49) // 50 AS n_attempts, 0::BIGINT AS n_failed, 'stub' AS model FROM conversations")
+@query("SELECT (count(*) + 4) // 5 AS n_batches, count(*) AS n_records, (count(*) + 4) // 5 AS n_attempts, 0::BIGINT AS n_failed, 'stub' AS model FROM conversations")
 def stub_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_summary(code_batches(prompt_units(spark, sf_dir), stub_client, "Code the tokens.", batch_size=50), model="stub")
+    return run_summary(code_batches(prompt_units(spark, sf_dir), stub_client, "Code the tokens."), model="stub")
 
 
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
