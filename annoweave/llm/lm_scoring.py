@@ -7,11 +7,19 @@ context h, learned by expectation-maximisation on counts held out from the learn
 rows: the estimates that EM sees come from the fit part alone, the tokens it explains
 from the tune part. The scores use the counts of both parts.
 
-The corpus's n-grams never become rows. Documents are dealt into blocks by hash; a
-block asks for the counts of its distinct n-grams with one compressed key list per key
-range, the range adds up what all blocks hold and answers each list in the order in
-which it was asked. So each distinct n-gram of a block crosses the network once, in a
-few bytes, and an n-gram with very many occurrences costs no more than a rare one.
+The corpus's n-grams never become rows, and texts are never shuffled. Each task encodes
+its texts once into blocks of numbered words, which are stored. A block asks for the
+counts of its distinct n-grams with one compressed key list per key range, the range
+adds up what all blocks hold and answers each list in the order in which it was asked.
+So each distinct n-gram of a block crosses the network once, in a few bytes, and an
+n-gram with very many occurrences costs no more than a rare one.
+
+A range holds about `range_tokens` entries, so their number grows with the corpus, but
+only as long as a block's lists have MIN_LIST entries on average. So rows are at most a
+MIN_LISTth of the entries. With the sizes below that holds ranges to their size up to
+3e10 tokens; beyond, ranges grow unless block_bytes is raised with the corpus: a task's
+memory is some 15 times block_bytes or 50 bytes an entry of a range. Blocks of 64 MB and
+ranges of 8 million entries reach 100 TB.
 """
 
 from __future__ import annotations
@@ -24,17 +32,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import cut, id_bucket, mix64, release_shuffles, text_of
+from annoweave.llm.base import cut, id_bucket, mix64, text_of
 
 ORDER = 2
 FOLDS = 10
 #: The learned rows in this remainder are the tune part.
 TUNE = 9
-#: Bytes of text in a block and in a key range, about.
-BLOCK_BYTES = 10 << 20
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 6 << 20
+#: Entries (distinct n-grams of a block) in a key range, about.
+RANGE_TOKENS = 1 << 21
+#: Entries that a block's list for one range has at least, on average.
+MIN_LIST = 64
+#: Bytes of a long text that are split into words at a time.
+PIECE = 1 << 20
 #: Bits of an n-gram's key for n > 1; words have 64.
 PAIR_BITS = 56
 BUCKETS = 24
@@ -44,11 +59,22 @@ EM_ROUNDS = 60
 CELLS = 8
 
 FIT, TUNE_ROLE, EVAL = 0, 1, 2
-#: No word holds white space, so these are no words.
+#: No word holds white space, so these are no words. They have the numbers 0 and 1 in every block.
 END, START = b" end", b" start"
+_SPACE = b" \t\n\r\x0b\x0c"
 
+_BLOCK_DDL = "block long, role int, ids array<long>, words binary, sizes binary, tokens binary, n_words long, n_tokens long"
+_BLOCK = pa.schema([
+    ("block", pa.int64()), ("role", pa.int32()), ("ids", pa.list_(pa.int64())), ("words", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()),
+    ("n_words", pa.int64()), ("n_tokens", pa.int64()),
+])
 _REQUEST_DDL = "n int, part long, block long, role int, keys binary, counts binary"
-_ANSWER_DDL = "block long, n int, part long, fit binary, learned binary, types long, fit_tokens long, tokens long"
+_REQUEST = pa.schema([("n", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("role", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER_DDL = "block long, role int, n int, part long, fit binary, learned binary, types long, fit_tokens long, tokens long"
+_ANSWER = pa.schema([
+    ("block", pa.int64()), ("role", pa.int32()), ("n", pa.int32()), ("part", pa.int64()), ("fit", pa.binary()), ("learned", pa.binary()),
+    ("types", pa.int64()), ("fit_tokens", pa.int64()), ("tokens", pa.int64()),
+])
 
 
 def pack_ints(x: np.ndarray) -> bytes:
@@ -68,6 +94,64 @@ def unpack_ints(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
 
 
+def words_in(text: str) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, some at a time."""
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        while end < len(raw) and raw[end] not in _SPACE:  # never within a word
+            end += 1
+        yield raw[at:end].split()
+        at = end
+
+
+class Encoder:
+    """Gathers a block's texts as numbers of words, in order of first use."""
+
+    def __init__(self) -> None:
+        self.words: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.end, self.start = self.words[END], self.words[START]
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.parts: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        get, n = self.words.__getitem__, 1
+        for some in words_in(text):
+            self.parts.append(np.fromiter(map(get, some), np.int32, len(some)))
+            n += len(some)
+        self.parts.append(np.array([self.end], np.int32))
+        self.ids.append(doc_id)
+        self.sizes.append(n)
+        self.bytes += len(text) + 8
+
+    def row(self, block: int, role: int) -> pa.RecordBatch:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        tokens = np.concatenate(self.parts)
+        cols = [block, role, self.ids, hashes.tobytes(), pack_ints(np.array(self.sizes)), pack_ints(tokens), len(hashes), len(tokens)]
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, _BLOCK.types, strict=True)], schema=_BLOCK)
+
+
+def _encoder(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        numbers = count((context.partitionId() if context else 0) << 32)
+        held: defaultdict[int, Encoder] = defaultdict(Encoder)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for doc_id, text, role in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    held[role].add(doc_id, text)
+                    if held[role].bytes >= block_bytes:
+                        yield held.pop(role).row(next(numbers), role)
+        for role in list(held):
+            yield held.pop(role).row(next(numbers), role)
+
+    return run
+
+
 class Block:
     """The n-grams of a block's documents, n = 1..order.
 
@@ -75,31 +159,30 @@ class Block:
     them); positions run over all documents, with starts before and an end after each.
     """
 
-    def __init__(self, texts: list[str], order: int) -> None:
-        words: defaultdict[bytes, int] = defaultdict(count().__next__)
-        start, end = words[START], words[END]
-        parts, self.sizes = [], np.empty(len(texts), np.int64)
-        get = words.__getitem__
-        pad = [start] * max(1, order - 1)
-        for i, t in enumerate(texts):
-            ids = [*pad, *map(get, t.encode("utf-8", "surrogatepass").lower().split()), end]
-            parts.append(np.array(ids, np.int32))
-            self.sizes[i] = len(ids)
-        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.asked = ids != start
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        keys, at = np.unique(hashes, return_inverse=True)
-        self.grams = [(keys, at[ids].astype(np.int32))]
+    def __init__(self, words: bytes, sizes: bytes, tokens: bytes, order: int) -> None:
+        pad = max(1, order - 1)
+        plain, self.sizes = unpack_ints(tokens).astype(np.int32), unpack_ints(sizes).astype(np.int64) + pad
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.asked = np.arange(len(self.doc)) - first >= pad
+        ids = np.ones(len(self.doc), np.int32)  # starts
+        ids[self.asked] = plain
+        del first, plain
+        keys, at = np.unique(np.frombuffer(words, np.uint64), return_inverse=True)
+        self.grams = [(keys, at.astype(np.int32)[ids])]
         for n in range(2, order + 1):
             # an n-gram is its (n-1)-gram one position before and its last word
             older, word = self.grams[-1], self.grams[0]
-            before = np.concatenate((older[1][:1], older[1][:-1])).astype(np.int64)
-            codes, at = np.unique(before * len(word[0]) + word[1], return_inverse=True)
+            codes = np.empty(len(ids), np.int64)
+            codes[1:], codes[:1] = older[1][:-1], older[1][:1]
+            codes *= len(word[0])
+            codes += word[1]
+            codes, at = np.unique(codes, return_inverse=True)
             head, tail = older[0][codes // len(word[0])], word[0][codes % len(word[0])]
             h = mix64(mix64(head + np.uint64(n)) ^ (tail * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - PAIR_BITS)
+            del codes, head, tail
             keys, to = np.unique(h, return_inverse=True)
-            self.grams.append((keys, to[at].astype(np.int32)))
+            self.grams.append((keys, to.astype(np.int32)[at]))
 
     def counts(self, n: int) -> np.ndarray:
         """Occurrences of each distinct n-gram, starts included."""
@@ -114,46 +197,54 @@ def _parts(keys: np.ndarray, n: int, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
-def _asker(order: int, parts: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        block, role = key[0].as_py(), table.column("role")[0].as_py()
-        b = Block(table.column("t").to_pylist(), order)
-        rows = []
-        for n in range(1, order + 1):
-            keys, counts = b.grams[n - 1][0], b.counts(n)
-            edges = _parts(keys, n, parts)
-            for p in range(parts):
-                lo, hi = edges[p], edges[p + 1]
-                if lo < hi:
-                    gaps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                    rows.append((n, p, block, role, pack_ints(gaps), b"" if role == EVAL else pack_ints(counts[lo:hi])))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["n", "part", "block", "role", "keys", "counts"])
+def _asker(order: int, parts: list[int]):
+    """For each stored block, its key lists; parts[n - 1] is the number of key ranges of n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, role, words, sizes, tokens = (batch.column(c)[i].as_py() for c in ("block", "role", "words", "sizes", "tokens"))
+                b, rows = Block(words, sizes, tokens, order), []
+                for n in range(1, order + 1):
+                    keys, counts = b.grams[n - 1][0], b.counts(n)
+                    edges = _parts(keys, n, parts[n - 1])
+                    for p in range(parts[n - 1]):
+                        lo, hi = edges[p], edges[p + 1]
+                        if lo < hi:
+                            gaps = np.diff(keys[lo:hi], prepend=np.uint64(0))
+                            rows.append((n, p, block, role, pack_ints(gaps), b"" if role == EVAL else pack_ints(counts[lo:hi])))
+                del b
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _REQUEST.types, strict=True)], schema=_REQUEST)
 
     return run
 
 
+def _keys_of(packed: pa.Scalar) -> np.ndarray:
+    return np.cumsum(unpack_ints(packed.as_py()), dtype=np.uint64)
+
+
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
+    """The counts of one key range, told to each block that asked. The range is held, one block's list at a time."""
     n, part = key[0].as_py(), key[1].as_py()
     blocks, roles = table.column("block").to_pylist(), table.column("role").to_pylist()
-    lists = [np.cumsum(unpack_ints(k.as_py()), dtype=np.uint64) for k in table.column("keys")]
-    keys, at = np.unique(np.concatenate(lists), return_inverse=True)
-    ends = np.cumsum([len(x) for x in lists])
+    asked, counts = table.column("keys"), table.column("counts")
+    keys = np.unique(np.concatenate([_keys_of(k) for k in asked]))
     sums = [np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)]
-    for i, c in enumerate(table.column("counts")):
-        if roles[i] != EVAL:
-            sums[roles[i]][at[ends[i] - len(lists[i]) : ends[i]]] += unpack_ints(c.as_py()).astype(np.int64)
-    learned = sums[FIT] + sums[TUNE_ROLE]
+    for k, c, role in zip(asked, counts, roles, strict=True):
+        if role != EVAL:
+            sums[role][np.searchsorted(keys, _keys_of(k))] += unpack_ints(c.as_py()).astype(np.int64)
+    fit, learned = sums[FIT], sums[FIT] + sums[TUNE_ROLE]
     real = keys != np.uint64(xxhash.xxh64_intdigest(START)) if n == 1 else np.zeros(len(keys), bool)
-    stats = ((learned > 0) & real).sum(), sums[FIT][real].sum(), learned[real].sum()
+    stats = ((learned > 0) & real).sum(), fit[real].sum(), learned[real].sum()
     rows = []
-    for i, block in enumerate(blocks):
-        own = at[ends[i] - len(lists[i]) : ends[i]]
-        fit = pack_ints(sums[FIT][own]) if roles[i] == TUNE_ROLE else b""
-        rows.append((block, n, part, fit, pack_ints(learned[own]), *(int(x) if i == 0 else 0 for x in stats)))
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["block", "n", "part", "fit", "learned", "types", "fit_tokens", "tokens"]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    for i, (k, block, role) in enumerate(zip(asked, blocks, roles, strict=True)):
+        own = np.searchsorted(keys, _keys_of(k))
+        rows.append((block, role, n, part, pack_ints(fit[own]) if role == TUNE_ROLE else b"", pack_ints(learned[own]), *(int(x) if i == 0 else 0 for x in stats)))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ANSWER.types, strict=True)], schema=_ANSWER)
+
+
+def _stored(table: pa.Table, order: int) -> Block:
+    return Block(*(table.column(c)[0].as_py() for c in ("words", "sizes", "tokens")), order)
 
 
 def _answers(b: Block, table: pa.Table, name: str) -> list[np.ndarray]:
@@ -229,7 +320,7 @@ def _tune_cells(order: int, fit_total: float, types: float):
         kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * (order + 1)]
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        b = Block(docs.column("t").to_pylist(), order)
+        b = _stored(docs, order)
         comps, context, _ = _estimates(b, _answers(b, got, "fit"), fit_total, types)
         bucket, cell = bucket_of(context[:, -1]), np.zeros(len(comps), np.int64)
         for i in range(1, order + 1):
@@ -245,56 +336,61 @@ def _tune_cells(order: int, fit_total: float, types: float):
 
 def _scorer(order: int, total: float, types: float, weights: np.ndarray):
     def run(_: tuple, docs: pa.Table, got: pa.Table) -> pa.Table:
-        b = Block(docs.column("t").to_pylist(), order)
+        b = _stored(docs, order)
         comps, context, word = _estimates(b, _answers(b, got, "learned"), total, types)
         p = (comps * _weights_at(weights, context)).sum(1)
-        doc, n = b.doc[b.asked], docs.num_rows
+        ids = docs.column("ids")[0].values
+        doc, n = b.doc[b.asked], len(ids)
         base = np.log10((word + ADD) / (total + ADD * (types + 1)))
         sums = [np.bincount(doc, minlength=n), np.bincount(doc, weights=(word > 0).astype(float), minlength=n).astype(np.int64)]
         return pa.table(
-            [docs.column("doc_id"), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.bincount(doc, weights=base, minlength=n)), pa.array(np.bincount(doc, weights=np.log10(p), minlength=n))],
+            [ids, pa.array(sums[0]), pa.array(sums[1]), pa.array(np.bincount(doc, weights=base, minlength=n)), pa.array(np.bincount(doc, weights=np.log10(p), minlength=n))],
             names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
 
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def key_ranges(tokens: int, words: int, blocks: int, order: int, range_tokens: int = RANGE_TOKENS, min_list: int = MIN_LIST) -> list[int]:
+    """How many key ranges the n-grams of each n have: by their entries, as long as lists don't get too short."""
+    return [max(1, min(-(-e // range_tokens), e // max(1, blocks) // min_list)) for e in (words, *[tokens] * (order - 1))]
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS, min_list: int = MIN_LIST) -> DataFrame:
     """Score each row's whole text under a model learned from the rows whose crc32(id) mod folds is not 0.
 
     Words are lower-cased in A-Z and split at ASCII white space; a text ends with one
     end token. Null text is empty: one token. Rows with a null id are scored and never
-    learned from. If nothing can be learned, every token has the uniform share of an
-    unknown word. An empty table gives no rows; other columns are ignored.
+    learned from; repeated rows are learned and scored as often as they occur. A long
+    text is split into words a piece at a time. If nothing can be learned, every token
+    has the uniform share of an unknown word. An empty table gives no rows; other
+    columns are ignored.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     rest = id_bucket(folds, id_col)
     role = F.when(rest == 0, EVAL).when(rest == TUNE, TUNE_ROLE).otherwise(FIT)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"), role.alias("role"))
-    size = {r[0]: r[1] for r in plain.groupBy("role").agg(F.sum(F.octet_length("t"))).collect()}
-    blocks = [max(1, -(-(size.get(r) or 0) // block_bytes)) for r in (FIT, TUNE_ROLE, EVAL)]
-    parts = sum(blocks)
-    first = F.when(F.col("role") == FIT, 0).when(F.col("role") == TUNE_ROLE, blocks[0]).otherwise(blocks[0] + blocks[1])
-    many = F.when(F.col("role") == FIT, blocks[0]).when(F.col("role") == TUNE_ROLE, blocks[1]).otherwise(blocks[2])
-    dealt = plain.withColumn("block", first + F.pmod(F.xxhash64("doc_id", "t"), many.cast("long")))
-
-    asked = dealt.groupBy("block").applyInArrow(_asker(order, parts), _REQUEST_DDL)
+    # stored: a block keeps its number and its rows whatever happens to the task that made it
+    blocks = cut(plain.mapInArrow(_encoder(block_bytes), _BLOCK_DDL))
+    size = blocks.agg(F.sum("n_tokens"), F.sum("n_words"), F.count(F.lit(1))).first()
+    parts = key_ranges(size[0] or 0, size[1] or 0, size[2], order, range_tokens, min_list)
+
+    asked = blocks.select("block", "role", "words", "sizes", "tokens").mapInArrow(_asker(order, parts), _REQUEST_DDL)
     answers = cut(asked.groupBy("n", "part").applyInArrow(_answer, _ANSWER_DDL))
-    del asked
-    release_shuffles(docs.sparkSession)
     types, fit_total, total = (float(x or 0) for x in answers.agg(F.sum("types"), F.sum("fit_tokens"), F.sum("tokens")).first())
 
     def answered(of: DataFrame, rows: DataFrame, run, ddl: str) -> DataFrame:
-        return of.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, ddl)
+        return of.select("block", "ids", "words", "sizes", "tokens").groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, ddl)
 
-    tune = answered(dealt.filter(F.col("role") == TUNE_ROLE), answers.filter(F.octet_length("fit") > 0).select("block", "n", "part", "fit"), _tune_cells(order, fit_total, types), "bucket long, cell long, tokens double, " + ", ".join(f"p{i} double" for i in range(order + 1)))
+    of_tune = F.col("role") == TUNE_ROLE
+    tune = answered(blocks.filter(of_tune), answers.filter(of_tune).select("block", "n", "part", "fit"), _tune_cells(order, fit_total, types), "bucket long, cell long, tokens double, " + ", ".join(f"p{i} double" for i in range(order + 1)))
     cells = tune.groupBy("bucket", "cell").agg(F.sum("tokens"), *[F.sum(f"p{i}") for i in range(order + 1)]).collect()  # bounded by the cells
     weights = learn_weights([(r[0], r[2], [x / r[2] for x in r[3:]]) for r in cells], order)
     if not total:
         weights = np.eye(order + 1)[np.zeros(BUCKETS, int)]
 
-    scored = answered(dealt, answers.select("block", "n", "part", "learned"), _scorer(order, total, types, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = answered(blocks, answers.select("block", "n", "part", "learned"), _scorer(order, total, types, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         "doc_id", (id_bucket(folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"
     )

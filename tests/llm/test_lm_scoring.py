@@ -50,7 +50,7 @@ def test_against_brute_force(spark, rows, monkeypatch):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DDL)
     found = {}
     for size in (1 << 20, 3000):
-        got = X.lm_scores(docs, block_bytes=size).collect()
+        got = X.lm_scores(docs, block_bytes=size, range_tokens=size // 8, min_list=4).collect()
         found[size] = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got), key=repr)
     assert found[1 << 20] == brute(rows, held[0])
     assert found[3000] == found[1 << 20]
@@ -79,6 +79,43 @@ def test_trigrams_and_packing_of_integers(spark, rows):
         assert X.unpack_ints(X.pack_ints(np.array(x, np.uint64))).tolist() == x
 
 
+def test_rows_grow_with_blocks_and_not_with_their_square():
+    """Lists, a row each, for corpora of 1 to 10,000,000 blocks of the default size: in proportion, and of MIN_LIST entries at least."""
+    tokens, words = 1_000_000, 60_000
+    for blocks in (1, 10, 1000, 100_000, 10_000_000):
+        parts = X.key_ranges(tokens * blocks, words * blocks, blocks, 2)
+        assert blocks * sum(parts) <= blocks * (tokens + words) / X.MIN_LIST
+        assert blocks > 10**5 or tokens * blocks / parts[1] <= 1.01 * max(X.RANGE_TOKENS, tokens * X.MIN_LIST / 10)
+    assert X.key_ranges(0, 0, 0, 3) == [1, 1, 1]
+
+
+def test_lists_in_practice(spark, rows):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows for _ in range(3)], DDL).repartition(4)
+    plain = docs.selectExpr("doc_id", "coalesce(text, '') AS t", "0 AS role")
+    made = {}
+    for size in (40_000, 10_000):
+        blocks = plain.mapInArrow(X._encoder(size), X._BLOCK_DDL).cache()
+        n, tokens, words = blocks.count(), *blocks.selectExpr("sum(n_tokens)", "sum(n_words)").first()
+        parts = X.key_ranges(tokens, words, n, 2, range_tokens=1000, min_list=16)
+        asked = blocks.select("block", "role", "words", "sizes", "tokens").mapInArrow(X._asker(2, parts), X._REQUEST_DDL)
+        made[size] = (n, asked.count())
+        assert asked.count() <= (tokens + words) / 16
+    assert made[10_000][0] > made[40_000][0]
+
+
+def test_a_long_text_is_split_at_white_space():
+    text = ("Wort\t" * 7 + "é" * 50 + " ") * 60_000
+    parts = list(X.words_in(text))
+    assert len(parts) > 3 and [w for p in parts for w in p] == text.encode().lower().split()
+    assert [w for p in X.words_in("x" * 3_000_000) for w in p] == [b"x" * 3_000_000] and list(X.words_in("")) == []
+
+
+def test_blocks_that_are_made_anew_are_the_same(spark, rows):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, t string, role int").na.fill("")
+    a, b = (sorted(map(tuple, docs.mapInArrow(X._encoder(3000), X._BLOCK_DDL).select("block", "words", "tokens", "ids").collect())) for _ in range(2))
+    assert a == b and len({r[0] for r in a}) == len(a)
+
+
 def test_nothing_to_learn_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b", "x", 1)], DDL)
     r = X.lm_scores(docs).first()
