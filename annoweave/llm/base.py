@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,20 +32,6 @@ def row_hash(text_col: str = "text") -> Column:
     return F.xxhash64(text_of(text_col))
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that nothing refers to any more.
-
-    It does so when the driver's JVM collects garbage, which may otherwise be long after
-    a result has been cut from them. Python hands over what it has dropped within a
-    second; one collection frees the plans, the next one their shuffles.
-    """
-    gc.collect()
-    time.sleep(1.2)
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -63,14 +46,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs whose (id, text) is among kept's (id, text_hash), one row for each.
 
-    Null ids match null ids. Columns of docs come back unchanged.
+    Null ids match null ids. Columns of docs come back unchanged. The texts cross the
+    network once: the join and the choice among repeated rows share one partitioning.
     """
     names = docs.columns
-    key = kept.select(F.col(id_col).alias("__aw_id"), F.col("text_hash").alias("__aw_hash"))
-    left = docs.withColumn("__aw_rh", row_hash(text_col))
-    joined = left.join(
-        key,
-        left[id_col].eqNullSafe(F.col("__aw_id")) & (F.col("__aw_rh") == F.col("__aw_hash")),
-        "left_semi",
-    )
-    return joined.dropDuplicates([id_col, "__aw_rh"]).select(*names)
+    keys = ["__aw_id", "__aw_none", "__aw_hash"]
+
+    def keyed(df: DataFrame, name: str, of_text: Column) -> DataFrame:
+        number = F.col(name).cast("long")
+        return df.withColumns({"__aw_id": F.coalesce(number, F.lit(0).cast("long")), "__aw_none": F.col(name).isNull(), "__aw_hash": of_text})
+
+    left = keyed(docs, id_col, row_hash(text_col))
+    wanted = keyed(kept, id_col, F.col("text_hash")).select(*keys)
+    return left.join(wanted, keys, "left_semi").dropDuplicates(keys).select(*names)

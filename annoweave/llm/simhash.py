@@ -10,7 +10,11 @@ together, differing bits add up, and a pair is pruned when the budget is exceede
 or when all leaves under both are already in one component. A bucket gives its
 spanning forest only, never its pairs. k grows with the number of fingerprints, so
 that a bucket of unrelated fingerprints stays small; buckets that are still too
-large are cut again by further blocks, which loses no link.
+large are cut again by further blocks, which loses no link. What can't be cut far
+enough that way, fingerprints that agree nearly everywhere, is dealt into parts that
+meet in pairs, so no task ever holds more than LARGE_BUCKET fingerprints.
+
+The nodes of the graph are fingerprints, not ids: any 64-bit id, and none, is fine.
 """
 
 from __future__ import annotations
@@ -95,8 +99,10 @@ class Node:
 
 
 class Forest:
-    def __init__(self, ids: list[int]) -> None:
-        self.parent, self.ids = list(range(len(ids))), ids
+    """Disjoint sets of the numbers 0..n-1; a set's root is its smallest number."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
 
     def find(self, i: int) -> int:
         p = self.parent
@@ -106,21 +112,18 @@ class Forest:
         return i
 
     def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            if self.ids[j] < self.ids[i]:
-                i, j = j, i
-            self.parent[j] = i
+        i, j = sorted((self.find(i), self.find(j)))
+        self.parent[j] = i
 
 
-def trie_self_join(fps: list[int], ids: list[int], budget: int = BUDGET) -> list[tuple[int, int]]:
-    """(id, root id) for each fingerprint linked to another; fps are distinct and sorted.
+def trie_self_join(fps: list[int], budget: int = BUDGET) -> list[tuple[int, int]]:
+    """(fingerprint, root) for each one linked to a smaller one; fps are distinct, unsigned and sorted.
 
-    The root is the smallest id of the component within these fingerprints.
+    The root is the smallest fingerprint of the component within these.
     """
     if len(fps) < 2:
         return []
-    forest = Forest(ids)
+    forest = Forest(len(fps))
     find = forest.find
 
     def settled(n: Node) -> bool:
@@ -152,7 +155,7 @@ def trie_self_join(fps: list[int], ids: list[int], budget: int = BUDGET) -> list
                 pairs += ((a.zero, b), (a.one, b))
             else:
                 pairs += ((a, b.zero), (a, b.one))
-    return [(ids[i], ids[r]) for i in range(len(fps)) if (r := find(i)) != i]
+    return [(fps[i], fps[r]) for i in range(len(fps)) if (r := find(i)) != i]
 
 
 def blocks(n: int) -> list[tuple[int, int]]:
@@ -180,88 +183,107 @@ def _signed(mask: int) -> int:
 
 
 def _bucket_edges(budget: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, ids = None, [], []
-
-        def edges() -> list[tuple[int, int]]:
-            order = sorted(range(len(fps)), key=fps.__getitem__)
-            return trie_self_join([fps[i] for i in order], [ids[i] for i in order], budget)
+    """Edges within each run of rows with equal leading columns; the last column is the fingerprint, in unsigned order or not."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fps = None, []
         for b in batches:
             found: list[tuple[int, int]] = []
-            rows = zip(zip(*(b.column(i).to_pylist() for i in range(b.num_columns - 2)), strict=True), b.column("fp").to_pylist(), b.column("node").to_pylist(), strict=True)
-            for k, fp, node in rows:
+            keys = zip(*(b.column(i).to_pylist() for i in range(b.num_columns - 1)), strict=True)
+            for k, fp in zip(keys, b.column("fp").to_pylist(), strict=True):
                 if k != key:
-                    found += edges()
-                    key, fps, ids = k, [], []
+                    found += trie_self_join(sorted(fps), budget)
+                    key, fps = k, []
                 fps.append(fp & 0xFFFFFFFFFFFFFFFF)
-                ids.append(node)
             yield _edges(found)
-        yield _edges(edges())
+        yield _edges(trie_self_join(sorted(fps), budget))
 
     return run
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_EDGE)
+    return pa.RecordBatch.from_arrays([pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 1)], schema=_EDGE)
 
 
 def _deal(nodes: DataFrame, masks: list[int], path: list[str], level: int) -> DataFrame:
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks)])).alias("x")
     keys: list[Column | str] = [*path, F.col("x.t").alias(f"t{level}"), F.expr("fp & x.m").alias(f"k{level}")]
-    return nodes.select(*path, "fp", "node", table).select(*keys, "fp", "node")
+    return nodes.select(*path, "fp", table).select(*keys, "fp")
+
+
+def _in_pairs(heavy: DataFrame, sizes: DataFrame, path: list[str], large: int) -> DataFrame:
+    """Rows of buckets that are too large, dealt into parts of half the size; each pair of parts is a bucket (p, q)."""
+    parts = F.greatest(F.lit(2), F.ceil(F.col("count") / (large / 2))).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    dealt = heavy.join(sizes.select(*path, parts.alias("parts")), path).withColumn("own", own)
+    met = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    return dealt.select(*path, "own", met.alias("other"), "fp").select(*path, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
 
 
 def link_fingerprints(nodes: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, large: int = LARGE_BUCKET) -> DataFrame:
-    """Edges (a, b) that span the components of nodes(fp, node) within `budget` bits.
+    """Edges (a, b) that span the components of nodes(fp) within `budget` bits.
 
     fp is distinct. Buckets over `large` are dealt again by other blocks (k + 1, then
-    k + 2 of them), so each bucket fits in a task unless it can't be cut any more.
+    k + 2 of them); those that still are too large are dealt into parts, and each pair
+    of parts is joined by itself. So a task holds about `large` fingerprints at most.
     """
     k = blocks_needed(nodes.count(), budget, bucket)
-    dealt, path, out = _deal(nodes, table_masks(budget, k), [], 0), ["t0", "k0"], None
-    for level in (1, 2, 3):
-        heavy = dealt.groupBy(*path).count().filter(F.col("count") > large).drop("count")
-        heavy = cut(heavy) if level < 3 else None
-        if heavy is None or heavy.isEmpty():
-            light, dealt = dealt, None
-        else:
-            light = dealt.join(heavy, path, "left_anti")
-            dealt = _deal(dealt.join(heavy, path, "left_semi"), table_masks(budget, k + level), path, level)
-        part = light.repartition(*path).sortWithinPartitions(*path).select(*path, "fp", "node").mapInArrow(_bucket_edges(budget), "a long, b long")
+    dealt, path, out = _deal(nodes.select("fp"), table_masks(budget, k), [], 0), ["t0", "k0"], None
+
+    def joined(rows: DataFrame, keys: list[str]) -> None:
+        nonlocal out
+        part = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp").mapInArrow(_bucket_edges(budget), "a long, b long")
         out = part if out is None else out.unionByName(part)
-        if dealt is None:
+
+    for level in (1, 2, 3):
+        sizes = cut(dealt.groupBy(*path).count().filter(F.col("count") > large))
+        if sizes.isEmpty():
+            joined(dealt, path)
             break
-        path = [*path, f"t{level}", f"k{level}"]
+        heavy = sizes.select(*path)
+        joined(dealt.join(heavy, path, "left_anti"), path)
+        dealt = dealt.join(heavy, path, "left_semi")
+        if level == 3:
+            joined(_in_pairs(dealt, sizes, path, large), [*path, "p", "q"])
+        else:
+            dealt = _deal(dealt, table_masks(budget, k + level), path, level)
+            path = [*path, f"t{level}", f"k{level}"]
     return out
 
 
+def _grouped(docs: DataFrame, words: int, budget: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of each row; (fp, group) of each fingerprint, group being a fingerprint too."""
+    marked = cut(fingerprints(docs, words, id_col, text_col))
+    nodes = cut(marked.select("fp").distinct())
+    comps = connected_components(link_fingerprints(nodes, budget))
+    return marked, nodes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def simhash_groups(docs: DataFrame, words: int = SHINGLE, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's fingerprint and group.
 
     Texts (null: empty) are lower-cased in A-Z and split at ASCII white space; fewer
     words than a shingle make one shingle, no words make fingerprint 0, which links
-    like any other. component_id is the smallest id that can be reached over links.
+    like any other. A very long text costs memory in proportion to it and is never cut.
+    component_id is the smallest id that can be reached over links, any 64-bit number.
     A row with a null id gets the group of its fingerprint but never names it; where
-    all ids of a group are null, component_id is null. An empty table gives no rows.
+    all ids of a group are null, component_id is null. Repeated rows stay repeated; an
+    empty table gives no rows; other columns are ignored.
 
     Returns doc_id, fingerprint (16 hex digits), component_id, text_hash.
     """
-    marked = cut(fingerprints(docs, words, id_col, text_col))
-    named = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # a fingerprint without any id still links others: give it a node number above all ids
-    nodes = cut(named.select("fp", F.coalesce("least", F.shiftrightunsigned(F.xxhash64("fp"), 2).bitwiseOR(F.lit(1 << 62))).alias("node")))
-    comps = connected_components(link_fingerprints(nodes, budget))
-    labels = nodes.join(comps, "node", "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
-    return marked.join(labels, F.col("fp") == F.col("f")).select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") < (1 << 62), F.col("component_id")).alias("component_id"),
-        "text_hash",
-    )
+    marked, groups = _grouped(docs, words, budget, id_col, text_col)
+    # a partial minimum for each fingerprint, then for each group: no group is gathered
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = groups.join(least, "fp").groupBy("group").agg(F.min("least").alias("component_id"))
+    labels = groups.join(named, "group").select(F.col("fp").alias("f"), "component_id")
+    return marked.join(labels, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """One row of each group (its smallest id), with the columns of docs; rows without any id stay."""
-    found = simhash_groups(docs, words, budget)
-    return keep_rows(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each group, with the columns of docs: that of its smallest id (null ids last), then of the smallest hash of its text."""
+    marked, groups = _grouped(docs, words, budget, "doc_id", "text")
+    # of a fingerprint's rows, then of a group's, the first: partial minima, no group is gathered
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = marked.groupBy("fp").agg(F.min(order).alias("row")).join(groups, "fp").groupBy("group").agg(F.min("row").alias("row"))
+    return keep_rows(docs, first.select("row.doc_id", "row.text_hash"))

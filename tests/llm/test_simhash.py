@@ -52,9 +52,9 @@ def test_fingerprint_by_definition():
 @given(st.integers(0, 10**9), st.integers(0, 8))
 def test_trie_join_finds_the_components(seed, budget):
     fps = cluster(random.Random(seed), 60)
-    edges = dict(X.trie_self_join(fps, list(range(60)), budget))
-    want = roots(fps, budget)
-    assert [edges.get(i, i) for i in range(60)] == want
+    edges = dict(X.trie_self_join(fps, budget))
+    want = [fps[r] for r in roots(fps, budget)]
+    assert [edges.get(f, f) for f in fps] == want
 
 
 def test_masks_catch_every_link():
@@ -71,12 +71,13 @@ def test_masks_catch_every_link():
 
 def test_large_buckets_lose_no_link(spark):
     fps = cluster(random.Random(3), 500)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
     want = roots(fps, 4)
-    rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
-    nodes = spark.createDataFrame(rows, "fp long, node long")
-    for large in (40, 10**6):
+    nodes = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for large in (10, 40, 10**6):  # 10: most are left after all cuts and meet in pairs of parts
         found = {r.node: r.component for r in connected_components(X.link_fingerprints(nodes, large=large)).collect()}
-        assert [found.get(i, i) for i in range(500)] == want
+        groups = [found.get(signed(f), signed(f)) for f in fps]
+        assert len(set(zip(groups, want, strict=True))) == len(set(groups)) == len(set(want))
 
 
 def test_components_of_paths_stars_and_loops(spark):
@@ -105,3 +106,33 @@ def test_near_copies_group(spark):
     rows = [(10 * i, t) for i, t in enumerate(base)] + [(10 * i + 1, t + " extra") for i, t in enumerate(base)]
     found = {r.doc_id: r.component_id for r in X.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
     assert all(found[10 * i + 1] == 10 * i for i in range(6))
+
+
+def brute(rows, words, budget):
+    """(doc_id, fingerprint, component_id) of each row, straight from the definition."""
+    fps = [X.fingerprint(t or "", words) for _, t in rows]
+    group = roots(fps, budget)
+    least = {g: min((i for (i, _), h in zip(rows, group, strict=True) if h == g and i is not None), default=None) for g in group}
+    return sorted(((i, f"{f:016x}", least[g]) for (i, _), f, g in zip(rows, fps, group, strict=True)), key=repr)
+
+
+def test_whole_result_by_brute_force(spark):
+    rng = random.Random(12)
+    rows, top = [], (1 << 63) - 1
+    for i in range(40):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(1, 400))]
+        for j in range(rng.randrange(1, 4)):
+            rows.append((rng.choice([top - 10 * i - j, -top + 10 * i + j, 10 * i + j]), " ".join(words) + " x" * j))
+    rows += [(None, rows[0][1]), (None, None), (None, "all alone here"), (rows[3][0], rows[3][1]), (5, "w1 " * 60_000), (2**62 + 5, "q"), (2**62 + 9, "r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in X.simhash_groups(docs, 4).collect()), key=repr)
+    assert found == brute(rows, 4, 4)
+
+
+def test_large_ids_stay_and_one_row_of_a_group_is_kept(spark):
+    rows = [(2**62 + 5, "one two three four five six"), (2**62 + 9, "quite another text of more words than that"), (7, "nothing in common with either of those"), (-(2**63), "a b c d e f g h")]
+    rows += [(7, "nothing in common with either of those "), (None, "nothing in common with either of those")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, fp int, `group` int")
+    kept = X.drop_near_copies(docs, 4)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows[:4])
