@@ -1,148 +1,119 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two bigram models, of toxic and of ordinary texts, share their lowest orders: a
-word's probability in a class backs off from the class's bigram to the class's
-unigram and from there to continuation counts shared by both classes. A word or pair
-seen in neither class, or too rarely to tell, so has nearly the same likelihood in both. A
-text is judged by length-normalised log-likelihood ratios: over the whole text and
-over its most toxic stretches of a few words, so that an insult in a long text
-counts. A logistic curve over these gives the score; it is fitted on ratios from models that
-left the row's own part of the sample out.
-
-The models are fitted on a bounded sample of labelled rows (MAX_DOCS a class and
-MAX_BYTES in all, chosen by hash), so what is broadcast is bounded too. In the curve's
-fit the sample's rows weigh by their class's share among all labelled rows, so the
-bounds don't change what a score means. Scoring reads every whole text.
+Two bigram models, of toxic and of ordinary texts, over one vocabulary. In each class
+
+    P(w | h) = max(n(h w) - D, 0) / n(h) + B(h) P(w)             raw counts on top
+    P(w)     = max(N(w) - d, 0) / N + b S(w)                     N(w): different words before w
+    S(w)     = (N'(w) + 1) / (N' + V)                            counts of both classes together
+
+B and b are what the discounts D and d free, so every distribution sums to one; S is
+shared, so a word that one class never saw has the same likelihood there as in the
+other up to b. A pair met once is discounted in full: it lives on in B. Words in fewer
+than MIN_TEXTS texts of the sample are the vocabulary's rare word, which also stands for
+every word never seen.
+
+A text is judged by length-normalised log-likelihoods, toxic against ordinary: per word
+of the whole text, of its most toxic stretches of a few words, and of its few different
+words that tell most, wherever they stand, so that insults scattered over a long text
+count. A logistic curve over these differences gives the score; it is fitted on models
+that left the row's own part of the sample out.
+
+The models learn from a bounded sample of labelled rows (MAX_DOCS a class and MAX_BYTES
+in all, chosen by hash), so what is gathered and broadcast is bounded too. Texts that
+are equal have one vote. In the curve's fit the sample's rows weigh by their class's
+share among all labelled rows, so the bounds don't change what a score means. Counts are
+taken in Spark; the driver turns them into discounts. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import id_bucket, row_hash, text_of
+from annoweave.llm.base import cut, id_bucket, row_hash, text_of
 
 #: Labelled rows of each class, and bytes of text in all, that are learned from at most.
 MAX_DOCS = 4000
 MAX_BYTES = 48 << 20
-#: Words of the stretches whose ratios are compared.
-WINDOWS = (2, 6, 20)
+#: Words in fewer texts of the sample are the rare word.
+MIN_TEXTS = 3
+#: Words of the stretches that are compared, and numbers of different words that are.
+WINDOWS = (1, 2, 6, 20)
+WORDS = (1, 3)
 FOLDS = 3
 THRESHOLD = 0.7
-#: A word must follow so many different words, or stand in so many different texts, to keep a ratio.
-MIN_WORD = 2
-#: A word pair must follow so many different words to keep a probability of its own.
-MIN_PAIR = 2
-#: Words are numbered with 21 bits; words first met after so many others count as one word.
-RARE = (1 << 21) - 2
 #: Parts of the sample that are left out in turn to fit the curve.
 PARTS = 3
-#: So many of a text's most toxic different words are compared, wherever they stand.
-BEST = (1, 3)
+#: Numbers of the rare word and of a text's end; other words follow.
+RARE, END = 0, 1
+_EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_"
+#: A word's number has 24 bits in a pair's key.
+_SHIFT = 24
 
 _SCORE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
 
 def words_of(text: str) -> list[bytes]:
     """Lower-cased words with punctuation at their ends removed."""
-    return [w.strip(b".,;:!?\"'()[]{}*#$%&|<>-_") for w in text.encode("utf-8", "surrogatepass").lower().split()]
+    return [w.strip(_EDGE.encode()) for w in text.encode("utf-8", "surrogatepass").lower().split()]
 
 
-def _discount(counts: np.ndarray) -> float:
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+def numbered(text: str, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, words) of a text's tokens; the first context is the start, whose number follows the vocabulary's last."""
+    ids = np.array([len(index) + 2, *(index.get(w, RARE) for w in words_of(text)), END], np.int64)
+    return ids[:-1], ids[1:]
 
 
-def number_words(texts: list[str], index: dict[bytes, int]) -> list[np.ndarray]:
-    """Each text's words as numbers; new words are added to index up to RARE."""
-    out = []
-    for t in texts:
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int64)
-        out.append(np.minimum(ids, RARE).astype(np.int32))
-    for w in [w for w, i in index.items() if i >= RARE]:
-        del index[w]
-    return out
+@dataclass
+class ClassModel:
+    """One class's probabilities: by word, freed mass by context, and what pairs keep of their own."""
 
+    word: np.ndarray
+    back: np.ndarray
+    keys: np.ndarray
+    own: np.ndarray
 
-def fit_ratios(texts: list[np.ndarray], toxic: list[bool], v: int) -> dict:
-    """Log10 likelihood ratios (toxic to ordinary) of words (numbers below v) and word pairs.
+    def log10(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        p = self.back[h] * self.word[w]
+        if len(self.keys):
+            key = (h << _SHIFT) | w
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            p = p + np.where(self.keys[at] == key, self.own[at], 0.0)
+        return np.log10(p)
+
+
+def discount(ones: float, twos: float, most: float = 0.95) -> float:
+    return min(most, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
-    Below the top order Kneser-Ney counts contexts, not occurrences: a word counts once
-    for each word that it follows, a pair once for each word that precedes it. Copies
-    of one text therefore have one vote.
-    """
-    empty = np.empty(0, np.int64)
-    uni, pair = [empty, empty], [empty, empty]
-    for k in (False, True):
-        words, triples = [empty], [empty]
-        for ids, tox in zip(texts, toxic, strict=True):
-            if tox == k:
-                ids = ids.astype(np.int64)
-                before = np.concatenate(([RARE + 1], ids[:-1]))  # RARE + 1: the text's start
-                words.append(np.unique((before << 21) | ids))
-                triples.append(np.unique((before[:-1] << 42) | (ids[:-1] << 21) | ids[1:]))
-        uni[k] = np.unique(np.concatenate(words)) & 0x1FFFFF
-        pair[k] = np.unique(np.concatenate(triples)) & 0x3FFFFFFFFFF
-    c1 = [np.bincount(u, minlength=v).astype(float) for u in uni]
-    pooled = c1[0] + c1[1]
-    # lowest order, shared: a word counts once for each class that it continues, and one for the word never seen
-    spread = (c1[0] > 0).astype(float) + (c1[1] > 0)
-    base = np.maximum(spread, 1) / (spread.sum() + 1)
-    # the classes share one discount; the mass it frees goes to the shared counts
-    d, word = _discount(pooled[pooled > 0]), []
-    for c in c1:
-        n = max(1.0, c.sum())
-        rest = d * (c > 0).sum() / n if c.sum() else 1.0
-        word.append(np.maximum(c - d, 0) / n + max(rest, 0.05) * base)
-    keys, at = np.unique(np.concatenate(pair), return_inverse=True)
-    first = len(pair[0])
-    c2 = [np.bincount(at[:first], minlength=len(keys)).astype(float), np.bincount(at[first:], minlength=len(keys)).astype(float)]
-    both = c2[0] + c2[1]
-    d2, head, tail = _discount(both), keys >> 21, keys & 0x1FFFFF
-    own = []
-    for c, w in zip(c2, word, strict=True):
-        n = np.bincount(head, weights=c, minlength=v)
-        kinds = np.bincount(head, weights=(c > 0).astype(float), minlength=v)
-        rest = np.where(n > 0, np.maximum(d2 * kinds / np.maximum(n, 1), 0.05), 1.0)
-        own.append(np.maximum(c - d2, 0) / np.maximum(n[head], 1) + rest[head] * w[tail])
-    keep = both >= MIN_PAIR
-    # a word met in one text only tells nothing of its class; one that always follows the same word does
-    held = np.zeros(v, np.int64)
-    for ids in {t.tobytes(): t for t in texts}.values():
-        held[np.unique(ids)] += 1
-    ratio = np.where((pooled >= MIN_WORD) | (held >= MIN_WORD), np.log10(word[1] / word[0]), np.nan).astype(np.float32)
-    return {"word": ratio, "keys": keys[keep], "pair": np.log10(own[1] / own[0])[keep].astype(np.float32)}
-
-
-def features(ids: np.ndarray, model: dict) -> list[float]:
-    """Ratio per word over the whole text, its best different words and its best stretches.
-
-    Words are numbers, negative if unknown. An unknown word's ratio is the same
-    everywhere and counts as 0.
-    """
-    n = len(ids)
-    if not n:
-        return [0.0] * (1 + len(BEST) + len(WINDOWS))
-    ids = ids.astype(np.int64)
-    r = np.where(ids >= 0, model["word"][ids], np.nan)
-    known = ~np.isnan(r)
-    r = np.where(known, r, 0.0)
-    best = np.sort(model["word"][np.unique(ids[known])])[: -1 - max(BEST) : -1]
-    best = np.concatenate((best, np.zeros(max(BEST) - len(best))))
-    keys = model["keys"]
-    if n > 1 and len(keys):
-        # a context never seen in one class doesn't count against it: only known pairs change the ratio
-        key = (ids[:-1] << 21) | ids[1:]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = (keys[at] == key) & (ids[:-1] >= 0) & (ids[1:] >= 0)
-        r[1:] = np.where(hit, model["pair"][at], r[1:])
-    cum = np.concatenate(([0.0], np.cumsum(r, dtype=np.float64)))
-    return [float(cum[-1] / n), *(float(best[:k].mean()) for k in BEST), *(float((cum[min(w, n) :] - cum[: n + 1 - min(w, n)]).max() / w) for w in WINDOWS)]
+
+def class_model(context: np.ndarray, ones: np.ndarray, kinds: np.ndarray, before: np.ndarray, shared: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> ClassModel:
+    """From raw counts by context (all, of pairs met once, different pairs), words' different contexts, and pairs met twice or more."""
+    n = before.sum()
+    d = discount((before == 1).sum(), (before == 2).sum())
+    word = np.maximum(before - d, 0) / max(1, n) + (np.minimum(before, d).sum() / n if n else 1.0) * shared
+    often = counts > 1
+    keys, counts = keys[often], counts[often].astype(float)
+    d2 = 2 * discount(float((counts == 2).sum()), 1.5 * float((counts == 3).sum()))
+    freed = ones + d2 * (kinds - ones)
+    back = np.where(context > 0, freed / np.maximum(context, 1), 1.0)
+    return ClassModel(word, back, keys, (counts - d2) / context[keys >> _SHIFT])
+
+
+def differences(ids: tuple[np.ndarray, np.ndarray], models: list[ClassModel]) -> list[float]:
+    """Toxic less ordinary log10 likelihood a word: whole text, most toxic stretches, most toxic different words."""
+    h, w = ids
+    ordinary, toxic = models
+    cum = np.concatenate(([0.0], np.cumsum(toxic.log10(h, w) - ordinary.log10(h, w))))
+    n, once = len(w), np.unique(w)
+    telling = np.sort(np.log10(toxic.word[once] / ordinary.word[once]))[::-1]
+    stretches = [float((cum[min(k, n) :] - cum[: n + 1 - min(k, n)]).max() / k) for k in WINDOWS]
+    return [float(cum[-1] / n), *stretches, *(float(telling[:k].sum() / k) for k in WORDS)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, share: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,85 +136,144 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, share: float
     return mean, scale, w
 
 
-def fit_model(texts: list[str], toxic: list[bool], hashes: list[int], share: float | None = None) -> dict:
-    """Ratios from all rows; the curve from ratios in which a row's own part was left out.
+class Model:
+    """What scoring needs: the words' numbers, both class models and the curve; or one constant score."""
 
-    share is the part of toxic rows among all that the sample stands for.
-    """
-    if len(set(toxic)) < 2:
-        return {"const": float(toxic[0]) if toxic else 0.0}
-    index: dict[bytes, int] = {}
-    ws, part = number_words(texts, index), [h % PARTS for h in hashes]
-    v = len(index) + 1  # the last number is that of all rarer words
-    x, y = [], []
-    for k in range(PARTS):
-        rest = [i for i, p in enumerate(part) if p != k]
-        if len({toxic[i] for i in rest}) == 2:
-            own = fit_ratios([ws[i] for i in rest], [toxic[i] for i in rest], v)
-            held = [i for i, p in enumerate(part) if p == k]
-            x += [features(ws[i], own) for i in held]
-            y += [toxic[i] for i in held]
-    full = fit_ratios(ws, toxic, v)
-    if len(set(y)) < 2:
-        x, y = [features(w, full) for w in ws], toxic
-    curve = fit_logistic(np.array(x), np.array(y, float), share=share)
-    # scoring needs the numbers of words that have a ratio or are part of a pair
-    used = ~np.isnan(full["word"])
-    used[full["keys"] >> 21] = used[full["keys"] & 0x1FFFFF] = True
-    return full | {"curve": curve, "index": {w: i for w, i in index.items() if used[i]}}
-
-
-def scores(texts: list[str], model: dict) -> np.ndarray:
-    if "const" in model or not texts:
-        return np.full(len(texts), model.get("const", 0.0))
-    mean, scale, w = model["curve"]
-    get = model["index"].get
-    ids = (np.fromiter((get(x, -1) for x in words_of(t)), np.int64) for t in texts)
-    x = (np.array([features(i, model) for i in ids]) - mean) / scale
-    return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
-
-
-def learned_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(text, toxic, h, share) of the labelled rows to learn from: at most max_docs a class and max_bytes of text.
-
-    share is the part of toxic rows before the bounds, so that these don't move the scores.
-    A document with several labels is toxic if one of them says so; null labels don't count.
+    def __init__(self, index: dict[bytes, int], models: list[ClassModel], curve: tuple | None = None, const: float | None = None) -> None:
+        self.index, self.models, self.curve, self.const = index, models, curve, const
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.const is not None or not texts:
+            return np.full(len(texts), self.const or 0.0)
+        mean, scale, w = self.curve
+        x = (np.array([differences(numbered(t, self.index), self.models) for t in texts]) - mean) / scale
+        return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
+
+
+def learned_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, float]:
+    """((t, toxic, part) of the different texts to learn from, share of toxic rows among all that could be).
+
+    At most max_docs rows a class and max_bytes of text; a row that doesn't fit is left
+    out, those after it are not. A document with several labels is toxic if one of them
+    says so; null labels don't count; of a repeated doc_id the text with the smallest
+    hash counts. Equal texts are one row, toxic if one of them is.
     """
     spark = docs.sparkSession
-    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_bucket(folds) != 1)).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    sizes = docs.filter(F.col("doc_id").isNotNull() & (id_bucket(folds) != 1)).groupBy("doc_id").agg(F.max(F.octet_length(text_of())).alias("size"))
-    there = marks.join(sizes, "doc_id").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(8)))
-    chosen = [r for t in (True, False) for r in there.filter(F.col("toxic") == t).orderBy("h", "doc_id").limit(max_docs).collect()]
+    marks = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("mark"))
+    marks = marks.filter(F.col("mark").isNotNull() & F.col("id").isNotNull() & (id_bucket(folds, "id") != 1)).groupBy("id").agg((F.max("mark") > 0).alias("toxic"))
+    own = docs.select(F.col("doc_id").alias("id"), text_of().alias("t")).filter(F.col("id").isNotNull() & (id_bucket(folds, "id") != 1))
+    there = marks.join(own.groupBy("id").agg(F.max(F.octet_length("t")).alias("size")), "id").withColumn("h", F.xxhash64(F.col("id"), F.lit(8)))
+    there = cut(there)  # a few bytes a labelled row
+    chosen = [r for t in (True, False) for r in there.filter(F.col("toxic") == t).orderBy("h", "id").limit(max_docs).collect()]
     counts = {r["toxic"]: r["count"] for r in there.groupBy("toxic").count().collect()}
-    share = counts.get(True, 0) / max(1, sum(counts.values()))
     ids, size = [], 0
-    for r in sorted(chosen, key=lambda r: r["h"]):
-        # a row that doesn't fit is left out, those after it are not
+    for r in sorted(chosen, key=lambda r: (r["h"], r["id"])):
         if size + r["size"] <= max_bytes:
             size += r["size"]
-            ids.append((r["doc_id"], r["toxic"], r["h"]))
-    few = F.broadcast(spark.createDataFrame(ids, "id long, toxic boolean, h long"))
-    return docs.join(few, F.col("doc_id") == F.col("id")).dropDuplicates(["id"]).select(text_of().alias("t"), "toxic", "h", F.lit(share).alias("share"))
+            ids.append((r["id"], r["toxic"]))
+    if counts and not ids:
+        raise ValueError(f"no labelled text fits in max_bytes={max_bytes}")
+    few = F.broadcast(spark.createDataFrame(ids, "id long, toxic boolean"))  # 2 * max_docs rows at most
+    one = own.join(few, "id").groupBy("id", "toxic").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    part = F.pmod(F.xxhash64("t", F.lit(8)), F.lit(PARTS)).cast("int").alias("part")
+    return one.groupBy("t").agg(F.max("toxic").alias("toxic")).select("t", "toxic", part), counts.get(True, 0) / max(1, sum(counts.values()))
+
+
+def vocabulary(sample: DataFrame, min_texts: int = MIN_TEXTS) -> dict[bytes, int]:
+    """Numbers from 2 of the words in at least min_texts texts of the sample."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.split(F.translate("t", upper, upper.lower()), r"[ \t\n\x0B\f\r]+")
+    plain = F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.btrim(w, F.lit(_EDGE))))
+    held = sample.select(F.explode(plain).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
+    found = sorted(r[0].encode() for r in held.select("w").collect())  # bounded by the sample
+    if len(found) + 3 > 1 << _SHIFT:
+        raise ValueError("the sample has too many different words")
+    return {w: i for i, w in enumerate(found, 2)}
+
+
+def pair_counts(sample: DataFrame, index: Broadcast) -> DataFrame:
+    """(key, n00, n01, ..., n12): how often each pair (context, word) occurs in each class (0 ordinary) and part."""
+    names = [f"n{c}{p}" for c in (0, 1) for p in range(PARTS)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = index.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                keys, cells = [], []
+                for text, toxic, part in zip(*(c.to_pylist() for c in b.slice(at, 512).columns), strict=True):
+                    h, w = numbered(text, numbers)
+                    keys.append((h << _SHIFT) | w)
+                    cells.append(np.full(len(w), toxic * PARTS + part))
+                found, where = np.unique(np.concatenate(keys), return_inverse=True)
+                sums = np.bincount(where * 2 * PARTS + np.concatenate(cells), minlength=len(found) * 2 * PARTS).reshape(-1, 2 * PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(sums[:, i]) for i in range(2 * PARTS))], names=["key", *names])
+
+    found = sample.select("t", "toxic", "part").mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
+    return cut(found.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]))
+
+
+def fit_models(pairs: DataFrame, size: int) -> list[list[ClassModel]]:
+    """[ordinary, toxic] models of the whole sample, then of the sample without each part. size: words in the vocabulary."""
+    left_out = [None, *range(PARTS)]
+    n = [[sum((F.col(f"n{c}{p}") for p in range(PARTS) if p != k), F.lit(0)) for c in (0, 1)] for k in left_out]
+    flat = pairs.select(F.shiftright("key", _SHIFT).alias("h"), F.col("key").bitwiseAND((1 << _SHIFT) - 1).alias("w"), "key", *[x.alias(f"m{k}{c}") for k, both in enumerate(n) for c, x in enumerate(both)])
+    models = [(k, c) for k in range(len(left_out)) for c in (0, 1)]
+
+    def arrays(by: str, length: int, sums: dict[str, object]) -> dict[str, np.ndarray]:
+        found = flat.groupBy(by).agg(*[x.alias(name) for name, x in sums.items()]).toPandas()  # a row a word of the vocabulary
+        out = {name: np.zeros(length) for name in sums}
+        for name in sums:
+            out[name][found[by].to_numpy()] = found[name].to_numpy()
+        return out
+
+    of = lambda k, c: F.col(f"m{k}{c}")
+    contexts = arrays("h", size + 1, {f"{what}{k}{c}": x for k, c in models for what, x in (("all", F.sum(of(k, c))), ("ones", F.count_if(of(k, c) == 1)), ("kinds", F.count_if(of(k, c) > 0)))})
+    befores = arrays("w", size, {f"c{k}{c}": F.count_if(of(k, c) > 0) for k, c in models} | {f"s{k}": F.count_if(of(k, 0) + of(k, 1) > 0) for k in range(len(left_out))})
+    often = flat.filter((of(0, 0) > 1) | (of(0, 1) > 1)).select("key", *[f"m{k}{c}" for k, c in models]).orderBy("key").toPandas()  # bounded by the sample
+    keys, out = often["key"].to_numpy(np.int64), []
+    for k in range(len(left_out)):
+        total = befores[f"s{k}"]
+        shared = (total + 1) / (total.sum() + size)
+        out.append([class_model(contexts[f"all{k}{c}"], contexts[f"ones{k}{c}"], contexts[f"kinds{k}{c}"], befores[f"c{k}{c}"], shared, keys, often[f"m{k}{c}"].to_numpy()) for c in (0, 1)])
+    return out
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> dict:
-    """Fit on the bounded sample, in one task."""
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
+    """Models and curve from the bounded sample. Without texts of both classes, a model of one constant score."""
+    rows, share = learned_rows(docs, labels, folds, max_docs, max_bytes)
+    sample = cut(rows)
+    by_class = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
+    there = {t for _, t in by_class}
+    if len(there) < 2:
+        return Model({}, [], const=float(there == {True}))
+    context = docs.sparkSession.sparkContext
+    index = context.broadcast(vocabulary(sample))
+    whole, *rest = fit_models(pair_counts(sample, index), len(index.value) + 2)
+    # a part is judged by the models without it if these know both classes, else by those of the whole sample
+    usable = {k for k in range(PARTS) if {t for p, t in by_class if p != k} == {True, False}}
+    held = context.broadcast([rest[k] if k in usable else whole for k in range(PARTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)), key=lambda r: (r[2], r[0]))
-        model = fit_model([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], rows[0][3] if rows else None)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        for b in batches:
+            found = [differences(numbered(t, index.value), held.value[p]) for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column(2)], names=["x", "toxic"])
 
-    found = learned_rows(docs, labels, folds, max_docs, max_bytes).coalesce(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0][0]) if found else {"const": 0.0}
+    # gathered in a fixed order, so that the same sample gives the same curve to the last bit
+    seen = sorted((tuple(r[0]), r[1]) for r in sample.select("t", "part", "toxic").mapInArrow(run, "x array<double>, toxic boolean").collect())
+    curve = fit_logistic(np.array([x for x, _ in seen]), np.array([y for _, y in seen], float), share=share)
+    held.unpersist()
+    return Model(index.value, whole, curve)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
     """Score each row's whole text; learned from rows whose crc32(doc_id) mod folds is not 1.
 
-    Null text is empty; an empty text gets the curve's value at ratio zero. Rows with
-    a null doc_id are scored and never learned from. Without labels of both classes
-    the score is constant. An empty table gives no rows; other columns are ignored.
+    Null text is empty; an empty text is its end alone. Rows with a null doc_id are
+    scored and never learned from; repeated rows are scored each. A very long text costs
+    memory in proportion to it and is never cut; one that is larger than the sample's
+    bytes isn't learned from. Without labels of both classes the score is constant (0,
+    or 1 where all labels are toxic). An empty table gives no rows; other columns,
+    whatever their names, are ignored.
 
     Returns doc_id, held_out, score, predicted, text_hash.
     """
@@ -252,7 +282,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(scores(b.column(3).to_pylist(), m), pa.float64())], schema=_SCORE)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(m.scores(b.column(3).to_pylist()), pa.float64())], schema=_SCORE)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("text_hash"), (id_bucket(folds) == 1).alias("held_out"), text_of().alias("t"))
     found = plain.mapInArrow(run, "doc_id long, text_hash long, held_out boolean, score double")
@@ -267,7 +297,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            ok = scores(["" if t is None else t for t in b.column("text").to_pylist()], m) < THRESHOLD
+            ok = m.scores(["" if t is None else t for t in b.column("text").to_pylist()]) < THRESHOLD
             yield b.filter(pa.array(ok))
 
     return docs.select(*names).mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,13 +56,79 @@ def test_nulls_empty_and_one_class(spark):
     assert X.toxicity(docs, some).count() == 5
 
 
-def test_likelihood_ratios_by_hand():
-    index = {}
-    ids = X.number_words(["a bad x bad", "b bad, y bad.", "a c a c"], index)
-    m = X.fit_ratios(ids, [True, True, False], len(index) + 1)
-    bad, a, b = (m["word"][index[w]] for w in (b"bad", b"a", b"b"))
-    assert bad > 0 and bad > a and np.isnan(b)
-    assert X.features(np.empty(0, np.int64), m) == [0.0] * 6
+def brute_model(texts, toxic, vocab):
+    """P(word | context) of both classes by the definition, on plain dicts. None is the start."""
+    names = lambda t: [w if w in vocab else "<rare>" for w in (x.decode() for x in X.words_of(t))] + ["<end>"]
+    types = [*sorted(vocab), "<rare>", "<end>"]
+    pairs = [Counter(), Counter()]
+    for t, k in dict(zip(texts, toxic, strict=True)).items():
+        w = names(t)
+        pairs[k].update(zip([None, *w], w, strict=False))
+    before = [Counter(w for _, w in p) for p in pairs]
+    both = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+    shared = {w: (both[w] + 1) / (sum(both.values()) + len(types)) for w in types}
+
+    def of(k):
+        n1, n2 = (sum(c == i for c in before[k].values()) for i in (1, 2))
+        d, n = X.discount(n1, n2), sum(before[k].values())
+        word = {w: max(before[k][w] - d, 0) / max(1, n) + (sum(min(c, d) for c in before[k].values()) / n if n else 1) * shared[w] for w in types}
+        d2 = 2 * X.discount(sum(c == 2 for c in pairs[k].values()), 1.5 * sum(c == 3 for c in pairs[k].values()))
+
+        def p(h, w):
+            own = {x: c for (g, x), c in pairs[k].items() if g == h}
+            if not own:
+                return word[w]
+            freed = sum(1 if c == 1 else d2 for c in own.values())
+            c = own.get(w, 0)
+            return ((c - d2 if c > 1 else 0) + freed * word[w]) / sum(own.values())
+
+        return p
+
+    return [of(0), of(1)], types, names
+
+
+def small(seed=3):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choices(["you", "so", "a", "b", "c", "grumph" if i % 3 == 0 else "d", "e", f"u{i}"], k=rng.randrange(25))) for i in range(60)]
+    return texts + texts[:4], [i % 3 == 0 for i in range(60)] + [i % 3 == 0 for i in range(4)]
+
+
+def fitted(spark, texts, toxic):
+    rows = {t: k for t, k in zip(texts, toxic, strict=True)}
+    sample = spark.createDataFrame([(t, k, i % X.PARTS) for i, (t, k) in enumerate(rows.items())], "t string, toxic boolean, part int").cache()
+    index = spark.sparkContext.broadcast(X.vocabulary(sample))
+    return index.value, X.fit_models(X.pair_counts(sample, index), len(index.value) + 2), rows
+
+
+def test_likelihoods_by_brute_force(spark):
+    texts, toxic = small()
+    index, models, rows = fitted(spark, texts, toxic)
+    vocab = {w for w, n in Counter(w for t in rows for w in {x.decode() for x in X.words_of(t)}).items() if n >= X.MIN_TEXTS}
+    assert {w.decode() for w in index} == vocab
+    for left_out, pair in zip([None, 0, 1, 2], models, strict=True):
+        kept = {t: k for i, (t, k) in enumerate(rows.items()) if i % X.PARTS != left_out}
+        want, _, names = brute_model(list(kept), list(kept.values()), vocab)
+        for t in ["", "you grumph grumph", "never seen words d so", *list(rows)[:20]]:
+            w = names(t)
+            for k in (0, 1):
+                got = 10 ** pair[k].log10(*X.numbered(t, index))
+                assert np.allclose(got, [want[k](h, x) for h, x in zip([None, *w], w, strict=False)], rtol=1e-9)
+
+
+def test_probabilities_sum_to_one(spark):
+    index, models, _ = fitted(spark, *small())
+    size = len(index) + 2
+    for pair in models:
+        for m in pair:
+            for h in range(size + 1):
+                assert abs((10 ** m.log10(np.full(size, h), np.arange(size))).sum() - 1) < 1e-9
+
+
+def test_differences_are_per_word(spark):
+    index, models, _ = fitted(spark, *small())
+    once, often = (X.differences(X.numbered(t, index), models[0]) for t in ("grumph", "grumph " * 500))
+    assert once[0] > 0 and abs(often[0] - once[0]) < 2 and len(once) == 1 + len(X.WINDOWS) + len(X.WORDS)
+    assert all(np.isfinite(X.differences(X.numbered("", index), models[0])))
 
 
 def test_logistic_finds_a_boundary():
@@ -76,7 +143,7 @@ def test_a_bound_sample_keeps_the_base_rate(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(1500)], "doc_id long, text string").cache()
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1500)], "doc_id long, toxic int").cache()
     texts = [r.text for r in docs.collect()]
-    whole, bound = (float(np.mean(X.scores(texts, X.train(docs, labels, max_docs=n)))) for n in (4000, 60))
+    whole, bound = (float(np.mean(X.train(docs, labels, max_docs=n).scores(texts))) for n in (4000, 60))
     assert abs(whole - 0.1) < 0.05 and abs(bound - whole) < 0.08
 
 
@@ -89,13 +156,21 @@ def test_votes_move_the_boundary():
     assert np.allclose(X.fit_logistic(x, y, share=0.5)[2], X.fit_logistic(x, y)[2])
 
 
-def test_a_word_that_always_follows_one_word_keeps_its_ratio():
-    index = {}
-    ids = X.number_words(["you grumph a", "so you grumph b", "then you grumph c", "you a so b", "then you c"], index)
-    m = X.fit_ratios(ids, [True, True, True, False, False], len(index) + 1)
-    assert m["word"][index[b"grumph"]] > 0.1
-    alone = X.fit_ratios(X.number_words(["you grumph a"] * 3 + ["you a", "so you a"], other := {}), [True] * 3 + [False] * 2, len(other) + 1)
-    assert np.isnan(alone["word"][other[b"grumph"]])  # copies are one text
+def test_a_word_that_always_follows_one_word_tells(spark):
+    texts = [f"you grumph {c}" for c in "abcd"] + ["you a so b", "then you c", "so you d", "a b c d"]
+    index, models, _ = fitted(spark, texts, [True] * 4 + [False] * 4)
+    after = X.differences(X.numbered("you grumph", index), models[0])
+    assert after[0] > X.differences(X.numbered("you a", index), models[0])[0] and after[0] > 0
+
+
+def test_clashing_columns_repeats_and_long_texts(spark, data):
+    rows = [(i, t) for i, t, _ in data[0]] + [(3, "quite another text"), (3, "quite another text"), (None, "x"), (5000, "word " * 200_000)]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2, 3, True) for i, t in rows], "doc_id long, text string, id string, toxic int, h long, t int, part boolean")
+    labels = spark.createDataFrame([(*x, "y") for x in data[1]], "doc_id long, toxic int, text string")
+    a, b = (sorted(map(repr, X.toxicity(d, labels).collect())) for d in (docs, docs.orderBy("text").repartition(5)))
+    assert a == b and len(a) == len(rows)  # which text of a repeated id is learned from doesn't hang on the rows' order
+    kept = X.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
 
 
 def test_one_oversized_row_does_not_end_the_sample(spark):
@@ -105,6 +180,8 @@ def test_one_oversized_row_does_not_end_the_sample(spark):
     rows[first] = (first, "y" * 2000)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    got = X.learned_rows(docs, labels, max_bytes=1000).collect()
+    got = X.learned_rows(docs, labels, max_bytes=1000)[0].collect()
     learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
     assert sorted(r.t for r in got) == sorted(rows[i][1] for i in learned if i != first)
+    with pytest.raises(ValueError, match="max_bytes"):
+        X.learned_rows(docs, labels, max_bytes=1)
