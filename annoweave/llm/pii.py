@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base spans come from four patterns and their checks; they always stay. They also seed
-the bootstrap: the words around each occurrence of an identifier are lexical patterns,
-and patterns and instances (identifier strings) form a graph. In each round a pattern's
-confidence for a kind is the mean score of its distinct instances, counting everything
-identifier-like in its slot, and an instance that the base patterns don't know gets the
-noisy-or of its confident patterns. Patterns that stay confident, with enough different
-seeds, give spans to unknown instances of a fitting shape.
+the bootstrap, and so do long hexadecimal strings, seeds of a fifth kind, secrets. The
+words around each occurrence of an identifier are lexical patterns, and patterns and
+instances (identifier strings) form a graph. In each round a pattern's confidence for a
+kind is the mean score of its distinct instances, counting everything identifier-like in
+its slot; it is strong if enough of them are sure by then, seeds or not. An instance that
+isn't a seed gets the noisy-or of its strong patterns, so what was found in one round
+makes patterns strong in the next. Patterns that end confident give spans to instances of
+a fitting shape. A secret is a span only where such a pattern says so, a seed too: a
+string of digits and letters alone doesn't tell.
 
 DataFrame expressions only. Regular expressions are written with possessive
 quantifiers and a look at the character before, so a long run costs linear time and
@@ -22,6 +25,8 @@ from annoweave.llm.base import cut, row_hash, text_of
 
 #: In the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds that the bootstrap gives spans of.
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL = "A-Za-z0-9._%+-"
 #: The same matches as the plain patterns, found in linear time.
 BASE = {
@@ -36,13 +41,17 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 LIKELY = "|".join([
     rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
     r"(?<![A-Za-z0-9])[0-9]++(?:\.[0-9]++){3}+",
-    r"(?<![A-Za-z0-9])\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
-    r"(?<![A-Za-z0-9])\([0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
+    r"(?<![A-Za-z0-9])\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])\([0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Za-z]++[0-9][A-Za-z0-9]*+",
+    r"(?<![A-Za-z0-9])[0-9]++[A-Za-z][A-Za-z0-9]*+",
 ])
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: Characters on either side in which context words are looked for.
+#: Characters on either side in which context words are looked for. A word that reaches
+#: beyond isn't a context word: it would be cut.
 REACH = 64
+#: Occurrences of a confident pattern are dealt into so many parts, whatever their number.
+SALT = 32
 ROUNDS = 3
 MIN_CONFIDENCE = 0.9
 MIN_SEEDS = 3
@@ -51,7 +60,10 @@ MIN_SEEDS = 3
 def found(text: Column, pattern: str, needs: str) -> tuple[Column, Column]:
     """(matches, lengths and edges of what lies between) as arrays."""
     there = text.rlike(needs)
-    edge = lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(REACH)).alias("tail"), F.left(p, F.lit(REACH)).alias("head"))
+    # where the text goes on beyond the reach, what is left of a cut word goes
+    tail = lambda p: F.when(F.length(p) > REACH, F.regexp_replace(F.right(p, F.lit(REACH)), r"^\S++", "")).otherwise(p)
+    head = lambda p: F.when(F.length(p) > REACH, F.regexp_replace(F.left(p, F.lit(REACH)), r"(?<!\S)\S++$", "")).otherwise(p)
+    edge = lambda p: F.struct(F.length(p).alias("n"), tail(p).alias("tail"), head(p).alias("head"))
     none = F.array().cast("array<string>")
     return (
         F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none),
@@ -105,13 +117,16 @@ def fits(kind: str, x: Column) -> Column:
         return x.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
     if kind == "card":
         return x.rlike(r"^[0-9 -]+$") & digits.between(12, 19)
+    if kind == "secret":
+        return x.rlike(r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9]{16,}$")
     return x.rlike(r"^[0-9 ().+-]+$") & ~x.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & digits.between(7, 15)
 
 
 def seed_kind(x: Column) -> Column:
-    """The kind of which a string is a whole base match, or null."""
+    """The kind of which a string is a whole base match, secret for long hexadecimal ones, or null."""
     whole = {"email": rf"^[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$", "ip": r"^[0-9]+(?:\.[0-9]+){3}$", "card": r"^[0-9](?:[ -]?[0-9])++$", "phone": r"^\+[0-9][ ().0-9-]+[0-9]$"}
-    return F.coalesce(*[F.when(x.rlike(whole[k]) & valid(k, x), F.lit(k)) for k in KINDS])
+    secret = x.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") & fits("secret", x)
+    return F.coalesce(*[F.when(x.rlike(whole[k]) & valid(k, x), F.lit(k)) for k in KINDS], F.when(secret, F.lit("secret")))
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,50 +148,76 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def lexical_patterns(tail: Column, head: Column) -> Column:
-    """Patterns of an occurrence: its last two words before, and the words on both sides.
+    """Patterns of an occurrence: the word or two words before it, the two after it, and the words on both sides.
 
-    Words are in lower case with digits as 0. A side without a word (the text's edge or
-    another identifier) takes part as an empty word; a pattern needs one word at least.
+    Words are in lower case with digits as 0, so that they are shapes as far as figures
+    go. A side without a word (the text's edge or another identifier) takes part as an
+    empty word on both sides; a pattern needs as many words as it names otherwise.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
     before = F.filter(F.split(plain(tail), r"\s+"), lambda w: w != "")
     after = F.filter(F.split(plain(head), r"\s+"), lambda w: w != "")
-    last, earlier = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("")), F.coalesce(F.when(F.size(before) > 1, F.try_element_at(before, F.lit(-2))), F.lit(""))
-    nxt = F.coalesce(F.get(after, F.lit(0)), F.lit(""))
-    return F.when(
-        F.concat(last, earlier, nxt) != "",
-        F.array(F.concat_ws(" ", F.lit("before"), earlier, last), F.concat_ws(" ", F.lit("around"), last, nxt)),
+    word = lambda ws, i: F.coalesce(F.when(F.size(ws) >= abs(i), F.element_at(ws, i)), F.lit(""))
+    last, earlier, nxt, later = word(before, -1), word(before, -2), word(after, 1), word(after, 2)
+    named = lambda name, *ws: F.concat_ws(" ", F.lit(name), *ws)
+    return F.filter(
+        F.array(
+            F.when(last != "", named("word", last)),
+            F.when(earlier != "", named("before", earlier, last)),
+            F.when(later != "", named("after", nxt, later)),
+            F.when(F.concat(last, nxt) != "", named("around", last, nxt)),
+        ),
+        lambda p: p.isNotNull(),
     )
 
 
+def _by_kind(kind: Column, make) -> Column:
+    return F.coalesce(*[F.when(kind == k, make(k, i)) for i, k in enumerate(ALL_KINDS)])
+
+
+def graph(seen: DataFrame) -> DataFrame:
+    """(pattern, instance, kind, is_seed, open): each instance once for a pattern and a kind.
+
+    An instance that could be of the kind by its shape is open, unless it is a seed of any.
+    """
+    edges = seen.select(F.explode("ps").alias("pattern"), "instance", "x", "seed").groupBy("pattern", "instance").agg(F.first("x").alias("x"), F.first("seed").alias("seed"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col("seed") == k, F.lit(False)).alias("is_seed"), (F.col("seed").isNull() & fits(k, F.col("x"))).alias("open")) for k in ALL_KINDS]))
+    return edges.select("pattern", "instance", kinds.alias("k")).select("pattern", "instance", "k.*")
+
+
+def confident_patterns(edges: DataFrame, rounds: int, min_confidence: float, min_seeds: int) -> DataFrame:
+    """(pattern, kind, conf) of the patterns that are confident after the last round, iterated over the graph."""
+    # a pattern no slot of which could ever hold enough of a kind takes no part for it
+    able = edges.groupBy("pattern", "kind").agg(F.count_if(F.col("is_seed") | F.col("open")).alias("n")).filter(F.col("n") >= min_seeds)
+    edges = cut(edges.join(able.select("pattern", "kind"), ["pattern", "kind"]))
+    scored = edges.withColumn("score", F.col("is_seed").cast("double"))
+    for n in range(rounds):
+        stats = scored.groupBy("pattern", "kind").agg(F.avg("score").alias("conf"), F.count_if(F.col("score") >= min_confidence).alias("sure"))
+        strong = stats.filter(F.col("sure") >= min_seeds)
+        if n + 1 == rounds:
+            return strong.filter(F.col("conf") >= min_confidence).select("pattern", "kind", "conf")
+        # noisy-or over the strong patterns that are half sure: one that isn't certain yet may still raise its instances
+        votes = edges.join(strong.filter("conf >= 0.5").select("pattern", "kind", "conf"), ["pattern", "kind"])
+        raised = votes.filter("open").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("raised"))
+        scored = cut(edges.join(raised, ["instance", "kind"], "left").withColumn("score", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("raised", F.lit(0.0)))).drop("raised"))
+    raise ValueError("rounds must be positive")
+
+
 def bootstrap(marked: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(doc_id, text_hash, s, e, kind) of the spans that confident patterns give to unknown identifiers."""
+    """(doc_id, text_hash, s, e, kind) of the spans that confident patterns give."""
     seen = marked.select("doc_id", "text_hash", F.explode("likely").alias("o")).select(
         "doc_id", "text_hash", "o.s", "o.e", "o.x", seed_kind(F.col("o.x")).alias("seed"), lexical_patterns(F.col("o.tail"), F.col("o.head")).alias("ps")
     )
     seen = cut(seen.withColumn("instance", F.xxhash64("x")))
-    edges = seen.select(F.explode("ps").alias("pattern"), "instance", "x", "seed").groupBy("pattern", "instance").agg(F.first("x").alias("x"), F.first("seed").alias("seed"))
-    # an instance takes part once for each kind of which it is a seed or has the shape
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("n"), (F.col("seed") == k).alias("is_seed"), fits(k, F.col("x")).alias("fit")) for i, k in enumerate(KINDS)]))
-    edges = cut(edges.select("pattern", "instance", "seed", kinds.alias("k")).select("pattern", "instance", "k.kind", "k.n", F.coalesce("k.is_seed", F.lit(False)).alias("is_seed"), (F.col("seed").isNull() & F.col("k.fit")).alias("open")))
-    # only patterns with enough different seeds can ever become confident
-    strong = edges.groupBy("pattern", "kind").agg(F.count_if("is_seed").alias("seeds")).filter(F.col("seeds") >= min_seeds).select("pattern", "kind")
-    edges = edges.join(strong, ["pattern", "kind"])
-    scores = edges.select("instance", "kind", F.col("is_seed").cast("double").alias("score")).distinct()
-    confident = None
-    for _ in range(rounds):
-        conf = edges.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.avg("score").alias("conf"))
-        confident = conf.filter(F.col("conf") >= min_confidence)
-        # a pattern whose unknown instances keep it from certainty may still raise them: noisy-or over half-sure patterns
-        voted = edges.join(conf.filter("conf >= 0.5"), ["pattern", "kind"], "left").groupBy("instance", "kind").agg(
-            F.max("is_seed").alias("is_seed"), F.max("open").alias("open"), F.sum(F.log1p(-F.least(F.coalesce("conf", F.lit(0.0)), F.lit(0.999)))).alias("doubt")
-        )
-        scores = voted.select("instance", "kind", F.when(F.col("is_seed"), 1.0).when(F.col("open"), 1 - F.exp("doubt")).otherwise(0.0).alias("score"))
-    new = seen.filter(F.col("seed").isNull()).select("doc_id", "text_hash", "s", "e", "x", F.explode("ps").alias("pattern"))
-    hits = new.join(confident, "pattern").filter(F.coalesce(*[F.when(F.col("kind") == k, fits(k, F.col("x"))) for k in KINDS]))
-    rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(-i)) for i, k in enumerate(KINDS)])
-    best = hits.groupBy("doc_id", "text_hash", "s", "e").agg(F.max_by("kind", F.struct("conf", rank)).alias("kind"))
-    return best
+    confident = confident_patterns(graph(seen), rounds, min_confidence, min_seeds)
+    # a common pattern's occurrences are dealt into parts, each of which meets the pattern's one row
+    parts = confident.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    new = seen.filter(F.col("seed").isNull() | (F.col("seed") == "secret")).select("doc_id", "text_hash", "s", "e", "x", F.explode("ps").alias("pattern"))
+    hits = new.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "s"), F.lit(SALT)).cast("int")).join(parts, ["pattern", "salt"])
+    hits = hits.filter(_by_kind(F.col("kind"), lambda k, _: fits(k, F.col("x"))))
+    # of several kinds the most confident, then the first listed
+    rank = _by_kind(F.col("kind"), lambda _, i: F.lit(-i))
+    return hits.groupBy("doc_id", "text_hash", "s", "e").agg(F.max_by("kind", F.struct("conf", rank)).alias("kind"))
 
 
 def _listed(spans: Column) -> Column:
@@ -188,14 +229,16 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_
 
     Base spans are leftmost and non-overlapping within a kind; spans of different kinds
     may overlap. Spans that the bootstrap adds never overlap base spans. Positions are
-    code points, ends exclusive. Null text is empty and has no spans; repeated rows
-    stay repeated; an empty table gives no rows; other columns are ignored.
+    code points, ends exclusive. Null text is empty and has no spans; a null id is kept;
+    repeated rows stay repeated. A very long text is read to its end, in time and memory
+    in proportion to it. An empty table gives no rows; other columns are ignored.
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans,
+    n_added (spans of the bootstrap), n_secret (those of them that are secrets), n_spans.
     """
     marked = cut(mark(docs, id_col, text_col))
     added = bootstrap(marked, rounds, min_confidence, min_seeds)
-    number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
+    number = _by_kind(F.col("kind"), lambda _, i: F.lit(i))
     by_doc = added.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("s", number.alias("n"), "e", "kind")).alias("more"))
     both = marked.select("doc_id", "text_hash", "base").join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     clear = F.filter(
@@ -203,11 +246,13 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_
         lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])),
     )
     out = both.select("doc_id", "base", clear.alias("more"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda of, k: F.size(F.filter(of, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select(
         "doc_id",
-        *[count(k) for k in KINDS],
+        *[count("base", k) for k in KINDS],
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("base", "more"))).alias("spans"),
         F.size("more").cast("long").alias("n_added"),
+        count("more", "secret"),
+        (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
     )

@@ -50,6 +50,7 @@ def test_base_spans_against_plain_patterns(spark):
         want = brute("a@b.c" if r.doc_id is None else texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(filter(None, r.spans.split(",")))
+        assert r.n_spans == r.n_added + sum([r.n_email, r.n_ip, r.n_card, r.n_phone]) == len([x for x in r.spans.split(",") if x])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{k}:") for k in X.KINDS]
 
 
@@ -78,3 +79,135 @@ def test_mixed_slots_are_not_confident(spark, seeded):
 
 def test_empty_table(spark):
     assert X.find_pii(spark.createDataFrame([], DDL)).count() == 0
+
+
+LIKELY = [
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+", r"(?<![A-Za-z0-9])[0-9]++(?:\.[0-9]++){3}+", r"(?<![A-Za-z0-9])\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])\([0-9](?:[ ().-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])", r"(?<![A-Za-z0-9])[A-Za-z]++[0-9][A-Za-z0-9]*+", r"(?<![A-Za-z0-9])[0-9]++[A-Za-z][A-Za-z0-9]*+",
+]
+ALL = ("email", "ip", "card", "phone", "secret")
+
+
+def seed_of(x):
+    for k, p in PLAIN.items():
+        if re.fullmatch(p, x) and passes(k, x):
+            return k
+    return "secret" if re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", x) and shaped("secret", x) else None
+
+
+def shaped(kind, x):
+    n = len(re.sub("[^0-9]", "", x))
+    quad = re.fullmatch(r"[0-9]+(\.[0-9]+){3}", x)
+    return {
+        "email": "@" in x, "ip": bool(quad), "card": bool(re.fullmatch("[0-9 -]+", x)) and 12 <= n <= 19, "phone": bool(re.fullmatch("[0-9 ().+-]+", x)) and not quad and 7 <= n <= 15,
+        "secret": bool(re.fullmatch("[A-Za-z0-9]{16,}", x)) and n > 0 and n < len(x),
+    }[kind]
+
+
+def brute_added(texts, rounds, sure, least):
+    """The bootstrap's spans (doc, start, end, kind), by the definition, on plain dicts."""
+    seen = []
+    for d, t in texts:
+        at = list(re.finditer("|".join(LIKELY), t))
+        for i, m in enumerate(at):
+            plain = lambda x: re.sub("[0-9]", "0", x.lower()).split()
+            b, a = plain(t[at[i - 1].end() if i else 0 : m.start()]), plain(t[m.end() : at[i + 1].start() if i + 1 < len(at) else None])
+            last, nxt = (b[-1:] or [""])[0], (a[:1] or [""])[0]
+            ps = [f"word {last}"] * bool(b) + [" ".join(["before", *b[-2:]])] * (len(b) > 1) + [" ".join(["after", *a[:2]])] * (len(a) > 1) + [f"around {last} {nxt}"] * bool(last + nxt)
+            seen.append((d, m.start(), m.end(), m[0], ps))
+    slots = {}
+    for *_, x, ps in seen:
+        for p in ps:
+            slots.setdefault(p, set()).add(x)
+    score = {(x, k): float(seed_of(x) == k) for *_, x, _ in seen for k in ALL}
+    for n in range(rounds):
+        conf = {(p, k): (sum(score[x, k] for x in xs) / len(xs), sum(score[x, k] >= sure for x in xs)) for p, xs in slots.items() for k in ALL}
+        strong = {pk: c for pk, (c, many) in conf.items() if many >= least}
+        if n + 1 < rounds:
+            for x, k in score:
+                if seed_of(x) is None and shaped(k, x):
+                    doubt = 1.0
+                    for p, xs in slots.items():
+                        if x in xs and strong.get((p, k), 0) >= 0.5:
+                            doubt *= 1 - min(strong[p, k], 0.999)
+                    score[x, k] = 1 - doubt
+    out = set()
+    for d, s, e, x, ps in seen:
+        if seed_of(x) in (None, "secret"):
+            hits = [(c, -ALL.index(k), k) for (p, k), c in strong.items() if c >= sure and p in ps and shaped(k, x)]
+            if hits:
+                out.add((d, s, e, max(hits)[2]))
+    return out
+
+
+def test_bootstrap_by_brute_force(spark):
+    rng = random.Random(21)
+    ident = {
+        "phone": lambda: rng.choice([f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", f"{rng.randrange(200, 999)}-555-{rng.randrange(1000, 9999)}"]),
+        "ip": lambda: ".".join(str(rng.randrange(320)) for _ in range(4)),
+        "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)) if rng.random() < 0.6 else "sk" + "".join(rng.choice("XYZ789abc") for _ in range(20)),
+        "email": lambda: f"u{rng.randrange(99)}@" + rng.choice(["h.org", "localhost"]),
+        "other": lambda: f"x{rng.randrange(999)}",
+    }
+    cues = {"phone": ["call me on", "mobile number", "ring"], "ip": ["host", "ping the host"], "secret": ["token =", "key ="], "email": ["write to", "mail"], "other": ["item", "ring", "the host"]}
+    texts = []
+    for d in range(220):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.choice(list(ident))
+            words += [rng.choice(["so", "and", "then", "well"]), rng.choice(cues[k]), ident[k](), rng.choice(["today", "please", "or later", ""])]
+        texts.append((d, " ".join(words)))
+    docs = spark.createDataFrame([(d, t, "", 1) for d, t in texts], DDL)
+    for rounds, sure, least in ((3, 0.9, 3), (2, 0.6, 2), (4, 0.55, 3)):
+        found = {tuple(r) for r in X.bootstrap(X.mark(docs), rounds, sure, least).select("doc_id", "s", "e", "kind").collect()}
+        want = brute_added(texts, rounds, sure, least)
+        assert found == want
+        assert {k for *_, k in want} >= {"secret"}
+
+
+def test_what_one_round_finds_helps_the_next(spark):
+    rows = [f"my mobile number +1 (4{i:02d}) 555-12{i:02d} {'abcdefgh'[i]}x" for i in range(8)]
+    rows += [f"my mobile number 4{i:02d}-555-22{i:02d} or ask" for i in range(6)]  # found by the cue, with a cue of their own
+    rows += [f"see {w} 3{i:02d}-555-32{i:02d} or ask" for i, w in enumerate(["this", "that", "it"])]  # known by that one only
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(rows)], DDL)
+    once, later = ({r.doc_id for r in X.find_pii(docs, rounds=n, min_confidence=0.5).collect() if r.n_added} for n in (1, 4))
+    assert once == set(range(8, 14)) and later == set(range(8, 17))
+
+
+def test_secrets_need_a_confident_context(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(30)]
+    rows = [f'some w{"abcdefghijklmnop"[i]} words token = "{h}" and' for i, h in enumerate(hexes[:10])]
+    rows += ['more token = "Zx81kkPq77aLmNo2RtY3" here', f"blob {hexes[20]} of a file", "plain text"]
+    found = {r.doc_id: r for r in X.find_pii(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(rows)], DDL)).collect()}
+    assert [found[i].n_secret for i in range(len(rows))] == [1] * 11 + [0, 0]
+    assert rows[10][slice(*map(int, found[10].spans.split(":")[1:]))] == "Zx81kkPq77aLmNo2RtY3"
+
+
+def test_cut_words_are_no_context(spark):
+    long = "w" * 100
+    rows = [(i, f"{long}{i} my number +1 (4{i:02d}) 555-12{i:02d} {long}", "", 0) for i in range(3)]
+    seen = X.mark(spark.createDataFrame(rows, DDL)).selectExpr("explode(likely) AS o").filter("o.x LIKE '+1%'").select("o.tail", "o.head").collect()
+    assert {tuple(r) for r in seen} == {(" my number ", " ")}
+
+
+def test_planted_identifiers_recall_and_precision(spark):
+    """Spellings the base patterns don't know, in contexts they share with ones that are known, and decoys elsewhere."""
+    rng = random.Random(5)
+    noise = lambda: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(6))
+    texts, planted, decoys = [], set(), set()
+    for i in range(400):
+        n = f"{rng.randrange(200, 999)}-555-{rng.randrange(1000, 9999)}"
+        if i % 4 == 0:
+            t = f"{noise()} reach me at +1 ({n[:3]}) {n[4:]} {noise()}"
+        elif i % 4 == 1:
+            t = f"{noise()} reach me at {n} {noise()}"
+            planted.add(i)
+        elif i % 4 == 2:
+            t = f"{noise()} order no. {n} {noise()}"
+            decoys.add(i)
+        else:
+            t = noise()
+        texts.append((i, t, "", 0))
+    # two in three identifiers of the slot are unknown spellings, so it is half sure at first
+    found = {r.doc_id for r in X.find_pii(spark.createDataFrame(texts, DDL), min_confidence=0.45).collect() if r.n_added}
+    assert found == planted and not found & decoys
