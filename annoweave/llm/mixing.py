@@ -42,19 +42,21 @@ def poisson_cdf(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cdf"])
 
 
-def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float = 1.0) -> DataFrame:
+def repetition_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, budget: float = 1.0) -> DataFrame:
     """(source, rate, draws, cdf) for each source; sizes are characters of text.
 
     The result has budget times the corpus's characters in expectation. A source
     without characters keeps rate 1. With explicit weights (any positive scale), a
-    source that isn't named gets weight 0.
+    source that isn't named gets weight 0; None names the null source.
     """
     # a row a source, stored: everything below reads these and not the texts again
     sizes = cut(docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.length(text_of())).cast("double").alias("size")))
     if weights is None:
         want = F.pow("size", F.lit(alpha))
     else:
-        want = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("mix_source")], F.lit(0.0)) if weights else F.lit(0.0)
+        named = [F.lit(x) for k, w in weights.items() if k is not None for x in (k, float(w))]
+        known = F.create_map(*named)[F.col("mix_source")] if named else F.lit(None).cast("double")
+        want = F.when(F.col("mix_source").isNull(), float(weights.get(None, 0.0))).otherwise(F.coalesce(known, F.lit(0.0)))
     all_of = sizes.agg(F.sum("size"), F.sum(F.when(F.col("size") > 0, want))).first()
     total, wanted = all_of[0] or 0.0, all_of[1] or 1.0
     rate = F.when(F.col("size") > 0, want / F.lit(wanted) * F.lit(budget * total) / F.col("size")).otherwise(1.0)
@@ -62,38 +64,43 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, a
     return sizes.select("mix_source", rate.alias("rate")).withColumn("draws", draws).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("draws")))
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float = 1.0, seed: int = SEED) -> DataFrame:
-    """Each row as often as its draw says, with `replica` from 1, globally shuffled.
+def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, budget: float = 1.0, seed: int = SEED, number: str | None = None) -> DataFrame:
+    """Each row as often as its draw says, globally shuffled.
 
-    Null sources form a source of their own. Rows of one doc_id (null ids count as
-    one) share their draw. Null text has no characters. An empty table gives no rows.
-    Columns of docs come back unchanged; one named replica is replaced.
+    Null sources form a source of their own. Rows of one doc_id share their draw; of
+    the rows with a null doc_id, those of one text do. Null text has no characters. Rows
+    are dealt out by id, text and replica, so neither a hot null id nor a hot source
+    meets in one task. An empty table gives no rows. All columns of docs come back
+    unchanged, whatever their names; with `number`, a column of that name is added that
+    numbers a row's replicas from 1.
     """
-    names = [c for c in docs.columns if c != "replica"]
+    names = docs.columns
+    if number in names:
+        raise ValueError(f"documents have a column {number} already")
     rates = repetition_rates(docs, weights, alpha, budget)
     rates = rates.select("mix_source", *[F.col(c).alias(f"__aw_{c}") for c in ("draws", "cdf")]).withColumnRenamed("mix_source", "__aw_source")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda j: F.size(F.filter("__aw_cdf", lambda c: c < hashed_uniform(F.lit(str(seed)), key, j.cast("string"))))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text_of())))
+    draw = lambda j: F.size(F.filter("__aw_cdf", lambda c: c < hashed_uniform(F.lit(str(seed)), F.col("__aw_key"), j.cast("string"))))
     count = F.aggregate(F.sequence(F.lit(1), F.col("__aw_draws")), F.lit(0), lambda acc, j: acc + draw(j))
     one = F.size(F.filter("__aw_cdf", lambda c: c < F.col("__aw_u")))
     drawn = (
-        docs.select(*names)
-        .join(rates, F.col("source").eqNullSafe(F.col("__aw_source")))
-        .withColumn("__aw_u", hashed_uniform(F.lit(str(seed)), key, F.lit("1")))
+        docs.join(rates, docs["source"].eqNullSafe(F.col("__aw_source")))
+        .withColumn("__aw_key", key)
+        .withColumn("__aw_u", hashed_uniform(F.lit(str(seed)), F.col("__aw_key"), F.lit("1")))
         .withColumn("__aw_n", F.when(F.col("__aw_draws") == 1, one).otherwise(count))
         .filter("__aw_n > 0")
     )
-    copies = drawn.select(*names, F.explode(F.sequence(F.lit(1), F.col("__aw_n"))).alias("replica"))
-    placed = copies.withColumn("__aw_key", F.xxhash64(F.lit(seed), key, F.col("replica")))
-    return placed.repartition("__aw_key").sortWithinPartitions("__aw_key").drop("__aw_key")
+    copies = drawn.select(*names, "__aw_key", F.explode(F.sequence(F.lit(1), F.col("__aw_n"))).alias("__aw_replica"))
+    placed = copies.withColumn("__aw_place", F.xxhash64(F.lit(seed), "__aw_key", text_of(), "__aw_replica"))
+    dealt = placed.repartition("__aw_place").sortWithinPartitions("__aw_place")
+    return dealt.select(*names, *([F.col("__aw_replica").alias(number)] if number else []))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float = 1.0, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, budget: float = 1.0, seed: int = SEED) -> DataFrame:
     """The replicated, shuffled rows with the columns of docs only."""
-    out = replicate(docs, weights, alpha, budget, seed)
-    return out if "replica" in docs.columns else out.drop("replica")
+    return replicate(docs, weights, alpha, budget, seed)
 
 
 ORACLE_SQL = f"""
@@ -106,7 +113,7 @@ k AS (SELECT unnest(range(0, 200)) AS k),
 c AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM r, k),
 u AS (
-  SELECT *, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':1'), 1, 13))::BIGINT + 0.5)
+  SELECT *, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':1'), 1, 13))::BIGINT + 0.5)
     / {float(1 << 52)} AS u FROM documents),
 n AS (
   SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(c.k)::BIGINT AS n

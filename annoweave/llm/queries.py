@@ -36,7 +36,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.replicate(read_table(spark, sf_dir, "documents"))
+    return mixing.replicate(read_table(spark, sf_dir, "documents"), number="replica")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
