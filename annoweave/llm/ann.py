@@ -38,6 +38,12 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), dim)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: cosines stay the same to the last bit, and no square over- or underflows."""
+    _, exponent = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def row_dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows, summed in order of the dimensions: equal rows give equal sums."""
     out = np.zeros(len(a))
@@ -50,8 +56,7 @@ class Quantised:
     """Unit vectors as int8 times a scale, with the norms of what rounding took away."""
 
     def __init__(self, x: np.ndarray) -> None:
-        # dividing by the largest component first keeps squares of huge or tiny vectors finite
-        x = x / np.abs(x).max(1, keepdims=True)
+        x = scaled(x)  # squares of huge or tiny vectors stay finite
         unit = x / np.sqrt((x * x).sum(1, keepdims=True))
         self.scale = np.abs(unit).max(1) / 127
         self.q = np.rint(unit / self.scale[:, None]).astype(np.int8)
@@ -71,6 +76,7 @@ def tile_cosines(a: Quantised, b: Quantised) -> np.ndarray:
 def tile_neighbours(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int = K) -> list[tuple[int, int, float]]:
     """(query, candidate, cosine) of each query's k nearest in the tile, itself left out."""
     out: list[tuple[int, int, float]] = []
+    q, c = scaled(q), scaled(c)
     cq = Quantised(c)
     c_norm = np.sqrt(row_dots(c, c))
     for at in range(0, len(q), 256):
@@ -113,7 +119,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block:
     """Each query's k nearest candidates of another id by cosine.
 
     Both have columns (vec_id, v) as usable_vectors gives them. Vectors of different
-    lengths aren't compared. Ties go to the smaller vec_id. Rows repeated with one id
+    lengths aren't compared; components of any finite size are. Ties go to the smaller vec_id. Rows repeated with one id
     count as rows of their own, except that a query never meets its own id; a query
     id with several rows is ranked over all its rows' neighbours. With fewer than k
     candidates all are returned; no queries or no candidates give no rows.
@@ -123,7 +129,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block:
     blocks: list[int] = [max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (candidates, candidate_block))]
 
     def dealt(df: DataFrame, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
-        part: Column = F.pmod(F.xxhash64("vec_id"), F.lit(blocks[own])).alias(own_name)
+        # by id and vector: a repeated id's vectors don't meet in one block
+        part: Column = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[own])).alias(own_name)
         return df.select("vec_id", "v", F.size("v").alias("dim"), part).withColumn(other_name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[other] - 1).cast("long"))))
 
     q, c = dealt(queries, 0, 1, "qb", "cb"), dealt(candidates, 1, 0, "cb", "qb")

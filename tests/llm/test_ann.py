@@ -62,3 +62,26 @@ def test_few_candidates_and_empty(spark):
     assert X.nearest_to_every_nth(one.limit(0)).count() == 0
     two = spark.createDataFrame([(0, [1.0], 0.0), (50, [-3.0], 0.0)], DDL)
     assert sorted((r.query_id, r.vec_id, r.score) for r in X.nearest_to_every_nth(two).collect()) == [(0, 50, -1.0), (50, 0, -1.0)]
+
+
+def test_huge_tiny_and_repeated_vectors(spark):
+    rng = np.random.default_rng(5)
+    plain = rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in v * (10.0 ** [0, 200, -200, 300][i % 4])]) for i, v in enumerate(plain)]
+    rows += [(50, rows[3][1]), (7, rows[7][1]), (7, rows[9][1])]  # ids with several rows
+    flat = [(i, np.array(v) / np.abs(v).max()) for i, v in rows]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = X.nearest_to_every_nth(docs).collect()
+    for q in (0, 50):
+        own = [v for i, v in flat if i == q]
+        want = sorted((-(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)), i) for a in own for i, b in flat if i != q)[:5]
+        got = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [g[0] for g in got] == [1, 2, 3, 4, 5]
+        assert np.allclose([g[2] for g in got], [-s for s, _ in want], atol=1e-12) and np.isfinite([g[2] for g in got]).all()
+
+
+def test_scaling_changes_no_bit():
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(200, 64)), rng.normal(size=(200, 64))
+    cos = lambda x, y: X.row_dots(x, y) / (np.sqrt(X.row_dots(x, x)) * np.sqrt(X.row_dots(y, y)))
+    assert (cos(a, b) == cos(X.scaled(a), X.scaled(b))).all()
