@@ -14,7 +14,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import text_of
+from annoweave.llm.base import ASCII_SPACE, text_of
 
 # Spellings that licence matching treats as one, by whole words after normalisation.
 EQUIVALENT_WORDS = {
@@ -60,6 +60,16 @@ EQUIVALENT_WORDS = {
     "wilful": "willful",
 }
 
+# Words that are written in several ways, and names that licence matching treats as one.
+EQUIVALENT_PHRASES = {
+    "copyright owner": "copyright holder",
+    "copyright owners": "copyright holders",
+    "non commercial": "noncommercial",
+    "per cent": "percent",
+    "sub licence": "sublicense",
+    "sub license": "sublicense",
+}
+
 # Well-known licence texts and notices.
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -187,11 +197,12 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text: words in lower case with one space between."""
     lines = F.regexp_replace(F.lower(text), "\r\n?", "\n")
     # each copyright line leaves its line break, so that the next line's start is still seen
-    words = F.regexp_replace(F.regexp_replace(lines, HOLDER_LINE, "\n"), SEPARATORS, " ")
+    words = F.regexp_replace(F.regexp_replace(lines, HOLDER_LINE, "\n"), SEPARATORS, "  ")
+    # a word has a space of its own on either side, so neighbours that are both replaced don't share one
     spaced = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-    for british, american in EQUIVALENT_WORDS.items():
-        spaced = F.replace(spaced, F.lit(f" {british} "), F.lit(f" {american} "))
-    return F.trim(spaced)
+    for one, other in (EQUIVALENT_PHRASES | EQUIVALENT_WORDS).items():
+        spaced = F.replace(spaced, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
+    return F.trim(F.replace(spaced, F.lit("  "), F.lit(" ")))
 
 
 def known_digests(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -201,18 +212,32 @@ def known_digests(docs: DataFrame, known: list[tuple[str, str]] | None = None) -
     return rows.select(F.sha2(form, 256).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
+def closing_line(text: Column) -> Column:
+    """The last line that isn't blank."""
+    return F.substring_index(F.rtrim(text, F.lit(ASCII_SPACE)), "\n", -1)
+
+
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Which rows' whole texts are known licence texts.
+    """Which rows' whole texts are known licence texts, and whose closing lines are known notices.
 
-    Null and blank texts have the digest of the empty form and no licence. Rows
-    repeated stay repeated; an empty table gives no rows; other columns are ignored.
+    Null and blank texts have the digest of the empty form and no licence. A whole text
+    is a licence whatever its length; a text that ends with a notice is none, but
+    closing_license_id names it. Null ids and repeated rows stay as they are; an empty
+    table gives no rows; other columns are ignored.
 
-    Returns doc_id, canonical_sha256, license_id (null if unknown), is_license.
+    Returns doc_id, canonical_sha256, license_id (null if unknown), is_license, closing_license_id.
     """
-    digests = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(canonical(text_of(text_col)), 256).alias("canonical_sha256"))
+    digests = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.sha2(canonical(text_of(text_col)), 256).alias("canonical_sha256"),
+        F.sha2(canonical(closing_line(text_of(text_col))), 256).alias("closing_sha256"),
+    )
     # as many rows as there are known texts: a constant of this module
-    found = digests.join(F.broadcast(known_digests(docs, known)), F.col("canonical_sha256") == F.col("known_digest"), "left")
-    return found.select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    digest = known_digests(docs, known)
+    closing = digest.select(F.col("known_digest").alias("closing_digest"), F.col("license_id").alias("closing_license_id"))
+    found = digests.join(F.broadcast(digest), F.col("canonical_sha256") == F.col("known_digest"), "left")
+    found = found.join(F.broadcast(closing), F.col("closing_sha256") == F.col("closing_digest"), "left")
+    return found.select("doc_id", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"), "closing_license_id")
 
 
 def _sql_text(s: str) -> str:
@@ -220,19 +245,21 @@ def _sql_text(s: str) -> str:
 
 
 def _sql_canonical(t: str) -> str:
+    """The same form by lists: words are looked up one by one."""
     lines = f"regexp_replace(lower({t}), '\\r\\n?', chr(10), 'g')"
-    words = f"regexp_replace(regexp_replace({lines}, {_sql_text(COPYRIGHT_LINE)}, chr(10), 'g'), {_sql_text(SEPARATORS)}, ' ', 'g')"
-    spaced = f"' ' || trim({words}) || ' '"
-    for british, american in EQUIVALENT_WORDS.items():
-        spaced = f"replace({spaced}, ' {british} ', ' {american} ')"
-    return f"trim({spaced})"
+    words = f"trim(regexp_replace(regexp_replace({lines}, {_sql_text(COPYRIGHT_LINE)}, chr(10), 'g'), {_sql_text(SEPARATORS)}, ' ', 'g'))"
+    for one, other in EQUIVALENT_PHRASES.items():
+        words = f"regexp_replace({words}, '\\b{one}\\b', '{other}', 'g')"
+    spelt = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in EQUIVALENT_WORDS.items()) + "}"
+    return f"array_to_string(list_transform(string_split({words}, ' '), lambda w: coalesce({spelt}[w], w)), ' ')"
 
 
+_SQL_CLOSING = "string_split(rtrim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10))[-1]"
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS canonical_sha256 FROM documents),
+WITH d AS (SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS canonical_sha256, sha256({_sql_canonical(_SQL_CLOSING)}) AS closing_sha256 FROM documents),
 k AS (
   SELECT sha256({_sql_canonical("t")}) AS known_digest, min(license_id) AS license_id
   FROM (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in KNOWN_TEXTS)}) AS x(license_id, t) GROUP BY ALL)
-SELECT doc_id, canonical_sha256, license_id, license_id IS NOT NULL AS is_license
-FROM d LEFT JOIN k ON canonical_sha256 = known_digest
+SELECT doc_id, canonical_sha256, k.license_id, k.license_id IS NOT NULL AS is_license, c.license_id AS closing_license_id
+FROM d LEFT JOIN k ON canonical_sha256 = k.known_digest LEFT JOIN k c ON closing_sha256 = c.known_digest
 """

@@ -89,3 +89,28 @@ def test_terms_at_a_line_start_stay_however_a_text_is_wrapped(spark):
     assert scan(spark, [" ".join(mpl.split())]) == {0: "MPL-2.0"}
     changed = mpl.replace("under Patent Claims infringed by Covered Software", "under no Patent Claims at all")
     assert changed != mpl and scan(spark, [changed]) == {0: None}
+
+
+def test_adjacent_equal_words_and_phrases(spark):
+    docs = spark.createDataFrame([(1, "licence licence licence, LABOUR", ""), (2, "Copyright owner copyright owner's per cent non-commercial sub-licence", "")], DDL)
+    forms = {r.doc_id: r.c for r in docs.select("doc_id", X.canonical(docs.text).alias("c")).collect()}
+    assert forms[1] == "license license license labor"
+    docs = spark.createDataFrame([(2, "the copyright owner copyright owner, per cent non-commercial sub-licence", "")], DDL)
+    assert docs.select(X.canonical(docs.text)).first()[0] == "the copyright holder copyright holder percent noncommercial sublicense"
+
+
+def test_closing_lines_repeats_nulls_and_long_texts(spark):
+    long = "some words of a text " * 100_000
+    rows = [(1, "A text.\nReleased under the MIT Licence.\n \n", "x"), (1, "A text.\nReleased under the MIT Licence.\n \n", "x"), (None, long + "\r\nLicensed under CC BY 4.0.\r\n", None), (None, None, None), (2, long, ""), (3, "Released under the MIT License.\nand more", "")]
+    found = ((repr(r.doc_id), r.license_id, r.is_license, r.closing_license_id) for r in X.scan_licenses(spark.createDataFrame(rows, DDL)).collect())
+    assert sorted(found, key=repr) == sorted([("1", None, False, "MIT"), ("1", None, False, "MIT"), ("None", None, False, "CC-BY-4.0"), ("None", None, False, None), ("2", None, False, None), ("3", None, False, None)], key=repr)
+
+
+def test_the_query_finds_notices_as_its_sql_does(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = sorted(con.sql(X.ORACLE_SQL).fetchall(), key=repr)
+    found = sorted(map(tuple, X.scan_licenses(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()), key=repr)
+    assert found == want and any(r[4] for r in found)
