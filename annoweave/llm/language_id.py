@@ -10,58 +10,65 @@ row is marked as rejected.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoweave.llm.base import id_bucket
 
 FOLDS = 5
-#: Bytes of a dictionary, of all dictionaries together, and of one row in a dictionary, at most.
-DICT_BYTES = 110 << 10
+#: A dictionary holds so many pieces of so many characters at most, each from another row.
+PIECES, PIECE = 110, 1024
+#: Bytes of all dictionaries together, at most.
 ALL_BYTES = 64 << 20
-ROW_BYTES = 2048
-#: Rows of a language that are asked for; chosen by hash.
-ROWS = 96
 SEGMENT = 1024
+#: How thoroughly zstandard looks for matches.
+STRATEGY = zstandard.STRATEGY_BTLAZY2
 #: Relative difference of the two smallest sizes under which a prediction is rejected.
 MARGIN = 0.01
 UNDETERMINED = "und"
 NO_LETTER = 0.0
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _OUT = pa.schema([
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()),
 ])
 
 
-def learn_dictionaries(docs: DataFrame, folds: int = FOLDS, rows: int = ROWS, id_col: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary for each language, the commonest language first.
+def learn_dictionaries(docs: DataFrame, folds: int = FOLDS, pieces: int = PIECES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary for each language, the commonest language first, ties in order of name.
 
-    Learned from rows with text and language whose crc32(id) mod folds is not 0:
-    about `rows` rows a language, chosen by hash, ROW_BYTES of each.
+    Learned from rows with text and language whose crc32(id) mod folds is not 0: of
+    `pieces` rows a language, chosen by hash, one piece each, from a place that a hash
+    chooses in the whole text. All dictionaries together have ALL_BYTES at most; so many
+    languages that none of them would get a piece are an error.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col(id_col).isNotNull() & (id_bucket(folds, id_col) != 0))
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1))).collect()}  # one row a language
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(
+        F.col("l").isNotNull() & (F.length("t") > 0) & F.col("id").isNotNull() & (id_bucket(folds, "id") != 0)
+    )
+    by_size = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    most = ALL_BYTES // (4 * PIECE)  # a character has four bytes at most
+    counts = {r[0]: r[1] for r in by_size.limit(most + 1).collect()}
     if not counts:
         return {}
-    # one scan: a row is taken if its hash is below 4 * rows / (rows of its language)
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 4 * rows / n))])
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(9)), 11) / F.lit(float(1 << 53))
-    taken = usable.withColumn("u", u).filter(F.col("u") < share[F.col("lang")]).select("lang", "u", F.substring("text", 1, ROW_BYTES))
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
+    pieces = max(1, min(pieces, most // len(counts)))
+    # one scan: a row is taken if its hash is below 2 * pieces / (rows of its language), so enough rows are, but for very bad luck
+    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, (2 * pieces + 40) / n))])
+    u = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(9)), 11) / F.lit(float(1 << 53))
+    start = F.pmod(F.xxhash64("id", F.lit(10)), F.greatest(F.length("t") - PIECE, F.lit(0)) + 1)
+    taken = usable.withColumn("u", u).filter(F.col("u") < share[F.col("l")]).select("l", "u", "id", F.substring("t", (start + 1).cast("int"), F.lit(PIECE)).alias("piece"))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("u", "id", "piece"))
+    chosen = taken.withColumn("nth", nth).filter(F.col("nth") <= pieces)
     by: dict[str, list] = {}
-    for lang, at, text in taken.collect():
-        by.setdefault(lang, []).append((at, text))
-    size = max(1024, min(DICT_BYTES, ALL_BYTES // len(counts)))
-    out = {}
-    for lang in sorted(by, key=lambda k: (-counts[k], k)):
-        parts = [normal(t).encode("utf-8", "surrogatepass")[:ROW_BYTES] for _, t in sorted(by[lang])[:rows]]
-        out[lang] = b"\n".join(parts[::-1])[-size:]  # zstandard reaches the end of a dictionary most cheaply
-    return out
+    for lang, at, text in chosen.select("l", "nth", "piece").collect():  # ALL_BYTES at most
+        by.setdefault(lang, []).append((at, normal(text).encode("utf-8", "surrogatepass")))
+    return {lang: b"\n".join(x for _, x in sorted(by[lang])) for lang in sorted(by, key=lambda k: (-counts[k], k))}
 
 
 def normal(text: str) -> str:
@@ -69,19 +76,16 @@ def normal(text: str) -> str:
 
 
 class Compressors:
-    """Compressors by language: a thorough one for texts of one segment, a faster one for longer texts."""
+    """One compressor for each language, alike for all texts."""
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.langs = list(dictionaries)
-        self.short, self.long = (
-            [self._compress(raw, strategy) for raw in dictionaries.values()]
-            for strategy in (zstandard.STRATEGY_BTOPT, zstandard.STRATEGY_LAZY)
-        )
+        self.compress = [self._compressor(raw) for raw in dictionaries.values()]
 
     @staticmethod
-    def _compress(raw: bytes, strategy: int) -> Callable[[bytes], bytes]:
+    def _compressor(raw: bytes) -> Callable[[bytes], bytes]:
         params = zstandard.ZstdCompressionParameters.from_level(
-            3, min_match=3, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0
+            3, min_match=3, strategy=STRATEGY, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=params)
@@ -92,8 +96,11 @@ class Compressors:
         if text is None or not self.langs or not _LETTER.search(text):
             return UNDETERMINED, NO_LETTER, True
         raw = normal(text).encode("utf-8", "surrogatepass")
-        parts = [raw[i : i + SEGMENT] for i in range(0, len(raw), SEGMENT)]
-        sizes = [sum(len(f(p)) for p in parts) for f in (self.short if len(parts) == 1 else self.long)]
+        sizes = [0] * len(self.langs)
+        for at in range(0, len(raw), SEGMENT):
+            part = raw[at : at + SEGMENT]
+            for i, f in enumerate(self.compress):
+                sizes[i] += len(f(part))
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = [s for i, s in enumerate(sizes) if i != best]
         margin = (min(rest) - sizes[best]) / max(1, min(rest)) if rest else 1.0
@@ -105,8 +112,11 @@ def identify(docs: DataFrame, folds: int = FOLDS, dictionaries: dict[str, bytes]
 
     lang_pred is 'und' with score 0 if the text is null, has no letter or nothing was
     learned; otherwise a learned language, also where `rejected` says that the margin
-    is narrow. Rows with a null id are predicted and never learned from. An empty
-    table gives no rows; other columns are ignored.
+    is narrow; equal sizes go to the commoner language, then to the first by name. A
+    letter is what Unicode calls one: figures in other forms are none. Rows with a null id
+    are predicted and never learned from; repeated rows stay repeated. Long texts are
+    compressed to their end, a segment at a time. An empty table gives no rows; other
+    columns are ignored.
 
     Returns doc_id, held_out, lang_pred, score, rejected.
     """

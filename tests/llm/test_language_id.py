@@ -52,3 +52,37 @@ def test_narrow_margins_are_rejected():
     c = X.Compressors({"a": b"the same words here " * 40, "b": b"the same words here " * 40})
     lang, score, rejected = c.predict("the same words")
     assert lang == "a" and rejected and score == 0.5
+
+
+@pytest.mark.parametrize("text", ["²", "½ ①", "12 ٣", "_ -", " ", "😀"])
+def test_figures_and_marks_are_no_letters(text):
+    c = X.Compressors({"a": b"some text", "b": b"other text"})
+    assert c.predict(text)[0] == "und" and c.predict(text + "é")[0] in "ab"
+
+
+def test_sizes_by_brute_force(spark, rows):
+    import zstandard
+
+    learned = X.learn_dictionaries(spark.createDataFrame(rows, DDL))
+    c = X.Compressors(learned)
+    for _, text, *_ in [*rows[:60], (0, rows[0][1] * 40, "", 0)]:  # one segment and many
+        raw = " ".join(text.lower().split()).encode()
+        sizes = {}
+        for lang, d in learned.items():
+            params = zstandard.ZstdCompressionParameters.from_level(3, min_match=3, strategy=X.STRATEGY, write_content_size=0, write_checksum=0, write_dict_id=0)
+            fresh = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(fresh.compress(raw[i : i + X.SEGMENT])) for i in range(0, len(raw), X.SEGMENT))
+        assert c.predict(text)[0] == min(sizes, key=lambda k: (sizes[k], list(learned).index(k)))
+
+
+def test_pieces_come_from_whole_texts(spark):
+    # the languages differ in the second half of their texts only
+    docs = [(i, "x" * 3000 + " " + ("left " if i % 2 else "right ") * 600, "lr"[i % 2], 0) for i in range(200)]
+    learned = X.learn_dictionaries(spark.createDataFrame(docs, DDL))
+    assert all(len(d) <= X.PIECES * (X.PIECE * 4 + 1) for d in learned.values())
+    assert b"right right" in learned["l"] and b"left left" in learned["r"]
+
+
+def test_clashing_columns(spark, rows):
+    docs = spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows[:50]], DDL + ", u int, l string, t double").withColumnRenamed("u", "id")
+    assert X.identify(docs).count() == 50
