@@ -23,7 +23,7 @@ from annoweave.operators.inference import ChatClient, stub_client
 from annoweave.operators.splits import agreement_points, references_by_split, split_summary, transcript_manifest
 from annoweave.plans import charts, pipeline
 from annoweave.sources import sinks
-from annoweave.sources.spreadsheet import SheetSource
+from annoweave.sources.spreadsheet import read_sheet
 from annoweave.sources.tables import read_json_lines, read_whole_text, transcript_halves
 
 MASTER_COLUMNS = [*schemas.KEY_COLUMNS, "Child_ID", "exclusion"]
@@ -31,26 +31,21 @@ CODER_COLUMNS = [*schemas.KEY_COLUMNS, *schemas.CODER_FIELDS.values(), *schemas.
 LINE_COLUMNS = ["Transcript", "Speaker", "Utterance", "Line", "transcript_line"]
 
 
-def sheet(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
-    spark.dataSource.register(SheetSource)
-    return spark.read.format("sheet").option("sheet", name).option("columns", ",".join(columns)).load(path)
-
-
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return transcript_halves(*[sheet(spark, path, s, LINE_COLUMNS).withColumnRenamed("source_row", "ord") for s in schemas.TRANSCRIPT_SHEETS])
+    return transcript_halves(*[read_sheet(spark, path, s, LINE_COLUMNS).withColumnRenamed("source_row", "ord") for s in schemas.TRANSCRIPT_SHEETS])
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> dict:
     owners = (a.owner_1, a.owner_2)
-    master = sheet(spark, a.master, schemas.CODE_SHEET, MASTER_COLUMNS)
-    coders = [sheet(spark, p, schemas.CODE_SHEET, CODER_COLUMNS) for p in (a.coder_1, a.coder_2)]
+    master = read_sheet(spark, a.master, schemas.CODE_SHEET, MASTER_COLUMNS)
+    coders = [read_sheet(spark, p, schemas.CODE_SHEET, CODER_COLUMNS) for p in (a.coder_1, a.coder_2)]
     built = pipeline.build_dataset(master, *coders, transcripts(spark, a.master), schemas.EXCLUSION, owners, workbook=Path(a.master).name).cache()
     names = [f.name for f in schemas.TOKEN.fields]
     sinks.write_json_lines(built.select(*names), f"{a.out}/dataset.jsonl", ["record_id"], overwrite=a.overwrite)
     sinks.write_json_lines(pipeline.human_reference(built, owners), f"{a.out}/reference.jsonl", ["record_id"], overwrite=a.overwrite)
     sinks.write_csv(sinks.flat_dataset(built), f"{a.out}/dataset.csv", ["record_id"], overwrite=a.overwrite)
-    dropped = master.filter(~pipeline.keep_row("exclusion", schemas.EXCLUSION))
-    summary = sinks.build_summary(built, dropped, exclusion=schemas.EXCLUSION, context_window_size=schemas.CONTEXT_LINES)
+    dropped = master.filter(~pipeline.keep_row(master, schemas.EXCLUSION))
+    summary = sinks.build_summary(built, dropped, rows=True, exclusion=schemas.EXCLUSION, context_window_size=schemas.CONTEXT_LINES)
     sinks.write_json_lines(summary, f"{a.out}/summary.json", [], one_file=True, overwrite=a.overwrite)
     return summary.first().asDict()
 
@@ -75,10 +70,8 @@ def split(spark: SparkSession, a: argparse.Namespace) -> dict:
     ages: dict[str, list[float]] = {}
     for r in age_histogram(out, "child_age_months", by=["split"]).collect():
         ages.setdefault(r["split"], [0.0] * 6)[r["bin"]] = r["weight"]
-    points = [tuple(r) for r in agreement_points(out).collect()]  # a row a transcript: this is for the eye
-    for name, svg in (("dashboard", charts.split_dashboard(rows, ages)), ("agreement", charts.agreement_scatter(points))):
-        Path(a.out).mkdir(parents=True, exist_ok=True)
-        Path(a.out, f"{name}.svg").write_text(svg, encoding="utf-8")
+    for name, svg in (("dashboard", charts.split_dashboard(rows, ages)), ("agreement", charts.agreement_scatter(agreement_points(out)))):
+        sinks.write_text(spark, f"{a.out}/{name}.svg", svg)
     return {"splits": {r["split"]: r["n_rows"] for r in rows}}
 
 

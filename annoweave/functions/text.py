@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 DAYS_A_MONTH = 30.4375
@@ -66,3 +67,17 @@ def repetition_candidate(negator: Column, previous_negator: Column) -> Column:
 def mimicry_candidate(utterance: Column, speaker: Column, before: Column) -> Column:
     """Whether another speaker said exactly this within the context before."""
     return F.coalesce(F.exists(before, lambda x: (x["utterance"] == utterance) & (x["speaker"] != speaker)), F.lit(False))
+
+
+def json_safe(df: DataFrame, name: str) -> Column:
+    """A column as JSON can hold it: text, numbers and booleans as they are, all else as text."""
+    kind = df.schema[name].dataType
+    plain = isinstance(kind, (T.StringType, T.BooleanType, T.NumericType)) and not isinstance(kind, T.DecimalType)
+    return F.col(f"`{name}`") if plain else F.col(f"`{name}`").cast("string")
+
+
+def xml_text(c: Column) -> Column:
+    """Text as the content of an XML element."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(mark), F.lit(entity))
+    return c

@@ -99,3 +99,37 @@ def sorted_counts(df: DataFrame, key: str, by: list[str], name: str) -> DataFram
     """(by..., name): counts of the non-null values of key as a map in order of value."""
     n = df.filter(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+
+
+def recoded(label: Column, group: tuple[str, ...], inside: str, outside: str) -> Column:
+    """Labels of a group under one name, all others under another; null stays null."""
+    return F.when(label.isNotNull(), F.when(label.isin(*group), inside).otherwise(outside))
+
+
+def binary_agreement(df: DataFrame, left: str, right: str, group: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
+    """Agreement on whether a label is of a group."""
+    yes_no = lambda c: recoded(F.col(c), group, "in", "out")
+    rows = df.select(*(by or []), yes_no(left).alias("__left"), yes_no(right).alias("__right"))
+    return agreement_stats(pair_counts(rows, "__left", "__right", by), by)
+
+
+def agreement_where_agreed(df: DataFrame, first: str, second: str, model: str, by: list[str] | None = None) -> DataFrame:
+    """A model's agreement with the label on which two coders agree."""
+    return agreement_stats(pair_counts(df.filter(F.col(first) == F.col(second)), first, model, by), by)
+
+
+def with_and_without(df: DataFrame, left: str, right: str, flag: Column, names: tuple[str, str], name: str = "rows_used") -> DataFrame:
+    """Agreement over all rows and over those without the flag, in one pass."""
+    used = F.explode(F.when(F.coalesce(flag, F.lit(False)), F.array(F.lit(names[0]))).otherwise(F.array(*[F.lit(n) for n in names]))).alias(name)
+    return agreement_stats(pair_counts(df.select(used, left, right), left, right, [name]), [name])
+
+
+def gap_to_humans(df: DataFrame, first: str, second: str, model: str, by: list[str]) -> DataFrame:
+    """(by..., human_kappa, model_kappa, gap): how far a model's kappa with the first coder is from the second coder's."""
+    human, own = (agreement_stats(pair_counts(df, first, c, by), by).select(*by, F.col("cohen_kappa").alias(n)) for c, n in ((second, "human_kappa"), (model, "model_kappa")))
+    return human.join(own, by).withColumn("gap", F.col("model_kappa") - F.col("human_kappa"))
+
+
+def label_set(df: DataFrame, labels: list[str], by: list[str], name: str = "label") -> DataFrame:
+    """The different labels of several columns together."""
+    return df.select(*by, F.explode(F.array(*labels)).alias(name)).filter(F.col(name).isNotNull()).distinct()

@@ -34,3 +34,8 @@ def missing_from(expected: DataFrame, seen: DataFrame, keys: list[str]) -> DataF
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def key_differences(keys: Column, wanted: Column) -> tuple[Column, Column, Column]:
+    """(extra, missing, equal as sets) of two arrays of names; the first two in order."""
+    return F.array_sort(F.array_except(keys, wanted)), F.array_sort(F.array_except(wanted, keys)), F.array_sort(F.array_distinct(keys)) == F.array_sort(F.array_distinct(wanted))

@@ -9,21 +9,41 @@ from annoweave.schemas import CONTEXT_LINES
 
 #: Ordinals of one numbering range.
 RANGE = 1 << 20
+#: Ranges whose counts are summed up together.
+FAN = 1 << 14
+
+
+def _starts(counts: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Add __before, the sum of count over all smaller __range, to (keys..., __range, count).
+
+    span is the number of ranges between the least and the greatest. Ranges are summed up
+    in groups of FAN, those in groups of FAN again, until few enough are left for one
+    window; so no task sees more than FAN rows of one table, however sparse the ranges are.
+    """
+    before = lambda *by: F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if span <= FAN:
+        return counts.withColumn("__before", before(*keys))
+    grouped = counts.withColumn("__group", F.floor(F.col("__range") / F.lit(FAN)))
+    sums = grouped.groupBy(*keys, F.col("__group").alias("__range")).agg(F.sum("count").alias("count"))
+    outer = _starts(sums, keys, span // FAN + 1).select(*keys, F.col("__range").alias("__group"), F.col("__before").alias("__outer"))
+    inner = grouped.withColumn("__inner", before(*keys, "__group")).join(outer, [*keys, "__group"])
+    return inner.select(*keys, "__range", "count", (F.col("__inner") + F.col("__outer")).alias("__before"))
 
 
 def dense_number(df: DataFrame, ordinal: str, name: str, width: int = RANGE, within: list[str] | None = None) -> DataFrame:
     """Number rows from 1 by an integer ordinal, without bringing them all together.
 
     Rows are cut into ranges of the ordinal; each range is numbered by itself and
-    starts after the count of the ranges before it, which is one row a range.
+    starts after the count of the ranges before it. Reads the ordinal once beforehand,
+    for its least and greatest value.
     """
     keys = within or []
-    cut = df.withColumn("__range", F.floor(F.col(ordinal) / F.lit(width)))
-    sums = cut.groupBy(*keys, "__range").count()
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    ends = df.agg(F.floor(F.min(ordinal) / F.lit(width)), F.floor(F.max(ordinal) / F.lit(width))).first()
+    span = 1 if ends[0] is None else int(ends[1]) - int(ends[0]) + 1
+    ranged = df.withColumn("__range", F.floor(F.col(ordinal) / F.lit(width)))
+    starts = _starts(ranged.groupBy(*keys, "__range").count(), keys, span).drop("count")
     own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(ordinal))
-    return cut.withColumn("__own", own).join(starts, [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+    return ranged.withColumn("__own", own).join(starts, [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
 
 
 def record_id(number: Column, prefix: str = "eng_") -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoweave.functions.coding import assigned_coder, is_coded
-from annoweave.functions.text import clean, pick
+from annoweave.functions.text import pick
 from annoweave.operators.ages import child_ages
 from annoweave.operators.inference import Client, code_batches, failed_batches, predictions_of, require_all_ok
-from annoweave.operators.linking import alignment_mismatch, line_lookup, with_reference
+from annoweave.operators.linking import alignment_mismatch, with_reference
 from annoweave.operators.ordering import context_missing, context_windows, dense_number, head, last_by, record_id
 from annoweave.operators.splits import apply_splits, label_counts, search_splits, transcript_table
 from annoweave.schemas import CONTEXT_LINES, SCHEMA_VERSION
@@ -17,9 +17,24 @@ from annoweave.sources.sinks import guard_lockbox, guard_numbers, guard_outputs,
 from annoweave.sources.tables import coder_records, row_key, speaker_lines
 
 
-def keep_row(exclusion: str, dropped: str) -> F.Column:
+def keep_row(master: DataFrame, dropped: str) -> Column:
     """Whether a master row stays: its exclusion isn't exactly the one class that is dropped."""
-    return ~clean(F.col(exclusion)).eqNullSafe(F.lit(dropped))
+    return ~pick(master, "exclusion").eqNullSafe(F.lit(dropped))
+
+
+def token_contexts(tokens: DataFrame, lines: DataFrame, size: int = CONTEXT_LINES) -> DataFrame:
+    """(half, transcript_id, line, context_before, context_after) for the lines that hold tokens.
+
+    Of several lines of one number the last counts. Which line that is, and whether a
+    token stands there, is settled on keys alone before any window is built.
+    """
+    keys = ["half", "transcript_id", "line"]
+    wanted = tokens.select(*keys).distinct()
+    last = lines.groupBy(*keys).agg(F.max("ord").alias("ord")).join(wanted, keys, "left_semi")
+    hit = last.select("half", "transcript_id", "ord", F.lit(True).alias("__hit"))
+    item = F.struct("line", "speaker", "utterance", "transcript_line")
+    windows = context_windows(lines.join(hit, ["half", "transcript_id", "ord"], "left"), ["half", "transcript_id"], "ord", item, size)
+    return windows.filter("__hit").select(*keys, "context_before", "context_after")
 
 
 def build_dataset(master: DataFrame, coder_1: DataFrame, coder_2: DataFrame, transcripts: DataFrame, exclusion: str, owners: tuple[str, str], language: str = "English", workbook: str = "", sheet: str = "Code", size: int = CONTEXT_LINES) -> DataFrame:
@@ -29,8 +44,9 @@ def build_dataset(master: DataFrame, coder_1: DataFrame, coder_2: DataFrame, tra
     sheet). Rows whose exclusion equals the constant are dropped and use no id. Coder
     rows are found by source_row even where their keys differ; that is flagged.
     """
-    rows = master.filter(~pick(master, "exclusion").eqNullSafe(F.lit(exclusion)))
+    rows = dense_number(master.filter(keep_row(master, exclusion)), "source_row", "__n")
     rows = rows.select(
+        "__n",
         "source_row", row_key(rows).alias("key"), pick(rows, "Transcript").alias("transcript_id"), pick(rows, "Half").cast("int").alias("half"),
         pick(rows, "Line").cast("long").alias("line"), pick(rows, "Speaker").alias("speaker"), pick(rows, "Child_ID").cast("string").alias("child_id"),
         pick(rows, "Negation").alias("target_negator"), pick(rows, "Utterance").alias("target_utterance"),
@@ -43,12 +59,9 @@ def build_dataset(master: DataFrame, coder_1: DataFrame, coder_2: DataFrame, tra
         rows = rows.withColumn(f"coded_by_{i}", assigned_coder(theirs.isNotNull(), theirs["bloom_label"], theirs["coded_by_raw"], owner)).withColumn(
             f"key_mismatch_{i}", alignment_mismatch(theirs.isNotNull(), F.col("key"), theirs["key"])
         )
-    item = F.struct("line", "speaker", "utterance", "transcript_line")
-    windows = context_windows(speaker_lines(transcripts), ["half", "transcript_id"], "ord", item, size)
-    rows = line_lookup(rows, windows, ["half", "transcript_id", "line"], "ord", ["context_before", "context_after"])
+    rows = rows.join(token_contexts(rows, speaker_lines(transcripts), size), ["half", "transcript_id", "line"], "left")
     none = F.array().cast("array<struct<line:bigint,speaker:string,utterance:string,transcript_line:string>>")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("context_before", "context_after")})
-    rows = dense_number(rows, "source_row", "__n")
     return rows.select(
         record_id(F.col("__n")).alias("record_id"), F.lit(language).alias("language"), F.struct(F.lit(workbook).alias("workbook"), F.lit(sheet).alias("sheet"), "source_row").alias("source"),
         "source_row", "transcript_id", "half", "line", "speaker", "child_id", "target_negator", "target_utterance", F.lit(size).alias("context_window_size"), "context_before", "context_after",
@@ -62,11 +75,16 @@ def human_reference(built: DataFrame, owners: tuple[str, str]) -> DataFrame:
     return built.select("record_id", "source_row", *cols)
 
 
+def with_ages(records: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Records with their child's age, null where the transcript has none."""
+    return records.join(child_ages(transcripts), "transcript_id", "left")
+
+
 def split_dataset(records: DataFrame, references: DataFrame, transcripts: DataFrame, targets: dict[str, float] | None = None, **search: object) -> DataFrame:
     """Records with labels, ages and their split."""
     labels = references.select("record_id", F.col("coder_1.bloom_label").alias("bloom_1"), F.col("coder_2.bloom_label").alias("bloom_2"))
     labelled = with_reference(records, last_by(labels, ["record_id"], "record_id"))
-    aged = labelled.join(child_ages(transcripts), "transcript_id", "left")
+    aged = with_ages(labelled, transcripts)
     coded = aged.filter(is_coded(F.col("coded_by_1"), F.col("coded_by_2")))
     found = search_splits(transcript_table(coded), label_counts(coded), targets, **search)
     return apply_splits(aged, found.select("transcript_id", "split"))
@@ -92,8 +110,8 @@ def run_model(records: DataFrame, split: str, client: Client, prompt: str, out:
         write_json_lines(failed, f"{out}.failed", ["batch_number"], overwrite=True)
     require_all_ok(results)
     found = predictions_of(results)
-    write_json_lines(found, out, ["batch_number", "pos"], one_file=True, overwrite=overwrite)
-    write_json_lines(results.select("batch_number", "record_ids", *told, F.col("response").alias("raw_response")), raw_out, ["batch_number"], one_file=True, overwrite=overwrite)
+    write_json_lines(found, out, ["batch_number", "pos"], overwrite=overwrite)
+    write_json_lines(results.select("batch_number", "record_ids", *told, F.col("response").alias("raw_response")), raw_out, ["batch_number"], overwrite=overwrite)
     return found
 
 

@@ -18,6 +18,7 @@ from annoweave.operators import splits as sp
 from annoweave.operators.ages import age_histogram, child_ages, weighted_mean
 from annoweave.operators.inference import code_batches, predictions_of, prompt_records, run_summary, stub_client
 from annoweave.operators.linking import alignment_mismatch, duplicates, line_lookup, missing_from, with_reference
+from annoweave.operators.linking import key_differences as key_differences_of
 from annoweave.operators.ordering import batch_number, context_missing, context_windows, dense_number, head, record_id, top_counts
 from annoweave.operators.validation import extracted_json, policy_violations, with_verdict
 from annoweave.schemas import FLAGS, NEITHER_SPLIT, PREDICTION_KEYS, SPLIT_TARGETS
@@ -167,8 +168,7 @@ def model_vs_each_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {UNITS_SQL}, {agreement_sql('lang', 'bloom_1', 'model', 'u', 'AND bloom_1 = bloom_2')} SELECT * FROM irr")
 def agreed_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agreed = units(spark, sf_dir).filter("bloom_1 = bloom_2")
-    return ag.agreement_stats(ag.pair_counts(agreed, "bloom_1", "model", ["lang"]), ["lang"])
+    return ag.agreement_where_agreed(units(spark, sf_dir), "bloom_1", "bloom_2", "model", ["lang"])
 
 
 @query(f"""WITH {UNITS_SQL}, v AS (
@@ -176,9 +176,7 @@ def agreed_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN model IN ('Rejection', 'Denial') THEN 'negation' ELSE 'other' END AS b FROM u WHERE bloom_1 IS NOT NULL AND model IS NOT NULL), {agreement_sql('', 'a', 'b', 'v')}
 SELECT * FROM irr""")
 def binary_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recode = lambda c: F.when(F.col(c).isNotNull(), F.when(F.col(c).isin("Rejection", "Denial"), "negation").otherwise("other"))
-    v = units(spark, sf_dir).select(recode("bloom_1").alias("a"), recode("model").alias("b"))
-    return ag.agreement_stats(ag.pair_counts(v, "a", "b"))
+    return ag.binary_agreement(units(spark, sf_dir), "bloom_1", "model", ("Rejection", "Denial"))
 
 
 @query(f"""WITH {UNITS_SQL} SELECT lang, CASE WHEN model = bloom_1 THEN 'sides_with_1' WHEN model = bloom_2 THEN 'sides_with_2'
@@ -203,8 +201,7 @@ def error_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {UNITS_SQL}, v AS (SELECT 'all' AS rows_used, * FROM u UNION ALL SELECT 'without_repetition', * FROM u WHERE repetition_1 <> 'Yes'), {agreement_sql('rows_used', of='v')}
 SELECT * FROM irr""")
 def repetition_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use = F.explode(F.when(F.col("repetition_1") == "Yes", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("without_repetition"))))
-    return ag.agreement_stats(ag.pair_counts(units(spark, sf_dir).withColumn("rows_used", use), "bloom_1", "bloom_2", ["rows_used"]), ["rows_used"])
+    return ag.with_and_without(units(spark, sf_dir), "bloom_1", "bloom_2", F.col("repetition_1") == "Yes", ("all", "without_repetition"))
 
 
 @query(f"""WITH {UNITS_SQL}, v AS (SELECT 'repetition' AS flag, CASE WHEN repetition_1 IN ('Yes', 'No') THEN repetition_1 END AS a, CASE WHEN repetition_2 IN ('Yes', 'No') THEN repetition_2 END AS b FROM u),
@@ -226,10 +223,7 @@ def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {UNITS_SQL}, h AS (WITH {agreement_sql('lang')} SELECT * FROM irr), g AS (WITH {agreement_sql('lang', 'bloom_1', 'model')} SELECT * FROM irr)
 SELECT h.lang, h.cohen_kappa AS human_kappa, g.cohen_kappa AS model_kappa, g.cohen_kappa - h.cohen_kappa AS gap FROM h JOIN g USING (lang)""")
 def gap_to_humans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = units(spark, sf_dir)
-    human, model = (ag.agreement_stats(ag.pair_counts(u, "bloom_1", c, ["lang"]), ["lang"]) for c in ("bloom_2", "model"))
-    both = human.select("lang", F.col("cohen_kappa").alias("human_kappa")).join(model.select("lang", F.col("cohen_kappa").alias("model_kappa")), "lang")
-    return both.withColumn("gap", F.col("model_kappa") - F.col("human_kappa"))
+    return ag.gap_to_humans(units(spark, sf_dir), "bloom_1", "bloom_2", "model", ["lang"])
 
 
 # -- coding status -----------------------------------------------------------
@@ -319,12 +313,13 @@ def repetition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("same", same).filter("same").select("conv_id", "turn", "same")
 
 
-@query("""SELECT a.conv_id, a.turn FROM conversations a WHERE EXISTS (
-  SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 20 AND b.text = a.text AND b.role <> a.role)""")
+@query("""WITH w AS (SELECT conv_id, turn, role, lower(string_split(text, ' ')[1])[1:2] AS said FROM conversations) SELECT a.conv_id, a.turn FROM w a WHERE EXISTS (
+  SELECT 1 FROM w b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 20 AND b.said = a.said AND b.role <> a.role)""")
 def mimicry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations")
-    c = context_windows(lines, ["conv_id"], "turn", F.struct(F.col("text").alias("utterance"), F.col("role").alias("speaker")))
-    return c.filter(mimicry_candidate(F.col("text"), F.col("role"), F.col("context_before"))).select("conv_id", "turn")
+    """With the first two letters of a turn as what was said, so that some turns repeat another's."""
+    lines = table(spark, sf_dir, "conversations").withColumn("said", F.substring(F.lower(F.substring_index("text", " ", 1)), 1, 2))
+    c = context_windows(lines, ["conv_id"], "turn", F.struct(F.col("said").alias("utterance"), F.col("role").alias("speaker")))
+    return c.filter(mimicry_candidate(F.col("said"), F.col("role"), F.col("context_before"))).select("conv_id", "turn")
 
 
 # -- joins -------------------------------------------------------------------
@@ -378,8 +373,7 @@ def union_of_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {UNITS_SQL} SELECT lang, bloom_1 AS label FROM u WHERE bloom_1 IS NOT NULL UNION SELECT lang, bloom_2 FROM u WHERE bloom_2 IS NOT NULL")
 def label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = units(spark, sf_dir)
-    return u.select("lang", F.explode(F.array("bloom_1", "bloom_2")).alias("label")).filter("label IS NOT NULL").distinct()
+    return ag.label_set(units(spark, sf_dir), ["bloom_1", "bloom_2"], ["lang"])
 
 
 @query("""WITH k AS (SELECT doc_id, list_concat(['record_id', 'flags'], CASE WHEN doc_id % 2 = 0 THEN ['comments', 'why'] ELSE ['bloom_label', 'comments'] END) AS keys FROM documents)
@@ -387,11 +381,8 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'why' ELSE '' END AS extra, CASE WH
 def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     lits = lambda *x: F.array(*[F.lit(v) for v in x])
     keys = F.concat(lits("record_id", "flags"), F.when(F.col("doc_id") % 2 == 0, lits("comments", "why")).otherwise(lits("bloom_label", "comments")))
-    wanted = lits(*PREDICTION_KEYS)
-    joined = lambda c: F.array_join(F.array_sort(c), ",")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", joined(F.array_except(keys, wanted)).alias("extra"), joined(F.array_except(wanted, keys)).alias("missing"), (F.array_sort(keys) == F.array_sort(wanted)).alias("exact")
-    )
+    extra, missing, exact = key_differences_of(keys, lits(*PREDICTION_KEYS))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(extra, ",").alias("extra"), F.array_join(missing, ",").alias("missing"), exact.alias("exact"))
 
 
 # -- scalars -----------------------------------------------------------------
@@ -576,8 +567,8 @@ def prompt_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLAGS_JSON = "{" + ",".join(f'"{f}":"No"' for f in FLAGS) + "}"
 
 
-def synthetic_response(i: Column) -> Column:
-    """A reply for one record, broken in one way for each remainder of i modulo 17."""
+def synthetic_response(i: Column, case: Column) -> Column:
+    """A reply for record i, broken in one way for each case from 1 to 16."""
     rid = record_id(i)
 
     def one(label: str = '"Denial"', flags: str = _FLAGS_JSON, comments: str = '""', extra: str = "", rid: Column = rid) -> Column:
@@ -594,13 +585,13 @@ def synthetic_response(i: Column) -> Column:
     }
     out = F.concat(F.lit("Here it is:\n```json\n"), reply(one()), F.lit("\n```"))
     for k, v in cases.items():
-        out = F.when(i % 17 == k, v).otherwise(out)
+        out = F.when(case == k, v).otherwise(out)
     return out
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 17 = 16 THEN 'json' ELSE 'V-' || (doc_id % 17) END AS code, CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS n_predictions FROM documents")
 def validate_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", synthetic_response(F.col("doc_id")).alias("reply"), F.array(record_id(F.col("doc_id"))).alias("ids"))
+    d = table(spark, sf_dir, "documents").select("doc_id", synthetic_response(F.col("doc_id"), F.col("doc_id") % 17).alias("reply"), F.array(record_id(F.col("doc_id"))).alias("ids"))
     v = with_verdict(d, "reply", "ids")
     return v.select("doc_id", "v.code", F.coalesce(F.size("v.predictions"), F.lit(0)).alias("n_predictions"))
 
@@ -636,3 +627,7 @@ def stub_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_property_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# the queries of whole stages register themselves here too
+from annoweave import stage_queries as stage_queries  # noqa: E402

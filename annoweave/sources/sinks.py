@@ -25,6 +25,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def write_text(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """One small file, such as a chart, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(content.encode("utf-8") if isinstance(content, str) else content))
+    finally:
+        out.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def guard_outputs(spark: SparkSession, paths: list[str], overwrite: bool = False) -> None:
     held = [p for p in paths if path_exists(spark, p)]
     if held and not overwrite:
@@ -81,14 +96,24 @@ def write_csv(df: DataFrame, path: str, order: list[str], one_file: bool = False
     return True
 
 
-def build_summary(records: DataFrame, dropped: DataFrame, **about: object) -> DataFrame:
-    """One row: counts, source rows with mismatched keys or without context, and what else is told.
+PROBLEMS = ("key_mismatch_1", "key_mismatch_2", "context_missing")
+
+
+def problem_rows(records: DataFrame) -> DataFrame:
+    """(problem, source_row) for each row with a mismatched key or without context: a table, however many there are."""
+    named = F.explode(F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in PROBLEMS]), lambda x: x.isNotNull())).alias("problem")
+    return records.select(named, "source_row")
+
+
+def build_summary(records: DataFrame, dropped: DataFrame, rows: bool = False, **about: object) -> DataFrame:
+    """One row: counts, and what else is told.
 
-    records has source_row, key_mismatch_1, key_mismatch_2 and context_missing.
+    records has source_row, key_mismatch_1, key_mismatch_2 and context_missing. With
+    `rows` the numbers of those rows are listed too, which is for what comes out of one
+    workbook; problem_rows has them as a table.
     """
     listed = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col("source_row"))))
-    flags = ("key_mismatch_1", "key_mismatch_2", "context_missing")
-    sums = records.agg(F.count(F.lit(1)).alias("n_records"), *[F.count_if(c).alias(f"n_{c}") for c in flags], *[listed(c).alias(f"{c}_rows") for c in flags])
+    sums = records.agg(F.count(F.lit(1)).alias("n_records"), *[F.count_if(c).alias(f"n_{c}") for c in PROBLEMS], *[listed(c).alias(f"{c}_rows") for c in PROBLEMS if rows])
     return sums.crossJoin(dropped.agg(F.count(F.lit(1)).alias("n_dropped"))).select("*", *[F.lit(json.dumps(v) if isinstance(v, (dict, list)) else v).alias(k) for k, v in about.items()])
 
 

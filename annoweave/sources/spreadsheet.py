@@ -1,7 +1,6 @@
-"""A reader of Office Open XML workbooks as a Spark data source.
+"""Office Open XML workbooks, read from any file system that Spark reads.
 
-    spark.dataSource.register(SheetSource)
-    spark.read.format("sheet").option("sheet", "Code").option("columns", "Bloom,Line").load("coder.xlsx")
+    read_sheet(spark, "hdfs:///in/coder.xlsx", "Code", ["Bloom", "Line"])
 
 Rows carry source_row, the row's number in the sheet (the header is row 1); blank rows
 are kept. All other columns are text as the cell holds it; numbers without a fraction
@@ -16,10 +15,12 @@ import re
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
+from itertools import islice
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -88,27 +89,34 @@ def table_rows(raw: bytes, sheet: str, columns: list[str]) -> Iterator[tuple]:
         yield (number, *(cells[head[c]] if c in head and head[c] < len(cells) else None for c in columns))
 
 
-class SheetReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
-        self.columns = [c for c in (options.get("columns") or "").split(",") if c]
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.options["path"].split(";")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            yield from table_rows(f.read(), self.options.get("sheet") or "Code", self.columns)
-
-
-class SheetSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "sheet"
-
-    def schema(self) -> str:
-        names = [c for c in (self.options.get("columns") or "").split(",") if c]
-        return ", ".join(["source_row int", *(f"`{c}` string" for c in names)])
-
-    def reader(self, schema: StructType) -> SheetReader:
-        return SheetReader(dict(self.options))
+def read_sheet(spark: SparkSession, path: str | list[str], sheet: str, columns: list[str]) -> DataFrame:
+    """(source_row, columns...) of the sheet of that name in each workbook."""
+    kinds = [pa.int32(), *[pa.string()] * len(columns)]
+    names = ["source_row", *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0):
+                rows = table_rows(raw.as_py(), sheet, columns)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+    ddl = ", ".join(["source_row int", *("`" + c.replace("`", "``") + "` string" for c in columns)])
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ddl)
+
+
+def workbook(sheets: dict[str, list[list[str | None]]]) -> bytes:
+    """A workbook of text cells: rows by sheet, the first being the header. None is no cell."""
+    spaces = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    column = lambda j: (column(j // 26 - 1) if j > 25 else "") + chr(65 + j % 26)
+    cell = lambda j, n, v: f'<c r="{column(j)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f"<workbook {spaces}><sheets>{names}</sheets></workbook>")
+        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{n}">' + "".join(cell(j, n, v) for j, v in enumerate(r) if v is not None) + "</row>" for n, r in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {spaces}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()

@@ -219,3 +219,52 @@ def test_many_transcripts_are_not_bundled(spark, records):
     found = sp.search_splits(many, labels, iterations=2).cache()
     assert found.count() == 60_000
     assert sp.split_objective(many, labels, found.select("transcript_id", "split")).first().score == pytest.approx(found.first().score, rel=1e-9)
+
+
+def test_sparse_ordinals_are_numbered_without_one_window(spark):
+    rng = np.random.default_rng(8)
+    ords = sorted({int(x) for x in rng.integers(-(2**62), 2**62, 400)} | {0, 1, 2, 10**6, 2**62, -(2**62)})
+    df = spark.createDataFrame([(x, i % 3) for i, x in enumerate(ords)], "o long, g int").repartition(4)
+    for width in (1, 1 << 20, 1 << 50):
+        assert {r.o: r.n for r in ordering.dense_number(df, "o", "n", width=width).collect()} == {x: i for i, x in enumerate(ords, 1)}
+    within = {r.o: r.n for r in ordering.dense_number(df, "o", "n", width=1 << 30, within=["g"]).collect()}
+    assert within == {x: i // 3 + 1 for i, x in enumerate(ords)}
+    assert ordering.dense_number(df.limit(0), "o", "n").count() == 0
+
+
+def test_contexts_of_repeated_lines_are_those_of_the_last(spark):
+    from annoweave.plans import pipeline
+
+    lines = spark.createDataFrame([(1, i, "t", i % 30, "*A:", f"u{i}", None) for i in range(60)], "half int, ord int, transcript_id string, line long, speaker string, utterance string, transcript_line string")
+    tokens = spark.createDataFrame([(1, "t", 4), (1, "t", 4), (1, "t", 29), (1, "t", 77), (2, "t", 4), (1, None, None)], "half int, transcript_id string, line long")
+    found = {r.line: r for r in pipeline.token_contexts(tokens, lines, 3).collect()}
+    assert set(found) == {4, 29}
+    assert [x.utterance for x in found[4].context_before] == ["u31", "u32", "u33"] and [x.utterance for x in found[29].context_after] == []
+
+
+def test_json_safe_values(spark):
+    from annoweave.functions.text import json_safe
+
+    df = spark.sql("SELECT 1 AS i, 1.5D AS d, true AS b, 'x' AS s, DATE'2024-01-02' AS day, CAST(NULL AS DATE) AS none, 1.50 AS e, array(1) AS a")
+    row = df.select(*[json_safe(df, c).alias(c) for c in df.columns]).first()
+    assert tuple(row) == (1, 1.5, True, "x", "2024-01-02", None, "1.50", "[1]")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as S
+
+    from annoweave import session
+
+    named = []
+
+    def fake(master, folder=None):
+        context = S(master=master, getCheckpointDir=lambda: None, setCheckpointDir=named.append)
+        return S(sparkContext=context, conf=S(get=lambda k, d: folder or d))
+
+    for master in ("local", "local[*]", "local[4]"):
+        session.ensure_checkpoint_dir(fake(master))
+    session.ensure_checkpoint_dir(fake("spark://x:7077", "hdfs:///shared"))
+    assert len(named) == 4 and named[-1] == "hdfs:///shared"
+    for master in ("spark://x:7077", "local-cluster[3,2,3000]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.ensure_checkpoint_dir(fake(master))

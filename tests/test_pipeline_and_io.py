@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import zipfile
 from pathlib import Path
@@ -35,7 +36,7 @@ def test_build(built):
     rows = {r.source_row: r for r in built.collect()}
     assert len(rows) == 29 and 4 not in rows and rows[5].record_id == "eng_000003"
     assert rows[2].coded_by_1 == "Ann" and rows[8].coded_by_1 == "NA" and rows[7].coded_by_1 is None and rows[3].coded_by_2 is None
-    assert [i for i, r in rows.items() if r.key_mismatch_1] == [6, 7]
+    assert sorted(i for i, r in rows.items() if r.key_mismatch_1) == [6, 7]
     assert [x.line for x in rows[11].context_before] == [2, 5, 8] and rows[11].context_after[0].line == 14
     assert rows[9].context_missing and not rows[8].context_missing  # a line that isn't a speaker's has no context
     assert rows[2].coder_1.flags.singing == "Yes"
@@ -71,7 +72,7 @@ def test_sinks(spark, built, tmp_path):
         rows = list(csv.DictReader(f))
     assert len(json.loads(rows[9]["context_before_json"])) == built.orderBy("record_id").select(F.size("context_before")).collect()[9][0]
     assert not sinks.write_csv(flat.limit(0), path + "e", []) and not Path(path + "e").exists()
-    s = sinks.build_summary(built, built.limit(1), rule="x", paths=["a"]).first()
+    s = sinks.build_summary(built, built.limit(1), rows=True, rule="x", paths=["a"]).first()
     assert (s.n_records, s.n_dropped, s.key_mismatch_1_rows, s.paths) == (29, 1, [6, 7], '["a"]')
     assert sinks.output_name("dev", "a:b", "s", "p", "predictions", 3) == "dev_a_b_s_p_limit-3_predictions.jsonl"
     assert sinks.freeze_manifest(spark, prompt="x", model="m").count() == 2
@@ -91,23 +92,26 @@ def test_json_scans(spark, tmp_path):
     assert tables.read_whole_text(spark, str(q)) == "one\ntwo\n"
 
 
-def workbook(path):
+def test_spreadsheet(spark, tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Line</t></is></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="C3"><v>5.0</v></c></row><row r="4"><c r="C4"><v>2.5</v></c></row>'
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Code" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+    plain = spreadsheet.workbook({"Code": [["x"]]})
+    with zipfile.ZipFile(io.BytesIO(plain)) as old, zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        for name in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels"):
+            z.writestr(name, old.read(name))
         z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t> Bloom </t></si><si><r><t>De</t></r><r><t>nial</t></r></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>")
-
-
-def test_spreadsheet(spark, tmp_path):
-    workbook(tmp_path / "w.xlsx")
-    spark.dataSource.register(spreadsheet.SheetSource)
-    df = spark.read.format("sheet").option("columns", "Bloom,Line,Gone").load(str(tmp_path / "w.xlsx"))
+    df = spreadsheet.read_sheet(spark, str(tmp_path / "w.xlsx"), "Code", ["Bloom", "Line", "Gone"])
     assert [tuple(r) for r in df.orderBy("source_row").collect()] == [(2, None, None, None), (3, "Denial", "5", None), (4, None, "2.5", None)]
     with pytest.raises(ValueError, match="no sheet"):
-        list(spreadsheet.sheet_rows((tmp_path / "w.xlsx").read_bytes(), "Other"))
+        list(spreadsheet.sheet_rows(plain, "Other"))
+
+
+def test_wide_sheets_and_odd_text(spark, tmp_path):
+    rows = [[f"c{i}" for i in range(30)], *[[f"<{i}&\"{j}" if j % 7 else None for j in range(30)] for i in range(40)]]
+    sinks.write_text(spark, str(tmp_path / "w.xlsx"), spreadsheet.workbook({"A & B": rows}))
+    found = spreadsheet.read_sheet(spark, str(tmp_path / "w.xlsx"), "A & B", ["c1", "c7", "c29"]).orderBy("source_row").collect()
+    assert [tuple(r) for r in found] == [(i + 2, r[1], r[7], r[29]) for i, r in enumerate(rows[1:])]
 
 
 def test_halves(spark):
@@ -116,26 +120,16 @@ def test_halves(spark):
     assert sorted((r.half, r.Speaker) for r in tables.transcript_halves(a, b).collect()) == [(1, "x"), (2, None)]
 
 
-def test_charts():
+def test_charts(spark):
     s = {"split": "a<b", "n_rows": 3, "n_transcripts": 1, "both_coders": 1, "one_coder": 1, "neither": 1, "coder_counts": {"x": 2}, "overlap_counts": {"x + y": 1}}
     svg = charts.split_dashboard([s], {"a<b": [0.5, 0.5]})
     assert svg.startswith("<svg") and "a&lt;b" in svg and svg.count("<rect") >= 6
-    assert charts.agreement_scatter([("s", "t", 4, 0.5)]).count("<circle") == 1
-    assert abs(charts.jitter("t", 100)) <= 34
-
-
-def write_book(path, sheets):
-    """A workbook of text cells: {sheet: rows}."""
-    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    with zipfile.ZipFile(path, "w") as z:
-        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f"<workbook {main} {rel}><sheets>{names}</sheets></workbook>")
-        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
-        for i, rows in enumerate(sheets.values(), 1):
-            body = "".join(f'<row r="{n}">' + "".join(f'<c r="{chr(65 + j)}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(r) if v is not None) + "</row>" for n, r in enumerate(rows, 1))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+    points = spark.createDataFrame([("s", "té", 4, 0.5), ("s", "tz", 1, 0.5), ("s", "tz", 2, 0.5), ("q", "u", 4, 1.0)], "split string, transcript_id string, n_overlap long, exact_agreement double")
+    dots = {(r.split, r.x): tuple(r)[2:] for r in charts.scatter_points(points).collect()}
+    at = lambda t: round((sum(map(ord, t)) % 1000 / 999 - 0.5) * 180 * 0.68)
+    assert dots == {("s", at("té")): (180.0, 8.0, 1), ("s", at("tz")): (180.0, round(2.2 + 5.8 * 0.5**0.5, 2), 2), ("q", at("u")): (40.0, 8.0, 1)}
+    assert charts.agreement_scatter(points).count("<circle") == 3
+    assert all(abs(x) <= 62 for _, x in dots)
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -145,9 +139,10 @@ def test_command_line(spark, tmp_path, capsys):
     key = ["Transcript", "Negation", "Half", "Line", "Speaker", "Utterance"]
     rows = [[f"t{i % 12}", "no", "1", str(i), "*CHI:", f"u{i}"] for i in range(2, 122)]
     lines = [["Transcript", "Speaker", "Utterance", "Line"], *[[f"t{i}", "@ID:", f"eng|c|CHI|{1 + i % 4};0{i % 9}.|f|||Target_Child|", None] for i in range(12)], *[[r[0], r[4], r[5], r[3]] for r in rows]]
-    write_book(tmp_path / "m.xlsx", {CODE_SHEET: [[*key, "exclusion"], *[[*r, None] for r in rows]], TRANSCRIPT_SHEETS[0]: lines, TRANSCRIPT_SHEETS[1]: lines[:1]})
+    book = lambda name, sheets: (tmp_path / name).write_bytes(spreadsheet.workbook(sheets))
+    book("m.xlsx", {CODE_SHEET: [[*key, "exclusion"], *[[*r, None] for r in rows]], TRANSCRIPT_SHEETS[0]: lines, TRANSCRIPT_SHEETS[1]: lines[:1]})
     for c, labels in (("a", ["Denial", "Rejection", None]), ("b", ["Denial", None, None, "Denial"])):
-        write_book(tmp_path / f"{c}.xlsx", {CODE_SHEET: [[*key, "Bloom"], *[[*r, labels[i % len(labels)]] for i, r in enumerate(rows)]]})
+        book(f"{c}.xlsx", {CODE_SHEET: [[*key, "Bloom"], *[[*r, labels[i % len(labels)]] for i, r in enumerate(rows)]]})
     (tmp_path / "prompt.md").write_text("Code these.")
     at = lambda *x: str(tmp_path.joinpath(*x))
     told = lambda: json.loads(capsys.readouterr().out.splitlines()[-1])
