@@ -4,19 +4,19 @@ Two bigram models, of toxic and of ordinary texts, over one vocabulary. In each
 
     P(w | h) = max(n(h w) - D, 0) / n(h) + B(h) P(w)             raw counts on top
     P(w)     = max(N(w) - d, 0) / N + b S(w)                     N(w): different words before w
-    S(w)     = (N'(w) + 1) / (N' + V)                            counts of both classes together
+    S(w)     = (K(w) + 1) / (K + V)                              K(w): classes that know w
 
 B and b are what the discounts D and d free, so every distribution sums to one; S is
-shared, so a word that one class never saw has the same likelihood there as in the
-other up to b. A pair met once is discounted in full: it lives on in B. Words in fewer
+shared, as each level's counts are those of different contexts in the level above, and
+above S the contexts are the classes. A pair met once is discounted in full: it lives on in B. Words in fewer
 than MIN_TEXTS texts of the sample are the vocabulary's rare word, which also stands for
 every word never seen.
 
 A text is judged by length-normalised log-likelihoods, toxic against ordinary: per word
-of the whole text, of its most toxic stretches of a few words, and of its few different
-words that tell most, wherever they stand, so that insults scattered over a long text
-count. A logistic curve over these differences gives the score; it is fitted on models
-that left the row's own part of the sample out.
+of the whole text, and per word of the few different words that tell most, wherever they
+stand, so that insults scattered over a long text count. A logistic curve over these
+differences gives the score; it is fitted on models, vocabulary included, that left the
+row's own part of the sample out.
 
 The models learn from a bounded sample of labelled rows (MAX_DOCS a class and MAX_BYTES
 in all, chosen by hash), so what is gathered and broadcast is bounded too. Texts that
@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoweave.llm.base import cut, id_bucket, row_hash, text_of
@@ -43,9 +43,10 @@ MAX_DOCS = 4000
 MAX_BYTES = 48 << 20
 #: Words in fewer texts of the sample are the rare word.
 MIN_TEXTS = 3
-#: Words of the stretches that are compared, and numbers of different words that are.
-WINDOWS = (1, 2, 6, 20)
-WORDS = (1, 3)
+#: Numbers of the most telling different words whose likelihoods are compared.
+WORDS = (1, 2, 3, 5, 8)
+#: Words of a long text that are compared at a time.
+CHUNK = 1 << 16
 FOLDS = 3
 THRESHOLD = 0.7
 #: Parts of the sample that are left out in turn to fit the curve.
@@ -106,14 +107,13 @@ def class_model(context: np.ndarray, ones: np.ndarray, kinds: np.ndarray, before
 
 
 def differences(ids: tuple[np.ndarray, np.ndarray], models: list[ClassModel]) -> list[float]:
-    """Toxic less ordinary log10 likelihood a word: whole text, most toxic stretches, most toxic different words."""
+    """Toxic less ordinary log10 likelihood a word: of the whole text, and of its most toxic different words."""
     h, w = ids
     ordinary, toxic = models
-    cum = np.concatenate(([0.0], np.cumsum(toxic.log10(h, w) - ordinary.log10(h, w))))
-    n, once = len(w), np.unique(w)
-    telling = np.sort(np.log10(toxic.word[once] / ordinary.word[once]))[::-1]
-    stretches = [float((cum[min(k, n) :] - cum[: n + 1 - min(k, n)]).max() / k) for k in WINDOWS]
-    return [float(cum[-1] / n), *stretches, *(float(telling[:k].sum() / k) for k in WORDS)]
+    whole = sum(float((toxic.log10(h[at : at + CHUNK], w[at : at + CHUNK]) - ordinary.log10(h[at : at + CHUNK], w[at : at + CHUNK])).sum()) for at in range(0, len(w), CHUNK))
+    once = np.unique(w)
+    telling = np.sort(np.log10(toxic.word[once] / ordinary.word[once]))[: -1 - WORDS[-1] : -1]
+    return [whole / len(w), *(float(telling[:k].sum() / k) for k in WORDS)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, share: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,50 +192,55 @@ def vocabulary(sample: DataFrame, min_texts: int = MIN_TEXTS) -> dict[bytes, int
 
 
 def pair_counts(sample: DataFrame, index: Broadcast) -> DataFrame:
-    """(key, n00, n01, ..., n12): how often each pair (context, word) occurs in each class (0 ordinary) and part."""
-    names = [f"n{c}{p}" for c in (0, 1) for p in range(PARTS)]
+    """(key, n0, n1): how often each pair (context, word) occurs in ordinary and in toxic texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = index.value
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                keys, cells = [], []
-                for text, toxic, part in zip(*(c.to_pylist() for c in b.slice(at, 512).columns), strict=True):
+            for at in range(0, b.num_rows, 256):
+                keys, classes = [], []
+                for text, toxic in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
                     h, w = numbered(text, numbers)
                     keys.append((h << _SHIFT) | w)
-                    cells.append(np.full(len(w), toxic * PARTS + part))
+                    classes.append(np.full(len(w), toxic, np.int64))
                 found, where = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = np.bincount(where * 2 * PARTS + np.concatenate(cells), minlength=len(found) * 2 * PARTS).reshape(-1, 2 * PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(sums[:, i]) for i in range(2 * PARTS))], names=["key", *names])
+                sums = np.bincount(where * 2 + np.concatenate(classes), minlength=2 * len(found)).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["key", "n0", "n1"])
 
-    found = sample.select("t", "toxic", "part").mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
-    return cut(found.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]))
+    found = sample.select("t", "toxic").mapInArrow(run, "key long, n0 long, n1 long")
+    return cut(found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
-def fit_models(pairs: DataFrame, size: int) -> list[list[ClassModel]]:
-    """[ordinary, toxic] models of the whole sample, then of the sample without each part. size: words in the vocabulary."""
-    left_out = [None, *range(PARTS)]
-    n = [[sum((F.col(f"n{c}{p}") for p in range(PARTS) if p != k), F.lit(0)) for c in (0, 1)] for k in left_out]
-    flat = pairs.select(F.shiftright("key", _SHIFT).alias("h"), F.col("key").bitwiseAND((1 << _SHIFT) - 1).alias("w"), "key", *[x.alias(f"m{k}{c}") for k, both in enumerate(n) for c, x in enumerate(both)])
-    models = [(k, c) for k in range(len(left_out)) for c in (0, 1)]
+def fit_models(pairs: DataFrame, size: int) -> list[ClassModel]:
+    """[ordinary, toxic] from the pair counts. size: words in the vocabulary, the rare word and the end included."""
+    flat = pairs.select(F.shiftright("key", _SHIFT).alias("h"), F.col("key").bitwiseAND((1 << _SHIFT) - 1).alias("w"), "key", "n0", "n1")
 
-    def arrays(by: str, length: int, sums: dict[str, object]) -> dict[str, np.ndarray]:
-        found = flat.groupBy(by).agg(*[x.alias(name) for name, x in sums.items()]).toPandas()  # a row a word of the vocabulary
+    def arrays(by: str, length: int, **sums: Column) -> dict[str, np.ndarray]:
+        found = flat.groupBy(by).agg(*[x.alias(name) for name, x in sums.items()]).toArrow()  # a row a word of the vocabulary
         out = {name: np.zeros(length) for name in sums}
+        at = found[by].to_numpy()
         for name in sums:
-            out[name][found[by].to_numpy()] = found[name].to_numpy()
+            out[name][at] = found[name].to_numpy()
         return out
 
-    of = lambda k, c: F.col(f"m{k}{c}")
-    contexts = arrays("h", size + 1, {f"{what}{k}{c}": x for k, c in models for what, x in (("all", F.sum(of(k, c))), ("ones", F.count_if(of(k, c) == 1)), ("kinds", F.count_if(of(k, c) > 0)))})
-    befores = arrays("w", size, {f"c{k}{c}": F.count_if(of(k, c) > 0) for k, c in models} | {f"s{k}": F.count_if(of(k, 0) + of(k, 1) > 0) for k in range(len(left_out))})
-    often = flat.filter((of(0, 0) > 1) | (of(0, 1) > 1)).select("key", *[f"m{k}{c}" for k, c in models]).orderBy("key").toPandas()  # bounded by the sample
-    keys, out = often["key"].to_numpy(np.int64), []
-    for k in range(len(left_out)):
-        total = befores[f"s{k}"]
-        shared = (total + 1) / (total.sum() + size)
-        out.append([class_model(contexts[f"all{k}{c}"], contexts[f"ones{k}{c}"], contexts[f"kinds{k}{c}"], befores[f"c{k}{c}"], shared, keys, often[f"m{k}{c}"].to_numpy()) for c in (0, 1)])
-    return out
+    n = F.col("n0"), F.col("n1")
+    contexts = arrays("h", size + 1, **{f"{what}{c}": x for c in (0, 1) for what, x in (("all", F.sum(n[c])), ("ones", F.count_if(n[c] == 1)), ("kinds", F.count_if(n[c] > 0)))})
+    before = arrays("w", size, c0=F.count_if(n[0] > 0), c1=F.count_if(n[1] > 0))
+    often = flat.filter((n[0] > 1) | (n[1] > 1)).select("key", "n0", "n1").toArrow()  # bounded by the sample
+    keys = often["key"].to_numpy()
+    order = np.argsort(keys)
+    known = (before["c0"] > 0).astype(float) + (before["c1"] > 0)
+    shared = (known + 1) / (known.sum() + size)
+    return [class_model(contexts[f"all{c}"], contexts[f"ones{c}"], contexts[f"kinds{c}"], before[f"c{c}"], shared, keys[order], often[f"n{c}"].to_numpy()[order]) for c in (0, 1)]
+
+
+def fit(sample: DataFrame) -> tuple[dict[bytes, int], list[ClassModel]]:
+    """Vocabulary and [ordinary, toxic] models of (t, toxic)."""
+    index = vocabulary(sample)
+    shared = sample.sparkSession.sparkContext.broadcast(index)
+    models = fit_models(pair_counts(sample, shared), len(index) + 2)
+    shared.destroy()
+    return index, models
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
@@ -246,23 +251,24 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int
     there = {t for _, t in by_class}
     if len(there) < 2:
         return Model({}, [], const=float(there == {True}))
-    context = docs.sparkSession.sparkContext
-    index = context.broadcast(vocabulary(sample))
-    whole, *rest = fit_models(pair_counts(sample, index), len(index.value) + 2)
+    index, whole = fit(sample)
     # a part is judged by the models without it if these know both classes, else by those of the whole sample
     usable = {k for k in range(PARTS) if {t for p, t in by_class if p != k} == {True, False}}
-    held = context.broadcast([rest[k] if k in usable else whole for k in range(PARTS)])
+    held = docs.sparkSession.sparkContext.broadcast([fit(sample.filter(F.col("part") != k)) if k in usable else (index, whole) for k in range(PARTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [differences(numbered(t, index.value), held.value[p]) for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = []
+            for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                numbers, models = held.value[p]
+                found.append(differences(numbered(t, numbers), models))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column(2)], names=["x", "toxic"])
 
     # gathered in a fixed order, so that the same sample gives the same curve to the last bit
     seen = sorted((tuple(r[0]), r[1]) for r in sample.select("t", "part", "toxic").mapInArrow(run, "x array<double>, toxic boolean").collect())
+    held.destroy()
     curve = fit_logistic(np.array([x for x, _ in seen]), np.array([y for _, y in seen], float), share=share)
-    held.unpersist()
-    return Model(index.value, whole, curve)
+    return Model(index, whole, curve)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -65,7 +66,7 @@ def brute_model(texts, toxic, vocab):
         w = names(t)
         pairs[k].update(zip([None, *w], w, strict=False))
     before = [Counter(w for _, w in p) for p in pairs]
-    both = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+    both = Counter(w for b in before for w in b)
     shared = {w: (both[w] + 1) / (sum(both.values()) + len(types)) for w in types}
 
     def of(k):
@@ -74,7 +75,9 @@ def brute_model(texts, toxic, vocab):
         word = {w: max(before[k][w] - d, 0) / max(1, n) + (sum(min(c, d) for c in before[k].values()) / n if n else 1) * shared[w] for w in types}
         d2 = 2 * X.discount(sum(c == 2 for c in pairs[k].values()), 1.5 * sum(c == 3 for c in pairs[k].values()))
 
-        def p(h, w):
+        def p(h, w, alone=False):
+            if alone:
+                return word[w]
             own = {x: c for (g, x), c in pairs[k].items() if g == h}
             if not own:
                 return word[w]
@@ -94,10 +97,8 @@ def small(seed=3):
 
 
 def fitted(spark, texts, toxic):
-    rows = {t: k for t, k in zip(texts, toxic, strict=True)}
-    sample = spark.createDataFrame([(t, k, i % X.PARTS) for i, (t, k) in enumerate(rows.items())], "t string, toxic boolean, part int").cache()
-    index = spark.sparkContext.broadcast(X.vocabulary(sample))
-    return index.value, X.fit_models(X.pair_counts(sample, index), len(index.value) + 2), rows
+    rows = dict(zip(texts, toxic, strict=True))  # equal texts have one vote
+    return *X.fit(spark.createDataFrame(list(rows.items()), "t string, toxic boolean")), rows
 
 
 def test_likelihoods_by_brute_force(spark):
@@ -105,30 +106,31 @@ def test_likelihoods_by_brute_force(spark):
     index, models, rows = fitted(spark, texts, toxic)
     vocab = {w for w, n in Counter(w for t in rows for w in {x.decode() for x in X.words_of(t)}).items() if n >= X.MIN_TEXTS}
     assert {w.decode() for w in index} == vocab
-    for left_out, pair in zip([None, 0, 1, 2], models, strict=True):
-        kept = {t: k for i, (t, k) in enumerate(rows.items()) if i % X.PARTS != left_out}
-        want, _, names = brute_model(list(kept), list(kept.values()), vocab)
-        for t in ["", "you grumph grumph", "never seen words d so", *list(rows)[:20]]:
-            w = names(t)
-            for k in (0, 1):
-                got = 10 ** pair[k].log10(*X.numbered(t, index))
-                assert np.allclose(got, [want[k](h, x) for h, x in zip([None, *w], w, strict=False)], rtol=1e-9)
+    want, _, names = brute_model(list(rows), list(rows.values()), vocab)
+    for t in ["", "you grumph grumph", "never seen words d so", *list(rows)[:20]]:
+        w = names(t)
+        logs = [[math.log10(want[k](h, x)) for h, x in zip([None, *w], w, strict=False)] for k in (0, 1)]
+        for k in (0, 1):
+            assert np.allclose(models[k].log10(*X.numbered(t, index)), logs[k], rtol=1e-9)
+        whole, *telling = X.differences(X.numbered(t, index), models)
+        assert math.isclose(whole, (sum(logs[1]) - sum(logs[0])) / len(w), abs_tol=1e-9)
+        single = sorted((math.log10(want[1](None, x, True) / want[0](None, x, True)) for x in set(w)), reverse=True)
+        assert np.allclose(telling, [sum(single[:k]) / k for k in X.WORDS])
 
 
 def test_probabilities_sum_to_one(spark):
     index, models, _ = fitted(spark, *small())
     size = len(index) + 2
-    for pair in models:
-        for m in pair:
-            for h in range(size + 1):
-                assert abs((10 ** m.log10(np.full(size, h), np.arange(size))).sum() - 1) < 1e-9
+    for m in models:
+        for h in range(size + 1):
+            assert abs((10 ** m.log10(np.full(size, h), np.arange(size))).sum() - 1) < 1e-9
 
 
 def test_differences_are_per_word(spark):
     index, models, _ = fitted(spark, *small())
-    once, often = (X.differences(X.numbered(t, index), models[0]) for t in ("grumph", "grumph " * 500))
-    assert once[0] > 0 and abs(often[0] - once[0]) < 2 and len(once) == 1 + len(X.WINDOWS) + len(X.WORDS)
-    assert all(np.isfinite(X.differences(X.numbered("", index), models[0])))
+    once, often = (X.differences(X.numbered(t, index), models) for t in ("grumph", "grumph " * 200_000))
+    assert once[0] > 0 and abs(often[0] - once[0]) < 2 and len(once) == 1 + len(X.WORDS)
+    assert all(np.isfinite(X.differences(X.numbered("", index), models)))
 
 
 def test_logistic_finds_a_boundary():
@@ -159,8 +161,8 @@ def test_votes_move_the_boundary():
 def test_a_word_that_always_follows_one_word_tells(spark):
     texts = [f"you grumph {c}" for c in "abcd"] + ["you a so b", "then you c", "so you d", "a b c d"]
     index, models, _ = fitted(spark, texts, [True] * 4 + [False] * 4)
-    after = X.differences(X.numbered("you grumph", index), models[0])
-    assert after[0] > X.differences(X.numbered("you a", index), models[0])[0] and after[0] > 0
+    after = X.differences(X.numbered("you grumph", index), models)
+    assert after[0] > X.differences(X.numbered("you a", index), models)[0] and after[0] > 0
 
 
 def test_clashing_columns_repeats_and_long_texts(spark, data):
