@@ -63,7 +63,7 @@ def objective_terms(table: DataFrame, pairs: DataFrame, assignment: DataFrame, t
     names = [c for c in stats.columns if c != "g"]
     want = spark.createDataFrame(list(targets.items()), "split string, target double")
     whole = F.broadcast(stats.filter("g = '*'").select(*[F.col(c).alias(f"all_{c}") for c in names]))  # one row
-    t = want.join(F.broadcast(stats.filter("g <> '*'")), F.col("split") == F.col("g"), "left").crossJoin(whole)
+    t = want.join(stats.filter("g <> '*'"), F.col("split") == F.col("g"), "left").crossJoin(whole)
     sq = lambda c: c * c
     rate = lambda c, d: F.try_divide(F.col(c).cast("double"), F.col(d).cast("double"))
     known = lambda p: [F.col(f"{p}h{i}").cast("double") for i in range(len(edges) - 1)]
@@ -169,13 +169,12 @@ def greedy_assignment(rows: list[int], goals: list[float], rng: random.Random) -
     return out
 
 
-def search_splits(table: DataFrame, pairs: DataFrame, targets: dict[str, float] | None = None, iterations: int = SPLIT_ITERATIONS, seed: int = SPLIT_SEED, sequential: bool = False, unit: str = "transcript_id", max_units: int | None = None) -> DataFrame:
+def search_splits(table: DataFrame, pairs: DataFrame, targets: dict[str, float] | None = None, iterations: int = SPLIT_ITERATIONS, seed: int = SPLIT_SEED, sequential: bool = False, unit: str = "transcript_id") -> DataFrame:
     """(unit, split, score, iteration) of the best of many random greedy assignments.
 
     Trials run in parallel, each seeded by its number; `sequential` draws all trials
     from one generator in one task, with transcripts in the table's order of unit. The
-    first of equal scores wins. Every transcript is assigned by itself at any size;
-    max_units, above which they used to be bundled, has no effect.
+    first of equal scores wins. Every transcript is assigned by itself at any size.
     """
     targets = targets or SPLIT_TARGETS
     spark = table.sparkSession

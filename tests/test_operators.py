@@ -156,8 +156,6 @@ def test_search_and_objective_agree(spark, records):
     one = sp.search_splits(table, pairs, iterations=1)
     assert score <= one.first().score
     assert sp.search_splits(table, pairs, iterations=20, sequential=True).count() == table.count()
-    # far fewer units than transcripts: bundles of whole transcripts
-    assert sp.search_splits(table, pairs, iterations=20, max_units=20).count() == table.count()
 
 
 def test_search_preconditions(spark, records):
@@ -207,13 +205,7 @@ def test_registered_search_runs_all_trials(monkeypatch):
     assert asked == {"n": 20_000}
 
 
-def test_many_transcripts_are_not_bundled(spark, records):
-    coded = records.filter("coded_by_1 <> 'NA' OR coded_by_2 <> 'NA'")
-    table, pairs = sp.transcript_table(coded).cache(), sp.label_counts(coded).cache()
-    found = sp.search_splits(table, pairs, iterations=20, max_units=20).cache()
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sp.search_splits(table, pairs, iterations=20).collect()))
-    assert sp.split_objective(table, pairs, found.select("transcript_id", "split")).first().score == pytest.approx(found.first().score, rel=1e-9)
-    # more transcripts than were ever searched one by one
+def test_many_transcripts_are_searched_one_by_one(spark):
     many = spark.range(60_000).select(F.col("id").cast("string").alias("transcript_id"), (F.col("id") % 5 + 1).alias("n_rows"), F.when(F.col("id") % 7 > 0, F.col("id") % 20 + 14.5).alias("age_months"), F.lit(1).alias("both_coders"), (F.col("id") % 5).alias("one_coder"), F.lit(1).alias("n_overlap_bloom"), (F.col("id") % 2).alias("n_bloom_agree")).cache()
     labels = many.select("transcript_id", F.lit("a").alias("l"), F.when(F.col("n_bloom_agree") == 1, "a").otherwise("b").alias("r"), F.lit(1).alias("n")).cache()
     found = sp.search_splits(many, labels, iterations=2).cache()
