@@ -145,7 +145,7 @@ def sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(spark, work)
 
 
-@query(f"WITH {built_sql()} SELECT record_id, transcript_id, half, turn AS line, source_row, coded_by_1, coded_by_2, 'no' AS target_negator, len(b) AS n_before, len(a) AS n_after FROM t")
+@query(f"WITH {built_sql()} SELECT record_id, transcript_id, half, turn AS line, source_row, coded_by_1, coded_by_2, 'no' AS target_negator, len(b)::INTEGER AS n_before, len(a)::INTEGER AS n_after FROM t")
 def dataset_as_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(folder: str) -> DataFrame:
         sinks.write_json_lines(built(spark, sf_dir).select(*[f.name for f in TOKEN.fields]), f"{folder}/dataset.jsonl", ["record_id"])
@@ -165,7 +165,7 @@ def _csv_back(spark: SparkSession, flat: DataFrame) -> DataFrame:
     return r.select("record_id", "source_row", "coded_by_1", "coded_by_2", n("context_before_json"), n("context_after_json"), *[c for c in r.columns if c in ("split", "child_age_raw")], F.lit(len(r.columns)).alias("n_columns"))
 
 
-@query(f"WITH {built_sql()} SELECT record_id, source_row::VARCHAR AS source_row, coded_by_1, coded_by_2, len(b) AS n_before, len(a) AS n_after, 14 AS n_columns FROM t")
+@query(f"WITH {built_sql()} SELECT record_id, source_row::VARCHAR AS source_row, coded_by_1, coded_by_2, len(b)::INTEGER AS n_before, len(a)::INTEGER AS n_after, 14 AS n_columns FROM t")
 def dataset_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_back(spark, sinks.flat_dataset(built(spark, sf_dir)))
 
@@ -182,7 +182,7 @@ def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.apply_splits(pipeline.with_ages(b, transcript_lines(spark, sf_dir)), assigned)
 
 
-@query(f"""WITH {built_sql()} SELECT record_id, source_row::VARCHAR AS source_row, coded_by_1, coded_by_2, len(b) AS n_before, len(a) AS n_after, {_SPLIT_SQL} AS split, {_AGE_SQL} AS child_age_raw, 17 AS n_columns FROM t""")
+@query(f"""WITH {built_sql()} SELECT record_id, source_row::VARCHAR AS source_row, coded_by_1, coded_by_2, len(b)::INTEGER AS n_before, len(a)::INTEGER AS n_after, {_SPLIT_SQL} AS split, {_AGE_SQL} AS child_age_raw, 17 AS n_columns FROM t""")
 def split_dataset_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_back(spark, sinks.flat_dataset(split_tokens(spark, sf_dir)))
 
@@ -272,7 +272,7 @@ def escaped_for_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", xml_text(F.col("html")).alias("content"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, json_object('event_id', event_id, 'none', NULL) AS record FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, json_object('event_id', event_id, 'none', NULL)::VARCHAR AS record FROM events")
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     return e.select("event_id", json_safe(e, "day").alias("day"), json_text(F.struct(json_safe(e, "event_id").alias("event_id"), F.lit(None).cast("string").alias("none"))).alias("record"))
