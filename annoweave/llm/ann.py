@@ -1,7 +1,7 @@
 """Nearest neighbours by block matrix join.
 
-Queries and candidates are cut into blocks of equal size by hash, and each pair of
-blocks is a tile. In a tile the vectors are scaled to unit length and quantised to
+Queries and candidates are cut into blocks by hash, as large as a task can hold, and
+each pair of blocks is a tile. In a tile the vectors are scaled to unit length and quantised to
 int8; one matrix product gives all approximate cosines, and the quantisation errors'
 norms bound how far each may be off. Only pairs whose upper bound reaches the k-th
 best lower bound of their query are recomputed in double precision from the original
@@ -22,8 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 4096
+#: Components of a block's vectors, at most.
+BLOCK_VALUES = 1 << 21
+#: Blocks of candidates have so many vectors at least, where more blocks than that would only be for the sake of more tasks.
+LEAST_BLOCK = 4096
+#: Approximate cosines held at a time.
+HELD = 1 << 21
 #: 127 * 127 * 1024 < 2 ** 24
 DIMS_EXACT = 1024
 #: Room for rounding in the bounds themselves.
@@ -79,8 +83,9 @@ def tile_neighbours(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarr
     q, c = scaled(q), scaled(c)
     cq = Quantised(c)
     c_norm = np.sqrt(row_dots(c, c))
-    for at in range(0, len(q), 256):
-        ids, part = qid[at : at + 256], q[at : at + 256]
+    step = max(1, HELD // max(1, len(c)))
+    for at in range(0, len(q), step):
+        ids, part = qid[at : at + step], q[at : at + step]
         qq, q_norm = Quantised(part), np.sqrt(row_dots(part, part))
         near = tile_cosines(qq, cq)
         # u.w - u'.w' = u'.(w - w') + (u - u').w with |w| = 1
@@ -115,7 +120,19 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     )
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def block_sizes(queries: int, candidates: int, dim: int, tasks: int) -> tuple[int, int]:
+    """Vectors in a block of queries and of candidates.
+
+    Each side crosses the network once for every block of the other one, so blocks are as
+    large as a task can hold; only candidates are cut finer where there would be fewer
+    blocks than tasks, since that repeats nothing but the few queries.
+    """
+    most = max(1, BLOCK_VALUES // max(1, dim))
+    fine = -(-candidates // max(1, tasks)) if queries <= most else most
+    return most, min(most, max(LEAST_BLOCK, fine))
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: int | None = None, candidate_block: int | None = None) -> DataFrame:
     """Each query's k nearest candidates of another id by cosine.
 
     Both have columns (vec_id, v) as usable_vectors gives them. Vectors of different
@@ -126,7 +143,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block:
 
     Returns query_id, rank, vec_id, score.
     """
-    blocks: list[int] = [max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (candidates, candidate_block))]
+    n, dims = zip(*(df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first() for df in (queries, candidates)), strict=True)
+    sizes = block_sizes(*n, max(dims), 2 * queries.sparkSession.sparkContext.defaultParallelism)
+    blocks = [max(1, -(-many // (given or size))) for many, given, size in zip(n, (query_block, candidate_block), sizes, strict=True)]
 
     def dealt(df: DataFrame, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
         # by id and vector: a repeated id's vectors don't meet in one block

@@ -85,3 +85,13 @@ def test_scaling_changes_no_bit():
     a, b = rng.normal(size=(200, 64)), rng.normal(size=(200, 64))
     cos = lambda x, y: X.row_dots(x, y) / (np.sqrt(X.row_dots(x, x)) * np.sqrt(X.row_dots(y, y)))
     assert (cos(a, b) == cos(X.scaled(a), X.scaled(b))).all()
+
+
+def test_blocks_grow_with_the_vectors_up_to_what_a_task_holds():
+    assert X.block_sizes(1000, 50_000, 64, 12) == (32_768, 4167)
+    for n in (10**6, 10**9, 10**12):
+        q, c = X.block_sizes(n // 50, n, 64, 4000)
+        sent = n * -(-(n // 50) // q) + n // 50 * -(-n // c)
+        assert q * 64 <= X.BLOCK_VALUES and c * 64 <= X.BLOCK_VALUES
+        assert n < 10**9 or sent <= 2.1 * n * (n // 50) / 32_768
+    assert X.block_sizes(0, 0, 0, 1)[0] > 0 and X.block_sizes(10, 10, 10**9, 1) == (1, 1)
