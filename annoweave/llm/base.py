@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,26 @@ def row_hash(text_col: str = "text") -> Column:
     return F.xxhash64(text_of(text_col))
 
 
+#: Bytes of rows that are handed to Python at a time, about; Spark's own limit is 10,000 rows of any length.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """texts, unchanged; its session hands rows to Python in batches of BATCH_BYTES from now on, unless a limit is set."""
+    conf = texts.sparkSession.conf
+    if conf.get(_LIMIT, None) is None:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return texts
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows, so that what Python makes of a batch's texts stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import id_bucket
+from annoweave.llm.base import id_bucket, in_small_batches, sliced
 
 FOLDS = 5
 #: A dictionary holds so many pieces of so many characters at most, each from another row.
@@ -124,10 +124,10 @@ def identify(docs: DataFrame, folds: int = FOLDS, dictionaries: dict[str, bytes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Compressors(known.value)
-        for b in batches:
+        for b in sliced(batches):
             rows = [found.predict(t) for t in b.column(2).to_pylist()]
             cols = [pa.array([r[i] for r in rows], _OUT.types[2 + i]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], schema=_OUT)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_bucket(folds, id_col) == 0).alias("held_out"), F.col(text_col).alias("t"))
-    return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return in_small_batches(plain).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

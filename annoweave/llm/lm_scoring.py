@@ -17,9 +17,9 @@ n-gram with very many occurrences costs no more than a rare one.
 A range holds about `range_tokens` entries, so their number grows with the corpus, but
 only as long as a block's lists have MIN_LIST entries on average. So rows are at most a
 MIN_LISTth of the entries. With the sizes below that holds ranges to their size up to
-3e10 tokens; beyond, ranges grow unless block_bytes is raised with the corpus: a task's
-memory is some 15 times block_bytes or 50 bytes an entry of a range. Blocks of 64 MB and
-ranges of 8 million entries reach 100 TB.
+3e10 tokens, 200 GB; beyond, ranges grow unless block_bytes is raised with the corpus: a
+task's memory is some 15 times block_bytes or 50 bytes an entry of a range. Blocks of
+64 MB, lists of 16 entries and ranges of 25 million reach 100 TB with about 1.3 GB a task.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import cut, id_bucket, mix64, text_of
+from annoweave.llm.base import cut, id_bucket, in_small_batches, mix64, sliced, text_of
 
 ORDER = 2
 FOLDS = 10
@@ -139,13 +139,11 @@ def _encoder(block_bytes: int):
         context = TaskContext.get()
         numbers = count((context.partitionId() if context else 0) << 32)
         held: defaultdict[int, Encoder] = defaultdict(Encoder)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for doc_id, text, role in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    held[role].add(doc_id, text)
-                    if held[role].bytes >= block_bytes:
-                        yield held.pop(role).row(next(numbers), role)
+        for b in sliced(batches):
+            for doc_id, text, role in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held[role].add(doc_id, text)
+                if held[role].bytes >= block_bytes:
+                    yield held.pop(role).row(next(numbers), role)
         for role in list(held):
             yield held.pop(role).row(next(numbers), role)
 
@@ -372,7 +370,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
     role = F.when(rest == 0, EVAL).when(rest == TUNE, TUNE_ROLE).otherwise(FIT)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"), role.alias("role"))
     # stored: a block keeps its number and its rows whatever happens to the task that made it
-    blocks = cut(plain.mapInArrow(_encoder(block_bytes), _BLOCK_DDL))
+    blocks = cut(in_small_batches(plain).mapInArrow(_encoder(block_bytes), _BLOCK_DDL))
     size = blocks.agg(F.sum("n_tokens"), F.sum("n_words"), F.count(F.lit(1))).first()
     parts = key_ranges(size[0] or 0, size[1] or 0, size[2], order, range_tokens, min_list)
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import cut, text_of
+from annoweave.llm.base import cut, in_small_batches, sliced, text_of
 
 CAPACITY = 4096
 #: (groups, longest small length as a share of the capacity): the plan with the fewest bins counts.
@@ -172,21 +172,19 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, nth, wide = word_ids(definition.value), TaskContext.get().partitionId(), Counter(), 4 * capacity
-        for b in batches:
+        for b in sliced(batches, 256):
             rows = []
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc, raw in zip(ids[at : at + 256], tok.encode(texts[at : at + 256]), strict=True):
-                    raw += end
-                    for k, i in enumerate(range(0, len(raw), wide)):
-                        own = raw[i : i + wide]
-                        n = len(own) // 4
-                        rows.append((doc, k, i // 4, n, zlib.crc32(own), part, nth[n]))
-                        nth[n] += 1
+            for doc, raw in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist()), strict=True):
+                raw += end
+                for k, i in enumerate(range(0, len(raw), wide)):
+                    own = raw[i : i + wide]
+                    n = len(own) // 4
+                    rows.append((doc, k, i // 4, n, zlib.crc32(own), part, nth[n]))
+                    nth[n] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t")).mapInArrow(run, _PIECE_DDL)
+    return in_small_batches(docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t"))).mapInArrow(run, _PIECE_DDL)
 
 
 def _patterns(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import cut, keep_rows, row_hash, text_of
+from annoweave.llm.base import cut, in_small_batches, keep_rows, row_hash, sliced, text_of
 from annoweave.llm.components import connected_components
 
 SEED = 42
@@ -67,12 +67,12 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id",
     """(doc_id, text_hash, fp as a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], schema=_FP)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("text_hash"), text_of(text_col).alias("t"))
-    return plain.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return in_small_batches(plain).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 class Node:

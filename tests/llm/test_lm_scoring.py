@@ -87,6 +87,9 @@ def test_rows_grow_with_blocks_and_not_with_their_square():
         assert blocks * sum(parts) <= blocks * (tokens + words) / X.MIN_LIST
         assert blocks > 10**5 or tokens * blocks / parts[1] <= 1.01 * max(X.RANGE_TOKENS, tokens * X.MIN_LIST / 10)
     assert X.key_ranges(0, 0, 0, 3) == [1, 1, 1]
+    # 100 TB in blocks of 64 MB: ranges stay at the size asked for
+    tokens, blocks = 17 * 10**12, 100 * 10**12 // (64 << 20)
+    assert tokens / X.key_ranges(tokens, 10**11, blocks, 2, range_tokens=26_000_000, min_list=16)[1] < 27_000_000
 
 
 def test_lists_in_practice(spark, rows):
