@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import cut, id_bucket, row_hash, text_of
+from annoweave.llm.base import cut, id_bucket, in_small_batches, row_hash, sliced, text_of
 
 #: Labelled rows of each class, and bytes of text in all, that are learned from at most.
 MAX_DOCS = 4000
@@ -196,18 +196,17 @@ def pair_counts(sample: DataFrame, index: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = index.value
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                keys, classes = [], []
-                for text, toxic in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
-                    h, w = numbered(text, numbers)
-                    keys.append((h << _SHIFT) | w)
-                    classes.append(np.full(len(w), toxic, np.int64))
-                found, where = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = np.bincount(where * 2 + np.concatenate(classes), minlength=2 * len(found)).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["key", "n0", "n1"])
-
-    found = sample.select("t", "toxic").mapInArrow(run, "key long, n0 long, n1 long")
+        for b in sliced(batches):
+            keys, classes = [], []
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h, w = numbered(text, numbers)
+                keys.append((h << _SHIFT) | w)
+                classes.append(np.full(len(w), toxic, np.int64))
+            found, where = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(where * 2 + np.concatenate(classes), minlength=2 * len(found)).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["key", "n0", "n1"])
+
+    found = in_small_batches(sample.select("t", "toxic")).mapInArrow(run, "key long, n0 long, n1 long")
     return cut(found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
@@ -252,25 +251,30 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int
     if len(there) < 2:
         return Model({}, [], const=float(there == {True}))
     index, whole = fit(sample)
-    # a part is judged by the models without it if these know both classes, else by those of the whole sample
-    usable = {k for k in range(PARTS) if {t for p, t in by_class if p != k} == {True, False}}
-    held = docs.sparkSession.sparkContext.broadcast([fit(sample.filter(F.col("part") != k)) if k in usable else (index, whole) for k in range(PARTS)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                numbers, models = held.value[p]
-                found.append(differences(numbered(t, numbers), models))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column(2)], names=["x", "toxic"])
-
-    # gathered in a fixed order, so that the same sample gives the same curve to the last bit
-    seen = sorted((tuple(r[0]), r[1]) for r in sample.select("t", "part", "toxic").mapInArrow(run, "x array<double>, toxic boolean").collect())
-    held.destroy()
+    seen: list[tuple[tuple[float, ...], bool]] = []
+    for k in range(PARTS):  # one part's models at a time
+        rest, own = sample.filter(F.col("part") != k), sample.filter(F.col("part") == k)
+        # a part is judged by the models without it if these know both classes, else by those of the whole sample
+        known = {t for p, t in by_class if p != k} == {True, False}
+        shared = docs.sparkSession.sparkContext.broadcast(fit(rest) if known else (index, whole))
+        found = in_small_batches(own.select("t", "toxic")).mapInArrow(_judge(shared), "x array<double>, toxic boolean")
+        seen += ((tuple(r[0]), r[1]) for r in found.collect())  # six numbers a row of the sample
+        shared.destroy()
+    seen.sort()  # so that the same sample gives the same curve to the last bit
     curve = fit_logistic(np.array([x for x, _ in seen]), np.array([y for _, y in seen], float), share=share)
     return Model(index, whole, curve)
 
 
+def _judge(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, models = shared.value
+        for b in sliced(batches):
+            found = [differences(numbered(t, index), models) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
+
+    return run
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
     """Score each row's whole text; learned from rows whose crc32(doc_id) mod folds is not 1.
 
@@ -287,11 +291,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(m.scores(b.column(3).to_pylist()), pa.float64())], schema=_SCORE)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("text_hash"), (id_bucket(folds) == 1).alias("held_out"), text_of().alias("t"))
-    found = plain.mapInArrow(run, "doc_id long, text_hash long, held_out boolean, score double")
+    found = in_small_batches(plain).mapInArrow(run, "doc_id long, text_hash long, held_out boolean, score double")
     return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 
@@ -302,8 +306,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in sliced(batches):
             ok = m.scores(["" if t is None else t for t in b.column("text").to_pylist()]) < THRESHOLD
             yield b.filter(pa.array(ok))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return in_small_batches(docs.select(*names)).mapInArrow(run, docs.schema)

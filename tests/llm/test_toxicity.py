@@ -187,3 +187,9 @@ def test_one_oversized_row_does_not_end_the_sample(spark):
     assert sorted(r.t for r in got) == sorted(rows[i][1] for i in learned if i != first)
     with pytest.raises(ValueError, match="max_bytes"):
         X.learned_rows(docs, labels, max_bytes=1)
+
+
+def test_words_are_the_same_in_spark_and_python(spark):
+    texts = ['A\tb\x0bC\x0cd\re\n(F) "g" ...', "É é ÀB --x-- [y]{z}  nb  \x1cfs\x1c", "", " \n ", "- -- '", "a.b,c;d <<E>> #F% &G| *H_ $I$"]
+    sample = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert set(X.vocabulary(sample, min_texts=1)) == {w for t in texts for w in X.words_of(t)}
