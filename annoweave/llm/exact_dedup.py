@@ -2,8 +2,9 @@
 
 Each map task first merges its own copies, so a text with a third of all rows
 arrives at its partition a few times per task and not once per row. The distinct
-texts are dealt by (byte length, content hash), sorted by their bytes, and put into
-a compressed radix trie. Because they come in byte order, only the rightmost path
+texts are dealt by (byte length, content hash, salt), sorted by their bytes, and put
+into a compressed radix trie; what the salts' tries own of one text is merged by its
+digest, so even a long text that every task holds spreads over SALT partitions. Because they come in byte order, only the rightmost path
 of the trie can still change: a subtree left behind is complete, so its terminals'
 owners go out and its memory is freed (the spill by subtree; Spark's own sort
 spills the unread input). A task never holds more than one path.
@@ -18,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import ASCII_SPACE, keep_rows, row_hash, text_of
+from annoweave.llm.base import ASCII_SPACE, cut, in_small_batches, keep_rows, row_hash, sliced, text_of
 
 #: Bytes of distinct texts that a map task holds before it hands them on.
-COMBINE_BYTES = 32 << 20
+COMBINE_BYTES = 8 << 20
+#: Partitions among which what tasks have merged of one text is dealt.
+SALT = 16
+#: A group with more than one in so many rows is joined by broadcast; there are fewer such groups than this.
+HOT = 1000
 
 _DROP = ASCII_SPACE.encode()
 _OWNER = pa.schema([
@@ -54,7 +59,7 @@ def combine_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cols = [[len(k) for k in held], hashes, list(held), *([v[i] for v in held.values()] for i in range(3))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _OWNER.types, strict=True)], schema=_OWNER)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             norm = text.encode("utf-8", "surrogatepass").translate(None, _DROP)
             seen = held.get(norm)
@@ -156,9 +161,22 @@ def trie_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, keep_id, keep_cp, group_size) for each distinct normalised text."""
-    local = docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t")).mapInArrow(combine_copies, _OWNER_DDL)
-    dealt = local.repartition("n_bytes", "content_hash").sortWithinPartitions("norm")
-    return dealt.select("norm", "n_cp", "owner", "copies").mapInArrow(trie_owners, _CLASS_DDL)
+    plain = docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t"))
+    local = in_small_batches(plain).mapInArrow(combine_copies, _OWNER_DDL)
+    salted = local.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALT)))
+    dealt = salted.repartition("n_bytes", "content_hash", "salt").sortWithinPartitions("norm")
+    found = dealt.select("norm", "n_cp", "owner", "copies").mapInArrow(trie_owners, _CLASS_DDL)
+    first = F.min(F.struct((-F.col("keep_cp")).alias("less"), F.col("keep_id").isNull().alias("none"), "keep_id")).alias("first")
+    merged = found.groupBy("digest").agg(first, F.sum("group_size").alias("group_size"))
+    return merged.select("digest", "first.keep_id", (-F.col("first.less")).alias("keep_cp"), "group_size")
+
+
+def with_owners(members: DataFrame, own: DataFrame) -> DataFrame:
+    """members joined with own by text_sha256 = digest. A hot group's members stay where they are and its one row goes to them."""
+    total = own.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.broadcast(own.filter(F.col("group_size") > total / HOT))  # fewer than HOT rows, since their sizes add up to total
+    on = F.col("text_sha256") == F.col("digest")
+    return members.join(hot, on).unionByName(members.join(hot.select("digest"), on, "left_anti").join(own, on))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +197,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     repeated = Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("n_cp"), "text_hash")
     members = members.withColumn("nth", F.row_number().over(repeated))
-    return members.join(owners(docs, id_col, text_col), F.col("text_sha256") == F.col("digest")).select(
+    # both stored: they are read twice, and a row is thin
+    return with_owners(cut(members), cut(owners(docs, id_col, text_col))).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -67,3 +67,13 @@ def test_repeated_rows_keep_one_and_columns_stay(spark):
 
 def test_empty_table(spark):
     assert X.exact_dedup(spark.createDataFrame([], DDL)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 20, 10**6])
+def test_hot_groups_are_joined_alike(spark, monkeypatch, hot):
+    rng = random.Random(7)
+    rows = [(i, "the same text" if i % 3 == 0 else f"text {rng.randrange(60)}") for i in range(300)] + [(None, "the same text"), (None, None)]
+    monkeypatch.setattr(X, "HOT", hot)
+    found = X.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in found), key=repr) == brute(rows)
+    assert sum(r.kept for r in found) == len({r.text_sha256 for r in found})
