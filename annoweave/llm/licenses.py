@@ -200,9 +200,13 @@ def canonical(text: Column) -> Column:
     words = F.regexp_replace(F.regexp_replace(lines, HOLDER_LINE, "\n"), SEPARATORS, "  ")
     # a word has a space of its own on either side, so neighbours that are both replaced don't share one
     spaced = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-    for one, other in (EQUIVALENT_PHRASES | EQUIVALENT_WORDS).items():
-        spaced = F.replace(spaced, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
-    return F.trim(F.replace(spaced, F.lit("  "), F.lit(" ")))
+    same = {f" {a.replace(' ', '  ')} ": f" {b.replace(' ', '  ')} " for a, b in (EQUIVALENT_PHRASES | EQUIVALENT_WORDS).items()}
+    spelt = spaced
+    for one, other in same.items():
+        spelt = F.replace(spelt, F.lit(one), F.lit(other))
+    # one look for all of them spares most texts the replacements
+    found = spaced.rlike(" (?:" + "|".join(a[1:-1] for a in same) + ") ")
+    return F.trim(F.replace(F.when(found, spelt).otherwise(spaced), F.lit("  "), F.lit(" ")))
 
 
 def known_digests(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
