@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoweave.llm import ann, exact_dedup, language_id, licenses, lm_scoring, mixing, packing, pii, simhash, toxicity
+from annoweave.llm import alignment, ann, exact_dedup, language_id, licenses, lm_scoring, mixing, packing, pii, simhash, toxicity
 from annoweave.llm.base import read_table
 
 #: What the fingerprint contract asks for: four-word shingles, links at four bits or fewer.
 SHINGLE, BUDGET = 4, 4
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +59,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_pii, op2_ann, op3_licenses, op4_lm_score, op5_mixing, op6_exact_dedup,
-            op7_simhash, op8_toxicity, op9_language_id, op10_packing,
+            op7_simhash, op8_toxicity, op9_language_id, op10_packing, op11_alignment,
         )
     }
 
