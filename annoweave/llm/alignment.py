@@ -19,10 +19,9 @@ pairs is ever in one place.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annoweave.llm.base import cut, in_small_batches, sliced, text_of
-from annoweave.llm.simhash import Forest
 
 #: Stretches of the documents of one block, about; a document is never divided.
 BLOCK = 1 << 21
-#: Stretches that a task remembers, and the length up to which it does.
-REMEMBERED, SHORT = 1 << 18, 64
+#: Different stretches, and characters of them, that a task remembers; then its block ends and it forgets them.
+REMEMBERED, CHARACTERS = 1 << 19, 16 << 20
 
-#: A stretch begins at a space after a word, if a word follows.
-_BEGINS = re.compile(r"(?<=\S)(?= +\S)")
+#: How the byte-level vocabulary cuts a text before its merges. Fixed value: the public vocabulary's pattern.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A stretch begins at a space after a word, if a word follows; where spaces stand alone between words that is every space.
+_BEGINS, _ODD = re.compile(r"(?<=\S)(?= +\S)"), re.compile(r"\s | \s| $")
 _BLOCK_ROW = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("stretches", pa.binary()), ("pairs", pa.binary()), ("times", pa.binary())])
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _DOC = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in _COUNTS], ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups", pa.string())])
@@ -55,75 +55,112 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def overlaps(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """All pairs (place in A, place in B) of tokens whose byte ranges overlap; both sides end at the same byte."""
-    links, i, j = [], 0, 0
-    while i < len(a_ends):
-        links.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        i, j = i + (a <= b), j + (b <= a)
-    return links
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in A and in B of all pairs of tokens whose byte ranges overlap, in order; both sides cover the same bytes."""
+    ends = np.union1d(a_ends, b_ends)  # each piece between two ends is the overlap of one pair
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
-def components(n_a: int, n_b: int, links: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
-    """The places in A and in B of each component of the links, in order of place."""
-    forest = Forest(n_a + n_b)
-    for i, j in links:
-        forest.join(i, n_a + j)
-    found: dict[int, tuple[list[int], list[int]]] = {}
-    for x in range(n_a + n_b):
-        side = found.setdefault(forest.find(x), ([], []))  # a root is its component's first token of A
-        side[x >= n_a].append(x if x < n_a else x - n_a)
-    return list(found.values())
+def union_find(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each of n nodes' components under the edges (u, v).
 
-
-@dataclass
-class Stretch:
-    """A solved stretch: its sizes, its groups as text and its links as pair keys."""
-
-    counts: tuple[int, int, int, int]
-    groups: str
-    links: list[int]
+    All edges that join two components are taken at once: the greater root is put under the
+    least root that it meets, and all paths are shortened to their roots.
+    """
+    parent = np.arange(n)
+    while True:
+        a, b = parent[u], parent[v]
+        open_ = a != b
+        if not open_.any():
+            return parent
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
 
 
 class Tokenizers:
-    """Both tokenizers, and how a stretch is solved."""
+    """Both tokenizers, and how stretches are solved."""
 
     def __init__(self, byte_bpe: str, pieces: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        held = tokenizers.Tokenizer.from_file(byte_bpe)
         of = byte_characters()
-        self.a_bytes = [bytes(of.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
+        ranks = {bytes(of[c] for c in token): i for token, i in held.get_vocab(with_added_tokens=False).items()}
+        #: The same vocabulary: its ids are the ranks of its merges.
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         named = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.a_size, self.width = max(ranks.values()) + 1, len(named)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(named)]
-        self.width = len(named)
+        self.a_length = np.zeros(self.a_size, np.int64)
+        self.a_length[list(ranks.values())] = [len(t) for t in ranks]
+        self.b_length = np.array([len(t) for t in self.b_bytes])
         #: Whether no piece goes on over a space that follows something else; else texts are one stretch each.
         self.divisible = not any(re.search("[^▁]▁", p) for p in named)
+        # an id as it is shown, at its even place, and the last one of its side of a group, at the next
+        self.shown = [f"{i}{end}" for n, last in ((self.a_size, "|"), (self.width, ";")) for i in range(n) for end in (",", last)]
+        self.shown_length = np.array([len(x) for x in self.shown])
 
     def stretches(self, text: str) -> list[str]:
         """A space and the text, divided."""
-        return _BEGINS.split(" " + text) if self.divisible else [" " + text]
-
-    def solve(self, some: list[str]) -> list[Stretch | None]:
-        """None where one side's tokens aren't the stretch's own bytes."""
-        a_ids = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-        b_ids = self.b.encode([s[1:] for s in some], num_threads=1)
-        return [self._solved(s.encode(), a, b) for s, a, b in zip(some, a_ids, b_ids, strict=True)]
-
-    def _solved(self, raw: bytes, a: list[int], b: list[int]) -> Stretch | None:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return None
-        ends = [np.cumsum([len(p) for p in parts]).tolist() for parts in (a_parts, b_parts)]
-        links = overlaps(*ends)
-        groups = components(len(a), len(b), links)
-        shown = ";".join(",".join(str(a[i]) for i in x) + "|" + ",".join(str(b[j]) for j in y) for x, y in groups)
-        return Stretch((len(a), len(b), len(groups), len(links)), shown, [a[i] * self.width + b[j] for i, j in links])
+        if not self.divisible:
+            return [" " + text]
+        if _ODD.search(text) or text[0] == " ":
+            return _BEGINS.split(" " + text)
+        return [" " + w for w in text.split(" ")]
+
+    def _encoded(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, B's ids, B's ids a stretch, whether B gives a stretch back), one after the other."""
+        raw = [s.encode() for s in some]
+        if all(s[-1].strip() for s in some) and self.divisible:
+            a = self.a.encode_ordinary("".join(some))
+        else:  # what ends in white space would go on in the next one
+            a = list(chain.from_iterable(map(self.a.encode_ordinary, some)))
+        b = self.b.encode([s[1:] for s in some], num_threads=1)
+        parts = [b"".join([self.b_bytes[i] for i in ids]) for ids in b]
+        ok = np.fromiter(map(bytes.__eq__, parts, raw), bool, len(raw))
+        return np.array(a, np.int64), np.fromiter(chain.from_iterable(b), np.int64), np.array([len(ids) for ids in b], np.int64), ok
+
+    def solve(self, some: list[str]) -> Solved:
+        a, b, held, ok = self._encoded(some)
+        size = np.array([len(s.encode()) for s in some], np.int64)
+        ends = np.cumsum(size)
+        a_ends = np.cumsum(self.a_length[a])
+        if not ok.all():  # B's tokens of a stretch that it doesn't give back are left out: its links are never looked at
+            a_ok, b_ok = ok[np.searchsorted(ends, a_ends)], np.repeat(ok, held)
+            a, b, size = a[a_ok], b[b_ok], np.where(ok, size, 0)
+            ends, a_ends = np.cumsum(size), np.cumsum(self.a_length[a])
+        b_ends = np.cumsum(self.b_length[b])
+        i, j = overlaps(a_ends, b_ends)
+        n_a, n_b = len(a), len(b)
+        root = union_find(n_a + n_b, i, n_a + j)
+        first = root[:n_a] == np.arange(n_a)  # a component's root is its first token of A
+        group = np.cumsum(first) - 1
+        of_a, of_b = group[root[:n_a]], group[root[n_a:]]
+        # A's tokens of a group, then B's, group by group
+        counts_a, counts_b = np.bincount(of_a, minlength=first.sum()), np.bincount(of_b, minlength=first.sum())
+        upto_a, upto_b = np.cumsum(counts_a), np.cumsum(counts_b)
+        codes = np.empty(n_a + n_b, np.int64)
+        codes[np.arange(n_a) + (upto_b - counts_b)[of_a]] = 2 * a + np.isin(np.arange(n_a), upto_a - 1)
+        codes[np.arange(n_b) + upto_a[of_b]] = 2 * (self.a_size + b) + np.isin(np.arange(n_b), upto_b - 1)
+        text = "".join(map(self.shown.__getitem__, codes.tolist()))
+        # every count by stretch: how many tokens, groups and links end up to its end
+        group_ends = b_ends[upto_b - 1]
+        tokens = [np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, group_ends, np.union1d(a_ends, b_ends))]
+        upto_text = np.concatenate([[0], np.cumsum(self.shown_length[codes])])[tokens[0] + tokens[1]]
+        texts = [text[x:y] for x, y in zip([0, *upto_text.tolist()], upto_text.tolist(), strict=False)]
+        return Solved(ok, np.stack([np.diff(t, prepend=0) for t in tokens], 1), texts, a[i] * self.width + b[j])
+
+
+class Solved:
+    """Solved stretches: whether B gives each back, its counts of tokens, groups and links, its groups as text, and all links as pair keys."""
+
+    def __init__(self, ok: np.ndarray, counts: np.ndarray, texts: list[str], links: np.ndarray) -> None:
+        self.ok, self.counts, self.texts, self.links = ok, counts, texts, links
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -141,57 +178,70 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _table(t: pa.Table | pa.RecordBatch) -> bytes:
+def _table(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write(t)
     return sink.getvalue().to_pybytes()
 
 
-@dataclass
+class Known:
+    """The stretches that a task remembers, by number."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ok: list[bool] = []
+        self.texts: list[str] = []
+        self.counts: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+        self.links: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.characters = 0
+
+    def learn(self, tools: Tokenizers, some: list[str]) -> None:
+        if some:
+            found = tools.solve(some)
+            self.number.update(zip(some, range(len(self.ok), len(self.ok) + len(some)), strict=True))
+            self.ok += found.ok.tolist()
+            self.texts += found.texts
+            self.counts.append(found.counts)
+            self.links.append(found.links)
+            self.characters += sum(map(len, some))
+
+    def full(self, most: int) -> bool:
+        return len(self.ok) >= most or self.characters >= CHARACTERS
+
+
 class Block:
-    """The documents of a block while it is filled: numbers of stretches by document, stretches by number."""
-
-    number: dict[str, int] = field(default_factory=dict)
-    solved: list[Stretch] = field(default_factory=list)
-    ids: list[int | None] = field(default_factory=list)
-    groups: list[str] = field(default_factory=list)
-    lengths: list[int] = field(default_factory=list)
-    held: list[np.ndarray] = field(default_factory=list)
-    size: int = 0
-
-    def add(self, doc_id: int | None, parts: list[str], known: dict[str, Stretch | None], keep_groups: bool) -> None:
-        """A document with its stretches; without tokens if one of them is not known."""
-        found = [known[p] for p in parts]
-        if None in found:
-            parts, found = [], []
-        at = np.empty(len(parts), np.int32)
-        for k, (p, s) in enumerate(zip(parts, found, strict=True)):
-            n = self.number.get(p)
-            if n is None:
-                n = self.number[p] = len(self.solved)
-                self.solved.append(s)
-            at[k] = n
-        shown = ";".join([s.groups for s in found])
+    """The documents of a block while it is filled, as numbers of stretches."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.groups: list[str] = []
+        self.held: list[list[int]] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, parts: list[str], known: Known, keep_groups: bool) -> None:
+        """A document with its stretches; without tokens if B doesn't give one of them back."""
+        numbers = list(map(known.number.__getitem__, parts))
+        if not all(map(known.ok.__getitem__, numbers)):
+            numbers = []
+        shown = "".join(map(known.texts.__getitem__, numbers))[:-1]
         self.groups.append(shown if keep_groups or not shown else hashlib.sha256(shown.encode()).hexdigest())
         self.ids.append(doc_id)
-        self.lengths.append(len(parts))
-        self.held.append(at)
-        self.size += len(parts)
-
-    def row(self, number: int) -> pa.RecordBatch:
-        in_docs = np.concatenate([*self.held, np.zeros(0, np.int32)])
-        sizes = np.array([len(s.links) for s in self.solved], np.int64)
-        keys = np.fromiter((x for s in self.solved for x in s.links), np.int64, int(sizes.sum()))
+        self.held.append(numbers)
+        self.size += len(numbers)
+
+    def row(self, number: int, known: Known) -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in self.held], np.int64)
+        uses, in_docs = np.unique(np.fromiter(chain.from_iterable(self.held), np.int64, self.size), return_inverse=True)
+        counts, links = np.concatenate(known.counts), np.concatenate(known.links)
+        sizes, starts = counts[uses, 3], (np.cumsum(counts[:, 3]) - counts[:, 3])[uses]
+        keys = links[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
         pairs, place = np.unique(keys, return_inverse=True)
-        uses = np.bincount(in_docs, minlength=len(self.solved))
-        times = np.zeros(len(pairs), np.int64)
-        np.add.at(times, place, np.repeat(uses, sizes))
-        counts = np.array([s.counts for s in self.solved], np.int64).reshape(-1, 4)
-        ends = np.cumsum(self.lengths)
-        sums = [_sums(counts[in_docs, c], ends) for c in range(4)]
+        times = np.bincount(place, np.repeat(np.bincount(in_docs, minlength=len(uses)), sizes), len(pairs)).astype(np.int64)
+        ends = np.cumsum(lengths)
+        sums = [_sums(counts[uses, c][in_docs], ends) for c in range(4)]
         docs = pa.table([pa.array(self.ids, pa.int64()), *[pa.array(s) for s in sums], pa.array(self.groups, pa.string())], names=["doc_id", *_COUNTS, "groups"])
-        cells = [[number], [_table(docs)], [_packed(np.array(self.lengths), in_docs, sizes, place)], [pairs.tobytes()], [times.tobytes()]]
+        cells = [[number], [_table(docs)], [_packed(lengths, in_docs, sizes, place)], [pairs.tobytes()], [times.tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _BLOCK_ROW, strict=True)], schema=_BLOCK_ROW)
 
 
@@ -205,23 +255,17 @@ def aligned_blocks(docs: DataFrame, byte_bpe: str, pieces: str, keep_groups: boo
     """(block, docs, stretches, pairs, times): whole documents in blocks of about `block` stretches, solved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, known, now, made = Tokenizers(byte_bpe, pieces), {}, Block(), TaskContext.get().partitionId() << 32
+        tools, known, now, made = Tokenizers(byte_bpe, pieces), Known(), Block(), TaskContext.get().partitionId() << 32
         for b in sliced(batches, 256):
             divided = [tools.stretches(t) if t else [] for t in b.column(1).to_pylist()]
-            if len(known) > remembered:
-                known.clear()
-            new = list({p for parts in divided for p in parts if p not in known})
-            known.update(zip(new, tools.solve(new), strict=True))
+            known.learn(tools, list({p for parts in divided for p in parts if p not in known.number}))
             for doc_id, parts in zip(b.column(0).to_pylist(), divided, strict=True):
                 now.add(doc_id, parts, known, keep_groups)
-            for p in new:
-                if len(p) > SHORT:
-                    del known[p]
-            if now.size >= block:
-                yield now.row(made)
-                now, made = Block(), made + 1
+            if now.size >= block or known.full(remembered):
+                yield now.row(made, known)
+                known, now, made = Known() if known.full(remembered) else known, Block(), made + 1
         if now.ids:
-            yield now.row(made)
+            yield now.row(made, known)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     return in_small_batches(plain).mapInArrow(run, "block long, docs binary, stretches binary, pairs binary, times binary")

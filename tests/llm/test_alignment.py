@@ -3,8 +3,11 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
+import tokenizers
 from annoweave.llm import alignment as X
 from annoweave.llm import queries
 from hypothesis import given, settings
@@ -14,9 +17,21 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 SF = "/root/testdata/sf0.001"
 
 
+class Whole:
+    """The tokenizers as their libraries have them."""
+
+    def __init__(self):
+        self.a = tokenizers.Tokenizer.from_file(A)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=B)
+        of = X.byte_characters()
+        self.a_bytes = [bytes(of.get(c, 0) for c in self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
+        self.b_bytes = X.Tokenizers(A, B).b_bytes
+
+
 @pytest.fixture(scope="module")
 def tools():
-    return X.Tokenizers(A, B)
+    return Whole()
 
 
 def whole(tools, text):
@@ -107,15 +122,44 @@ def test_a_hot_text_and_a_very_long_one(spark, tools):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab  ñ.\n\t'  1日🙂<s>_-"), max_size=40) | st.text(max_size=20))
-def test_stretches_are_independent(text):
-    tools = test_stretches_are_independent.tools = getattr(test_stretches_are_independent, "tools", None) or X.Tokenizers(A, B)
-    if not text or any(0xD800 <= ord(c) < 0xE000 for c in text):
-        return
-    groups, links, n_a, n_b = whole(tools, text)
-    found = tools.solve(tools.stretches(text))
-    if None in found:
-        assert not groups
+@given(st.lists(st.text(alphabet=st.sampled_from("ab  ñ.\n\t'  1日🙂<s>_-▁"), max_size=40) | st.text(max_size=20), min_size=1, max_size=4))
+def test_stretches_are_independent(texts):
+    own = test_stretches_are_independent
+    own.tools = getattr(own, "tools", None) or (X.Tokenizers(A, B), Whole())
+    tools, plain = own.tools
+    texts = [t for t in texts if t and not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    divided = [tools.stretches(t) for t in texts]
+    assert ["".join(d) for d in divided] == [" " + t for t in texts]
+    parts = [p for d in divided for p in d]
+    if not parts:
         return
-    assert tuple(sum(s.counts[k] for s in found) for k in range(4)) == (n_a, n_b, len(groups), len(links))
-    assert [x for s in found for x in s.links] == [a * tools.width + b for a, b in links]
+    found = tools.solve(parts)
+    at, links = 0, np.concatenate([[0], np.cumsum(found.counts[:, 3])])
+    for t, d in zip(texts, divided, strict=True):
+        groups, pairs, n_a, n_b = whole(plain, t)
+        to = at + len(d)
+        if not found.ok[at:to].all():
+            assert not groups
+        else:
+            assert found.counts[at:to].sum(0).tolist() == [n_a, n_b, len(groups), len(pairs)]
+            assert found.links[links[at] : links[to]].tolist() == [a * tools.width + b for a, b in pairs]
+            assert "".join(found.texts[at:to])[:-1] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        at = to
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 30), st.lists(st.tuples(st.integers(0, 29), st.integers(0, 29)), max_size=40))
+def test_union_find(n, edges):
+    edges = [(a % n, b % n) for a, b in edges]
+    want = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    u, v = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    assert X.union_find(n, u, v).tolist() == want
+
+
+def test_a_task_that_forgets_gives_the_same(spark, tools):
+    got = X.aligned_blocks(spark.createDataFrame(ODD, "doc_id long, text string").coalesce(1), A, B, remembered=1)
+    assert got.count() == 1  # the documents of one slice stay together
+    assert sum(len(X._unpacked(r.stretches)[0]) for r in got.collect()) == len(ODD)
