@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -55,10 +56,11 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in A and in B of all pairs of tokens whose byte ranges overlap, in order; both sides cover the same bytes."""
-    ends = np.union1d(a_ends, b_ends)  # each piece between two ends is the overlap of one pair
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in A and in B, and ends, of all overlaps of two tokens' byte ranges, in order; both sides cover the same bytes."""
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two sorted runs are merged
+    ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends  # each piece between two ends is the overlap of one pair
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), ends
 
 
 def union_find(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -113,21 +115,24 @@ class Tokenizers:
             return _BEGINS.split(" " + text)
         return [" " + w for w in text.split(" ")]
 
-    def _encoded(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(A's ids, B's ids, B's ids a stretch, whether B gives a stretch back), one after the other."""
+    def _encoded(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, B's ids, B's ids a stretch, bytes of a stretch, whether B gives it back), one stretch after the other."""
         raw = [s.encode() for s in some]
         if all(s[-1].strip() for s in some) and self.divisible:
             a = self.a.encode_ordinary("".join(some))
         else:  # what ends in white space would go on in the next one
             a = list(chain.from_iterable(map(self.a.encode_ordinary, some)))
         b = self.b.encode([s[1:] for s in some], num_threads=1)
-        parts = [b"".join([self.b_bytes[i] for i in ids]) for ids in b]
-        ok = np.fromiter(map(bytes.__eq__, parts, raw), bool, len(raw))
-        return np.array(a, np.int64), np.fromiter(chain.from_iterable(b), np.int64), np.array([len(ids) for ids in b], np.int64), ok
+        flat, held = list(chain.from_iterable(b)), np.array(list(map(len, b)), np.int64)
+        ids = np.array(flat, np.int64)
+        size = np.array(list(map(len, raw)), np.int64)
+        ok = _sums(self.b_length[ids], np.cumsum(held)) == size
+        if not ok.all() or b"".join(map(self.b_bytes.__getitem__, flat)) != b"".join(raw):
+            ok = np.array([b"".join([self.b_bytes[i] for i in own]) == r for own, r in zip(b, raw, strict=True)])
+        return np.array(a, np.int64), ids, held, size, ok
 
     def solve(self, some: list[str]) -> Solved:
-        a, b, held, ok = self._encoded(some)
-        size = np.array([len(s.encode()) for s in some], np.int64)
+        a, b, held, size, ok = self._encoded(some)
         ends = np.cumsum(size)
         a_ends = np.cumsum(self.a_length[a])
         if not ok.all():  # B's tokens of a stretch that it doesn't give back are left out: its links are never looked at
@@ -135,7 +140,7 @@ class Tokenizers:
             a, b, size = a[a_ok], b[b_ok], np.where(ok, size, 0)
             ends, a_ends = np.cumsum(size), np.cumsum(self.a_length[a])
         b_ends = np.cumsum(self.b_length[b])
-        i, j = overlaps(a_ends, b_ends)
+        i, j, both_ends = overlaps(a_ends, b_ends)
         n_a, n_b = len(a), len(b)
         root = union_find(n_a + n_b, i, n_a + j)
         first = root[:n_a] == np.arange(n_a)  # a component's root is its first token of A
@@ -145,17 +150,25 @@ class Tokenizers:
         counts_a, counts_b = np.bincount(of_a, minlength=first.sum()), np.bincount(of_b, minlength=first.sum())
         upto_a, upto_b = np.cumsum(counts_a), np.cumsum(counts_b)
         codes = np.empty(n_a + n_b, np.int64)
-        codes[np.arange(n_a) + (upto_b - counts_b)[of_a]] = 2 * a + np.isin(np.arange(n_a), upto_a - 1)
-        codes[np.arange(n_b) + upto_a[of_b]] = 2 * (self.a_size + b) + np.isin(np.arange(n_b), upto_b - 1)
+        codes[np.arange(n_a) + (upto_b - counts_b)[of_a]] = 2 * a
+        codes[np.arange(n_b) + upto_a[of_b]] = 2 * (self.a_size + b)
+        codes[upto_a + upto_b - counts_b - 1] += 1
+        codes[upto_a + upto_b - 1] += 1
         text = "".join(map(self.shown.__getitem__, codes.tolist()))
         # every count by stretch: how many tokens, groups and links end up to its end
         group_ends = b_ends[upto_b - 1]
-        tokens = [np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, group_ends, np.union1d(a_ends, b_ends))]
+        tokens = [np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, group_ends, both_ends)]
         upto_text = np.concatenate([[0], np.cumsum(self.shown_length[codes])])[tokens[0] + tokens[1]]
         texts = [text[x:y] for x, y in zip([0, *upto_text.tolist()], upto_text.tolist(), strict=False)]
         return Solved(ok, np.stack([np.diff(t, prepend=0) for t in tokens], 1), texts, a[i] * self.width + b[j])
 
 
+@cache
+def tokenizers_of(byte_bpe: str, pieces: str) -> Tokenizers:
+    """Loaded once a worker."""
+    return Tokenizers(byte_bpe, pieces)
+
+
 class Solved:
     """Solved stretches: whether B gives each back, its counts of tokens, groups and links, its groups as text, and all links as pair keys."""
 
@@ -191,6 +204,7 @@ class Known:
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.ok: list[bool] = []
+        self.all_ok = True
         self.texts: list[str] = []
         self.counts: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
         self.links: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -201,6 +215,7 @@ class Known:
             found = tools.solve(some)
             self.number.update(zip(some, range(len(self.ok), len(self.ok) + len(some)), strict=True))
             self.ok += found.ok.tolist()
+            self.all_ok = self.all_ok and bool(found.ok.all())
             self.texts += found.texts
             self.counts.append(found.counts)
             self.links.append(found.links)
@@ -222,7 +237,7 @@ class Block:
     def add(self, doc_id: int | None, parts: list[str], known: Known, keep_groups: bool) -> None:
         """A document with its stretches; without tokens if B doesn't give one of them back."""
         numbers = list(map(known.number.__getitem__, parts))
-        if not all(map(known.ok.__getitem__, numbers)):
+        if not (known.all_ok or all(map(known.ok.__getitem__, numbers))):
             numbers = []
         shown = "".join(map(known.texts.__getitem__, numbers))[:-1]
         self.groups.append(shown if keep_groups or not shown else hashlib.sha256(shown.encode()).hexdigest())
@@ -255,7 +270,7 @@ def aligned_blocks(docs: DataFrame, byte_bpe: str, pieces: str, keep_groups: boo
     """(block, docs, stretches, pairs, times): whole documents in blocks of about `block` stretches, solved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, known, now, made = Tokenizers(byte_bpe, pieces), Known(), Block(), TaskContext.get().partitionId() << 32
+        tools, known, now, made = tokenizers_of(byte_bpe, pieces), Known(), Block(), TaskContext.get().partitionId() << 32
         for b in sliced(batches, 256):
             divided = [tools.stretches(t) if t else [] for t in b.column(1).to_pylist()]
             known.learn(tools, list({p for parts in divided for p in parts if p not in known.number}))
@@ -327,12 +342,12 @@ def align(docs: DataFrame, byte_bpe: str, pieces: str, keep_groups: bool = False
     """
     blocks = cut(aligned_blocks(docs, byte_bpe, pieces, keep_groups, block, id_col=id_col, text_col=text_col))
     rows = block_pairs(blocks)
-    counted = rows.select("block", "pair").join(pair_counts(rows, Tokenizers(byte_bpe, pieces).width), "pair")
+    counted = rows.select("block", "pair").join(pair_counts(rows, tokenizers_of(byte_bpe, pieces).width), "pair")
     return blocks.select("block", "docs", "stretches").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_told, _DOC_DDL)
 
 
 def pair_table(docs: DataFrame, byte_bpe: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a_id, b_id, n, best): the corpus's linked pairs of ids, for a map from one vocabulary to the other."""
-    width = Tokenizers(byte_bpe, pieces).width
+    width = tokenizers_of(byte_bpe, pieces).width
     counts = pair_counts(block_pairs(cut(aligned_blocks(docs, byte_bpe, pieces, id_col=id_col, text_col=text_col))), width)
     return counts.select(F.floor(F.col("pair") / width).alias("a_id"), F.pmod("pair", F.lit(width)).alias("b_id"), "n", "best")
