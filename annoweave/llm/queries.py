@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoweave.llm import alignment, ann, exact_dedup, language_id, licenses, lm_scoring, mixing, packing, pii, simhash, toxicity
+from annoweave.llm import alignment, ann, exact_dedup, jaccard, language_id, licenses, lm_scoring, mixing, packing, pii, search, simhash, toxicity
 from annoweave.llm.base import read_table
 
 #: What the fingerprint contract asks for: four-word shingles, links at four bits or fewer.
 SHINGLE, BUDGET = 4, 4
+#: What the join's contract asks for: four-word shingles, links at 0.85 or more.
+JOIN_WORDS, JOIN_PERCENT = 4, 85
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -64,12 +66,20 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(read_table(spark, sf_dir, "documents"), JOIN_WORDS, JOIN_PERCENT).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_pii, op2_ann, op3_licenses, op4_lm_score, op5_mixing, op6_exact_dedup,
-            op7_simhash, op8_toxicity, op9_language_id, op10_packing, op11_alignment,
+            op7_simhash, op8_toxicity, op9_language_id, op10_packing, op11_alignment, op12_search, op13_jaccard,
         )
     }
 
@@ -80,4 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_licenses": licenses.ORACLE_SQL,
         "op5_mixing": mixing.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op12_search": search.ORACLE_SQL,
+        "op13_jaccard": jaccard.oracle_sql(JOIN_WORDS, JOIN_PERCENT),
     }
