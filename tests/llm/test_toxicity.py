@@ -57,37 +57,46 @@ def test_nulls_empty_and_one_class(spark):
     assert X.toxicity(docs, some).count() == 5
 
 
-def brute_model(texts, toxic, vocab):
-    """P(word | context) of both classes by the definition, on plain dicts. None is the start."""
-    names = lambda t: [w if w in vocab else "<rare>" for w in (x.decode() for x in X.words_of(t))] + ["<end>"]
-    types = [*sorted(vocab), "<rare>", "<end>"]
+def brute_models(rows):
+    """P(word | context), P(word) of both classes by the definition, on plain dicts, from {text: toxic}. None is the start, "" ends a text."""
+    names = lambda t: [f"={w!r}" for w in X.words_of(t)] + ["<end>"]
     pairs = [Counter(), Counter()]
-    for t, k in dict(zip(texts, toxic, strict=True)).items():
+    for t, k in rows.items():
         w = names(t)
         pairs[k].update(zip([None, *w], w, strict=False))
     before = [Counter(w for _, w in p) for p in pairs]
-    both = Counter(w for b in before for w in b)
-    shared = {w: (both[w] + 1) / (sum(both.values()) + len(types)) for w in types}
+    classes = Counter(w for b in before for w in b)
+    shared = lambda w: (classes[w] + 1) / (sum(classes.values()) + len(classes) + 1)
 
     def of(k):
-        n1, n2 = (sum(c == i for c in before[k].values()) for i in (1, 2))
-        d, n = X.discount(n1, n2), sum(before[k].values())
-        word = {w: max(before[k][w] - d, 0) / max(1, n) + (sum(min(c, d) for c in before[k].values()) / n if n else 1) * shared[w] for w in types}
-        d2 = 2 * X.discount(sum(c == 2 for c in pairs[k].values()), 1.5 * sum(c == 3 for c in pairs[k].values()))
+        n = sum(before[k].values())
+        d = X.discount(*(sum(c == i for c in before[k].values()) for i in (1, 2)))
+        d2 = X.discount(*(sum(c == i for c in pairs[k].values()) for i in (1, 2)))
+        after = {}
+        for (h, w), c in pairs[k].items():
+            after.setdefault(h, {})[w] = c
+        word = lambda w: max(before[k][w] - d, 0) / max(1, n) + (sum(min(c, d) for c in before[k].values()) / n if n else 1) * shared(w)
 
-        def p(h, w, alone=False):
-            if alone:
-                return word[w]
-            own = {x: c for (g, x), c in pairs[k].items() if g == h}
-            if not own:
-                return word[w]
-            freed = sum(1 if c == 1 else d2 for c in own.values())
-            c = own.get(w, 0)
-            return ((c - d2 if c > 1 else 0) + freed * word[w]) / sum(own.values())
+        def p(h, w):
+            own = after.get(h)
+            return word(w) if not own else (max(own.get(w, 0) - d2, 0) + d2 * len(own) * word(w)) / sum(own.values())
 
-        return p
+        return p, word
 
-    return [of(0), of(1)], types, names
+    return [of(0), of(1)], [*classes, "<unknown>"], names
+
+
+def brute_figures(rows, text):
+    (ordinary, toxic), _, names = brute_models(rows)
+    w = names(text)
+    tells = [math.log10(toxic[0](h, x) / ordinary[0](h, x)) for h, x in zip([None, *w], w, strict=False)]
+    lesser = [min(a, math.log10(toxic[1](x) / ordinary[1](x))) for a, x in zip(tells, w, strict=True)]
+    out = [sum(tells) / len(w)]
+    for size in (1, 2, 4):
+        size = min(size, len(w))
+        means = sorted((sum(lesser[i : i + size]) / size for i in range(0, len(w) - size + 1, max(1, size // 2))), reverse=True)
+        out += [sum(means[:k]) / len(means[:k]) for k in (1, 3, 8)]
+    return out
 
 
 def small(seed=3):
@@ -96,41 +105,57 @@ def small(seed=3):
     return texts + texts[:4], [i % 3 == 0 for i in range(60)] + [i % 3 == 0 for i in range(4)]
 
 
-def fitted(spark, texts, toxic):
+def counted(spark, texts, toxic):
     rows = dict(zip(texts, toxic, strict=True))  # equal texts have one vote
-    return *X.fit(spark.createDataFrame(list(rows.items()), "t string, toxic boolean")), rows
-
-
-def test_likelihoods_by_brute_force(spark):
-    texts, toxic = small()
-    index, models, rows = fitted(spark, texts, toxic)
-    vocab = {w for w, n in Counter(w for t in rows for w in {x.decode() for x in X.words_of(t)}).items() if n >= X.MIN_TEXTS}
-    assert {w.decode() for w in index} == vocab
-    want, _, names = brute_model(list(rows), list(rows.values()), vocab)
-    for t in ["", "you grumph grumph", "never seen words d so", *list(rows)[:20]]:
-        w = names(t)
-        logs = [[math.log10(want[k](h, x)) for h, x in zip([None, *w], w, strict=False)] for k in (0, 1)]
-        for k in (0, 1):
-            assert np.allclose(models[k].log10(*X.numbered(t, index)), logs[k], rtol=1e-9)
-        whole, *telling = X.differences(X.numbered(t, index), models)
-        assert math.isclose(whole, (sum(logs[1]) - sum(logs[0])) / len(w), abs_tol=1e-9)
-        single = sorted((math.log10(want[1](None, x, True) / want[0](None, x, True)) for x in set(w)), reverse=True)
-        assert np.allclose(telling, [sum(single[:k]) / k for k in X.WORDS])
+    return X.pair_counts(spark.createDataFrame([(t, k, i % X.PARTS) for i, (t, k) in enumerate(rows.items())], "t string, toxic boolean, part int")), rows
+
+
+def test_figures_by_brute_force(spark):
+    counts, rows = counted(spark, *small())
+    for without in (None, 0, 2):
+        kept = {t: k for i, (t, k) in enumerate(rows.items()) if without is None or i % X.PARTS != without}
+        models = counts.fit(without)
+        for t in ["", "you grumph grumph", "never seen words d so", *list(rows)[:20]]:
+            assert np.allclose(X.figures(models, t), brute_figures(kept, t), atol=1e-5)
+
+
+def test_scores_by_brute_force(spark):
+    """The whole result from its definition: sample, parts, models, curve."""
+    texts, toxic = small(11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(toxic)], "doc_id long, toxic int")
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows: dict = {}
+    for i in learned:
+        rows[texts[i]] = rows.get(texts[i], False) or toxic[i]
+    part = {r.text: r.part for r in docs.select("text", ((X.row_hash() % X.PARTS + X.PARTS) % X.PARTS).alias("part")).collect()}
+    seen = sorted((tuple(brute_figures({t: k for t, k in rows.items() if part[t] != part[text]}, text)), bool(k)) for text, k in rows.items())
+    mean, scale, w = X.fit_logistic(np.array([x for x, _ in seen]), np.array([y for _, y in seen], float), share=sum(toxic[i] for i in learned) / len(learned))
+    for r in X.toxicity(docs, labels).collect():
+        z = (np.array(brute_figures(rows, texts[r.doc_id])) - mean) / scale @ w[1:] + w[0]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-3)
 
 
 def test_probabilities_sum_to_one(spark):
-    index, models, _ = fitted(spark, *small())
-    size = len(index) + 2
-    for m in models:
-        for h in range(size + 1):
-            assert abs((10 ** m.log10(np.full(size, h), np.arange(size))).sum() - 1) < 1e-9
-
-
-def test_differences_are_per_word(spark):
-    index, models, _ = fitted(spark, *small())
-    once, often = (X.differences(X.numbered(t, index), models) for t in ("grumph", "grumph " * 200_000))
-    assert once[0] > 0 and abs(often[0] - once[0]) < 2 and len(once) == 1 + len(X.WORDS)
-    assert all(np.isfinite(X.differences(X.numbered("", index), models)))
+    counts, rows = counted(spark, *small())
+    for without in (None, 1):
+        _, found = counts.probabilities(without)
+        size = len(counts.words)
+        h, w = counts.keys >> 32, counts.keys & 0xFFFFFFFF
+        for own, freed, word in found:
+            known = word[:-1][np.isin(np.arange(size), w)].sum() + word[-1]
+            if without is None:
+                assert abs(known - 1) < 1e-9
+                for c in set(h.tolist()):
+                    assert abs(own[h == c].sum() + freed[c] - 1) < 1e-9
+
+
+def test_figures_are_per_word(spark):
+    counts, _ = counted(spark, *small())
+    models = counts.fit()
+    once, often = (X.figures(models, t) for t in ("grumph", "grumph " * 200_000))
+    assert once[0] > 0 and abs(often[0] - once[0]) < 2 and len(once) == 1 + len(X.WINDOWS) * len(X.BEST)
+    assert all(np.isfinite(X.figures(models, "")))
 
 
 def test_logistic_finds_a_boundary():
@@ -158,11 +183,14 @@ def test_votes_move_the_boundary():
     assert np.allclose(X.fit_logistic(x, y, share=0.5)[2], X.fit_logistic(x, y)[2])
 
 
-def test_a_word_that_always_follows_one_word_tells(spark):
-    texts = [f"you grumph {c}" for c in "abcd"] + ["you a so b", "then you c", "so you d", "a b c d"]
-    index, models, _ = fitted(spark, texts, [True] * 4 + [False] * 4)
-    after = X.differences(X.numbered("you grumph", index), models)
-    assert after[0] > X.differences(X.numbered("you a", index), models)[0] and after[0] > 0
+def test_context_tells(spark):
+    """The same word after different ones: in toxic texts it follows one, in ordinary texts the other."""
+    texts = [f"you grumph {c}" for c in "abcdefgh"] + [f"a grumph {c}" for c in "ijklmnop"] + ["you a b so", "then you c", "a you d"]
+    counts, _ = counted(spark, texts, [True] * 8 + [False] * 11)
+    models = counts.fit()
+    after, other = (models.differences(f"{w} grumph")[0][1] for w in ("you", "a"))
+    assert after > 0 > other
+    assert X.figures(models, "you grumph")[0] > X.figures(models, "a grumph")[0]
 
 
 def test_clashing_columns_repeats_and_long_texts(spark, data):
@@ -187,9 +215,3 @@ def test_one_oversized_row_does_not_end_the_sample(spark):
     assert sorted(r.t for r in got) == sorted(rows[i][1] for i in learned if i != first)
     with pytest.raises(ValueError, match="max_bytes"):
         X.learned_rows(docs, labels, max_bytes=1)
-
-
-def test_words_are_the_same_in_spark_and_python(spark):
-    texts = ['A\tb\x0bC\x0cd\re\n(F) "g" ...', "É é ÀB --x-- [y]{z}  nb  \x1cfs\x1c", "", " \n ", "- -- '", "a.b,c;d <<E>> #F% &G| *H_ $I$"]
-    sample = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert set(X.vocabulary(sample, min_texts=1)) == {w for t in texts for w in X.words_of(t)}
