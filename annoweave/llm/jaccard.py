@@ -46,8 +46,8 @@ MAPS = 8
 BROADCAST_ROWS = 1 << 20
 #: Rounds of comparing with one set of each signature at most, and pairs a signature's set that may be left after them.
 ROUNDS, LEFT = 8, 4
-#: Tasks over which the comparisons with one set are spread.
-SALT = 64
+#: Comparisons of one set that one task makes, about.
+SPREAD = 4096
 
 #: Odd, so that words before count otherwise than words after.
 _FOLD = 0x9E3779B97F4A7C15
@@ -153,10 +153,12 @@ def _sign(percent: int, classes: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 256):
             found = []
-            for number, n, whole, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.sort(key=lambda h: h["pos"])
-                pos, df = (np.array([h[c] for h in held], np.int64) for c in ("pos", "df"))
-                tokens = np.array([h["token"] for h in held], np.int64).view(np.uint64)
+            flat, ends = b.column(1).values, b.column(1).offsets.to_numpy()  # of the whole column, also in a slice
+            at, token, times = (flat.field(c).to_numpy() for c in range(3))
+            for number, x, y in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                order = x + np.argsort(at[x:y])
+                pos, df, tokens = at[order] >> 32, times[order], token[order].view(np.uint64)
+                n, whole = int(at[x] & 0xFFFFFFFF) >> 1, bool(at[x] & 1)
                 sigs = signatures(n, n if whole else depth(n, percent), pos, tokens, df, percent, classes)
                 over = sigs is None
                 sigs = np.zeros(1, np.uint64) if over else sigs
@@ -192,6 +194,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _place(whole: bool) -> Column:
+    """A token's place in its set, with the set's size and whether all of the set's tokens are looked at, in one number."""
+    return (F.col("pos").cast("long") * (1 << 32) + F.col("n") * 2 + int(whole)).alias("at")
+
+
 def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(set, n, tokens, bitmap columns) of the wanted(set), read from their texts again and stored; one row each."""
     maps = [f"m{i}" for i in range(MAPS)]
@@ -210,23 +217,27 @@ def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int
     keys = marked.join(wanted, F.col("row") == F.col("set"), "left_semi").select(F.col("row").alias("set"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     plain = docs.select(F.col(id_col).cast("long").alias("__own"), row_hash(text_col).alias("__of"), text_of(text_col).alias("t"))
     met = plain.join(_small(cut(keys)), (F.col("__of") == F.col("__hash")) & F.col("__own").eqNullSafe(F.col("__id"))).select("set", "t")
-    found = in_small_batches(met).mapInArrow(run, "set long, n long, tokens array<long>, " + ", ".join(f"{m} long" for m in maps))
-    return cut(found.dropDuplicates(["set"]))
+    found = cut(in_small_batches(met).mapInArrow(run, "set long, n long, tokens array<long>, " + ", ".join(f"{m} long" for m in maps)))
+    alone = found.groupBy("set").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+    return found if alone else cut(found.dropDuplicates(["set"]))  # rows repeated in several tasks
 
 
 def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: int, percent: int, classes: tuple, id_col: str, text_col: str) -> DataFrame:
     """(sig, set, n), stored: the signatures that more than one set has. firsts(set) are one row of marked for each set."""
+    spark = docs.sparkSession
     copies = cut(marked.filter(F.size("prefix") > 0).select("row").join(firsts, F.col("row") == F.col("set"), "left_anti"))
-    tokens = marked.join(_small(copies), "row", "left_anti").select(F.col("row").alias("set"), "n", F.lit(False).alias("whole"), F.posexplode("prefix").alias("pos", "token"))
+    tokens = marked.join(_small(copies), "row", "left_anti").select(F.col("row").alias("set"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", _place(False))
     while True:
-        df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        held = tokens.join(df, "token").groupBy("set", "n", "whole").agg(F.collect_list(F.struct("pos", "token", "df")).alias("held"))  # a set's own
+        # counted and joined under one partitioning: a token is in few of a set's many rows, so none is in many of all
+        dealt = tokens.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+        df = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        held = dealt.join(df.hint("merge"), "token").groupBy("set").agg(F.collect_list(F.struct("at", "token", "df")).alias("held"))  # a set's own
         found = cut(held.mapInArrow(_sign(percent, classes), "sig long, set long, n long, over boolean"))
         more = cut(found.filter("over").select("set"))
         if more.isEmpty():
             break
         # these need more tokens than were looked at: now all of theirs are
-        more = whole_sets(docs, marked, more, words, id_col, text_col).select("set", "n", F.lit(True).alias("whole"), F.posexplode("tokens").alias("pos", "token"))
+        more = whole_sets(docs, marked, more, words, id_col, text_col).select("set", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "set", _place(True))
         tokens = tokens.join(_small(more.select("set").distinct()), "set", "left_anti").unionByName(more)
     shared = found.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("sig")
     return cut(found.select("sig", "set", "n").join(shared, "sig"))
@@ -246,11 +257,13 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # sets differ in as many tokens as their bitmaps in bits at least
     least = F.ceil(both * percent / F.lit(100 + percent))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= both - 2 * least)
-    # what is compared with one set is spread over tasks
-    likely = cut(likely.select("a", "b", F.pmod(F.hash("b"), F.lit(SALT)).alias("salt")))
+    likely = cut(likely.select("a", "b"))
+    # a set that is compared with very many gets several rows, so that these are spread over tasks
+    many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / F.lit(SPREAD)).alias("salts"))
     own = sets.select(F.col("set").alias("a"), F.col("tokens").alias("a_tokens"))
-    spread = likely.select("a", "salt").distinct().join(own, "a")
-    met = likely.join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("b_tokens")), "b").join(spread, ["a", "salt"])
+    spread = many.join(own, "a").select("a", "a_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    salted = likely.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).cast("long").alias("salt"))
+    met = salted.join(spread, ["a", "salt"]).join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("b_tokens")), "b")
     common, all_ = F.size(F.array_intersect("a_tokens", "b_tokens")), F.size("a_tokens") + F.size("b_tokens")
     return cut(met.filter(100 * common.cast("long") >= percent * (all_ - common)).select("a", "b"))
 
