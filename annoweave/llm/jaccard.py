@@ -1,7 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document's tokens are the hashes of its distinct word shingles, in order of their
-value. A set of n tokens that is linked to another lacks at most d = n - ceil(n * percent /
+A document's tokens are the hashes of its distinct word shingles, in an order that is the same
+everywhere: the commonest tokens of a sample of texts last, else by value. Any order gives all
+links; this one keeps passages that many documents share out of most prefixes. A set of n tokens that is linked to another lacks at most d = n - ceil(n * percent /
 100) of its own there, so of its first d + 1 tokens one is common to both, and lies in the
 other's first tokens too. Single tokens are signatures of that kind; a frequent token is a
 bad one, as all its documents meet. So tokens are classed by how many sets hold them: of
@@ -30,6 +31,7 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ from annoweave.llm.components import connected_components
 WORDS, PERCENT = 5, 80
 #: (tokens that are combined, least number of sets that hold such a token, tokens of a group on average).
 CLASSES = ((2, 64, 4), (3, 1 << 16, 8))
+#: One of how many texts is looked at for common tokens, how many of these a common one is in, and how many are kept: 8 MB.
+SAMPLE, COMMON, KEPT = 16, 4, 1 << 20
 #: Longs of a set's bitmap, by which most pairs that can't be linked are told apart before their tokens are moved.
 MAPS = 8
 #: Rows up to which the rows to leave out, or to read again, are broadcast: 32 MB at most.
@@ -56,10 +60,11 @@ _MARKED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa
 _SIGNED = pa.schema([("sig", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("over", pa.bool_())])
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str], words: int = WORDS, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, hashes): each text's distinct word shingles as unsigned hashes, in order, text after text.
 
     A text with fewer words has one shingle of all of them; one without words has none.
+    Hashes have 63 bits; those among common, which is in order, have the bit above too.
     """
     held = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     count = np.fromiter(map(len, held), np.int64, len(held))
@@ -72,6 +77,10 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     for k in range(words):
         there = left > k
         hashes[there] = mix64((hashes[there] * np.uint64(_FOLD)) ^ own[at[there] + k])
+    hashes >>= np.uint64(1)
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes[common[at] == hashes] |= np.uint64(1 << 63)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), bool)
@@ -170,12 +179,25 @@ def _sign(percent: int, classes: tuple):
     return run
 
 
-def mark(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common_tokens(docs: DataFrame, words: int, text_col: str = "text") -> np.ndarray:
+    """The hashes, in order, of the tokens that most of the different texts of a sample by hash have; at most KEPT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 256):
+            found, times = np.unique(shingle_sets(b.column(0).to_pylist(), words)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["token", "n"])
+
+    some = docs.select(row_hash(text_col).alias("h"), text_of(text_col).alias("t")).filter(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"])
+    counts = in_small_batches(some.select("t")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    return np.sort(counts.orderBy(F.desc("n"), "token").limit(KEPT).select("token").toArrow()["token"].to_numpy().view(np.uint64))
+
+
+def mark(docs: DataFrame, words: int, percent: int, common: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text_hash, n, digest, prefix) of each row, stored. digest tells different sets apart; null without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 256):
-            sizes, hashes = shingle_sets(b.column(2).to_pylist(), words)
+            sizes, hashes = shingle_sets(b.column(2).to_pylist(), words, common.value)
             ends = np.cumsum(sizes)
             starts = ends - sizes
             digests = [xxhash.xxh3_128_digest(hashes[x:y].tobytes()) if y > x else None for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -199,7 +221,7 @@ def _place(whole: bool) -> Column:
     return (F.col("pos").cast("long") * (1 << 32) + F.col("n") * 2 + int(whole)).alias("at")
 
 
-def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int, common: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(set, n, tokens, bitmap columns) of the wanted(set), read from their texts again and stored; one row each."""
     maps = [f"m{i}" for i in range(MAPS)]
 
@@ -209,7 +231,7 @@ def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int
             rows = dict(zip(*(c.to_pylist() for c in b.columns), strict=True))  # rows repeated with one id and text are one
             numbers = [x for x in rows if x not in done]
             done.update(numbers)
-            sizes, hashes = shingle_sets([rows[x] for x in numbers], words)
+            sizes, hashes = shingle_sets([rows[x] for x in numbers], words, common.value)
             bit = np.repeat(np.arange(len(numbers)) * 64 * MAPS, sizes) + (hashes % np.uint64(64 * MAPS)).astype(np.int64)
             bits = np.packbits((np.bincount(bit, minlength=64 * MAPS * len(numbers)) & 1).astype(np.uint8)).view(np.int64).reshape(-1, MAPS)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), _lists(sizes, hashes), *map(pa.array, bits.T)], names=["set", "n", "tokens", *maps])
@@ -222,7 +244,7 @@ def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int
     return found if alone else cut(found.dropDuplicates(["set"]))  # rows repeated in several tasks
 
 
-def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: int, percent: int, classes: tuple, id_col: str, text_col: str) -> DataFrame:
+def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: int, percent: int, classes: tuple, common: Broadcast, id_col: str, text_col: str) -> DataFrame:
     """(sig, set, n), stored: the signatures that more than one set has. firsts(set) are one row of marked for each set."""
     spark = docs.sparkSession
     copies = cut(marked.filter(F.size("prefix") > 0).select("row").join(firsts, F.col("row") == F.col("set"), "left_anti"))
@@ -237,7 +259,7 @@ def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: in
         if more.isEmpty():
             break
         # these need more tokens than were looked at: now all of theirs are
-        more = whole_sets(docs, marked, more, words, id_col, text_col).select("set", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "set", _place(True))
+        more = whole_sets(docs, marked, more, words, common, id_col, text_col).select("set", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "set", _place(True))
         tokens = tokens.join(_small(more.select("set").distinct()), "set", "left_anti").unionByName(more)
     shared = found.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("sig")
     return cut(found.select("sig", "set", "n").join(shared, "sig"))
@@ -311,7 +333,10 @@ def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         if left[0] <= LEFT * left[1]:
             break
         one = open_.groupBy("sig").agg(F.min_by(F.struct("set", "n", "comp"), F.xxhash64("set", F.lit(n))).alias("x")).select("sig", "x.*")
-        comps = _contracted(comps, linked(_pairs(open_, one, fits), sets, percent))
+        new = linked(_pairs(open_, one, fits), sets, percent)
+        if new.isEmpty():
+            break
+        comps = _contracted(comps, new)
         open_ = open_.drop("comp")
     open_ = _open(open_.drop("comp"), comps)
     by_comp = open_.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -339,10 +364,11 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
-    marked = mark(docs, words, percent, id_col, text_col)
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, words, text_col))  # 8 MB at most
+    marked = mark(docs, words, percent, common, id_col, text_col)
     firsts = cut(marked.filter("n > 0").groupBy("digest").agg(F.min("row").alias("set"), F.min("doc_id").alias("least")))
-    signed = signed_sets(docs, marked, firsts.select("set"), words, percent, classes, id_col, text_col)
-    sets = whole_sets(docs, marked, signed.select("set").distinct(), words, id_col, text_col)
+    signed = signed_sets(docs, marked, firsts.select("set"), words, percent, classes, common, id_col, text_col)
+    sets = whole_sets(docs, marked, signed.select("set").distinct(), words, common, id_col, text_col)
     comps = join_sets(signed, sets, percent)
     # a partial minimum for each set, then for each component: no group is gathered
     own = firsts.withColumn("component", F.col("set")) if comps is None else firsts.join(comps, F.col("set") == F.col("node"), "left")
