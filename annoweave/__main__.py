@@ -83,14 +83,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     for p in (path, a.prompt):
         if not sinks.path_exists(spark, p):
             raise sinks.Refused(f"{p} doesn't exist")
-    records = read_json_lines(spark, path, StructType([*schemas.TOKEN.fields, StructField("split", StringType())]), strict=False)
+    records = read_json_lines(spark, path, StructType([*schemas.TOKEN.fields, StructField("split", StringType())]), strict=False, ordinal="file_row")
     client = stub_client if a.model == "stub" else ChatClient(a.url, a.model, a.temperature, a.timeout)
     name = lambda kind: f"{a.results_dir}/" + sinks.output_name(a.split, a.model, schemas.SCHEMA_VERSION, schemas.PROMPT_VERSION, kind, a.limit)
-    found = pipeline.run_model(
+    counts = pipeline.run_model(
         records, a.split, client, read_whole_text(spark, a.prompt), name("predictions"), name("raw_responses"), a.limit, a.batch_size, a.max_retries, a.allow_lockbox, a.overwrite,
-        model=a.model, prompt_version=schemas.PROMPT_VERSION, prompt_path=a.prompt,
+        order="file_row", store=a.replies, parallel=a.parallel, model=a.model, prompt_version=schemas.PROMPT_VERSION, prompt_path=a.prompt,
     )
-    return {"split": a.split, "model": a.model, "n_predictions": found.count(), "predictions": name("predictions"), "elapsed_seconds": round(time.time() - began, 2)}
+    return {"split": a.split, "model": a.model, **counts, "predictions": name("predictions"), "elapsed_seconds": round(time.time() - began, 2)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -117,6 +117,8 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--split-dir", default="splits")
     r.add_argument("--results-dir", default="results")
     r.add_argument("--url", default="http://localhost:11434/api/chat")
+    r.add_argument("--replies", help="a folder of replies to use again and add to")
+    r.add_argument("--parallel", type=int, help="requests at a time; one a core without it")
     r.add_argument("--allow-lockbox", action="store_true")
     for x in (b, s, r):
         x.add_argument("--overwrite", action="store_true")

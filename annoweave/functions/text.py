@@ -64,6 +64,26 @@ def repetition_candidate(negator: Column, previous_negator: Column) -> Column:
     return F.coalesce(F.lower(clean(negator)) == F.lower(clean(previous_negator)), F.lit(False))
 
 
+def words_of(utterance: Column) -> Column:
+    """Lower-cased words: runs of letters, figures and apostrophes."""
+    return F.regexp_extract_all(F.lower(utterance), F.lit(r"[\p{L}\p{M}\p{N}'’]+"), F.lit(0))
+
+
+def prejacent(utterance: Column, negator: Column) -> Column:
+    """The words that follow the first place of the negator, of one word or several, in an utterance; null where it isn't there."""
+    words, held = words_of(utterance), words_of(negator)
+    n = F.size(held)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, n) == held)
+    at = F.get(starts, F.lit(0))
+    return F.when((n > 0) & at.isNotNull(), F.slice(words, at + n, F.greatest(F.size(words), F.lit(1))))
+
+
+def same_prejacent(negator: Column, utterance: Column, previous_negator: Column, previous_utterance: Column) -> Column:
+    """Whether a token repeats the one before: the same negator, and after it the same words in both utterances."""
+    own, before = prejacent(utterance, negator), prejacent(previous_utterance, previous_negator)
+    return F.coalesce((words_of(negator) == words_of(previous_negator)) & (own == before), F.lit(False))
+
+
 def mimicry_candidate(utterance: Column, speaker: Column, before: Column) -> Column:
     """Whether another speaker said exactly this within the context before."""
     return F.coalesce(F.exists(before, lambda x: (x["utterance"] == utterance) & (x["speaker"] != speaker)), F.lit(False))

@@ -3,16 +3,23 @@
 A run goes in rounds. A round asks the model once for each open batch, stores the
 replies and judges them as a table; batches whose reply breaks the contract go into the
 next round together with the fault. Only the asking is Python.
+
+A run that shall stop at its first dead batch goes in slices of batches that grow as long as
+all is well, two at a time under one job tag; a dead batch interrupts what is tagged. A
+store of replies, keyed by all that a reply depends on, is looked up before asking.
 """
 
 from __future__ import annotations
 
 import json
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoweave.functions.text import json_text
@@ -20,6 +27,7 @@ from annoweave.operators.ordering import batch_number, dense_number
 from annoweave.operators.validation import NOT_JSON, with_verdict
 from annoweave.schemas import FLAGS, LABELS, PROMPT_FIELDS, SCHEMA_VERSION
 from annoweave.session import cut
+from annoweave.sources.sinks import path_exists
 
 #: (system prompt, user message) -> the model's reply text
 Client = Callable[[str, str], str]
@@ -89,10 +97,12 @@ def prompt_batches(records: DataFrame, batch_size: int, order: str = "number") -
     return batches.groupBy("batch_number").agg(rows.alias("rows")).select("batch_number", F.col("rows.id").alias("record_ids"), F.col("rows.record").alias("records"))
 
 
-def ask(open_batches: DataFrame, client: Client, prompt: str) -> DataFrame:
+def ask(open_batches: DataFrame, client: Client, prompt: str, stop: bool = False, parallel: int | None = None) -> DataFrame:
     """Add the model's response to each batch, or the error with which it could not be reached; stored at once.
 
-    `fault` is what was wrong with the batch's last response, or null.
+    `fault` is what was wrong with the batch's last response, or null. With `stop` a task
+    asks nothing more once it couldn't reach the model: `asked` is false for the rest.
+    At most `parallel` requests are made at a time; else one a core.
     """
 
     def one(records: list[str], fault: str | None) -> tuple[str | None, str | None]:
@@ -103,27 +113,55 @@ def ask(open_batches: DataFrame, client: Client, prompt: str) -> DataFrame:
             return None, str(e)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dead = False
         for f in frames:
-            said = [one(list(r), x) for r, x in zip(f["records"], f["fault"], strict=True)]
-            yield f.assign(response=[s[0] for s in said], error=[s[1] for s in said])
+            said, asked = [], []
+            for records, fault in zip(f["records"], f["fault"], strict=True):
+                asked.append(not (dead and stop))
+                said.append(one(list(records), fault) if asked[-1] else (None, None))
+                dead = dead or said[-1][1] is not None
+            yield f.assign(response=[s[0] for s in said], error=[s[1] for s in said], asked=asked)
 
-    return cut(open_batches.mapInPandas(run, "batch_number long, record_ids array<string>, records array<string>, fault string, response string, error string"))
+    dealt = open_batches.repartition(parallel) if parallel else open_batches
+    ddl = "batch_number long, record_ids array<string>, records array<string>, fault string"
+    in_order = dealt.select(*[c.split()[0] for c in ddl.split(", ")]).sortWithinPartitions("batch_number")  # so whatever comes before a dead batch is asked
+    return cut(in_order.mapInPandas(run, f"{ddl}, response string, error string, asked boolean"))
 
 
-def code_batches(records: DataFrame, client: Client, prompt: str = "", batch_size: int = 5, max_retries: int = 2, order: str = "number") -> DataFrame:
-    """One row a batch with the model's reply and its fate.
+def reply_key(settings: str, prompt: str) -> Column:
+    """Digest of all that a batch's reply depends on: the model's settings, the prompt, the records and the fault that is told."""
+    return F.sha2(json_text(F.struct(F.lit(settings).alias("settings"), F.lit(prompt).alias("prompt"), "records", "fault")), 256)
 
-    status is ok, unreachable, not_json or invalid. Only a reply that breaks the contract
-    is asked for again, max_retries times, with its fault. `order` is an integer column.
-    Replies are stored before they are judged, so a lost executor later doesn't ask the
-    model again; run without speculation.
+
+def asked_or_stored(open_batches: DataFrame, client: Client, prompt: str, store: str, settings: str, stop: bool = False, parallel: int | None = None) -> DataFrame:
+    """As `ask`, but batches whose reply is in the store aren't asked, and what is newly replied is added to it.
+
+    store is a folder; each call adds a folder of (key, response) rows of its own, so calls
+    may run side by side. Of several replies to one key the least counts, so a rerun tells the same.
     """
-    if batch_size < 1 or max_retries < 0:
-        raise ValueError("batch_size must be positive and max_retries not negative")
-    waiting = prompt_batches(records, batch_size, order).withColumn("fault", F.lit(None).cast("string"))
+    spark = open_batches.sparkSession
+    keyed = open_batches.withColumn("key", reply_key(settings, prompt))
+    if path_exists(spark, store):
+        known = spark.read.option("recursiveFileLookup", "true").schema("key string, response string").parquet(store)
+        known = known.groupBy("key").agg(F.min("response").alias("response"))
+    else:
+        known = spark.createDataFrame([], "key string, response string")
+    met = cut(keyed.join(known, "key", "left"))
+    names = ["batch_number", "record_ids", "records", "fault", "response"]
+    there = met.filter(F.col("response").isNotNull()).select(*names, F.lit(None).cast("string").alias("error"), F.lit(True).alias("asked"))
+    new = met.filter(F.col("response").isNull()).drop("response")
+    if new.isEmpty():
+        return there
+    found = ask(new, client, prompt, stop, parallel)
+    found.withColumn("key", reply_key(settings, prompt)).filter(F.col("response").isNotNull()).select("key", "response").write.parquet(f"{store}/{uuid.uuid4().hex}")
+    return there.unionByName(found)
+
+
+def _rounds(waiting: DataFrame, asking: Callable[[DataFrame], DataFrame], max_retries: int) -> DataFrame:
+    """The results of the batches that were asked."""
     done: list[DataFrame] = []
     for n in range(1, max_retries + 2):
-        judged = with_verdict(ask(waiting, client, prompt), "response", "record_ids")
+        judged = with_verdict(asking(waiting).filter("asked"), "response", "record_ids")
         status = F.when(F.col("error").isNotNull(), "unreachable").when(F.col("v.code").isNull(), "ok").when(F.col("v.code") == NOT_JSON, "not_json").otherwise("invalid")
         found = json_text(F.transform("v.predictions", lambda p: p.dropFields("pos")))
         judged = cut(
@@ -138,10 +176,60 @@ def code_batches(records: DataFrame, client: Client, prompt: str = "", batch_siz
             break
         done.append(judged.filter(~again))
         waiting = judged.filter(again).select("batch_number", "record_ids", "records", F.col("error").alias("fault"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select(*_NAMES)
+    return reduce(DataFrame.unionByName, done).select(*_NAMES)
+
+
+#: Batches of a stopping run's first slice and of its largest, and slices at a time.
+FIRST_SLICE, LAST_SLICE, AHEAD = 16, 1 << 14, 2
+
+
+def _until_dead(waiting: DataFrame, asking: Callable[[DataFrame], DataFrame], max_retries: int) -> DataFrame:
+    """The results of slices of batches up to the first slice with a dead one; slices after it are interrupted."""
+    spark, tag = waiting.sparkSession, f"annoweave-run-{uuid.uuid4().hex}"
+    batches = cut(waiting)
+    last = batches.agg(F.max("batch_number")).first()[0] or 0
+
+    def run(low: int, high: int) -> tuple[DataFrame, bool]:
+        spark.addTag(tag)
+        found = _rounds(batches.filter(F.col("batch_number").between(low, high)), asking, max_retries)
+        return found, failed_batches(found).isEmpty()
+
+    done, open_, at, size, dead = [], set[Future](), 1, FIRST_SLICE, False
+    with ThreadPoolExecutor(AHEAD) as pool:
+        while open_ or (at <= last and not dead) or not (done or dead):
+            while not dead and len(open_) < AHEAD and (at <= last or not (done or open_)):
+                open_.add(pool.submit(run, at, at + size - 1))
+                at, size = at + size, min(LAST_SLICE, 2 * size)
+            over, open_ = wait(open_, return_when=FIRST_COMPLETED)
+            for slice_ in over:
+                if dead and slice_.exception() is not None:
+                    continue  # interrupted
+                found, well = slice_.result()
+                done.append(found)
+                if not well and not dead:
+                    dead = True
+                    spark.interruptTag(tag)
+    return reduce(DataFrame.unionByName, done)
+
+
+def code_batches(records: DataFrame, client: Client, prompt: str = "", batch_size: int = 5, max_retries: int = 2, order: str = "number", fail_fast: bool = False, store: str | None = None, settings: str = "", parallel: int | None = None) -> DataFrame:
+    """One row a batch with the model's reply and its fate.
+
+    status is ok, unreachable, not_json or invalid. Only a reply that breaks the contract
+    is asked for again, max_retries times, with its fault. `order` is an integer column.
+    Replies are stored before they are judged, so a lost executor later doesn't ask the
+    model again; run without speculation. With fail_fast the run stops soon after the first
+    batch that is dead for good, and batches that weren't asked have no row. With `store`, a
+    folder, replies of earlier runs with the same settings, prompt and records are used.
+    """
+    if batch_size < 1 or max_retries < 0:
+        raise ValueError("batch_size must be positive and max_retries not negative")
+    waiting = prompt_batches(records, batch_size, order).withColumn("fault", F.lit(None).cast("string"))
+
+    def asking(some: DataFrame) -> DataFrame:
+        return asked_or_stored(some, client, prompt, store, settings, fail_fast, parallel) if store else ask(some, client, prompt, fail_fast, parallel)
+
+    return (_until_dead if fail_fast else _rounds)(waiting, asking, max_retries)
 
 
 def predictions_of(results: DataFrame) -> DataFrame:
@@ -162,11 +250,16 @@ def require_all_ok(results: DataFrame) -> None:
         raise RuntimeError(f"batch {bad['batch_number']} failed after {bad['attempts']} attempts: {bad['error']}")
 
 
+def run_counts() -> dict[str, Column]:
+    """Batches, records, attempts and failures of a run's results, as sums that a write can take on its way."""
+    return {
+        "n_batches": F.count(F.lit(1)),
+        "n_records": F.coalesce(F.sum(F.size("record_ids")), F.lit(0)).cast("long"),
+        "n_attempts": F.coalesce(F.sum("attempts"), F.lit(0)).cast("long"),
+        "n_failed": F.count_if(F.col("status") != "ok"),
+    }
+
+
 def run_summary(results: DataFrame, **about: object) -> DataFrame:
     """One row: batches, records, attempts and failures of a run, and what else is told."""
-    return results.agg(
-        F.count(F.lit(1)).alias("n_batches"),
-        F.coalesce(F.sum(F.size("record_ids")), F.lit(0)).cast("long").alias("n_records"),
-        F.coalesce(F.sum("attempts"), F.lit(0)).cast("long").alias("n_attempts"),
-        F.count_if(F.col("status") != "ok").alias("n_failed"),
-    ).select("*", *[F.lit(v).alias(k) for k, v in about.items()])
+    return results.agg(*[c.alias(k) for k, c in run_counts().items()]).select("*", *[F.lit(v).alias(k) for k, v in about.items()])

@@ -11,6 +11,8 @@ from annoweave.schemas import CONTEXT_LINES
 RANGE = 1 << 20
 #: Ranges whose counts are summed up together.
 FAN = 1 << 14
+#: Lines of a context chunk, and ordinals of the ranges that are looked at as a whole for one.
+CHUNK, REACH = 4096, 512
 
 
 def _starts(counts: DataFrame, keys: list[str], span: int) -> DataFrame:
@@ -50,6 +52,11 @@ def record_id(number: Column, prefix: str = "eng_") -> Column:
     return F.format_string(prefix + "%06d", number)
 
 
+def record_number(record: Column) -> Column:
+    """The number at the end of a record id, by which records are ordered; ids as text are not, from a million on."""
+    return F.regexp_extract(record, "([0-9]+)$", 1).try_cast("long")
+
+
 def batch_number(number: Column, size: int) -> Column:
     """Batches of `size` by a number from 1."""
     if size < 1:
@@ -72,6 +79,43 @@ def context_windows(lines: DataFrame, keys: list[str], ordinal: str, item: Colum
     )
 
 
+def contexts_at(lines: DataFrame, hits: DataFrame, keys: list[str], ordinal: str, item: Column, size: int = CONTEXT_LINES, chunk: int = CHUNK, reach: int = REACH) -> DataFrame:
+    """The lines named by hits(keys..., ordinal), each with context_before and context_after as in context_windows.
+
+    Chunks and halos: a line's place among its keys' lines comes from the counts of ranges
+    of the ordinal; only ranges within `size` places of one that holds a hit are kept. Places
+    are cut into chunks; a line within `size` of a chunk's end is copied to the neighbour,
+    and only chunks with a hit get windows. So a task holds a chunk and its halo however many lines
+    have the same keys, and lines far from any hit are counted and no more. An ordinal
+    is an integer, once for the same keys.
+    """
+    if chunk < size:
+        raise ValueError("a chunk must be as long as the context")
+    in_range = F.floor(F.col(ordinal) / F.lit(reach)).alias("__range")
+    ends = lines.agg(F.floor(F.min(ordinal) / F.lit(reach)), F.floor(F.max(ordinal) / F.lit(reach))).first()
+    span = 1 if ends[0] is None else int(ends[1]) - int(ends[0]) + 1
+    starts = _starts(lines.groupBy(*keys, in_range).count(), keys, span)
+    wanted = hits.groupBy(*keys, in_range).agg(F.collect_set(ordinal).alias("__hits"))  # `reach` ordinals at most
+    starts = starts.join(wanted, [*keys, "__range"], "left")
+    blocks = lambda first, last: F.explode(F.sequence(F.floor((F.col("__before") - first) / chunk), F.floor((F.col("__before") + F.col("count") - 1 + last) / chunk))).alias("__block")
+    needed = starts.filter(F.col("__hits").isNotNull()).select(*keys, blocks(size, size)).distinct()
+    held = starts.select(*keys, "__range", "__before", "__hits", blocks(0, 0))
+    near = held.join(needed, [*keys, "__block"], "left_semi").drop("__block").distinct()
+    kept = lines.withColumn("__range", in_range).join(near, [*keys, "__range"])
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(ordinal)) - 1
+    placed = kept.withColumns({"__place": place, "__hit": F.coalesce(F.array_contains("__hits", F.col(ordinal)), F.lit(False))}).drop("__range", "__before", "__hits")
+    own = F.floor(F.col("__place") / F.lit(chunk))
+    within = F.col("__place") - own * chunk
+    copies = F.filter(F.array(own, F.when(within < size, own - 1), F.when(within >= chunk - size, own + 1)), lambda c: c.isNotNull())
+    dealt = placed.withColumns({"__own": own, "__chunk": F.explode(copies)})
+    with_hit = placed.filter("__hit").select(*keys, own.alias("__chunk")).distinct()
+    w = Window.partitionBy(*keys, "__chunk").orderBy("__place")
+    found = dealt.join(with_hit, [*keys, "__chunk"], "left_semi").withColumns(
+        {"context_before": F.collect_list(item).over(w.rowsBetween(-size, -1)), "context_after": F.collect_list(item).over(w.rowsBetween(1, size))}
+    )
+    return found.filter(F.col("__hit") & (F.col("__own") == F.col("__chunk"))).drop("__place", "__hit", "__own", "__chunk")
+
+
 def context_missing(before: Column, after: Column) -> Column:
     return (F.size(before) == 0) & (F.size(after) == 0)
 

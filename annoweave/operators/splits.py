@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annoweave.functions.coding import codes, coding_status, overlap_pair
 from annoweave.operators.ages import bin_edges, bin_of, weighted_mean
 from annoweave.operators.agreement import agreement_stats, pair_counts, sorted_counts
 from annoweave.schemas import NEITHER_SPLIT, SPLIT_ITERATIONS, SPLIT_SEED, SPLIT_TARGETS
+from annoweave.session import cut
 
 # Weights of the objective's terms and its penalties.
 W_SHARE, W_BOTH, W_ONE, W_AGREE, W_KAPPA, W_AGE, W_HIST = 35.0, 18.0, 18.0, 16.0, 10.0, 0.035, 8.0
 NO_OVERLAP, NO_AGES = 5.0, 10.0
 
 
-def transcript_table(records: DataFrame, unit: str = "transcript_id", first: str = "coded_by_1", second: str = "coded_by_2", left: str = "bloom_1", right: str = "bloom_2", age: str = "child_age_months") -> DataFrame:
-    """One row a transcript: rows, age, coding status, overlap and agreement counts."""
+def transcript_table(records: DataFrame, unit: str = "transcript_id", first: str = "coded_by_1", second: str = "coded_by_2", left: str = "bloom_1", right: str = "bloom_2", age: str = "child_age_months", order: Column | None = None) -> DataFrame:
+    """One row a transcript: rows, age, coding status, overlap and agreement counts; with `order`, a number of each record, first_seen."""
+    seen = [] if order is None else [F.min(order).alias("first_seen")]
     status = coding_status(F.col(first), F.col(second))
     both = F.col(left).isNotNull() & F.col(right).isNotNull()
     return records.groupBy(unit).agg(
@@ -33,6 +34,7 @@ def transcript_table(records: DataFrame, unit: str = "transcript_id", first: str
         F.count_if(status == "one_coder").alias("one_coder"),
         F.count_if(both).alias("n_overlap_bloom"),
         F.count_if(both & (F.col(left) == F.col(right))).alias("n_bloom_agree"),
+        *seen,
     )
 
 
@@ -87,69 +89,59 @@ def split_objective(table: DataFrame, pairs: DataFrame, assignment: DataFrame, t
     return objective_terms(table, pairs, assignment, targets, unit).agg(F.sum("score").alias("score"))
 
 
-class Objective:
-    """The objective for many assignments of one transcript table.
+class Part:
+    """The figures of some transcripts, in order, from which the sums of any assignment of them are made.
 
-    A transcript keeps a few numbers and those label pairs that it has, so a trial reads
-    every transcript however many there are.
+    A transcript keeps five numbers and those label pairs that it has: `owner` is a pair's
+    place among the transcripts, `cell` the number of its two labels.
     """
 
-    def __init__(self, table: pd.DataFrame | pa.Table, pairs: pd.DataFrame | pa.Table, targets: dict[str, float], unit: str = "transcript_id") -> None:
-        table, pairs = (x if isinstance(x, pa.Table) else pa.Table.from_pandas(x, preserve_index=False) for x in (table, pairs))
-        plain = lambda t, c: t[c].to_numpy().astype(float)
-        self.targets = np.array(list(targets.values()))
-        ages = plain(table, "age_months")
+    def __init__(self, n: np.ndarray, both: np.ndarray, one: np.ndarray, ages: np.ndarray, owner: np.ndarray, cell: np.ndarray, pairs: np.ndarray, edges: list[float], labels: int) -> None:
         known = ~np.isnan(ages)
-        if not known.any():
-            raise ValueError("no transcript has an age")
-        n = plain(table, "n_rows")
-        edges = np.array(bin_edges(ages[known].min(), ages[known].max()))
-        self.bins = len(edges) - 1
+        self.bins, self.cells = len(edges) - 1, labels * labels
         # rows without an age fall into a bin of their own
-        self.bin = np.where(known, np.clip(np.searchsorted(edges, ages, "right") - 1, 0, self.bins - 1), self.bins).astype(np.int8)
-        left, right = (pairs[c].to_pandas() for c in ("l", "r"))
-        labels = pd.Index(sorted(set(left.unique()) | set(right.unique())))
-        self.k = len(labels)
-        self.cell = (labels.get_indexer(left) * self.k + labels.get_indexer(right)).astype(np.int32)
-        units = table[unit].combine_chunks()
-        at = pc.index_in(pairs[unit].cast(units.type), value_set=units)
-        if at.null_count:
-            raise KeyError("label pairs of a transcript that is not in the table")
-        self.owner, self.pairs = at.to_numpy().astype(np.int32), plain(pairs, "n")
-        zero = np.where(known, n, 0)
-        self.sums = [n, plain(table, "both_coders"), plain(table, "one_coder"), zero, zero * np.where(known, ages, 0)]
-        self.whole = self._figures(self._sums(np.zeros(len(n), np.int64), 1))
-
-    def _sums(self, split: np.ndarray, splits: int) -> np.ndarray:
+        self.bin = np.where(known, np.clip(np.searchsorted(edges, ages, "right") - 1, 0, self.bins - 1), self.bins)
+        self.owner, self.cell, self.pairs = owner, cell, pairs
+        aged = np.where(known, n, 0.0)
+        self.plain = [n, both, one, aged, aged * np.where(known, ages, 0)]
+
+    def sums(self, split: np.ndarray, splits: int) -> np.ndarray:
         """One row a split: sums, weighted age histogram, label pairs."""
-        bins, cells = self.bins + 1, self.k * self.k
-        plain = [np.bincount(split, x, splits)[:, None] for x in self.sums]
-        hist = np.bincount(split * bins + self.bin, self.sums[0], splits * bins).reshape(splits, bins)[:, :-1]
-        counts = np.bincount(split[self.owner] * cells + self.cell, self.pairs, splits * cells).reshape(splits, cells)
+        split = split.astype(np.int64)
+        bins = self.bins + 1
+        plain = [np.bincount(split, x, splits)[:, None] for x in self.plain]
+        hist = np.bincount(split * bins + self.bin, self.plain[0], splits * bins).reshape(splits, bins)[:, :-1]
+        counts = np.bincount(split[self.owner] * self.cells + self.cell, self.pairs, splits * self.cells).reshape(splits, self.cells)
         return np.hstack([*plain, hist, counts])
 
+
+class Score:
+    """The objective of assignments, from their sums and those of all transcripts."""
+
+    def __init__(self, targets: dict[str, float], bins: int, labels: int, whole: np.ndarray) -> None:
+        self.targets, self.bins, self.k = np.array(list(targets.values())), bins, labels
+        self.whole = {k: v[..., 0] for k, v in self._figures(whole.reshape(1, -1)).items() if k != "hist"} | {"hist": self._figures(whole.reshape(1, -1))["hist"][0]}
+
     def _figures(self, sums: np.ndarray) -> dict[str, np.ndarray]:
-        n, both, one, aged, months = sums[:, :5].T
-        hist, c = sums[:, 5 : 5 + self.bins], sums[:, 5 + self.bins :].reshape(len(sums), self.k, self.k)
-        pairs, agree = c.sum((1, 2)), np.trace(c, axis1=1, axis2=2)
-        chance = (c.sum(2) * c.sum(1)).sum(1)
+        n, both, one, aged, months = np.moveaxis(sums[..., :5], -1, 0)
+        hist, c = sums[..., 5 : 5 + self.bins], sums[..., 5 + self.bins :].reshape(*sums.shape[:-1], self.k, self.k)
+        pairs, agree = c.sum((-1, -2)), np.trace(c, axis1=-2, axis2=-1)
+        chance = (c.sum(-1) * c.sum(-2)).sum(-1)
         with np.errstate(divide="ignore", invalid="ignore"):
             sure = pairs * pairs == chance
             kappa = np.where(pairs == 0, np.nan, np.where(sure, (agree == pairs).astype(float), (pairs * agree - chance) / (pairs * pairs - chance)))
-            return {"n": n, "both": both / n, "one": one / n, "agree": agree / pairs, "kappa": kappa, "pairs": pairs, "aged": aged, "age": months / aged, "hist": np.nan_to_num(hist / hist.sum(1, keepdims=True))}
-
-    def score(self, split: np.ndarray) -> float:
-        """split holds the number of each row's target."""
-        f, g = self._figures(self._sums(np.asarray(split, np.int64), len(self.targets))), {k: v[0] for k, v in self.whole.items()}
-        if (f["n"] == 0).any():
-            return float("inf")
-        out = W_SHARE * (f["n"] / g["n"] - self.targets) ** 2 + W_BOTH * (f["both"] - g["both"]) ** 2 + W_ONE * (f["one"] - g["one"]) ** 2
+            return {"n": n, "both": both / n, "one": one / n, "agree": agree / pairs, "kappa": kappa, "pairs": pairs, "aged": aged, "age": months / aged, "hist": np.nan_to_num(hist / hist.sum(-1, keepdims=True))}
+
+    def of(self, sums: np.ndarray) -> np.ndarray:
+        """The score of each assignment; sums has their splits' rows as its last two dimensions."""
+        f, g = self._figures(sums), self.whole
         compared = (f["pairs"] > 0) & (g["pairs"] > 0)
-        with np.errstate(invalid="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = W_SHARE * (f["n"] / g["n"] - self.targets) ** 2 + W_BOTH * (f["both"] - g["both"]) ** 2 + W_ONE * (f["one"] - g["one"]) ** 2
             out += np.where(compared, W_AGREE * (f["agree"] - g["agree"]) ** 2, NO_OVERLAP)
             out += np.where(compared, W_KAPPA * (f["kappa"] - g["kappa"]) ** 2, 0.0)
-            out += np.where(f["aged"] > 0, W_AGE * (f["age"] - g["age"]) ** 2 + W_HIST * ((f["hist"] - g["hist"]) ** 2).sum(1), NO_AGES)
-        return float(out.sum())
+            out += np.where(f["aged"] > 0, W_AGE * (f["age"] - g["age"]) ** 2 + W_HIST * ((f["hist"] - g["hist"]) ** 2).sum(-1), NO_AGES)
+        return np.where((f["n"] == 0).any(-1), np.inf, out.sum(-1))
 
 
 def greedy_assignment(rows: list[int], goals: list[float], rng: random.Random) -> list[int]:
@@ -169,46 +161,159 @@ def greedy_assignment(rows: list[int], goals: list[float], rng: random.Random) -
     return out
 
 
-def search_splits(table: DataFrame, pairs: DataFrame, targets: dict[str, float] | None = None, iterations: int = SPLIT_ITERATIONS, seed: int = SPLIT_SEED, sequential: bool = False, unit: str = "transcript_id") -> DataFrame:
-    """(unit, split, score, iteration) of the best of many random greedy assignments.
+#: Transcripts of a part, trials of a block (and between two stored states of the generator), matrices that are added up at a time.
+PART, BLOCK, FAN = 8192, 500, 32
+#: Bytes of assignments that a task holds, about.
+HELD = 16 << 20
+
+_FIGURES = ["n_rows", "both_coders", "one_coder", "age_months"]
+
+
+def numbered_transcripts(table: DataFrame, unit: str) -> DataFrame:
+    """table with __t, numbers from 0 in the order in which transcripts were first seen, else by name; stored."""
+    order = "first_seen" if "first_seen" in table.columns else unit
+    tagged = cut(table.orderBy(order, unit).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    sizes = tagged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # a row a task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__start"))
+    return cut(tagged.withColumn("__part", part).join(starts, "__part").withColumn("__t", F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__start", "__at"))
+
+
+def packed_parts(numbered: DataFrame, pairs: DataFrame, edges: list[float], labels: list[str], unit: str, part: int) -> DataFrame:
+    """(part, figures): each part's transcripts, pickled."""
+    at = lambda t: [F.floor(t / part).alias("part"), (t % part).alias("at")]
+    rows = numbered.select(*at(F.col("__t")), *_FIGURES)
+    known = pairs.join(numbered.select(unit, "__t"), unit, "left")
+    t = F.coalesce("__t", F.raise_error(F.lit("label pairs of a transcript that is not in the table")).cast("long"))
+    place = lambda c: F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)) - 1
+    cells = known.select(t.alias("__t"), (place("l") * len(labels) + place("r")).alias("cell"), "n").select(*at(F.col("__t")), "cell", "n") if labels else numbered.limit(0).select(*at(F.col("__t")), F.lit(0).alias("cell"), F.lit(0).alias("n"))
+
+    def pack(figures: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        f = figures.sort_values("at")
+        numbers = [f[c].to_numpy(float) for c in _FIGURES]
+        held = Part(*numbers, own["at"].to_numpy(np.int64), own["cell"].to_numpy(np.int64), own["n"].to_numpy(float), edges, len(labels))
+        return pd.DataFrame({"part": [int(f["part"].iloc[0])], "figures": [pickle.dumps(held)]})
 
-    Trials run in parallel, each seeded by its number; `sequential` draws all trials
-    from one generator in one task, with transcripts in the table's order of unit. The
-    first of equal scores wins. Every transcript is assigned by itself at any size.
+    return cut(rows.groupBy("part").cogroup(cells.groupBy("part")).applyInPandas(pack, "part long, figures binary"))
+
+
+def generator_states(spark: SparkSession, transcripts: int, splits: int, iterations: int, seed: int, block: int) -> DataFrame:
+    """(block, state): a generator's state before each block of trials that it draws one after the other; one task, stored."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            rng, order, names = random.Random(seed), list(range(transcripts)), list(range(splits))
+            for i in range(iterations):
+                if i % block == 0:
+                    yield pd.DataFrame({"block": [i // block], "state": [pickle.dumps(rng.getstate())]})
+                rng.shuffle(order)  # as greedy_assignment draws
+                for _ in range(transcripts):
+                    rng.shuffle(names)
+
+    return cut(spark.range(0, 1, 1, 1).mapInPandas(run, "block long, state binary"))
+
+
+def _trials(block: int, state: bytes | None, first: int, last: int, rows: list[int], goals: list[float], seed: int) -> Iterator[np.ndarray]:
+    """The assignments of the trials first..last-1 of a block; without a state each has a generator of its own."""
+    rng = random.Random()
+    if state is not None:
+        rng.setstate(pickle.loads(state))
+    for i in range(block if state is not None else first, last):
+        split = greedy_assignment(rows, goals, rng if state is not None else random.Random(seed * 1_000_003 + i))
+        if i >= first:
+            yield np.array(split, np.uint8)
+
+
+def search_splits(table: DataFrame, pairs: DataFrame, targets: dict[str, float] | None = None, iterations: int = SPLIT_ITERATIONS, seed: int = SPLIT_SEED, sequential: bool = False, unit: str = "transcript_id", part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(unit, split, score, iteration) of the best of many random greedy assignments; the first of equal scores wins.
+
+    Transcripts are taken in order of first_seen, if the table has it, else by name. Trials
+    run in parallel, each seeded by its number. With `sequential` they are those of one generator that draws
+    them all: one task draws, keeps the generator's state before each block of trials, and
+    blocks are replayed in parallel from there.
+
+    What a trial needs of all transcripts is their rows, 8 bytes each, which the driver
+    hands out. All else stays in parts of `part` transcripts: a block's assignments are cut
+    into parts, each part gives a matrix of sums for the block's trials, and the matrices are
+    added up, FAN at a time. The best trial is run again to write its assignment.
     """
     targets = targets or SPLIT_TARGETS
+    if len(targets) > 255:
+        raise ValueError("too many splits")
     spark = table.sparkSession
-    # one row a transcript, as columns: some tens of bytes each
-    frame = table.select(unit, "n_rows", "age_months", "both_coders", "one_coder").orderBy(unit).toArrow()
-    if not frame.num_rows:
+    numbered = numbered_transcripts(table, unit)
+    ends = numbered.agg(F.count(F.lit(1)), F.min("age_months"), F.max("age_months")).first()
+    if not ends[0]:
         raise ValueError("no transcripts to split")
-    goal = Objective(frame, pairs.select(unit, "l", "r", "n").toArrow(), targets, unit)
-    rows = frame["n_rows"].to_pylist()
-    goals = [sum(rows) * t for t in targets.values()]
-    shared = spark.sparkContext.broadcast((goal, rows, goals))
-
-    def trials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        goal, rows, goals = shared.value
-        one, best = random.Random(seed), None
-        for b in batches:
-            for i in b["id"]:
-                rng = one if sequential else random.Random(seed * 1_000_003 + int(i))
-                split = greedy_assignment(rows, goals, rng)
-                score = goal.score(np.array(split))
-                if best is None or score < best[0]:
-                    best = (score, int(i), split)
-        if best is not None:
-            yield pd.DataFrame({"score": [best[0]], "iteration": [best[1]], "split": [best[2]]})
-
-    parts = 1 if sequential else min(iterations, max(2, spark.sparkContext.defaultParallelism) * 2)
-    found = spark.range(0, iterations, 1, parts).mapInPandas(trials, "score double, iteration long, split array<int>")
-    best = found.orderBy("score", "iteration").first()
+    if ends[1] is None:
+        raise ValueError("no transcript has an age")
+    edges = bin_edges(ends[1], ends[2])
+    labels = sorted(r[0] for r in pairs.select("l").union(pairs.select("r")).distinct().collect())  # a row a label
+    parts = packed_parts(numbered, pairs.select(unit, "l", "r", "n"), edges, labels, unit, part)
+    rows = numbered.select("__t", "n_rows").orderBy("__t").select("n_rows").toArrow()["n_rows"].to_numpy()  # 8 bytes a transcript
+    goals = [int(rows.sum()) * t for t in targets.values()]
+    shared = spark.sparkContext.broadcast(rows.astype(np.int64))
+    n, splits, n_blocks = len(rows), len(targets), -(-iterations // block)
+    blocks = generator_states(spark, n, splits, iterations, seed, block) if sequential else spark.range(0, n_blocks, 1, n_blocks).select(F.col("id").alias("block"), F.lit(None).cast("binary").alias("state"))
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value.tolist()
+        for f in frames:
+            for b, state in zip(f["block"], f["state"], strict=True):
+                found, held = _trials(b * block, state, b * block, min(iterations, (b + 1) * block), own, goals, seed), []
+                for i, split in enumerate(found, b * block):
+                    held += [(p, b, i, split[p * part : (p + 1) * part].tobytes()) for p in range(-(-n // part))]
+                    if n * len(held) >= HELD * -(-n // part):
+                        yield pd.DataFrame(held, columns=["part", "block", "trial", "split"])
+                        held = []
+                yield pd.DataFrame(held, columns=["part", "block", "trial", "split"])
+
+    def partial(trials: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        own = pickle.loads(held["figures"].iloc[0])
+        sums = np.stack([own.sums(np.frombuffer(x, np.uint8), splits) for x in trials.sort_values("trial")["split"]])
+        return pd.DataFrame({"part": [int(held["part"].iloc[0])], "block": [int(held["block"].iloc[0])], "sums": [sums.tobytes()]})
+
+    def add(some: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in some.sort_values("part")["sums"])
+        return pd.DataFrame({"part": [int(some["part"].iloc[0]) // FAN], "block": [int(some["block"].iloc[0])], "sums": [total.tobytes()]})
+
+    tried = blocks.repartition(min(n_blocks, 4 * spark.sparkContext.defaultParallelism), "block").mapInPandas(assign, "part long, block long, trial long, split binary")
+    replicated = parts.select("part", "figures", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    sums = tried.groupBy("part", "block").cogroup(replicated.groupBy("part", "block")).applyInPandas(partial, "part long, block long, sums binary")
+    many = -(-n // part)
+    while many > 1:
+        sums = sums.groupBy("block", F.floor(F.col("part") / FAN)).applyInPandas(add, "part long, block long, sums binary")
+        many = -(-many // FAN)
+    sums = cut(sums)
+    width = 5 + len(edges) - 1 + len(labels) ** 2
+    one = sums.limit(1).select("sums").first()  # any trial's splits add up to the whole
+    whole = np.frombuffer(one["sums"]).reshape(-1, splits, width)[0].sum(0)
+    score = Score(targets, len(edges) - 1, len(labels), whole)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for b, x in zip(f["block"], f["sums"], strict=True):
+                found = score.of(np.frombuffer(x).reshape(-1, splits, width))
+                yield pd.DataFrame({"score": [found.min()], "iteration": [b * block + int(found.argmin())]})
+
+    best = sums.select("block", "sums").mapInPandas(judge, "score double, iteration long").orderBy("score", "iteration").first()
     if best is None or best["score"] == float("inf"):
         raise ValueError("no assignment fills every split")
-    list_of = list(targets)
-    names = pa.array(list_of).take(pa.array(best["split"], pa.int32()))
-    out = spark.createDataFrame(pa.table({unit: frame[unit], "split": names}))
-    return out.withColumn("score", F.lit(best["score"])).withColumn("iteration", F.lit(best["iteration"]))
+    trial = best["iteration"]
+
+    def winner(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value.tolist()
+        for f in frames:
+            for b, state in zip(f["block"], f["state"], strict=True):
+                for split in _trials(b * block, state, trial, trial + 1, own, goals, seed):
+                    for at in range(0, n, part):
+                        some = split[at : at + part]
+                        yield pd.DataFrame({"__t": np.arange(at, at + len(some)), "number": some.astype(np.int32)})
+
+    chosen = blocks.filter(F.col("block") == trial // block).mapInPandas(winner, "__t long, number int")
+    named = F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("number") + 1).alias("split")
+    return numbered.select(unit, "__t").join(chosen, "__t").select(unit, named, F.lit(best["score"]).alias("score"), F.lit(trial).cast("long").alias("iteration"))
 
 
 def apply_splits(records: DataFrame, assignment: DataFrame, first: str = "coded_by_1", second: str = "coded_by_2", unit: str = "transcript_id") -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoweave.functions.coding import assigned_coder, is_coded
 from annoweave.functions.text import pick
 from annoweave.operators.ages import child_ages
-from annoweave.operators.inference import Client, code_batches, failed_batches, predictions_of, require_all_ok
+from annoweave.operators.inference import Client, code_batches, failed_batches, predictions_of, require_all_ok, run_counts
 from annoweave.operators.linking import alignment_mismatch, with_reference
-from annoweave.operators.ordering import context_missing, context_windows, dense_number, head, last_by, record_id
+from annoweave.operators.ordering import context_missing, contexts_at, dense_number, head, last_by, record_id, record_number
 from annoweave.operators.splits import apply_splits, label_counts, search_splits, transcript_table
 from annoweave.schemas import CONTEXT_LINES, SCHEMA_VERSION
-from annoweave.sources.sinks import guard_lockbox, guard_numbers, guard_outputs, write_json_lines
+from annoweave.sources.commit import commit_together
+from annoweave.sources.sinks import guard_lockbox, guard_numbers, guard_outputs, ordered, save_json_lines, write_json_lines
 from annoweave.sources.tables import coder_records, row_key, speaker_lines
 
 
@@ -26,15 +29,14 @@ def token_contexts(tokens: DataFrame, lines: DataFrame, size: int = CONTEXT_LINE
     """(half, transcript_id, line, context_before, context_after) for the lines that hold tokens.
 
     Of several lines of one number the last counts. Which line that is, and whether a
-    token stands there, is settled on keys alone before any window is built.
+    token stands there, is settled on keys alone; windows are built in chunks that hold a token.
     """
     keys = ["half", "transcript_id", "line"]
     wanted = tokens.select(*keys).distinct()
     last = lines.groupBy(*keys).agg(F.max("ord").alias("ord")).join(wanted, keys, "left_semi")
-    hit = last.select("half", "transcript_id", "ord", F.lit(True).alias("__hit"))
     item = F.struct("line", "speaker", "utterance", "transcript_line")
-    windows = context_windows(lines.join(hit, ["half", "transcript_id", "ord"], "left"), ["half", "transcript_id"], "ord", item, size)
-    return windows.filter("__hit").select(*keys, "context_before", "context_after")
+    windows = contexts_at(lines, last.select("half", "transcript_id", "ord"), ["half", "transcript_id"], "ord", item, size)
+    return windows.select(*keys, "context_before", "context_after")
 
 
 def build_dataset(master: DataFrame, coder_1: DataFrame, coder_2: DataFrame, transcripts: DataFrame, exclusion: str, owners: tuple[str, str], language: str = "English", workbook: str = "", sheet: str = "Code", size: int = CONTEXT_LINES) -> DataFrame:
@@ -86,32 +88,46 @@ def split_dataset(records: DataFrame, references: DataFrame, transcripts: DataFr
     labelled = with_reference(records, last_by(labels, ["record_id"], "record_id"))
     aged = with_ages(labelled, transcripts)
     coded = aged.filter(is_coded(F.col("coded_by_1"), F.col("coded_by_2")))
-    found = search_splits(transcript_table(coded), label_counts(coded), targets, **search)
+    found = search_splits(transcript_table(coded, order=record_number(F.col("record_id"))), label_counts(coded), targets, **search)
     return apply_splits(aged, found.select("transcript_id", "split"))
 
 
-def run_model(records: DataFrame, split: str, client: Client, prompt: str, out: str, raw_out: str, limit: int | None = None, batch_size: int = 5, max_retries: int = 2, allow_lockbox: bool = False, overwrite: bool = False, **about: str) -> DataFrame:
-    """Code a split and write predictions and replies; if any batch fails, only failures are written.
+def run_model(
+    records: DataFrame, split: str, client: Client, prompt: str, out: str, raw_out: str, limit: int | None = None, batch_size: int = 5, max_retries: int = 2, allow_lockbox: bool = False, overwrite: bool = False,
+    order: str | None = None, fail_fast: bool = True, store: str | None = None, parallel: int | None = None, **about: str,
+) -> dict[str, int]:
+    """Code a split and write predictions and replies as one commit; if any batch fails, only failures are written.
+
+    Records are taken, and a limit counts, by the integer column `order` (the row in the
+    file they come from), else by the number in their id. The run stops soon after its first
+    dead batch unless fail_fast is off. `store` is a folder of replies that are used again. What
+    else is told (model, versions, the prompt's path) goes into replies and failures.
 
-    What else is told (model, versions, the prompt's path) goes into replies and failures.
+    Returns the run's counts, taken while the outputs were written.
     """
     guard_lockbox(split, allow_lockbox)
     guard_numbers(limit, batch_size, max_retries)
     guard_outputs(records.sparkSession, [out, raw_out], overwrite)
-    chosen = records.filter(F.col("split") == split)
-    chosen = head(chosen, limit, "record_id") if limit else chosen
+    chosen = records.filter(F.col("split") == split).withColumn("number", F.col(order) if order else record_number(F.col("record_id")))
+    chosen = head(chosen, limit, "number") if limit else chosen
     if chosen.isEmpty():
         raise ValueError(f"no records in {split}")
-    numbered = chosen.withColumn("number", F.regexp_extract("record_id", "([0-9]+)$", 1).cast("long"))
     told = {"schema_version": SCHEMA_VERSION} | about
-    results = code_batches(numbered, client, prompt, batch_size, max_retries).withColumns({k: F.lit(v) for k, v in told.items()})
+    results = code_batches(chosen, client, prompt, batch_size, max_retries, fail_fast=fail_fast, store=store, settings=json.dumps(told, sort_keys=True), parallel=parallel)
+    results = results.withColumns({k: F.lit(v) for k, v in told.items()})
     failed = failed_batches(results)
     if not failed.isEmpty():
         write_json_lines(failed, f"{out}.failed", ["batch_number"], overwrite=True)
     require_all_ok(results)
-    found = predictions_of(results)
-    write_json_lines(found, out, ["batch_number", "pos"], overwrite=overwrite)
-    write_json_lines(results.select("batch_number", "record_ids", *told, F.col("response").alias("raw_response")), raw_out, ["batch_number"], overwrite=overwrite)
-    return found
-
-
+    replies = ordered(results.withColumn("raw_response", F.col("response")), ["batch_number"])
+    shown = ["batch_number", "record_ids", *told, "raw_response"]
+    seen = commit_together(
+        records.sparkSession,
+        {
+            out: (ordered(predictions_of(results), ["batch_number", "pos"]), save_json_lines),
+            raw_out: (replies, lambda df, path: save_json_lines(df.select(*shown), path)),
+        },
+        overwrite,
+        {raw_out: run_counts()},
+    )
+    return {"n_predictions": seen[out]["rows"]} | {k: seen[raw_out][k] for k in run_counts()}

@@ -22,6 +22,8 @@ from annoweave.operators.linking import key_differences as key_differences_of
 from annoweave.operators.ordering import batch_number, context_missing, context_windows, dense_number, head, record_id, top_counts
 from annoweave.operators.validation import extracted_json, policy_violations, with_verdict
 from annoweave.schemas import FLAGS, NEITHER_SPLIT, PREDICTION_KEYS, SPLIT_TARGETS
+from annoweave.session import cut, shared_folder
+from annoweave.sources.sinks import remove
 from annoweave.sources.tables import transcript_halves
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def through_files(spark: SparkSession, work: Callable[[str], DataFrame]) -> DataFrame:
+    """What `work` reads back from the folder that it is given; the folder is deleted."""
+    folder = shared_folder(spark, "files")
+    found = cut(work(folder))
+    remove(spark, folder)
+    return found
+
+
 # -- stand-ins ---------------------------------------------------------------
 
 UNITS_SQL = """
@@ -630,4 +640,5 @@ def json_property_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the queries of whole stages register themselves here too
+from annoweave import run_queries as run_queries  # noqa: E402
 from annoweave import stage_queries as stage_queries  # noqa: E402

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoweave.functions.text import json_text
+from annoweave.functions.digests import table_digest
+from annoweave.functions.text import json_text, model_slug
+from annoweave.operators.ordering import record_number
 from annoweave.schemas import LOCKBOX_SPLIT
 
 
@@ -35,6 +38,16 @@ def write_text(spark: SparkSession, path: str, content: str | bytes) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small file back."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    finally:
+        held.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -61,20 +74,46 @@ def guard_numbers(limit: int | None = None, batch_size: int = 1, max_retries: in
         raise Refused("max retries must not be negative")
 
 
+def refusal(split: Column, allowed: Column, limit: Column, batch_size: Column, max_retries: Column) -> Column:
+    """Why a run asked for by a row would be refused, by the guards above in their order; null if it isn't."""
+    told = F.when(split.contains(LOCKBOX_SPLIT) & ~F.coalesce(allowed, F.lit(False)), F.concat(split, F.lit(" is held out")))
+    told = told.when(limit < 1, "limit must be positive").when(batch_size < 1, "batch size must be positive")
+    return told.when(max_retries < 0, "max retries must not be negative")
+
+
+def output_names(split: Column, model: Column, schema: Column, prompt: Column, kind: Column, limit: Column) -> Column:
+    """output_name of each row; a null limit is none."""
+    tail = F.when(limit.isNotNull(), F.concat(F.lit("limit-"), limit.cast("string")))
+    return F.concat(F.concat_ws("_", split, model_slug(model), schema, prompt, tail, kind), F.lit(".jsonl"))
+
+
 def output_name(split: str, model: str, schema: str, prompt: str, kind: str, limit: int | None = None) -> str:
     slug = re.sub("[^A-Za-z0-9_.-]+", "_", model).strip("_") or "model"
     tail = [] if limit is None else [f"limit-{limit}"]
     return "_".join([split, slug, schema, prompt, *tail, kind]) + ".jsonl"
 
 
-def _ordered(df: DataFrame, order: list[str], one_file: bool) -> DataFrame:
-    out = df.orderBy(*order) if order else df
+#: What a sink's rows are sorted by: columns or their names.
+Order = list[str | Column]
+
+
+def _keys(order: Order) -> list[str | Column]:
+    return [k for c in order for k in ([record_number(F.col(c)), c] if isinstance(c, str) and c == "record_id" else [c])]
+
+
+def ordered(df: DataFrame, order: Order, one_file: bool = False) -> DataFrame:
+    """df in the order of a sink's rows. Record ids are sorted by their number."""
+    out = df.orderBy(*_keys(order)) if order else df
     return out.coalesce(1) if one_file else out
 
 
-def write_json_lines(df: DataFrame, path: str, order: list[str], one_file: bool = False, overwrite: bool = False) -> None:
-    """JSON lines with nulls written out and other scripts as they are."""
-    _ordered(df, order, one_file).write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", "false").json(path)
+def save_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """JSON lines with nulls written out and other scripts as they are, in the order that df has."""
+    df.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", "false").json(path)
+
+
+def write_json_lines(df: DataFrame, path: str, order: Order, one_file: bool = False, overwrite: bool = False) -> None:
+    save_json_lines(ordered(df, order, one_file), path, overwrite)
 
 
 def flat_dataset(records: DataFrame) -> DataFrame:
@@ -87,12 +126,12 @@ def flat_dataset(records: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, order: list[str], one_file: bool = False, overwrite: bool = False) -> bool:
+def write_csv(df: DataFrame, path: str, order: Order, one_file: bool = False, overwrite: bool = False) -> bool:
     """CSV with doubled quotes and a header; maps become JSON text. No rows, no file: False."""
     if df.isEmpty():
         return False
     flat = df.select(*[json_text(F.col(c)).alias(c) if k.startswith(("map", "array", "struct")) else F.col(f"`{c}`") for c, k in df.dtypes])
-    _ordered(flat, order, one_file).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, escape='"', emptyValue="")
+    ordered(flat, order, one_file).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, escape='"', emptyValue="")
     return True
 
 
@@ -117,7 +156,24 @@ def build_summary(records: DataFrame, dropped: DataFrame, rows: bool = False, **
     return sums.crossJoin(dropped.agg(F.count(F.lit(1)).alias("n_dropped"))).select("*", *[F.lit(json.dumps(v) if isinstance(v, (dict, list)) else v).alias(k) for k, v in about.items()])
 
 
+def freeze_values(values: DataFrame) -> DataFrame:
+    """(item, sha256, value) of small inputs(item, value), such as a prompt or a model's name."""
+    return values.select("item", F.sha2("value", 256).alias("sha256"), "value")
+
+
+def freeze_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(item, n_rows, digest_sum, merkle_root) of each table: the same however its rows are ordered or dealt out."""
+    digests = [table_digest(df).select(F.lit(name).alias("item"), "n_rows", F.col("digest_sum").cast("string").alias("digest_sum"), "merkle_root") for name, df in sorted(tables.items())]
+    return reduce(DataFrame.unionByName, digests)
+
+
+def freeze_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(item, sha256, value) of each file under a folder: its path there, its digest and its length."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    inside = F.regexp_extract("path", re.escape(folder.rstrip("/").split("://")[-1].split(":", 1)[-1]) + "/(.*)$", 1)
+    return files.select(inside.alias("item"), F.sha2("content", 256).alias("sha256"), F.col("length").cast("string").alias("value"))
+
+
 def freeze_manifest(spark: SparkSession, **inputs: str) -> DataFrame:
-    """(item, sha256, value) of everything that a held-out run depends on."""
-    rows = spark.createDataFrame(sorted(inputs.items()), "item string, value string")
-    return rows.select("item", F.sha2("value", 256).alias("sha256"), "value")
+    """freeze_values of the inputs that are named."""
+    return freeze_values(spark.createDataFrame(sorted(inputs.items()), "item string, value string"))

@@ -1,10 +1,10 @@
-"""Scans: coder sheets, transcripts, JSON lines and whole files."""
+"""Scans: coder sheets, transcripts, JSON lines and whole files, and the order of rows in files."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,14 +49,44 @@ def speaker_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """JSON lines of a fixed schema. Strict: a blank or broken line fails the read; else blank lines are skipped."""
+def with_file_row(scan: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a file scan from 1 in the order in which they stand in its files.
+
+    Files follow each other by path (of two names the longer one is later, as part files
+    are numbered), a file's blocks by their start, a block's rows as they are read. Rows
+    never move: a block's rows have consecutive numbers in their partition, and the
+    blocks' counts, one row a block, say where each of them begins. scan is a file
+    source as read, without a filter or limit yet.
+    """
+    path = F.col("_metadata.file_path")
+    tagged = scan.select("*", F.struct(F.regexp_extract(path, "^(.*/)?", 1).alias("folder"), F.length(path).alias("long"), path.alias("path")).alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = tagged.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    upto = lambda by, order: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = blocks.groupBy("__file").agg(F.sum("__n").alias("__n")).select("__file", upto([], "__file").alias("__files"))  # a row a file
+    begins = blocks.withColumn("__own", upto(["__file"], "__block")).join(files, "__file").select("__file", "__block", (F.col("__files") + F.col("__own") - F.col("__first") + 1).alias("__shift"))
+    return tagged.join(begins, ["__file", "__block"]).withColumn(name, F.col("__at") + F.col("__shift")).drop("__file", "__block", "__at", "__shift")
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True, ordinal: str | None = None) -> DataFrame:
+    """JSON lines of a fixed schema. Strict: a blank or broken line fails the read; else blank lines are skipped.
+
+    With `ordinal` a column of that name numbers the lines that were read, from 1, in file order.
+    """
     if not strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return with_file_row(rows, ordinal) if ordinal else rows
     lines = spark.read.text(path)
+    if ordinal:
+        lines = with_file_row(lines, "__row")
     whole = F.when(F.length(clean(F.col("value"))) > 0, F.col("value")).otherwise(F.raise_error(F.lit("blank line in JSON lines")).cast("string"))
     kind = schema if isinstance(schema, str) else schema.simpleString()
-    return lines.select(F.from_json(whole, kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    numbered = [F.col("__row").alias(ordinal)] if ordinal else []
+    return lines.select(F.from_json(whole, kind, {"mode": "FAILFAST"}).alias("r"), *numbered).select("r.*", *([ordinal] if ordinal else []))
+
+
+def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of each file that path names, and the columns of its folders; a file is one string."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), "*").drop("value")
 
 
 def read_whole_text(spark: SparkSession, path: str) -> str:

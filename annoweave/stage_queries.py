@@ -21,12 +21,12 @@ from annoweave.operators.inference import TASK, code_batches, predictions_of, st
 from annoweave.operators.ordering import dense_number, record_id
 from annoweave.operators.validation import with_verdict
 from annoweave.plans import charts, pipeline
-from annoweave.queries import UNITS_SQL, agreement_sql, coded_units, fixed_split, prompt_units, query, split_units, synthetic_response, table, units
+from annoweave.queries import UNITS_SQL, agreement_sql, coded_units, fixed_split, prompt_units, query, split_units, synthetic_response, table, through_files, units
 from annoweave.schemas import FLAGS, LOCKBOX_SPLIT, NEITHER_SPLIT, PROMPT_FIELDS, SPLIT_TARGETS, TOKEN
 from annoweave.session import cut, shared_folder
 from annoweave.sources import sinks
 from annoweave.sources.spreadsheet import read_sheet, workbook
-from annoweave.sources.tables import read_json_lines, read_whole_text
+from annoweave.sources.tables import read_json_lines, read_whole_texts
 
 DROPPED = "left out"
 OWNERS = ("Ann", "Bo")
@@ -126,14 +126,6 @@ def human_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("record_id", "coder_1_sheet", F.col("coder_1.bloom_label").alias("bloom_1"), "coder_2_sheet", F.col("coder_2.bloom_label").alias("bloom_2"))
 
 
-def through_files(spark: SparkSession, work: Callable[[str], DataFrame]) -> DataFrame:
-    """What `work` reads back from the folder that it is given; the folder is deleted."""
-    folder = shared_folder(spark, "files")
-    found = cut(work(folder))
-    sinks.remove(spark, folder)
-    return found
-
-
 @query("SELECT n_nationkey + 2 AS source_row, n_name AS Bloom, n_regionkey::VARCHAR AS Line, NULL::VARCHAR AS Gone FROM nation")
 def sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [[r["n_name"], str(r["n_regionkey"])] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows
@@ -203,13 +195,16 @@ def blank_tolerant_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(spark, work)
 
 
-@query("SELECT 'one' || chr(10) || 'two é' || chr(10) AS prompt")
+@query("SELECT n_nationkey, n_name || chr(10) || 'é' || chr(10) || chr(10) || n_regionkey || chr(10) AS prompt FROM nation")
 def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "files")
-    sinks.write_text(spark, f"{folder}/prompt.md", "one\ntwo é\n")
-    found = read_whole_text(spark, f"{folder}/prompt.md")
-    sinks.remove(spark, folder)
-    return spark.createDataFrame([(found,)], "prompt string")
+    """A file a row, of several lines, each read back as one string."""
+    prompt = F.concat_ws("\n", "n_name", F.lit("é"), F.lit(""), F.col("n_regionkey").cast("string"))
+
+    def work(folder: str) -> DataFrame:
+        table(spark, sf_dir, "nation").select("n_nationkey", prompt.alias("value")).write.partitionBy("n_nationkey").text(f"{folder}/prompts")
+        return read_whole_texts(spark, f"{folder}/prompts").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), F.col("text").alias("prompt"))
+
+    return through_files(spark, work)
 
 
 # -- split -------------------------------------------------------------------
@@ -332,7 +327,7 @@ def prediction_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run(spark: SparkSession, sf_dir: str, folder: str, client: Callable[[str, str], str]) -> None:
     u = prompt_units(spark, sf_dir).withColumn("split", F.when(F.col("line") == 0, "dev_train").otherwise("dev_check_1"))
     u = u.withColumn("record_id", F.format_string("eng_%06d", F.col("number")))
-    pipeline.run_model(u, "dev_train", client, "prompt", f"{folder}/p.jsonl", f"{folder}/r.jsonl", model="stub", prompt_version="p001")
+    pipeline.run_model(u, "dev_train", client, "prompt", f"{folder}/p.jsonl", f"{folder}/r.jsonl", fail_fast=False, model="stub", prompt_version="p001")
 
 
 @query("""WITH n AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS n FROM conversations WHERE turn = 0)
@@ -364,6 +359,22 @@ def failed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(F.lit(written).alias("predictions_written"), "n_records", F.lit(failed).alias("failures_written"), "schema_version")
 
 
+_ASKED = "CASE doc_id % 4 WHEN 0 THEN 'dev_train' WHEN 1 THEN 'test_lockbox' WHEN 2 THEN 'x/test_lockbox.jsonl' ELSE 'dev_check_1' END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_ASKED} LIKE '%test_lockbox%' AND doc_id % 3 <> 0 THEN {_ASKED} || ' is held out' WHEN doc_id % 5 = 0 AND doc_id % 10 < 5 THEN 'limit must be positive'
+  WHEN doc_id % 7 = 0 THEN 'batch size must be positive' WHEN doc_id % 11 = 0 THEN 'max retries must not be negative' END AS refused, doc_id % 2 = 0 AND doc_id % 13 <> 0 AS outputs_refused FROM documents""")
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the run that a row asks for is refused: by its arguments, and by outputs that are there and may not be replaced."""
+    i = F.col("doc_id")
+    split = F.when(i % 4 == 0, "dev_train").when(i % 4 == 1, LOCKBOX_SPLIT).when(i % 4 == 2, f"x/{LOCKBOX_SPLIT}.jsonl").otherwise("dev_check_1")
+    limit = F.when(i % 5 == 0, F.when(i % 10 < 5, 0).otherwise(3))
+    d = table(spark, sf_dir, "documents").select("doc_id", sinks.refusal(split, i % 3 == 0, limit, F.when(i % 7 == 0, 0).otherwise(5), F.when(i % 11 == 0, -1).otherwise(2)).alias("refused"))
+    held = {r: _refused(lambda o=o, p=p: sinks.guard_outputs(spark, [p], o)) for r, (p, o) in {"there": (f"{sf_dir}/documents.parquet", False), "replaced": (f"{sf_dir}/documents.parquet", True), "free": (f"{sf_dir}/nothing.jsonl", False)}.items()}
+    kind = F.when(i % 2 == 1, "free").when(i % 13 == 0, "replaced").otherwise("there")
+    return d.withColumn("outputs_refused", F.element_at(F.create_map(*[F.lit(x) for kv in held.items() for x in kv]), kind))
+
+
 def _refused(call: Callable[[], object]) -> bool:
     try:
         call()
@@ -372,33 +383,18 @@ def _refused(call: Callable[[], object]) -> bool:
     return False
 
 
-_GUARDS = {
-    "batch_size_0": True, "batch_size_1": False, "limit_0": True, "limit_1": False, "lockbox": True, "lockbox_allowed": False, "lockbox_by_file": True,
-    "output_exists": True, "output_overwritten": False, "retries_negative": True,
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _GUARDS.items()) + ") AS x(guard, refused)")
-def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = f"{sf_dir}/nation.parquet"
-    calls: dict[str, Callable[[], object]] = {
-        "lockbox": lambda: sinks.guard_lockbox(LOCKBOX_SPLIT), "lockbox_allowed": lambda: sinks.guard_lockbox(LOCKBOX_SPLIT, True), "lockbox_by_file": lambda: sinks.guard_lockbox(f"x/{LOCKBOX_SPLIT}.jsonl"),
-        "limit_0": lambda: sinks.guard_numbers(limit=0), "limit_1": lambda: sinks.guard_numbers(limit=1), "batch_size_0": lambda: sinks.guard_numbers(batch_size=0), "batch_size_1": lambda: sinks.guard_numbers(batch_size=1),
-        "retries_negative": lambda: sinks.guard_numbers(max_retries=-1), "output_exists": lambda: sinks.guard_outputs(spark, [there]), "output_overwritten": lambda: sinks.guard_outputs(spark, [there], True),
-    }
-    return spark.createDataFrame([(k, _refused(f)) for k, f in calls.items()], "guard string, refused boolean")
-
-
-@query("""SELECT 'dev_' || n_nationkey || '_a_b_' || n_regionkey || '_bloom_v1_p001_' || CASE WHEN n_nationkey % 2 = 0 THEN 'limit-' || (n_nationkey + 1) || '_' ELSE '' END || 'predictions.jsonl' AS name FROM nation""")
+@query("""SELECT doc_id, 'dev_' || doc_id % 9 || '_' || CASE WHEN lang IS NULL THEN 'model' ELSE 'm_' || lang || '_' || source END || '_bloom_v1_p001_' || CASE WHEN doc_id % 2 = 0 THEN 'limit-' || (doc_id + 1) || '_' ELSE '' END || 'predictions.jsonl' AS name FROM documents""")
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 rows
-    names = [sinks.output_name(f"dev_{n}", f"/a:b {r}/", "bloom_v1", "p001", "predictions", n + 1 if n % 2 == 0 else None) for n, r in rows]
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    i = F.col("doc_id")
+    model = F.when(F.col("lang").isNull(), "/:/").otherwise(F.concat(F.lit("/m: "), "lang", F.lit(" é "), "source", F.lit("/")))
+    name = sinks.output_names(F.concat(F.lit("dev_"), (i % 9).cast("string")), model, F.lit("bloom_v1"), F.lit("p001"), F.lit("predictions"), F.when(i % 2 == 0, i + 1))
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
 
 
-@query("SELECT item, sha256(value) AS sha256, value FROM (VALUES ('model', 'm1'), ('prompt', 'code é'), ('seed', '7')) AS x(item, value)")
+@query("SELECT 'document ' || doc_id AS item, sha256(coalesce(text, '')) AS sha256, coalesce(text, '') AS value FROM documents")
 def frozen_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.freeze_manifest(spark, prompt="code é", model="m1", seed="7")
+    d = table(spark, sf_dir, "documents")
+    return sinks.freeze_values(d.select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("item"), F.coalesce("text", F.lit("")).alias("value")))
 
 
 _FIELDS_SQL = " || ',' || chr(10) || ".join(

@@ -82,6 +82,74 @@ def test_dense_numbers(spark, width):
     assert [r.n for r in sorted(found)] == list(range(1, 201))
 
 
+@pytest.mark.parametrize(("size", "chunk", "reach"), [(20, 4096, 512), (3, 7, 5), (2, 2, 1), (5, 5, 64)])
+def test_contexts_at_are_those_of_plain_windows(spark, size, chunk, reach):
+    rng = random.Random(4)
+    rows = [(t, o, f"{t}{o}") for t, n, most in (("a", 700, 800), ("b", 40, 10**9), ("c", 1, 5)) for o in rng.sample(range(-most, most), n)]
+    lines = spark.createDataFrame(rows, "t string, o long, u string").repartition(4).cache()
+    hits = lines.filter(F.xxhash64("t", "o") % 9 == 0).unionByName(lines.filter("t = 'c'")).select("t", "o").distinct()
+    want = ordering.context_windows(lines, ["t"], "o", F.col("u"), size).join(hits, ["t", "o"], "left_semi")
+    found = ordering.contexts_at(lines, hits, ["t"], "o", F.col("u"), size, chunk, reach)
+    assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+    assert ordering.contexts_at(lines.limit(0), hits.limit(0), ["t"], "o", F.col("u")).count() == 0
+    with pytest.raises(ValueError):
+        ordering.contexts_at(lines, hits, ["t"], "o", F.col("u"), 20, 19)
+
+
+def test_a_long_transcript_is_dealt_out(spark):
+    """A million lines of one transcript: windows only in chunks with a hit, no task holds more than a few chunks."""
+    lines = spark.range(1_000_000).select(F.lit("t").alias("t"), F.col("id").alias("o"))
+    hits = lines.filter("o % 100000 = 4095 OR o BETWEEN 500000 AND 500004")
+    found = ordering.contexts_at(lines, hits, ["t"], "o", F.col("o")).collect()
+    assert len(found) == 15
+    for r in found:
+        assert r.context_before == list(range(max(0, r.o - 20), r.o)) and r.context_after == list(range(r.o + 1, min(10**6, r.o + 21)))
+    plan = ordering.contexts_at(lines, hits, ["t"], "o", F.col("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("collect_list") < plan.index("LeftSemi")  # windows stand above the choice of chunks
+
+
+def test_record_numbers(spark):
+    df = spark.createDataFrame([("eng_999999",), ("eng_1000000",), ("x",), (None,)], "r string")
+    assert [r[0] for r in df.select(ordering.record_number(F.col("r"))).collect()] == [999999, 1000000, None, None]
+
+
+def test_prejacents(spark):
+    from annoweave.functions.text import prejacent, same_prejacent
+
+    rows = [("No, I don't want it!", "don't"), ("no no no", "no"), ("No", "NO"), ("nothing", "no"), ("do not go", "do not"), ("I do", "do not"), (None, "no"), ("x", None), ("x", ""), ("", "no")]
+    df = spark.createDataFrame(rows, "u string, n string")
+    assert [r[0] for r in df.select(prejacent(F.col("u"), F.col("n"))).collect()] == [["want", "it"], ["no", "no"], [], None, ["go"], None, None, None, None, None]
+    pairs = spark.createDataFrame([("No more", "no", "no  MORE!", "no"), ("no more", "no", "not more", "not"), ("no more", "no", "no less", "no"), ("no", "no", None, None)], "u string, n string, u0 string, n0 string")
+    assert [r[0] for r in pairs.select(same_prejacent(F.col("n"), F.col("u"), F.col("n0"), F.col("u0"))).collect()] == [True, False, False, False]
+
+
+def test_table_digests_do_not_hang_on_order(spark):
+    import hashlib
+
+    from annoweave.functions import digests
+
+    rows = [(i % 700, f"t{i % 900}" if i % 7 else None) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "b int, a string")
+    found = {tuple(digests.table_digest(x).first().asDict().items()) for x in (df, df.repartition(11), df.orderBy("a").coalesce(1), df.select("b", "a"))}
+    assert len(found) == 1
+    plain = [hashlib.sha256(f"{chr(0) if a is None else a}\x1f{b}".encode()).hexdigest() for b, a in rows]
+    one = dict(found.pop())
+    assert one["n_rows"] == 20_000 and int(one["digest_sum"]) == sum(int(d[:15], 16) for d in plain)
+    level = {}
+    depth = digests.digits(len(set(plain)))
+    for d in set(plain):
+        level.setdefault(d[:depth], []).append(f"{d}:{plain.count(d)}")
+    level = {k: hashlib.sha256(",".join(sorted(v)).encode()).hexdigest() for k, v in level.items()}
+    for k in reversed(range(depth)):
+        up = {}
+        for at, node in level.items():
+            up.setdefault(at[:k], []).append(f"{at}:{node}")
+        level = {k: hashlib.sha256(",".join(sorted(v)).encode()).hexdigest() for k, v in up.items()}
+    assert one["merkle_root"] == level[""]
+    assert digests.table_digest(df.union(df.limit(1))).first().merkle_root != one["merkle_root"]
+    assert digests.table_digest(df.limit(0)).first().n_rows == 0
+
+
 def test_ids_batches_and_limits(spark):
     df = spark.createDataFrame([(n,) for n in (1, 5, 6, 1234567)], "n long")
     assert [tuple(r) for r in df.select(ordering.record_id(F.col("n")), ordering.batch_number(F.col("n"), 5)).collect()] == [("eng_000001", 1), ("eng_000005", 1), ("eng_000006", 2), ("eng_1234567", 246914)]
@@ -184,13 +252,39 @@ def test_summary_invariants(spark, records):
 
 
 def test_penalties():
-    import pandas as pd
-
-    table = pd.DataFrame({"transcript_id": ["a", "b"], "n_rows": [5, 5], "age_months": [20.0, np.nan], "both_coders": [5, 0], "one_coder": [0, 5]})
-    goal = sp.Objective(table, pd.DataFrame({"transcript_id": ["a"], "l": ["x"], "r": ["x"], "n": [5]}), {"p": 0.5, "q": 0.5})
+    numbers = lambda *x: np.array(x, float)
+    part = sp.Part(numbers(5, 5), numbers(5, 0), numbers(0, 5), numbers(20, np.nan), np.array([0]), np.array([0]), numbers(5), [20.0, 20.5, 21.0], 1)
+    goal = sp.Score({"p": 0.5, "q": 0.5}, 2, 1, part.sums(np.array([0, 0]), 1)[0])
     both = 2 * (sp.W_BOTH + sp.W_ONE) * 0.25
-    assert goal.score(np.array([0, 1])) == pytest.approx(both + sp.NO_OVERLAP + sp.NO_AGES)
-    assert goal.score(np.array([0, 0])) == float("inf")
+    scores = goal.of(np.stack([part.sums(np.array(split), 2) for split in ([0, 1], [0, 0])]))
+    assert scores[0] == pytest.approx(both + sp.NO_OVERLAP + sp.NO_AGES) and scores[1] == float("inf")
+
+
+def test_replay_is_one_plain_loop(spark, records):
+    """The sequential search against one loop with one generator over all transcripts, in order of first appearance."""
+    coded = records.filter("coded_by_1 <> 'NA' OR coded_by_2 <> 'NA'").withColumn("seen", F.xxhash64("transcript_id", "coded_by_1")).cache()
+    table, pairs = sp.transcript_table(coded, order=F.col("seen")).cache(), sp.label_counts(coded).cache()
+    rows = sorted(table.collect(), key=lambda r: r.first_seen)
+    labels = sorted({x for r in pairs.collect() for x in (r.l, r.r)})
+    at = {r.transcript_id: i for i, r in enumerate(rows)}
+    held = pairs.collect()
+    column = lambda c: np.array([np.nan if r[c] is None else r[c] for r in rows], float)
+    ages_ = column("age_months")
+    edges = ages.bin_edges(np.nanmin(ages_), np.nanmax(ages_))
+    cells = np.array([labels.index(r.l) * len(labels) + labels.index(r.r) for r in held])
+    part = sp.Part(column("n_rows"), column("both_coders"), column("one_coder"), ages_, np.array([at[r.transcript_id] for r in held]), cells, np.array([r.n for r in held], float), edges, len(labels))
+    n = len(rows)
+    goal = sp.Score(sp.SPLIT_TARGETS, len(edges) - 1, len(labels), part.sums(np.zeros(n), 1)[0])
+    goals = [sum(r.n_rows for r in rows) * t for t in sp.SPLIT_TARGETS.values()]
+    rng, best = random.Random(sp.SPLIT_SEED), None
+    for i in range(1100):
+        split = sp.greedy_assignment([r.n_rows for r in rows], goals, rng)
+        score = float(goal.of(part.sums(np.array(split), len(goals))[None])[0])
+        if best is None or score < best[0] - 1e-12:
+            best = (score, i, split)
+    found = sp.search_splits(table, pairs, iterations=1100, sequential=True, part=5, block=300).collect()
+    assert {r.iteration for r in found} == {best[1]} and found[0].score == pytest.approx(best[0], rel=1e-9)
+    assert {r.transcript_id: r.split for r in found} == {r.transcript_id: list(sp.SPLIT_TARGETS)[k] for r, k in zip(rows, best[2], strict=True)}
 
 
 def test_registered_search_runs_all_trials(monkeypatch):

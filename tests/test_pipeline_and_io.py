@@ -7,9 +7,10 @@ import zipfile
 from pathlib import Path
 
 import pytest
-from annoweave.operators.inference import stub_client
+from annoweave.operators import ordering
+from annoweave.operators.inference import code_batches, stub_client
 from annoweave.plans import charts, pipeline
-from annoweave.sources import sinks, spreadsheet, tables
+from annoweave.sources import commit, sinks, spreadsheet, tables
 from pyspark.sql import functions as F
 
 MASTER = "source_row int, Transcript string, Negation string, Half string, Line string, Speaker string, Utterance string, Child_ID string, exclusion string"
@@ -49,7 +50,9 @@ def test_split_run_and_guards(spark, built, sheets, tmp_path):
     assert split.filter("child_age_months IS NULL").count() == 0
     out, raw = str(tmp_path / "p.jsonl"), str(tmp_path / "r.jsonl")
     found = pipeline.run_model(split, "dev_train", stub_client, "prompt", out, raw, batch_size=4)
-    assert found.count() == split.filter("split = 'dev_train'").count()
+    n = split.filter("split = 'dev_train'").count()
+    assert found == {"n_predictions": n, "n_batches": -(-n // 4), "n_records": n, "n_attempts": -(-n // 4), "n_failed": 0}
+    assert commit.committed(spark, out) == commit.committed(spark, raw) and spark.read.json(out).count() == n
     with pytest.raises(sinks.Refused, match="exist"):
         pipeline.run_model(split, "dev_train", stub_client, "prompt", out, raw)
     with pytest.raises(sinks.Refused, match="held out"):
@@ -92,6 +95,103 @@ def test_json_scans(spark, tmp_path):
     assert tables.read_whole_text(spark, str(q)) == "one\ntwo\n"
 
 
+def test_a_million_records_keep_their_order(spark, tmp_path):
+    path, n = str(tmp_path / "many.jsonl"), 1_000_005
+    records = spark.range(1, n + 1).select(ordering.record_id(F.col("id")).alias("record_id"), F.col("id").alias("i"))
+    sinks.write_json_lines(records.repartition(7), path, ["record_id"])
+    found = tables.read_json_lines(spark, path, "record_id string, i long", strict=False, ordinal="file_row")
+    assert found.filter("file_row = i").count() == n == found.select("file_row").distinct().count()
+    last = ordering.head(found.filter("file_row > 999997"), 5, "file_row").select("record_id").collect()
+    assert [r[0] for r in last] == ["eng_999998", "eng_999999", "eng_1000000", "eng_1000001", "eng_1000002"]
+
+
+def test_file_rows_count_what_was_read(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, lines in (("b.jsonl", ['{"a":3}', "", '{"a":4}']), ("a.jsonl", ['{"a":1}', '{"a":2}']), ("aa.jsonl", ['{"a":5}'])):
+        (tmp_path / "d" / name).write_text("\n".join(lines) + "\n")
+    rows = tables.read_json_lines(spark, str(tmp_path / "d"), "a int", strict=False, ordinal="row")
+    assert sorted(map(tuple, rows.select("row", "a").collect())) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]  # shorter names first
+    (tmp_path / "d" / "b.jsonl").unlink()
+    assert sorted(map(tuple, tables.read_json_lines(spark, str(tmp_path / "d"), "a int", ordinal="row").select("row", "a").collect())) == [(1, 1), (2, 2), (3, 5)]
+
+
+def _records(spark, n):
+    return spark.range(1, n + 1).select(F.col("id").alias("number"), ordering.record_id(F.col("id")).alias("record_id"), F.col("id").alias("line"), F.lit("no").alias("target_utterance"))
+
+
+def test_a_run_stops_soon_after_a_dead_batch(spark, tmp_path):
+    """Batch 3 of 10,000 is dead: fewer than 100 are asked, and the failure is stored."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def client(system, user):
+        ids = json.JSONDecoder().raw_decode(user[user.index("[") :])[0]
+        (asked / ids[0]["record_id"]).touch()
+        if ids[0]["line"] == 3:
+            raise RuntimeError("dead")
+        return stub_client(system, user)
+
+    records = _records(spark, 10_000).withColumn("split", F.lit("dev_train"))
+    with pytest.raises(RuntimeError, match="batch 3 failed"):
+        pipeline.run_model(records, "dev_train", client, "p", str(tmp_path / "p"), str(tmp_path / "r"), batch_size=1)
+    assert len(list(asked.iterdir())) < 100
+    assert [r.batch_number for r in spark.read.json(str(tmp_path / "p.failed")).collect()] == [3]
+    assert not (tmp_path / "p").exists() and not (tmp_path / "r").exists()
+
+
+def test_a_whole_run_is_all_slices(spark):
+    found = code_batches(_records(spark, 200), stub_client, batch_size=1, fail_fast=True)
+    assert found.count() == 200 == found.filter("status = 'ok'").select("batch_number").distinct().count()
+
+
+def test_stored_replies_are_not_asked_for_again(spark, tmp_path):
+    store, asked = str(tmp_path / "store"), tmp_path / "asked"
+    asked.mkdir()
+
+    def client(system, user):
+        (asked / f"{len(list(asked.iterdir()))}").touch()
+        told = "broke the agreed form" in user
+        return stub_client(system, user) if told else "{}"  # right only when told what was wrong
+
+    run = lambda settings: code_batches(_records(spark, 6).coalesce(1), client, "p", batch_size=2, store=store, settings=settings, parallel=1).filter("status = 'ok'").count()
+    assert run("a") == 3 and len(list(asked.iterdir())) == 6  # the first answer and the one after the fault are different keys
+    assert run("a") == 3 and len(list(asked.iterdir())) == 6
+    assert run("b") == 3 and len(list(asked.iterdir())) == 12
+
+
+def test_two_outputs_are_one_commit(spark, tmp_path):
+    a, b = (str(tmp_path / x) for x in "ab")
+    df = spark.range(10)
+    told = commit.commit_together(spark, {a: (df, sinks.save_json_lines), b: (df.limit(3), sinks.save_json_lines)})
+    assert (told[a]["rows"], told[b]["rows"]) == (10, 3) and commit.committed(spark, b)[a]["digest"] == told[a]["digest"]
+    with pytest.raises(sinks.Refused, match="exist"):
+        commit.commit_together(spark, {a: (df, sinks.save_json_lines)})
+
+    def fails(frame, path):
+        raise OSError("disk full")
+
+    with pytest.raises(OSError, match="disk full"):
+        commit.commit_together(spark, {a: (df.limit(1), sinks.save_json_lines), b: (df, fails)}, overwrite=True)
+    assert commit.committed(spark, a)[a]["rows"] == 10 == spark.read.json(a).count()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+    commit.commit_together(spark, {a: (df.limit(2), sinks.save_json_lines)}, overwrite=True)
+    with pytest.raises(sinks.Refused, match="different runs"):
+        commit.committed(spark, b)  # its run's other table was replaced
+    (tmp_path / "a" / commit.MARKER).unlink()
+    with pytest.raises(sinks.Refused, match="never committed"):
+        commit.committed(spark, a)
+
+
+def test_files_of_a_folder_are_frozen(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "p.md").write_text("é")
+    (tmp_path / "q.bin").write_bytes(b"\x00\x01")
+    found = {r["item"]: (r["sha256"], r["value"]) for r in sinks.freeze_files(spark, str(tmp_path)).collect()}
+    assert found == {"x/p.md": (hashlib.sha256("é".encode()).hexdigest(), "2"), "q.bin": (hashlib.sha256(b"\x00\x01").hexdigest(), "2")}
+
+
 def test_spreadsheet(spark, tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Line</t></is></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="C3"><v>5.0</v></c></row><row r="4"><c r="C4"><v>2.5</v></c></row>'
