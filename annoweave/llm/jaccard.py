@@ -252,7 +252,8 @@ def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: in
     while True:
         # counted and joined under one partitioning: a token is in few of a set's many rows, so none is in many of all
         dealt = tokens.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-        df = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        # both sides need all columns, or they would be dealt twice
+        df = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("at").alias("__at"), F.max("set").alias("__set")).filter("df > 1 AND __at >= 0 AND __set >= 0").select("token", "df")
         held = dealt.join(df.hint("merge"), "token").groupBy("set").agg(F.collect_list(F.struct("at", "token", "df")).alias("held"))  # a set's own
         found = cut(held.mapInArrow(_sign(percent, classes), "sig long, set long, n long, over boolean"))
         more = cut(found.filter("over").select("set"))
@@ -282,6 +283,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     likely = cut(likely.select("a", "b"))
     # a set that is compared with very many gets several rows, so that these are spread over tasks
     many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / F.lit(SPREAD)).alias("salts"))
+    asked = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    sets = sets.select("set", "tokens").join(_small(cut(asked)), "set", "left_semi")  # only these sets' tokens are moved
     own = sets.select(F.col("set").alias("a"), F.col("tokens").alias("a_tokens"))
     spread = many.join(own, "a").select("a", "a_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     salted = likely.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).cast("long").alias("salt"))
