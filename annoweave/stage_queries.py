@@ -27,6 +27,7 @@ from annoweave.session import cut, shared_folder
 from annoweave.sources import sinks
 from annoweave.sources.spreadsheet import read_sheet, workbook
 from annoweave.sources.tables import read_json_lines, read_whole_texts
+from annoweave.sources.workbooks import WorkbookSource
 
 DROPPED = "left out"
 OWNERS = ("Ann", "Bo")
@@ -137,6 +138,23 @@ def sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(spark, work)
 
 
+@query("""SELECT 'region ' || n_regionkey || '.xlsx' AS source_file, 'Code' AS sheet, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1)::INTEGER AS source_row, n_name AS Bloom, n_nationkey::VARCHAR AS Line FROM nation
+UNION ALL SELECT DISTINCT 'region ' || n_regionkey || '.xlsx', 'Other', 2, NULL, 'x' FROM nation""")
+def workbook_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several workbooks of two sheets each, read as a data source; a sheet without a column has nulls there."""
+    spark.dataSource.register(WorkbookSource)
+    rows: dict[int, list[list[str]]] = {}
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        rows.setdefault(r["n_regionkey"], []).append([r["n_name"], str(r["n_nationkey"])])
+
+    def work(folder: str) -> DataFrame:
+        for region, own in rows.items():
+            sinks.write_text(spark, f"{folder}/region {region}.xlsx", workbook({"Code": [[" Bloom ", "Line"], *own], "Other": [["Line"], ["x"]]}))
+        return spark.read.format("workbook").option("sheets", "Code|Other").load(folder)
+
+    return through_files(spark, work)
+
+
 @query(f"WITH {built_sql()} SELECT record_id, transcript_id, half, turn AS line, source_row, coded_by_1, coded_by_2, 'no' AS target_negator, len(b)::INTEGER AS n_before, len(a)::INTEGER AS n_after FROM t")
 def dataset_as_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(folder: str) -> DataFrame:

@@ -214,6 +214,20 @@ def test_wide_sheets_and_odd_text(spark, tmp_path):
     assert [tuple(r) for r in found] == [(i + 2, r[1], r[7], r[29]) for i, r in enumerate(rows[1:])]
 
 
+def test_workbooks_as_a_data_source(spark, tmp_path):
+    from annoweave.sources.workbooks import WorkbookSource
+
+    spark.dataSource.register(WorkbookSource)
+    for name, rows in (("b.xlsx", [["Line", "Bloom"], ["5", None], [None, "x"]]), ("a.xlsx", [["Bloom", "Line", " Bloom "], ["y", "1", "z"]]), ("~a.xlsx", [["no"]])):
+        (tmp_path / name).write_bytes(spreadsheet.workbook({"Code": rows, "More": [["Line"], ["9"]]}))
+    read = spark.read.format("workbook")
+    found = read.load(str(tmp_path))
+    assert found.columns == ["source_file", "sheet", "source_row", "Bloom", "Line"] and found.rdd.getNumPartitions() == 2
+    assert sorted(map(tuple, found.collect()), key=repr) == [("a.xlsx", "Code", 2, "z", "1"), ("b.xlsx", "Code", 2, None, "5"), ("b.xlsx", "Code", 3, "x", None)]
+    few = spark.read.format("workbook").schema("Line string, source_row int").option("sheets", "More|Code").load(str(tmp_path / "b.xlsx"))
+    assert sorted(map(tuple, few.collect()), key=repr) == [("5", 2), ("9", 2), (None, 3)]
+
+
 def test_halves(spark):
     a = spark.createDataFrame([(1, "x")], "ord int, Speaker string")
     b = spark.createDataFrame([(1,)], "ord int")
