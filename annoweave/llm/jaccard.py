@@ -46,6 +46,8 @@ CLASSES = ((2, 64, 4), (3, 1 << 16, 8))
 SAMPLE, COMMON, KEPT = 16, 4, 1 << 20
 #: Longs of a set's bitmap, by which most pairs that can't be linked are told apart before their tokens are moved.
 MAPS = 8
+#: Longs of a second, wide bitmap, looked at for pairs that the first one leaves: long sets fill the first.
+WIDE = 64
 #: Rows up to which the rows to leave out, or to read again, are broadcast: 32 MB at most.
 BROADCAST_ROWS = 1 << 20
 #: Rounds of comparing with one set of each signature at most, and pairs a signature's set that may be left after them.
@@ -216,6 +218,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _bitmaps(own: np.ndarray, hashes: np.ndarray, sets: int, longs: int) -> np.ndarray:
+    """A row of longs a set: whether an odd number of its hashes falls on each bit. Sets differ in as many hashes as their bitmaps in bits at least."""
+    bit = own * 64 * longs + (hashes % np.uint64(64 * longs)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * longs * sets) & 1).astype(np.uint8)).view(np.int64).reshape(-1, longs)
+
+
 def _place(whole: bool) -> Column:
     """A token's place in its set, with the set's size and whether all of the set's tokens are looked at, in one number."""
     return (F.col("pos").cast("long") * (1 << 32) + F.col("n") * 2 + int(whole)).alias("at")
@@ -232,14 +240,15 @@ def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int
             numbers = [x for x in rows if x not in done]
             done.update(numbers)
             sizes, hashes = shingle_sets([rows[x] for x in numbers], words, common.value)
-            bit = np.repeat(np.arange(len(numbers)) * 64 * MAPS, sizes) + (hashes % np.uint64(64 * MAPS)).astype(np.int64)
-            bits = np.packbits((np.bincount(bit, minlength=64 * MAPS * len(numbers)) & 1).astype(np.uint8)).view(np.int64).reshape(-1, MAPS)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), _lists(sizes, hashes), *map(pa.array, bits.T)], names=["set", "n", "tokens", *maps])
+            own = np.repeat(np.arange(len(numbers)), sizes)
+            narrow, wide = _bitmaps(own, hashes, len(numbers), MAPS), _bitmaps(own, hashes // np.uint64(64 * MAPS), len(numbers), WIDE)
+            columns = [pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), _lists(sizes, hashes), _lists(np.full(len(numbers), WIDE), wide.ravel()), *map(pa.array, narrow.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["set", "n", "tokens", "wide", *maps])
 
     keys = marked.join(wanted, F.col("row") == F.col("set"), "left_semi").select(F.col("row").alias("set"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     plain = docs.select(F.col(id_col).cast("long").alias("__own"), row_hash(text_col).alias("__of"), text_of(text_col).alias("t"))
     met = plain.join(_small(cut(keys)), (F.col("__of") == F.col("__hash")) & F.col("__own").eqNullSafe(F.col("__id"))).select("set", "t")
-    found = cut(in_small_batches(met).mapInArrow(run, "set long, n long, tokens array<long>, " + ", ".join(f"{m} long" for m in maps)))
+    found = cut(in_small_batches(met).mapInArrow(run, "set long, n long, tokens array<long>, wide array<long>, " + ", ".join(f"{m} long" for m in maps)))
     alone = found.groupBy("set").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
     return found if alone else cut(found.dropDuplicates(["set"]))  # rows repeated in several tasks
 
@@ -277,14 +286,17 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda c: small.select(F.col("set").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", *maps)])
     both = F.col("a_n") + F.col("b_n")
     differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps[1:]), F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))))
-    # sets differ in as many tokens as their bitmaps in bits at least
     least = F.ceil(both * percent / F.lit(100 + percent))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= both - 2 * least)
     likely = cut(likely.select("a", "b"))
     # a set that is compared with very many gets several rows, so that these are spread over tasks
     many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / F.lit(SPREAD)).alias("salts"))
-    asked = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    sets = sets.select("set", "tokens").join(_small(cut(asked)), "set", "left_semi")  # only these sets' tokens are moved
+    asked = lambda: _small(cut(likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()))
+    some = sets.select("set", "n", "wide").join(asked(), "set", "left_semi")
+    other = lambda c: some.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide"))
+    differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    likely = cut(likely.join(other("a"), "a").join(other("b"), "b").filter(differ <= both - 2 * least).select("a", "b"))
+    sets = sets.select("set", "tokens").join(asked(), "set", "left_semi")  # only these sets' tokens are moved
     own = sets.select(F.col("set").alias("a"), F.col("tokens").alias("a_tokens"))
     spread = many.join(own, "a").select("a", "a_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     salted = likely.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).cast("long").alias("salt"))
@@ -325,7 +337,7 @@ def _pairs(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
 def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of the sets that are linked to another one; None if there are none. Sets that are linked share a signature."""
     fits = _sizes_fit(F.col("l.n"), F.col("r.n"), percent)
-    comps, open_ = None, signed
+    comps, open_, before = None, signed, float("inf")
     for n in range(ROUNDS):
         open_ = _open(signed if n == 0 else open_, comps)
         by_comp = open_.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -333,8 +345,9 @@ def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         left = by_comp.groupBy("sig").agg(F.sum(many).alias("all"), F.sum(many * many).alias("inside")).agg(F.sum(F.col("all") * F.col("all") - F.col("inside")) / 2, F.sum("all")).first()
         if not left[1]:
             return comps
-        if left[0] <= LEFT * left[1]:
+        if left[0] <= LEFT * left[1] or left[0] > 0.9 * before:
             break
+        before = left[0]
         one = open_.groupBy("sig").agg(F.min_by(F.struct("set", "n", "comp"), F.xxhash64("set", F.lit(n))).alias("x")).select("sig", "x.*")
         new = linked(_pairs(open_, one, fits), sets, percent)
         if new.isEmpty():
