@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,13 +71,21 @@ def words_of(utterance: Column) -> Column:
     return F.regexp_extract_all(F.lower(utterance), F.lit(r"[\p{L}\p{M}\p{N}'’]+"), F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: a column named inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def prejacent(utterance: Column, negator: Column) -> Column:
     """The words that follow the first place of the negator, of one word or several, in an utterance; null where it isn't there."""
-    words, held = words_of(utterance), words_of(negator)
-    n = F.size(held)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, n) == held)
-    at = F.get(starts, F.lit(0))
-    return F.when((n > 0) & at.isNotNull(), F.slice(words, at + n, F.greatest(F.size(words), F.lit(1))))
+
+    def after(both: Column) -> Column:
+        words, held = both["words"], both["held"]
+        n = F.size(held)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, n) == held)
+        return bound(F.get(starts, F.lit(0)), lambda at: F.when((n > 0) & at.isNotNull(), F.slice(words, at + n, F.greatest(F.size(words), F.lit(1)))))
+
+    return bound(F.struct(words_of(utterance).alias("words"), words_of(negator).alias("held")), after)
 
 
 def same_prejacent(negator: Column, utterance: Column, previous_negator: Column, previous_utterance: Column) -> Column:

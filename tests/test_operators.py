@@ -123,6 +123,19 @@ def test_prejacents(spark):
     assert [r[0] for r in pairs.select(same_prejacent(F.col("n"), F.col("u"), F.col("n0"), F.col("u0"))).collect()] == [True, False, False, False]
 
 
+def test_words_are_split_once_an_utterance(spark, capsys):
+    """Named inside a lambda, the split would run for each word of the utterance."""
+    from annoweave.functions.text import prejacent, same_prejacent
+
+    df = spark.createDataFrame([("x " * 5000 + "do not " + "y " * 5000, "do not")], "u string, n string")
+    found = df.select(prejacent(F.col("u"), F.col("n")).alias("p"))
+    assert found.first().p == ["y"] * 5000
+    for shown, splits in ((found, 2), (df.select(same_prejacent(F.col("n"), F.col("u"), F.col("n"), F.col("u")).alias("s")), 6)):
+        capsys.readouterr()
+        shown.explain()
+        assert 1 <= capsys.readouterr().out.count("regexp_extract_all") <= splits
+
+
 def test_table_digests_do_not_hang_on_order(spark):
     import hashlib
 
