@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -203,12 +204,22 @@ _ROW = {
 }
 
 
+#: Characters of a table's rows that are dealt to one task, about.
+_PART = 1 << 25
+
+
+def _parts(df: DataFrame) -> int:
+    """Five parts, and more for large tables."""
+    long = reduce(lambda a, b: a + b, [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns])
+    return 5 + (df.agg(F.sum(long)).first()[0] or 0) // _PART
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS item, count(*) AS n_rows, sum(('0x' || substr(sha256({row}), 1, 15))::HUGEINT)::VARCHAR AS digest_sum, true AS same_root FROM {t}" for t, row in _ROW.items()))
 def frozen_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of two input tables; same_root tells whether the Merkle root is that of the rows in another order and partitioning."""
     tables = {t: table(spark, sf_dir, t) for t in _ROW}
     frozen = sinks.freeze_tables(tables)
-    dealt = [table_digest(df.repartition(5, F.xxhash64(*df.columns))).select(F.lit(t).alias("item"), F.col("merkle_root").alias("other")) for t, df in tables.items()]
+    dealt = [table_digest(df.repartition(_parts(df), F.xxhash64(*df.columns))).select(F.lit(t).alias("item"), F.col("merkle_root").alias("other")) for t, df in tables.items()]
     return frozen.join(dealt[0].unionByName(dealt[1]), "item").select("item", "n_rows", "digest_sum", (F.col("merkle_root") == F.col("other")).alias("same_root"))
 
 
