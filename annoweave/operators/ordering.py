@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from annoweave.schemas import CONTEXT_LINES
 
-#: Ordinals of one numbering range.
-RANGE = 1 << 20
+#: Ordinals of one numbering range, and rows that a task sorts, about.
+RANGE, TASK_ROWS = 1 << 16, 1 << 19
 #: Ranges whose counts are summed up together.
 FAN = 1 << 14
 #: Lines of a context chunk, and ordinals of the ranges that are looked at as a whole for one.
@@ -37,15 +37,32 @@ def dense_number(df: DataFrame, ordinal: str, name: str, width: int = RANGE, wit
 
     Rows are cut into ranges of the ordinal; each range is numbered by itself and
     starts after the count of the ranges before it. Reads the ordinal once beforehand,
-    for its least and greatest value.
+    for its least and greatest value and the number of rows: ranges are dealt to as many tasks
+    as that asks for, so that what one of them sorts doesn't grow with the table.
     """
     keys = within or []
-    ends = df.agg(F.floor(F.min(ordinal) / F.lit(width)), F.floor(F.max(ordinal) / F.lit(width))).first()
+    ends = df.agg(F.floor(F.min(ordinal) / F.lit(width)), F.floor(F.max(ordinal) / F.lit(width)), F.count(F.lit(1))).first()
     span = 1 if ends[0] is None else int(ends[1]) - int(ends[0]) + 1
     ranged = df.withColumn("__range", F.floor(F.col(ordinal) / F.lit(width)))
     starts = _starts(ranged.groupBy(*keys, "__range").count(), keys, span).drop("count")
     own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(ordinal))
-    return ranged.withColumn("__own", own).join(starts, [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+    if not keys and span <= FAN:
+        starts = F.broadcast(starts)  # a row a range
+    dealt = ranged.repartition(tasks(df, ends[2]), *keys, "__range")
+    return dealt.withColumn("__own", own).join(starts, [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+
+
+def tasks(df: DataFrame, rows: int) -> int:
+    """Tasks that so many rows are dealt to: as many as the session asks for, more for large tables."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def sorted_by(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df in a stated order over all its partitions, of which there are as many as its rows ask for. Counts the rows once beforehand."""
+    n = tasks(df, df.count())
+    if n == tasks(df, 0):
+        return df.orderBy(*order)
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def record_id(number: Column, prefix: str = "eng_") -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from annoweave.functions.digests import table_digest
 from annoweave.functions.text import json_text, model_slug
-from annoweave.operators.ordering import record_number
+from annoweave.operators.ordering import record_number, sorted_by
 from annoweave.schemas import LOCKBOX_SPLIT
 
 
@@ -103,8 +103,9 @@ def _keys(order: Order) -> list[str | Column]:
 
 def ordered(df: DataFrame, order: Order, one_file: bool = False) -> DataFrame:
     """df in the order of a sink's rows. Record ids are sorted by their number."""
-    out = df.orderBy(*_keys(order)) if order else df
-    return out.coalesce(1) if one_file else out
+    if one_file:
+        return (df.orderBy(*_keys(order)) if order else df).coalesce(1)
+    return sorted_by(df, *_keys(order)) if order else df
 
 
 def save_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -55,16 +55,16 @@ def with_file_row(scan: DataFrame, name: str) -> DataFrame:
     Files follow each other by path (of two names the longer one is later, as part files
     are numbered), a file's blocks by their start, a block's rows as they are read. Rows
     never move: a block's rows have consecutive numbers in their partition, and the
-    blocks' counts, one row a block, say where each of them begins. scan is a file
+    blocks' counts, one row a block, say where each of them begins; these are broadcast. scan is a file
     source as read, without a filter or limit yet.
     """
-    path = F.col("_metadata.file_path")
-    tagged = scan.select("*", F.struct(F.regexp_extract(path, "^(.*/)?", 1).alias("folder"), F.length(path).alias("long"), path.alias("path")).alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
-    blocks = tagged.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    upto = lambda by, order: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = blocks.groupBy("__file").agg(F.sum("__n").alias("__n")).select("__file", upto([], "__file").alias("__files"))  # a row a file
-    begins = blocks.withColumn("__own", upto(["__file"], "__block")).join(files, "__file").select("__file", "__block", (F.col("__files") + F.col("__own") - F.col("__first") + 1).alias("__shift"))
-    return tagged.join(begins, ["__file", "__block"]).withColumn(name, F.col("__at") + F.col("__shift")).drop("__file", "__block", "__at", "__shift")
+    tagged = scan.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = tagged.groupBy("__path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    upto = lambda by, order: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = [F.regexp_extract("__path", "^(.*/)?", 1), F.length("__path"), F.col("__path")]
+    files = blocks.groupBy("__path").agg(F.sum("__n").alias("__n")).select("__path", upto([], place).alias("__files"))  # a row a file
+    begins = blocks.withColumn("__own", upto(["__path"], ["__block"])).join(files, "__path").select("__path", "__block", (F.col("__files") + F.col("__own") - F.col("__first") + 1).alias("__shift"))
+    return tagged.join(F.broadcast(begins), ["__path", "__block"]).withColumn(name, F.col("__at") + F.col("__shift")).drop("__path", "__block", "__at", "__shift")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True, ordinal: str | None = None) -> DataFrame:

@@ -367,3 +367,29 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://x:7077", "local-cluster[3,2,3000]", "yarn"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             session.ensure_checkpoint_dir(fake(master))
+
+
+def test_sorts_and_deals_grow_with_the_rows(spark, monkeypatch):
+    """What a task sorts or takes is bounded: more rows mean more tasks, in the same order."""
+    from annoweave import run_queries
+    from annoweave.sources import sinks
+
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100)
+    df = spark.range(2000).select((F.col("id") * 7 % 2000).alias("o"))
+    numbered = ordering.dense_number(df, "o", "n", width=16)
+    assert numbered.rdd.getNumPartitions() == 20
+    assert {r.o: r.n for r in numbered.collect()} == {i: i + 1 for i in range(2000)}
+    out = sinks.ordered(df, ["o"])
+    assert out.rdd.getNumPartitions() > 8
+    assert [r.o for r in out.collect()] == list(range(2000))
+    monkeypatch.setattr(run_queries, "_PART", 1000)
+    assert run_queries._parts(df) == 5 + sum(len(str(i)) for i in range(2000)) // 1000
+
+
+def test_rows_of_files_do_not_move(spark, tmp_path, capsys):
+    from annoweave.sources import tables
+
+    spark.range(100).write.json(str(tmp_path / "x"))
+    capsys.readouterr()
+    tables.read_json_lines(spark, str(tmp_path / "x"), "id long", strict=False, ordinal="n").explain()
+    assert "SortMergeJoin [__path" not in (shown := capsys.readouterr().out) and "SortMergeJoin [__file" not in shown
