@@ -254,7 +254,7 @@ def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int
 
 
 def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: int, percent: int, classes: tuple, common: Broadcast, id_col: str, text_col: str) -> DataFrame:
-    """(sig, set, n), stored: the signatures that more than one set has. firsts(set) are one row of marked for each set."""
+    """(sig, set, n), stored: the signatures that more than one set has, one of those that the same sets have. firsts(set) are one row of marked for each set."""
     spark = docs.sparkSession
     copies = cut(marked.filter(F.size("prefix") > 0).select("row").join(firsts, F.col("row") == F.col("set"), "left_anti"))
     tokens = marked.join(_small(copies), "row", "left_anti").select(F.col("row").alias("set"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", _place(False))
@@ -271,7 +271,10 @@ def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: in
         # these need more tokens than were looked at: now all of theirs are
         more = whole_sets(docs, marked, more, words, common, id_col, text_col).select("set", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "set", _place(True))
         tokens = tokens.join(_small(more.select("set").distinct()), "set", "left_anti").unionByName(more)
-    shared = found.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("sig")
+    # of signatures that the very same sets have, such as those of a passage or of two near copies, one is enough
+    who = [F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"who{i}") for i in range(2)]
+    shared = found.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), *who).filter("times > 1")
+    shared = shared.groupBy("times", "who0", "who1").agg(F.min("sig").alias("sig")).select("sig")
     return cut(found.select("sig", "set", "n").join(shared, "sig"))
 
 
@@ -281,14 +284,9 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs(a, b) whose similarity is percent at least, stored."""
-    maps = [f"m{i}" for i in range(MAPS)]
-    small = sets.select("set", "n", *maps)
-    side = lambda c: small.select(F.col("set").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", *maps)])
     both = F.col("a_n") + F.col("b_n")
-    differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps[1:]), F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))))
     least = F.ceil(both * percent / F.lit(100 + percent))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= both - 2 * least)
-    likely = cut(likely.select("a", "b"))
+    likely = cut(pairs)
     # a set that is compared with very many gets several rows, so that these are spread over tasks
     many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / F.lit(SPREAD)).alias("salts"))
     asked = lambda: _small(cut(likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()))
@@ -328,15 +326,23 @@ def _open(signed: DataFrame, comps: DataFrame | None) -> DataFrame:
     return cut(named.join(mixed, "sig"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
-    """Distinct (a, b) of sets that meet in a signature, in different components, of sizes that fit; a < b."""
+def _pairs(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of sets that meet in a signature, in different components, of sizes and bitmaps that fit; a < b.
+
+    Bitmaps are compared while joining, so that of a large group whose sets aren't alike no pairs are made.
+    """
+    maps = [f"m{i}" for i in range(MAPS)]
+    small = sets.select("set", *maps)
+    both = F.col("l.n") + F.col("r.n")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"l.{m}").bitwiseXOR(F.col(f"r.{m}"))) for m in maps])
+    fits = _sizes_fit(F.col("l.n"), F.col("r.n"), percent) & (differ <= both - 2 * F.ceil(both * percent / F.lit(100 + percent)))
+    left, right = left.join(small, "set"), right.join(small, "set")
     met = left.alias("l").join(right.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.comp") != F.col("r.comp")) & fits)
     return met.select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
 
 
 def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of the sets that are linked to another one; None if there are none. Sets that are linked share a signature."""
-    fits = _sizes_fit(F.col("l.n"), F.col("r.n"), percent)
     comps, open_, before = None, signed, float("inf")
     for n in range(ROUNDS):
         open_ = _open(signed if n == 0 else open_, comps)
@@ -349,7 +355,7 @@ def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
             break
         before = left[0]
         one = open_.groupBy("sig").agg(F.min_by(F.struct("set", "n", "comp"), F.xxhash64("set", F.lit(n))).alias("x")).select("sig", "x.*")
-        new = linked(_pairs(open_, one, fits), sets, percent)
+        new = linked(_pairs(open_, one, sets, percent), sets, percent)
         if new.isEmpty():
             break
         comps = _contracted(comps, new)
@@ -360,7 +366,7 @@ def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
     most = by_comp.groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
     told = open_.join(most, "sig")
     major, minor = (told.filter(x).select("sig", "set", "n", "comp") for x in ("comp = most", "comp <> most"))
-    rest = _pairs(minor, major, fits).unionByName(_pairs(minor, minor, fits)).distinct()
+    rest = _pairs(minor, major, sets, percent).unionByName(_pairs(minor, minor, sets, percent)).distinct()
     return _contracted(comps, linked(rest, sets, percent))
 
 

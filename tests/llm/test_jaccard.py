@@ -10,6 +10,7 @@ from annoweave.llm import jaccard as X
 from annoweave.llm import queries
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 #: Classes that small tables reach.
 FEW = ((2, 2, 4), (3, 5, 8))
@@ -174,3 +175,16 @@ def test_size_classes_and_groups():
                 for at in (level(n), level(n) + 1):
                     groups = X.group_counts(at, percent, FEW)
                     assert sum(g * (k - 1) for g, (k, _, _) in zip(groups, FEW, strict=True)) <= n - X.lacking(n, percent) - 1
+
+
+def test_near_copies_share_one_signature_and_unlike_sets_make_no_pairs(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:399], "x"]))], "doc_id long, text string")
+    common = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    marked = X.mark(docs, 4, 85, common)
+    signed = X.signed_sets(docs, marked, marked.select(F.col("row").alias("set")), 4, 85, X.CLASSES, common, "doc_id", "text")
+    assert signed.count() == 2  # a row a set
+    maps = [f"m{i}" for i in range(X.MAPS)]
+    sets = spark.range(4).select(F.col("id").alias("set"), *[F.when(F.col("id") < 2, F.lit(-1)).otherwise(F.xxhash64("id", F.lit(m))).cast("long").alias(m) for m in maps])
+    met = sets.select(F.lit(7).cast("long").alias("sig"), "set", F.lit(300).cast("long").alias("n"), F.col("set").alias("comp"))
+    assert [tuple(r) for r in X._pairs(met, met, sets, 85).collect()] == [(0, 1)]
