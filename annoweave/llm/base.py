@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annoweave.session import TASK_BYTES as TASK_BYTES
 from annoweave.session import cut as cut
 from annoweave.session import ensure_checkpoint_dir as ensure_checkpoint_dir
+from annoweave.session import few as few
+from annoweave.session import gathered as gathered
+from annoweave.session import shuffles_freed as shuffles_freed
 
 #: Characters the contracts call white space: space and TAB..CR.
 ASCII_SPACE = " \t\n\x0b\x0c\r"

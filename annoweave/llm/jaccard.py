@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annoweave.llm.base import cut, in_small_batches, mix64, row_hash, sliced, text_of
+from annoweave.llm.base import TASK_BYTES, cut, few, in_small_batches, mix64, row_hash, shuffles_freed, sliced, text_of
 from annoweave.llm.components import connected_components
 
 #: Words of a shingle and least similarity, by default.
@@ -46,6 +46,7 @@ CLASSES = ((2, 64, 4), (3, 1 << 16, 8))
 SAMPLE, COMMON, KEPT = 16, 4, 1 << 20
 #: Longs of a set's bitmap, by which most pairs that can't be linked are told apart before their tokens are moved.
 MAPS = 8
+BITMAP = [f"m{i}" for i in range(MAPS)]
 #: Longs of a second, wide bitmap, looked at for pairs that the first one leaves: long sets fill the first.
 WIDE = 64
 #: Rows up to which the rows to leave out, or to read again, are broadcast: 32 MB at most.
@@ -218,6 +219,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _held(df: DataFrame, size: int) -> DataFrame:
+    """df, which has so many bytes at most, broadcast if a task can hold them."""
+    return F.broadcast(df) if size <= TASK_BYTES else df
+
+
 def _bitmaps(own: np.ndarray, hashes: np.ndarray, sets: int, longs: int) -> np.ndarray:
     """A row of longs a set: whether an odd number of its hashes falls on each bit. Sets differ in as many hashes as their bitmaps in bits at least."""
     bit = own * 64 * longs + (hashes % np.uint64(64 * longs)).astype(np.int64)
@@ -231,7 +237,6 @@ def _place(whole: bool) -> Column:
 
 def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int, common: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(set, n, tokens, bitmap columns) of the wanted(set), read from their texts again and stored; one row each."""
-    maps = [f"m{i}" for i in range(MAPS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -243,12 +248,12 @@ def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int
             own = np.repeat(np.arange(len(numbers)), sizes)
             narrow, wide = _bitmaps(own, hashes, len(numbers), MAPS), _bitmaps(own, hashes // np.uint64(64 * MAPS), len(numbers), WIDE)
             columns = [pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), _lists(sizes, hashes), _lists(np.full(len(numbers), WIDE), wide.ravel()), *map(pa.array, narrow.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["set", "n", "tokens", "wide", *maps])
+            yield pa.RecordBatch.from_arrays(columns, names=["set", "n", "tokens", "wide", *BITMAP])
 
     keys = marked.join(wanted, F.col("row") == F.col("set"), "left_semi").select(F.col("row").alias("set"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     plain = docs.select(F.col(id_col).cast("long").alias("__own"), row_hash(text_col).alias("__of"), text_of(text_col).alias("t"))
-    met = plain.join(_small(cut(keys)), (F.col("__of") == F.col("__hash")) & F.col("__own").eqNullSafe(F.col("__id"))).select("set", "t")
-    found = cut(in_small_batches(met).mapInArrow(run, "set long, n long, tokens array<long>, wide array<long>, " + ", ".join(f"{m} long" for m in maps)))
+    met = plain.join(_small(few(keys)[0]), (F.col("__of") == F.col("__hash")) & F.col("__own").eqNullSafe(F.col("__id"))).select("set", "t")
+    found = cut(in_small_batches(met).mapInArrow(run, "set long, n long, tokens array<long>, wide array<long>, " + ", ".join(f"{m} long" for m in BITMAP)))
     alone = found.groupBy("set").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
     return found if alone else cut(found.dropDuplicates(["set"]))  # rows repeated in several tasks
 
@@ -256,7 +261,7 @@ def whole_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words: int
 def signed_sets(docs: DataFrame, marked: DataFrame, firsts: DataFrame, words: int, percent: int, classes: tuple, common: Broadcast, id_col: str, text_col: str) -> DataFrame:
     """(sig, set, n), stored: the signatures that more than one set has, one of those that the same sets have. firsts(set) are one row of marked for each set."""
     spark = docs.sparkSession
-    copies = cut(marked.filter(F.size("prefix") > 0).select("row").join(firsts, F.col("row") == F.col("set"), "left_anti"))
+    copies, _ = few(marked.filter(F.size("prefix") > 0).select("row").join(firsts, F.col("row") == F.col("set"), "left_anti"))
     tokens = marked.join(_small(copies), "row", "left_anti").select(F.col("row").alias("set"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set", _place(False))
     while True:
         # counted and joined under one partitioning: a token is in few of a set's many rows, so none is in many of all
@@ -286,21 +291,29 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs(a, b) whose similarity is percent at least, stored."""
     both = F.col("a_n") + F.col("b_n")
     least = F.ceil(both * percent / F.lit(100 + percent))
-    likely = cut(pairs)
+    likely, rows = few(pairs)
+    if not rows:
+        return likely
     # a set that is compared with very many gets several rows, so that these are spread over tasks
     many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / F.lit(SPREAD)).alias("salts"))
-    asked = lambda: _small(cut(likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()))
-    some = sets.select("set", "n", "wide").join(asked(), "set", "left_semi")
-    other = lambda c: some.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide"))
+    asked = lambda: _small(few(likely.select(F.explode(F.array("a", "b")).alias("set")).distinct())[0])
+    some, size = sets.select("set", "n", "wide").join(asked(), "set", "left_semi"), 2 * rows * 8 * WIDE
+    other = lambda c: _held(some.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")), size)
     differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    likely = cut(likely.join(other("a"), "a").join(other("b"), "b").filter(differ <= both - 2 * least).select("a", "b"))
+    likely, rows = few(likely.join(other("a"), "a").join(other("b"), "b").filter(differ <= both - 2 * least).select("a", "b", both.alias("tokens")))
+    if not rows:
+        return likely.select("a", "b")
+    size = 8 * likely.agg(F.sum("tokens")).first()[0]
     sets = sets.select("set", "tokens").join(asked(), "set", "left_semi")  # only these sets' tokens are moved
-    own = sets.select(F.col("set").alias("a"), F.col("tokens").alias("a_tokens"))
-    spread = many.join(own, "a").select("a", "a_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    salted = likely.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).cast("long").alias("salt"))
-    met = salted.join(spread, ["a", "salt"]).join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+    own, others = (_held(sets.select(F.col("set").alias(c), F.col("tokens").alias(f"{c}_tokens")), size) for c in ("a", "b"))
+    if size <= TASK_BYTES:
+        met = likely.select("a", "b").join(own, "a")
+    else:
+        spread = many.join(own, "a").select("a", "a_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        met = likely.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).cast("long").alias("salt")).join(spread, ["a", "salt"])
+    met = met.join(others, "b")
     common, all_ = F.size(F.array_intersect("a_tokens", "b_tokens")), F.size("a_tokens") + F.size("b_tokens")
-    return cut(met.filter(100 * common.cast("long") >= percent * (all_ - common)).select("a", "b"))
+    return few(met.filter(100 * common.cast("long") >= percent * (all_ - common)).select("a", "b"))[0]
 
 
 def _contracted(comps: DataFrame | None, edges: DataFrame) -> DataFrame | None:
@@ -308,20 +321,20 @@ def _contracted(comps: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     if edges.isEmpty():
         return comps
     if comps is None:
-        return cut(connected_components(edges))
-    named = edges
+        return few(connected_components(edges))[0]
+    named, known = edges, _small(comps)
     for side in ("a", "b"):
-        named = named.join(comps.select(F.col("node").alias(side), "component"), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
-    more = cut(connected_components(named))
-    moved = comps.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return cut(moved.unionByName(more.join(comps.select("node"), "node", "left_anti")))
+        named = named.join(known.select(F.col("node").alias(side), "component"), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    more = few(connected_components(named))[0]
+    moved = comps.join(_small(more).select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return few(moved.unionByName(more.join(known.select("node"), "node", "left_anti")))[0]
 
 
 def _open(signed: DataFrame, comps: DataFrame | None) -> DataFrame:
     """signed with each set's component, stored; only signatures of more than one component stay."""
     if comps is None:
         return signed.withColumn("comp", F.col("set"))
-    named = signed.join(comps.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "n", F.coalesce("component", "set").alias("comp"))
+    named = signed.join(_small(comps).withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "n", *BITMAP, F.coalesce("component", "set").alias("comp"))
     mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
     return cut(named.join(mixed, "sig"))
 
@@ -329,20 +342,22 @@ def _open(signed: DataFrame, comps: DataFrame | None) -> DataFrame:
 def _pairs(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of sets that meet in a signature, in different components, of sizes and bitmaps that fit; a < b.
 
-    Bitmaps are compared while joining, so that of a large group whose sets aren't alike no pairs are made.
+    Bitmaps are compared while joining, so that of a large group whose sets aren't alike no pairs are made. Rows have
+    them, or get them from sets.
     """
-    maps = [f"m{i}" for i in range(MAPS)]
-    small = sets.select("set", *maps)
     both = F.col("l.n") + F.col("r.n")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"l.{m}").bitwiseXOR(F.col(f"r.{m}"))) for m in maps])
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"l.{m}").bitwiseXOR(F.col(f"r.{m}"))) for m in BITMAP])
     fits = _sizes_fit(F.col("l.n"), F.col("r.n"), percent) & (differ <= both - 2 * F.ceil(both * percent / F.lit(100 + percent)))
-    left, right = left.join(small, "set"), right.join(small, "set")
+    left, right = (df if BITMAP[0] in df.columns else df.join(sets.select("set", *BITMAP), "set") for df in (left, right))
     met = left.alias("l").join(right.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.comp") != F.col("r.comp")) & fits)
     return met.select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
 
 
 def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of the sets that are linked to another one; None if there are none. Sets that are linked share a signature."""
+    # dealt by signature once, with what is compared, so that a round needs no more shuffles for it
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = cut(signed.join(sets.select("set", *BITMAP), "set").repartition(parts, "sig"))
     comps, open_, before = None, signed, float("inf")
     for n in range(ROUNDS):
         open_ = _open(signed if n == 0 else open_, comps)
@@ -354,19 +369,19 @@ def join_sets(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         if left[0] <= LEFT * left[1] or left[0] > 0.9 * before:
             break
         before = left[0]
-        one = open_.groupBy("sig").agg(F.min_by(F.struct("set", "n", "comp"), F.xxhash64("set", F.lit(n))).alias("x")).select("sig", "x.*")
+        one = open_.groupBy("sig").agg(F.min_by(F.struct("set", "n", "comp", *BITMAP), F.xxhash64("set", F.lit(n))).alias("x")).select("sig", "x.*")
         new = linked(_pairs(open_, one, sets, percent), sets, percent)
         if new.isEmpty():
             break
         comps = _contracted(comps, new)
         open_ = open_.drop("comp")
-    open_ = _open(open_.drop("comp"), comps)
-    by_comp = open_.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
+    else:
+        open_ = _open(open_, comps)
+        by_comp = open_.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
     # in each signature the largest component's sets meet the others, and these each other; none meets its own component's
     most = by_comp.groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
     told = open_.join(most, "sig")
-    major, minor = (told.filter(x).select("sig", "set", "n", "comp") for x in ("comp = most", "comp <> most"))
-    rest = _pairs(minor, major, sets, percent).unionByName(_pairs(minor, minor, sets, percent)).distinct()
+    rest = _pairs(told.filter("comp <> most"), told, sets, percent)
     return _contracted(comps, linked(rest, sets, percent))
 
 
@@ -386,12 +401,13 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
-    common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, words, text_col))  # 8 MB at most
-    marked = mark(docs, words, percent, common, id_col, text_col)
-    firsts = cut(marked.filter("n > 0").groupBy("digest").agg(F.min("row").alias("set"), F.min("doc_id").alias("least")))
-    signed = signed_sets(docs, marked, firsts.select("set"), words, percent, classes, common, id_col, text_col)
-    sets = whole_sets(docs, marked, signed.select("set").distinct(), words, common, id_col, text_col)
-    comps = join_sets(signed, sets, percent)
+    with shuffles_freed(docs.sparkSession):
+        common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, words, text_col))  # 8 MB at most
+        marked = mark(docs, words, percent, common, id_col, text_col)
+        firsts = cut(marked.filter("n > 0").groupBy("digest").agg(F.min("row").alias("set"), F.min("doc_id").alias("least")))
+        signed = signed_sets(docs, marked, firsts.select("set"), words, percent, classes, common, id_col, text_col)
+        sets = whole_sets(docs, marked, signed.select("set").distinct(), words, common, id_col, text_col)
+        comps = join_sets(signed, sets, percent)
     # a partial minimum for each set, then for each component: no group is gathered
     own = firsts.withColumn("component", F.col("set")) if comps is None else firsts.join(comps, F.col("set") == F.col("node"), "left")
     own = own.select("digest", "least", F.coalesce("component", "set").alias("comp"))

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import random
+import time
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from annoweave.llm import jaccard as X
 from annoweave.llm import queries
+from annoweave.llm.base import cut, few
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -188,3 +191,21 @@ def test_near_copies_share_one_signature_and_unlike_sets_make_no_pairs(spark):
     sets = spark.range(4).select(F.col("id").alias("set"), *[F.when(F.col("id") < 2, F.lit(-1)).otherwise(F.xxhash64("id", F.lit(m))).cast("long").alias(m) for m in maps])
     met = sets.select(F.lit(7).cast("long").alias("sig"), "set", F.lit(300).cast("long").alias("n"), F.col("set").alias("comp"))
     assert [tuple(r) for r in X._pairs(met, met, sets, 85).collect()] == [(0, 1)]
+
+
+def test_stored_tables_leave_no_shuffle_files_and_few_rows_few_parts(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p.name for d in folders for p in Path(d).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    stored = cut(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 500).alias("k")).count())
+    for _ in range(50):  # files are deleted a little later
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and len(stored.collect()) == 500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    table, rows = few(spark.range(100).repartition(50))
+    assert (rows, table.rdd.getNumPartitions(), table.count()) == (100, 1, 100)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(40)
+    found = X.connected_components(edges)
+    assert found.rdd.getNumPartitions() <= 2 and {tuple(r) for r in found.collect()} == {(i, 0) for i in range(41)}
